@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import ogg, pieces
+from . import langid, ogg, pieces, warc
 
 QUERIES = {
     "op1_ogg_media": ogg.op1,
+    "op4_warc_transactions": warc.op4,
     "op7_sentencepiece": pieces.op7,
+    "op9_language_id": langid.op9,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_warc_transactions": warc.ORACLE,
+}
