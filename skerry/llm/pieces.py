@@ -48,14 +48,15 @@ class Encoder:
     def __init__(self, model: dict) -> None:
         self.automaton = ahocorasick.Automaton()
         for i, (piece, score) in model["usable"].items():
-            self.automaton.add_word(piece, (i, len(piece), score))
+            self.automaton.add_word(piece, (i.to_bytes(4, "little"), len(piece), score))
         self.automaton.make_automaton()
         self.single = {p for p, _ in model["usable"].values() if len(p) == 1}
         self.byte_ids = model["bytes"]
         self.fallback = min(s for _, s in model["usable"].values() if s > NEVER) - FALLBACK_PENALTY
         whole = any(SPACE in p.lstrip(SPACE) for p, _ in model["usable"].values())
         self.chunks = re.compile("(?s).+" if whole else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.memo: dict[str, tuple[bytes, float]] = {}
+        self.memo_ids: dict[str, bytes] = {}
+        self.memo_scores: dict[str, float] = {}
         self.pieces = {i: p for i, (p, _) in model["usable"].items()}
         self.literal = b"".join(self._byte_piece(SPACE))
 
@@ -65,66 +66,70 @@ class Encoder:
     def viterbi(self, chunk: str) -> tuple[bytes, float]:
         """Ids (four bytes each) and score of the best path."""
         n = len(chunk)
-        best = [0.0] + [float("-inf")] * n
-        back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
+        none = float("-inf")
+        best = [0.0] + [none] * n
+        back: list[tuple[int, bytes]] = [(0, b"")] * (n + 1)
+        single, fallback = self.single, self.fallback
         at = 0  # positions up to here have their final score
-
-        def settle(to: int) -> None:
-            """Fall back to bytes over characters that no piece covers."""
-            nonlocal at
-            while at < to:
-                if chunk[at] not in self.single:
-                    score = best[at] + self.fallback
-                    if score > best[at + 1]:
-                        best[at + 1], back[at + 1] = score, (at, -1)
-                at += 1
-
         for end, (i, size, score) in self.automaton.iter(chunk):
-            settle(end)
+            while at < end:  # characters without a piece of their own fall back to bytes
+                if chunk[at] not in single and best[at] + fallback > best[at + 1]:
+                    best[at + 1], back[at + 1] = best[at] + fallback, (at, b"")
+                at += 1
             start = end + 1 - size
             score += best[start]
             if score > best[end + 1] or (score == best[end + 1] and start < back[end + 1][0]):
                 best[end + 1], back[end + 1] = score, (start, i)
-        settle(n)
+        while at < n:
+            if chunk[at] not in single and best[at] + fallback > best[at + 1]:
+                best[at + 1], back[at + 1] = best[at] + fallback, (at, b"")
+            at += 1
         ids: list[bytes] = []
         end = n
         while end:
             start, i = back[end]
-            ids += [i.to_bytes(4, "little")] if i >= 0 else self._byte_piece(chunk[start:end])[::-1]
+            if i:
+                ids.append(i)
+            else:
+                ids += self._byte_piece(chunk[start:end])[::-1]
             end = start
         return b"".join(reversed(ids)), best[n]
 
     def encode(self, text: str) -> tuple[bytes, float]:
-        ids: list[bytes] = []
+        ids, scores = self.memo_ids, self.memo_scores
+        if len(ids) > MEMO_CHUNKS:
+            ids.clear()
+            scores.clear()
+        out: list[bytes] = []
         total = 0.0
-        memo = self.memo
-        if len(memo) > MEMO_CHUNKS:
-            memo.clear()
         for k, part in enumerate(text.split(SPACE)):
             if k:
-                ids.append(self.literal)
+                out.append(self.literal)
                 total += 3 * self.fallback
-            s = part.replace(" ", SPACE)
-            for chunk in self.chunks.findall((SPACE if k == 0 and text else "") + s):
-                found = memo.get(chunk)
-                if found is None:
-                    found = self.viterbi(chunk)
-                    if len(chunk) <= MEMO_CHARS:
-                        memo[chunk] = found
-                ids.append(found[0])
-                total += found[1]
-        return b"".join(ids), total
+            chunks = self.chunks.findall((SPACE if k == 0 and text else "") + part.replace(" ", SPACE))
+            for c in chunks:
+                if c not in ids:
+                    ids[c], scores[c] = self.viterbi(c)
+            out += map(ids.__getitem__, chunks)
+            total += sum(map(scores.__getitem__, chunks))
+            for c in [c for c in chunks if len(c) > MEMO_CHARS]:
+                ids.pop(c, None), scores.pop(c, None)
+        return b"".join(out), total
 
 
 class Decoder:
     def __init__(self, model: dict) -> None:
         of = {i: p.replace(SPACE, " ").encode() for i, (p, _) in model["usable"].items()}
         of |= {i: bytes([b]) for b, i in enumerate(model["bytes"])}
-        self.of = [of.get(i, b"") for i in range(max(of) + 1)]
+        self.of = pa.array([of.get(i, b"") for i in range(max(of) + 1)], pa.binary())
 
-    def decode(self, ids: list[int]) -> bytes:
-        of = self.of
-        return b"".join([of[i] for i in ids])[1:]
+    def decode(self, ids: pa.ListArray) -> list[bytes | None]:
+        """The texts of a column of ids: all pieces are gathered into one buffer, which the rows then share out."""
+        starts = np.asarray(ids.offsets)
+        flat = self.of.take(ids.values)
+        ends = np.frombuffer(flat.buffers()[1], dtype=np.int32)[flat.offset :][starts].tolist()
+        data = memoryview(flat.buffers()[2] or b"")
+        return [data[a + 1 : b].tobytes() if ok else None for a, b, ok in zip(ends, ends[1:], ids.is_valid().to_pylist(), strict=False)]
 
 
 def _ids_array(found: list, valid: list[bool]) -> pa.ListArray:
@@ -161,7 +166,7 @@ def decode(df: DataFrame, model: dict, ids: str = "piece_ids", text: str = "deco
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(shared.value)
         for batch in batches:
-            texts = [None if x is None else decoder.decode(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
+            texts = decoder.decode(batch.column(batch.num_columns - 1))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary()).cast(pa.string())], names=[*batch.schema.names, text])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema)
