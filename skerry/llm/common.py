@@ -105,3 +105,40 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
 
 def signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
+
+
+def sliding_minima(keys: np.ndarray, width: int) -> np.ndarray:
+    """The least of every run of width keys, in linear time: prefix and suffix minima of blocks of that width."""
+    n = len(keys) - width + 1
+    if n <= 0:
+        return keys[:0]
+    blocks = -(-len(keys) // width)
+    padded = np.full(blocks * width, np.iinfo(keys.dtype).max, dtype=keys.dtype)
+    padded[: len(keys)] = keys
+    grid = padded.reshape(blocks, width)
+    ahead = np.minimum.accumulate(grid, axis=1).ravel()
+    behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
+
+
+def int_lists(parts: list[np.ndarray], kind: pa.DataType, dtype: type) -> pa.ListArray:
+    """A list column from arrays."""
+    offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    values = np.concatenate(parts).astype(dtype, copy=False) if parts else np.empty(0, dtype=dtype)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+
+
+def list_parts(column: pa.ListArray, dtype: type) -> list[np.ndarray]:
+    """The arrays of a list column without nulls inside; a null list is empty."""
+    values = np.asarray(column.values).astype(dtype, copy=False)
+    offsets = np.asarray(column.offsets)
+    return [values[a:b] if ok else values[:0] for a, b, ok in zip(offsets, offsets[1:], column.is_valid().to_pylist(), strict=False)]
+
+
+def order_id(column: str) -> F.Column:
+    """An id for comparisons: a null id is larger than all others."""
+    return F.coalesce(F.col(column).cast("long"), F.lit(2**63 - 1))
+
+
+def ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import langid, licenses, mixture, ogg, pieces, warc
+from . import langid, licenses, mixture, ogg, pieces, repeats, warc
 
 QUERIES = {
     "op1_ogg_media": ogg.op1,
     "op4_warc_transactions": warc.op4,
     "op5_license_scan": licenses.op5,
+    "op6_substring_dedup": repeats.op6,
     "op7_sentencepiece": pieces.op7,
     "op9_language_id": langid.op9,
     "op10_mixture": mixture.op10,
@@ -16,5 +17,6 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op4_warc_transactions": warc.ORACLE,
     "op5_license_scan": licenses.ORACLE,
+    "op6_substring_dedup": repeats.ORACLE,
     "op10_mixture": mixture.ORACLE,
 }
