@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import langid, licenses, mixture, ogg, pieces, repeats, warc
+from . import jaccard, langid, licenses, mixture, ogg, pieces, repeats, warc
 
 QUERIES = {
     "op1_ogg_media": ogg.op1,
+    "op3_ngram_jaccard": jaccard.op3,
     "op4_warc_transactions": warc.op4,
     "op5_license_scan": licenses.op5,
     "op6_substring_dedup": repeats.op6,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_ngram_jaccard": jaccard.ORACLE,
     "op4_warc_transactions": warc.ORACLE,
     "op5_license_scan": licenses.ORACLE,
     "op6_substring_dedup": repeats.ORACLE,
