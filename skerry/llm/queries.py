@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, langid, licenses, mixture, ogg, pieces, repeats, warc
+from . import jaccard, langid, licenses, minhash, mixture, ogg, pieces, repeats, warc
 
 QUERIES = {
     "op1_ogg_media": ogg.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_license_scan": licenses.op5,
     "op6_substring_dedup": repeats.op6,
     "op7_sentencepiece": pieces.op7,
+    "op8_order_minhash": minhash.op8,
     "op9_language_id": langid.op9,
     "op10_mixture": mixture.op10,
 }
