@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import jaccard, langid, licenses, minhash, mixture, ogg, pieces, repeats, warc
+from . import jaccard, langid, licenses, minhash, mixing, mixture, ogg, pieces, repeats, warc
 
 QUERIES = {
     "op1_ogg_media": ogg.op1,
+    "op2_context_mixing": mixing.op2,
     "op3_ngram_jaccard": jaccard.op3,
     "op4_warc_transactions": warc.op4,
     "op5_license_scan": licenses.op5,
