@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 cloudpickle.register_pickle_by_value(sys.modules["skerry.llm"])
 
+BROADCAST_ROWS = 500_000
+"""Keys (16 bytes each) that may be broadcast."""
 MEMO_WORDS = 400_000
 """Distinct words whose hashes a task remembers before it starts afresh."""
 
@@ -51,6 +53,15 @@ def raw_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(kind).to_pylist()]
 
 
+def pick(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys are among those wanted (a materialized table), found before anything is shuffled where the keys are few.
+
+    Up to BROADCAST_ROWS keys are broadcast; beyond that rows come back as they are, and the caller's join does the work.
+    """
+    own = wanted.select(*keys)
+    return rows.join(F.broadcast(own), keys, "left_semi") if own.count() <= BROADCAST_ROWS else rows
+
+
 def row_bucket(column: str, buckets: int) -> F.Column:
     """crc32 of the id as text, modulo buckets; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % buckets

@@ -115,10 +115,10 @@ def find(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int =
     halves = survey.select("s1", "s2", F.arrays_zip("hs", "ps").alias("a")).select("s1", "s2", F.explode("a").alias("a")).select("s1", "s2", F.col("a.hs").alias("h"), F.col("a.ps").alias("p"))
     alive = common.materialize(halves.groupBy("h").agg(F.min("s1").alias("least"), F.max("s1").alias("most")).filter("least <> most").select("h"))
     kept = halves.join(alive, "h").groupBy("s1", "s2").agg(F.sort_array(F.collect_set("p")).alias("kept"))
-    kept = kept.join(classes, ["s1", "s2"]).select(F.col("rep.oid").alias("oid"), F.col("rep.th").alias("th"), "kept")
+    kept = common.materialize(kept.join(classes, ["s1", "s2"]).select(F.col("rep.oid").alias("oid"), F.col("rep.th").alias("th"), "kept"))
 
     # Full length: the windows around them.
-    texts = source.join(kept, ["oid", "th"]).dropDuplicates(["oid", "th"]).select("oid", "th", "text", "kept")
+    texts = common.pick(source, kept, ["oid", "th"]).join(kept, ["oid", "th"]).dropDuplicates(["oid", "th"]).select("oid", "th", "text", "kept")
     candidates = common.materialize(common.map_batches(texts, _extend(length), "oid long, th long, text string, hs array<long>, ps array<int>"))
     windows = candidates.select("oid", "th", F.explode(F.arrays_zip("hs", "ps")).alias("a")).select("oid", "th", F.col("a.hs").alias("h"), F.col("a.ps").alias("p"))
     firsts = common.materialize(windows.groupBy("h").agg(F.min("oid").alias("least"), F.max("oid").alias("most")).filter("least < most").select("h", "least"))
