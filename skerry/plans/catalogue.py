@@ -11,7 +11,10 @@ from skerry.plans.derive import CONFIG, GEOMETRY, ZONES, detections, structures
 from skerry.schemas import Season
 
 QUERIES: dict = {}
-DAY = F.expr("cast(day as string)").alias("day")
+
+
+def _day():
+    return F.col("day").cast("string").alias("day")
 
 
 def query(fn):
@@ -85,13 +88,13 @@ def base_distance(spark, d):
 @query
 def closure_active(spark, d):
     days = detections(spark, d).select("day").distinct()
-    return days.select(DAY, temporal.closure_active(ZONES[1], F.col("day")).alias("active"))
+    return days.select(_day(), temporal.closure_active(ZONES[1], F.col("day")).alias("active"))
 
 
 @query
 def season_gate(spark, d):
     days = detections(spark, d).select("day").distinct()
-    return days.select(DAY, temporal.in_season(F.col("day"), Season("01-15", "01-25")).alias("plain"), temporal.in_season(F.col("day"), Season("01-20", "01-05")).alias("wraps"))
+    return days.select(_day(), temporal.in_season(F.col("day"), Season("01-15", "01-25")).alias("plain"), temporal.in_season(F.col("day"), Season("01-20", "01-05")).alias("wraps"))
 
 
 @query
@@ -138,7 +141,7 @@ def classification_summary(spark, d):
 
 @query
 def active_closures(spark, d):
-    return dossier.active_closures(detections(spark, d).select("day").distinct(), ZONES).select(DAY, "zone_id", "reason")
+    return dossier.active_closures(detections(spark, d).select("day").distinct(), ZONES).select(_day(), "zone_id", "reason")
 
 
 @query
