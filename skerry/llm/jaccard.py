@@ -104,11 +104,14 @@ def _survey(width: int, percent: int, shared):
 
 
 def _sets(width: int):
+    """Sets of texts; rows (.., text) keep their other columns."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = common.WordHasher()
         for batch in batches:
-            sets = [shingle_set(hasher, t, width).tobytes() for t in common.raw_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["owner", "members"])
+            last = batch.num_columns - 1
+            sets = [shingle_set(hasher, t, width).tobytes() for t in common.raw_bytes(batch.column(last))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(sets, pa.binary())], names=[*batch.schema.names[:last], "members"])
 
     return run
 
@@ -178,7 +181,7 @@ class Join:
         return f"{self.percent} * greatest({a}, {b}) <= 100 * least({a}, {b})"
 
     def lists(self) -> DataFrame:
-        """The lists of prefix shingles in two sets or more: tok, salt, owner, n, pos and the leader's lead, lead_n, lead_pos."""
+        """The lists of prefix shingles in two sets or more: tok, owner, np (size and place packed) and the leader's lead, lead_np."""
         zipped = self.survey.filter("size(toks) > 0").select(F.col("s1").alias("owner"), "n", F.posexplode(F.arrays_zip("toks", "heavy")).alias("pos", "e"))
         rows = zipped.select(F.col("e.toks").alias("tok"), F.expr(f"cast(if(e.heavy > 0, pmod(owner, {SALTS}), 0) as int)").alias("salt"), (F.col("e.heavy") > 0).alias("frequent"), "owner", F.expr("shiftleft(n, 32) + pos").alias("np"))
         by = Window.partitionBy("tok", "salt")
@@ -187,8 +190,7 @@ class Join:
         rows = rows.withColumn("first", first)
         # A set alone in its part of a frequent shingle's list may still share it with the other parts.
         rows = rows.filter((F.col("least") != F.col("most")) | F.col("frequent"))
-        split = lambda c, n, p: [F.shiftright(c, 32).alias(n), (c % (1 << 32)).cast("int").alias(p)]
-        return rows.select("tok", "salt", "owner", *split(F.col("np"), "n", "pos"), F.col("first.owner").alias("lead"), *split(F.col("first.np"), "lead_n", "lead_pos")).distinct()
+        return rows.select("tok", "owner", "np", F.col("first.owner").alias("lead"), F.col("first.np").alias("lead_np")).distinct()
 
     def screen(self, hits: DataFrame) -> DataFrame:
         """Pairs a < b that pass the filters, from rows (a, b, na, nb, pa, pb) for each prefix shingle that they share."""
@@ -199,18 +201,33 @@ class Join:
         return common.materialize(common.map_batches(pairs.select("a", "b", "sa", "sb"), _suffix(self.percent), "a long, b long"))
 
     def verify(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that are links; their sets are made again from the texts of their classes' representatives."""
-        ends = common.materialize(pairs.select(F.col("a").alias("s1")).union(pairs.select("b")).distinct().join(self.classes, "s1").select(F.col("s1").alias("owner"), F.col("rep.oid").alias("oid"), F.col("rep.th").alias("th")))
-        few = ends.count() <= BROADCAST_ROWS
-        texts = self.source.join(F.broadcast(ends) if few else ends, ["oid", "th"]).dropDuplicates(["owner"])
-        sets = common.materialize(common.map_batches(texts.select("owner", "text"), _sets(self.width), "owner long, members binary"))
-        rows = pairs.join(sets.select(F.col("owner").alias("a"), F.col("members").alias("ma")), "a").join(sets.select(F.col("owner").alias("b"), F.col("members").alias("mb")), "b")
-        return common.materialize(common.map_batches(rows.select("a", "b", "ma", "mb"), _verify(self.percent), "a long, b long"))
+        """The pairs that are links. Sets are made again from the texts of their classes' representatives.
+
+        Of a pair the set that is in more pairs is the centre. The others' sets are sent to their centres, so a set moves once
+        a pair and few centres move besides.
+        """
+        ends = pairs.select(F.col("a").alias("s1")).union(pairs.select("b")).groupBy("s1").agg(F.count("*").alias("k"))
+        ends = common.materialize(ends.join(self.classes, "s1").select(F.col("s1").alias("owner"), "k", F.col("rep.oid").alias("oid"), F.col("rep.th").alias("th")))
+        degree = ends.select("owner", "k")
+        both = pairs.join(degree.withColumnsRenamed({"owner": "a", "k": "ka"}), "a").join(degree.withColumnsRenamed({"owner": "b", "k": "kb"}), "b")
+        swap = F.expr("kb > ka or (kb = ka and b < a)")
+        both = both.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("centre"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("other"))
+        places = ends.select("owner", "oid", "th")
+        others = common.materialize(both.groupBy("other").agg(F.collect_set("centre").alias("centres")).join(places.withColumnRenamed("owner", "other"), "other"))
+        centres = common.materialize(both.select(F.col("centre").alias("owner")).distinct().join(places, "owner"))
+        texts = lambda ids: self.source.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, ["oid", "th"])
+        sent = common.map_batches(texts(others).select("other", F.explode("centres").alias("centre"), "text"), _sets(self.width), "other long, centre long, members binary")
+        own = common.map_batches(texts(centres).select(F.col("owner").alias("centre"), "text"), _sets(self.width), "centre long, members binary")
+        rows = sent.withColumnRenamed("members", "ma").join(own.withColumnRenamed("members", "mb"), "centre")
+        rows = rows.select(F.col("other").alias("a"), F.col("centre").alias("b"), "ma", "mb")
+        return common.materialize(common.map_batches(rows, _verify(self.percent), "a long, b long"))
 
     def links(self) -> DataFrame:
         """Links enough to connect every component; a and b name classes by s1."""
-        lists = common.materialize(self.lists())
-        one = lists.filter("owner <> lead").select("tok", "owner", "n", "pos", "lead", "lead_n", "lead_pos")
+        packed = common.materialize(self.lists())
+        split = lambda c, n, p: [F.shiftright(c, 32).alias(n), (F.col(c) % (1 << 32)).cast("int").alias(p)]
+        lists = packed.select("tok", "owner", *split("np", "n", "pos"), "lead", *split("lead_np", "lead_n", "lead_pos"))
+        one = lists.filter("owner <> lead")
         heads = lists.filter("owner = lead").select("tok", "owner", "n", "pos")
         by = Window.partitionBy("tok")
         heads = heads.withColumn("first", F.min(F.struct("pos", "n", "owner")).over(by)).filter("owner <> first.owner")
@@ -220,8 +237,8 @@ class Join:
         hits = stars.select("tok", *(F.expr(f"if({swap}, {y}, {x})").alias(name) for name, x, y in (("a", "owner", "lead"), ("b", "lead", "owner"), ("na", "n", "lead_n"), ("nb", "lead_n", "n"), ("pa", "pos", "lead_pos"), ("pb", "lead_pos", "pos"))))
         first = self.verify(self.screen(hits))
         labels = common.materialize(components(first))
-        rows = lists.select("tok", "owner", "n", "pos").distinct().join(labels.withColumnRenamed("node", "owner"), "owner", "left").withColumn("comp", F.coalesce("comp", "owner"))
-        rows = common.materialize(rows)
+        rows = packed.select("tok", "owner", "np").join(labels.withColumnRenamed("node", "owner"), "owner", "left")
+        rows = rows.select("tok", "owner", *split("np", "n", "pos"), F.coalesce("comp", "owner").alias("comp"))
         x = rows.select("tok", F.col("owner").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
         y = rows.select("tok", F.col("owner").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"))
         across = F.expr(f"a < b and ca <> cb and {self._near('na', 'nb')} and 1 + least(pa, pb) + least(na - pa - 1, nb - pb - 1) >= {self._need('na', 'nb')}")
