@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skerry.functions import geo, temporal
-from skerry.operators import assess, dossier, spatial
-from skerry.plans.derive import CONFIG, GEOMETRY, ZONES, detections, structures
+from skerry.functions import text as T
+from skerry.operators import assess, dataset, dossier, harness, raster, responses, spatial, validate
+from skerry.plans.derive import CONFIG, GEOMETRY, ZONES, detections, read, structures
 from skerry.schemas import Season
 
 QUERIES: dict = {}
@@ -194,3 +195,213 @@ def score_invariant(spark, d):
     """Rows that break `score > 0` exactly where there is an indicator: there are none."""
     rows = records(spark, d)
     return rows.agg(F.count(F.when((F.col("score") > 0) != (F.size("potential_indicators") > 0), 1)).alias("broken"), F.count("*").alias("n"))
+
+
+# --- text ------------------------------------------------------------------------------------------------------------------
+
+
+def _documents(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
+@query
+def invariant_tokens(spark, d):
+    return _documents(spark, d).select("doc_id", F.explode(T.anchors(F.col("text"))).alias("token"))
+
+
+@query
+def ais_wording(spark, d):
+    return _documents(spark, d).select("doc_id", T.mentions_ais(F.col("text")).alias("mentions"))
+
+
+@query
+def word_overlap(spark, d):
+    """Documents and benchmark items that share long words: a document's own words meet the items' by an equi-join."""
+    docs = _documents(spark, d).select("doc_id", F.explode(F.array_distinct(T.long_words(F.col("text")))).alias("word"))
+    items = read(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(T.long_words(F.col("text")))).alias("word"))
+    return docs.join(items, "word").groupBy("item_id").agg(F.count_distinct("doc_id").alias("docs"), F.count_distinct("word").alias("words"))
+
+
+@query
+def position_parse(spark, d):
+    at = T.position(F.regexp_replace("text", r"[^0-9.,\- ]", " "))
+    return _documents(spark, d).select("doc_id", at["lat"].alias("lat"), at["lon"].alias("lon"))
+
+
+@query
+def degenerate_text(spark, d):
+    return _documents(spark, d).select("doc_id", T.degenerate(F.col("text")).alias("looped")).filter("looped")
+
+
+@query
+def forbidden_actions(spark, d):
+    return read(spark, d, "conversations").select("conv_id", "turn", F.lower("text").rlike(T.FORBIDDEN_VERBS).alias("forbidden"), F.char_length(T.instruction(F.col("text"))).alias("n"))
+
+
+@query
+def priority_claims(spark, d):
+    """Claims in templated prose over the records: every seventh record is listed under the wrong class."""
+    rows = records(spark, d).filter("ord % 7 = 0")
+    prose = rows.select(F.concat(F.lit("S"), "ord").alias("scene_id"), F.concat(F.lit("High-priority vessels seen today ("), "id", F.lit("). Then medium priority detections "), "id", F.lit(".")).alias("prose"))
+    own = rows.withColumn("scene_id", F.concat(F.lit("S"), "ord"))
+    return validate.wrong_claims(prose, own, "narrative", "V14a").select("scene_id", "severity", "rule")
+
+
+@query
+def json_repair_parse(spark, d):
+    """Events wrapped as models' answers: fenced, with a trailing comma, truncated, or plain."""
+    body = F.concat(F.lit('{"id": "'), F.col("event_id"), F.lit('", "text": "a } in { a \\" string", "n": [1, 2]'))
+    raw = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("Here it is:\n```json\n"), body, F.lit("}\n```\nDone {ok}"))).when(F.col("event_id") % 4 == 1, F.concat(body, F.lit(",}"))).when(F.col("event_id") % 4 == 2, body).otherwise(F.concat(F.lit("\n// note\n"), body, F.lit("} trailing }")))
+    rows = read(spark, d, "events").select(F.col("event_id").cast("string").alias("scene_id"), F.lit("analyst").alias("agent"), F.lit(1).alias("attempt"), raw.alias("raw"))
+    return responses.parse(rows).select("scene_id", F.expr("try_variant_get(doc, '$.id', 'string')").alias("id"), "failure")
+
+
+# --- validation ------------------------------------------------------------------------------------------------------------
+
+
+def mutated_briefs(rows: DataFrame) -> DataFrame:
+    """A brief for every candidate, spoiled in a way that its ord decides."""
+    m = F.col("brief_ord") % 16
+    own = harness.clean_briefs(rows, CONFIG).drop("brief_ord").join(rows.select("scene_id", "id", F.col("ord").alias("brief_ord"), "lat", "lon"), ["scene_id", "id"]).filter(m != 14)
+    say = lambda k, value, other: F.when(m == k, value).otherwise(other)
+    return own.select(
+        "scene_id", "brief_ord", say(13, F.lit("D-none"), F.col("id")).alias("id"), F.when(m == 5, F.concat_ws(", ", F.col("lat") + 0.05, "lon")).when(m == 6, "unknown").otherwise(F.col("position")).alias("position"), say(8, F.lit("low"), F.col("priority")).alias("priority"),
+        F.when(m == 9, F.array_append("indicators", F.lit("nets were also seen being hauled by the crew"))).when(m == 11, F.array(F.lit("zone"))).when(m == 12, F.array(F.lit("qqqqq wwwww kkkkk jjjjj zzzzz xxxxx"))).otherwise(F.col("indicators")).alias("indicators"),
+        F.when(m == 4, F.concat("regulation_concerned", F.lit(" and Regulation 1224/2009"))).when(m == 7, "").otherwise(F.col("regulation_concerned")).alias("regulation_concerned"),
+        F.when(m == 3, "seize the vessel and all of its gear").when(m == 10, "12.5 km from base").otherwise(F.col("suggested_action")).alias("suggested_action"), F.when(m == 1, " ").when(m == 2, "the vessel is below 15 m").otherwise(F.col("caveat")).alias("caveat"),
+    )
+
+
+@query
+def report_issues(spark, d):
+    rows = records(spark, d)
+    prose = spark.createDataFrame([("S", "Several detections carry concurring indicators.")], "scene_id string, prose string")
+    return validate.report_issues(mutated_briefs(rows), prose, rows, CONFIG).groupBy("rule", "severity").agg(F.count("*").alias("n"))
+
+
+@query
+def missing_briefs(spark, d):
+    rows = records(spark, d)
+    return validate.missing_briefs(mutated_briefs(rows), rows).select("severity", "place")
+
+
+@query
+def foreign_anchors(spark, d):
+    """Briefs whose regulation carries another detection's anchors."""
+    rows = records(spark, d)
+    return validate.brief_issues(mutated_briefs(rows), rows, CONFIG).filter("rule = 'V8'").select("place", "severity")
+
+
+def mutated_ranking(rows: DataFrame) -> DataFrame:
+    m = F.col("ord") % 8
+    own = dossier.candidates(rows).filter(m != 2).select("scene_id", F.col("ord").alias("rank_ord"), "id", F.when(m == 1, "seen at 9999.9 m").otherwise(F.get(F.col("potential_indicators"), F.lit(0))["reason"]).alias("reason"))
+    others = rows.filter("ord % 50 = 0 and classification not in ('high_priority', 'medium_priority')").select("scene_id", F.col("ord").alias("rank_ord"), "id", F.lit("worth a look").alias("reason"))
+    return own.unionByName(others)
+
+
+@query
+def prioritisation_issues(spark, d):
+    rows = records(spark, d)
+    prose = dossier.silent(rows).groupBy("scene_id").agg(F.min_by("id", "ord").alias("s")).select("scene_id", F.concat(F.lit("activity near "), "s").alias("prose"))
+    return validate.prioritisation_issues(mutated_ranking(rows), prose, rows).groupBy("rule", "severity").agg(F.count("*").alias("n"))
+
+
+@query
+def omitted_candidates(spark, d):
+    rows = records(spark, d)
+    return responses.omitted(dossier.candidates(rows), mutated_ranking(rows)).select("id", "classification")
+
+
+@query
+def unknown_ids(spark, d):
+    """Ranked ids that are not in the dossier, or are there without being candidates."""
+    rows = records(spark, d)
+    ranked = mutated_ranking(rows).withColumn("id", F.when(F.col("rank_ord") % 9 == 0, F.concat(F.lit("X-"), "id")).otherwise(F.col("id")))
+    prose = harness.clean_prose(rows)
+    return validate.prioritisation_issues(ranked, prose, rows).filter("rule = 'Q2'").select("place", F.col("message").contains("not in the dossier").alias("absent"))
+
+
+@query
+def top_severity(spark, d):
+    rows = records(spark, d)
+    briefs = mutated_briefs(rows)
+    issues = validate.brief_issues(briefs, rows, CONFIG).select("place", "severity")
+    outputs = briefs.select(F.concat(F.lit("brief "), "id").alias("place")).distinct()
+    return validate.top_severity(issues, outputs, ["place"]).groupBy("severity").agg(F.count("*").alias("n"))
+
+
+@query
+def catch_rate(spark, d):
+    """The corpus of mutations, one copy of the records a case; the copies hold the first 2,000 detections as their scene."""
+    return harness.catch_rate(harness.verdicts(records(spark, d).filter("ord < 2000"), CONFIG))
+
+
+@query
+def latency_median(spark, d):
+    rows = read(spark, d, "events").select(F.col("event_type").alias("stage"), (F.col("value") / 1000).alias("seconds"))
+    sections = spark.createDataFrame([("purchase", "sale"), ("click", "visit"), ("view", "visit"), ("signup", "visit"), ("error", "fault")], "stage string, section string")
+    return harness.latency(rows, sections, 100).select("section", "stage", F.round("seconds", 9).alias("seconds"), F.round("per_detection", 11).alias("per_detection"))
+
+
+# --- raster and data sets ------------------------------------------------------------------------------------------------------
+
+SMALL = raster.Cfar(pfa=0.05, guard_radius=1, train_radius=2, enl=4.0, min_area_px=1)
+
+
+def chips(spark, d: str) -> DataFrame:
+    """Embeddings as 8 x 8 chips of positive values."""
+    rows = read(spark, d, "embeddings").select(F.col("vec_id").alias("chip_id"), F.posexplode("embedding").alias("k", "v"))
+    return rows.select("chip_id", F.lit(8).alias("rows_n"), F.lit(8).alias("cols_n"), F.expr("k div 8").cast("int").alias("row"), (F.col("k") % 8).cast("int").alias("col"), F.pow(F.abs("v").cast("double"), F.lit(3.0)).alias("value"))
+
+
+@query
+def box_sum(spark, d):
+    return raster.box_sum(chips(spark, d), {"s": F.col("value")}, 2).select("chip_id", "row", "col", F.round("s", 6).alias("s"))
+
+
+@query
+def lee_filter(spark, d):
+    return raster.lee(chips(spark, d)).select("chip_id", "row", "col", F.round("filtered", 6).alias("filtered"))
+
+
+@query
+def cfar_mask(spark, d):
+    return raster.cfar(raster.lee(chips(spark, d)), SMALL).groupBy("chip_id").agg(F.count_if("hit").alias("hits"), F.round(F.avg("background"), 6).alias("background"))
+
+
+@query
+def blobs(spark, d):
+    return raster.blobs(chips(spark, d), SMALL).select("chip_id", "id", "area_px", "row_min", "row_max", "col_min", "col_max", "estimated_length_m")
+
+
+@query
+def yolo_boxes(spark, d):
+    return raster.label_lines(raster.blobs(chips(spark, d), SMALL)).select("chip_id", "blob", "line")
+
+
+@query
+def pixel_boxes(spark, d):
+    """Boxes from parts: padded, clamped and normalised."""
+    rows = read(spark, d, "part").select(F.col("p_partkey").alias("chip_id"), F.lit(1).alias("blob"), F.lit(32).alias("rows_n"), F.lit(64).alias("cols_n"), F.expr("cast(p_partkey % 30 as int)").alias("row_min"), F.expr("cast(p_partkey % 60 as int)").alias("col_min"))
+    rows = rows.withColumn("row_max", F.least(F.col("row_min") + F.col("chip_id") % 5, F.lit(31)).cast("int")).withColumn("col_max", F.least(F.col("col_min") + F.col("chip_id") % 7, F.lit(63)).cast("int"))
+    return rows.select("chip_id", *(F.round(c, 9).alias(n) for c, n in zip(raster.label_box(), ("xc", "yc", "w", "h"), strict=True)))
+
+
+@query
+def label_validation(spark, d):
+    key = F.col("p_partkey")
+    line = F.when(key % 5 == 0, "0 0.5 0.5 0.2").when(key % 5 == 1, "0 1.5 0.5 0.2 0.2").when(key % 5 == 2, "x 0.5 0.5 0.2 0.2").when(key % 5 == 3, "3 0.5 0.5 0 -1").otherwise("0 0.5 0.5 0.25 0.25")
+    rows = read(spark, d, "part").select(F.concat(F.lit("labels/"), key, F.lit(".txt")).alias("path"), F.lit(1).alias("line_no"), line.alias("line"))
+    return dataset.label_problems(rows).select("path", "problem")
+
+
+@query
+def split_assignment(spark, d):
+    return dataset.split(read(spark, d, "labels").select(F.col("doc_id").alias("name"), "quality"), 0.34, 7).select("name", "part")
+
+
+@query
+def labelled_chips(spark, d):
+    images = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("stem"))
+    labels = read(spark, d, "labels").select(F.col("doc_id").cast("string").alias("stem"))
+    return dataset.by_label(images, labels).groupBy("labelled").agg(F.count("*").alias("n"))

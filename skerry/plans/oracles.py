@@ -97,3 +97,87 @@ score, classification, ais_indicator_suppressed, structure_id, distance_from_bas
     "candidate_rows": f"{ASSESS} SELECT id, replace(classification, '_priority', '') AS priority, CAST(lat AS VARCHAR) || ', ' || CAST(lon AS VARCHAR) AS position, estimated_length_m AS length_m, CASE ais_status WHEN 'dark' THEN 'unmatched (dark)' ELSE ais_status END AS AIS, CAST(n_indicators AS INTEGER) AS indicators, distance_from_base_km AS km_from_base FROM rec WHERE {_CANDIDATE}",
     "score_invariant": f"{ASSESS} SELECT count(*) FILTER ((score > 0) <> (n_indicators > 0)) AS broken, count(*) AS n FROM rec",
 }
+
+# --- text, validation, raster, data sets ---------------------------------------------------------------------------------------
+
+_ANCHOR = r"[A-Z]{2,4}-\d{2,}|\d{4}/\d{4}|\d+[.,]\d+"
+_DASHES = "translate(coalesce(text, ''), '\u2010\u2011\u2012\u2013\u2014\u2015', '------')"
+_WORDS = "list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{4,}'))"
+_AIS = r"\bais\b|carriage requirement|article\s*10|art[íi]culo\s*10|\bart\.?\s*10\b|1224/2009|reglamento\s*\(ce\)\s*n?\S*\s*1224"
+_VERBS = r"\b(seize|confiscate|arrest|impound|incautar|detener|apresar|confiscar)\b"
+_SENTENCES = "list_filter(list_transform(string_split(coalesce(text, ''), '.'), lambda s: trim(s, ' ')), lambda s: s <> '')"
+_BRIEFED = f"cand AS (SELECT *, ord % 16 AS m FROM rec WHERE {_CANDIDATE}), b AS (SELECT * FROM cand WHERE m <> 14)"
+_RANKED = f"cand AS (SELECT *, ord % 8 AS m FROM rec WHERE {_CANDIDATE}), other AS (SELECT * FROM rec WHERE ord % 50 = 0 AND NOT {_CANDIDATE})"
+_SILENT = "ais_indicator_suppressed AND n_indicators = 0"
+_ISSUES = """issues AS (
+  SELECT 'brief D-none' AS place, 'V0' AS rule, 'BLOCKER' AS severity FROM b WHERE m = 13
+  UNION ALL SELECT 'brief ' || id, 'VA', 'BLOCKER' FROM b WHERE m = 1
+  UNION ALL SELECT 'brief ' || id, 'VB', 'BLOCKER' FROM b WHERE m = 2 AND estimated_length_m >= 15.0e0
+  UNION ALL SELECT 'brief ' || id, 'VC', 'BLOCKER' FROM b WHERE m = 3
+  UNION ALL SELECT 'brief ' || id, 'V3', 'BLOCKER' FROM b WHERE m = 4 AND NOT has_ais
+  UNION ALL SELECT 'brief ' || id, 'V4', CASE m WHEN 5 THEN 'BLOCKER' ELSE 'WARNING' END FROM b WHERE m IN (5, 6)
+  UNION ALL SELECT 'brief ' || id, 'V5', 'WARNING' FROM b WHERE m = 7
+  UNION ALL SELECT 'brief ' || id, 'V7', 'BLOCKER' FROM b WHERE m = 8
+  UNION ALL SELECT 'brief ' || id, 'V8', 'BLOCKER' FROM b WHERE m = 4 AND NOT has_ais
+  UNION ALL SELECT 'brief ' || id, 'V9', 'BLOCKER' FROM b WHERE m IN (11, 12)
+  UNION ALL SELECT 'brief ' || id, 'V10', 'BLOCKER' FROM b WHERE m = 9
+  UNION ALL SELECT 'brief ' || id, 'V11', 'WARNING' FROM b WHERE m = 10
+  UNION ALL SELECT 'brief ' || id, 'V12a', 'BLOCKER' FROM b WHERE m = 11
+  UNION ALL SELECT 'brief ' || id, 'V12b', 'WARNING' FROM b WHERE m IN (9, 12))"""
+_CHIPS = "px AS (SELECT vec_id AS chip_id, CAST(i // 8 AS INTEGER) AS row, CAST(i % 8 AS INTEGER) AS col, pow(CAST(abs(embedding[i + 1]) AS DOUBLE), 3.0e0) AS value FROM (SELECT *, unnest(range(64)) AS i FROM embeddings))"
+
+
+def _box(name: str, source: str, value: str, radius: int) -> str:
+    """Sums over squares, with rows and columns mirrored at the edges."""
+    mirror = lambda at: f"CASE WHEN {at} < 0 THEN -({at}) WHEN {at} > 7 THEN 14 - ({at}) ELSE {at} END"
+    return f"""{name} AS (SELECT a.chip_id, a.row, a.col, sum(b.{value}) AS s FROM (SELECT chip_id, row, col, row + dr.d AS r, col + dc.d AS c FROM {source}, (SELECT unnest(range({-radius}, {radius + 1})) AS d) AS dr, (SELECT unnest(range({-radius}, {radius + 1})) AS d) AS dc) AS a
+JOIN {source} AS b ON b.chip_id = a.chip_id AND b.row = {mirror("a.r")} AND b.col = {mirror("a.c")} GROUP BY ALL)"""
+
+
+_LEE = f"""{_CHIPS}, sq AS (SELECT *, value * value AS q FROM px), {_box("bs", "sq", "value", 3)}, {_box("bq", "sq", "q", 3)},
+mo AS (SELECT chip_id, row, col, value, bs.s / 49 AS mean, greatest(bq.s / 49 - (bs.s / 49) * (bs.s / 49), 0.0e0) AS var FROM px JOIN bs USING (chip_id, row, col) JOIN bq USING (chip_id, row, col)),
+lee AS (SELECT chip_id, row, col, value, mean + least(greatest(1.0e0 - 0.25e0 / greatest(CASE WHEN mean > 0 THEN var / nullif(mean * mean, 0.0e0) ELSE 0.0e0 END, 1e-9), 0.0e0), 1.0e0) * (value - mean) AS filtered FROM mo)"""
+_ALPHA = "(16 * (pow(0.05e0, -1.0e0 / 16) - 1.0e0))"
+_CFAR = f"""{_LEE}, {_box("bo", "lee", "filtered", 2)}, {_box("bg", "lee", "filtered", 1)},
+cf AS (SELECT chip_id, row, col, value, (bo.s - bg.s) / 16 AS background, filtered > (bo.s - bg.s) / 16 * {_ALPHA} AS hit FROM lee JOIN bo USING (chip_id, row, col) JOIN bg USING (chip_id, row, col))"""
+_BLOBS = f"""{_CFAR}, hit AS (SELECT chip_id, row, col, row * 8 + col AS k FROM cf WHERE hit),
+reach AS (SELECT chip_id, k AS node, k AS seen FROM hit UNION SELECT r.chip_id, r.node, b.k FROM reach AS r JOIN hit AS a ON a.chip_id = r.chip_id AND a.k = r.seen JOIN hit AS b ON b.chip_id = a.chip_id AND abs(b.row - a.row) <= 1 AND abs(b.col - a.col) <= 1),
+lab AS (SELECT chip_id, node AS k, min(seen) AS first_k FROM reach GROUP BY ALL),
+num AS (SELECT *, dense_rank() OVER (PARTITION BY chip_id ORDER BY first_k) AS blob FROM lab),
+blob AS (SELECT chip_id, blob, count(*) AS area, min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1 FROM num JOIN hit USING (chip_id, k) GROUP BY ALL)"""
+
+ORACLES |= {
+    "invariant_tokens": f"SELECT doc_id, unnest(list_distinct(list_transform(regexp_extract_all({_DASHES}, '{_ANCHOR}'), lambda t: replace(t, ',', '.')))) AS token FROM documents",
+    "ais_wording": f"SELECT doc_id, regexp_matches(lower(coalesce(text, '')), '{_AIS}') AS mentions FROM documents",
+    "word_overlap": f"WITH dw AS (SELECT doc_id, unnest({_WORDS}) AS word FROM documents), iw AS (SELECT item_id, unnest({_WORDS}) AS word FROM benchmark) SELECT item_id, count(DISTINCT doc_id) AS docs, count(DISTINCT word) AS words FROM dw JOIN iw USING (word) GROUP BY item_id",
+    "position_parse": r"""WITH n AS (SELECT doc_id, regexp_extract_all(regexp_replace(coalesce(text, ''), '[^0-9.,\- ]', ' ', 'g'), '-?\d+(?:\.\d+)?') AS k FROM documents) SELECT doc_id, CASE WHEN len(k) >= 2 THEN CAST(k[1] AS DOUBLE) END AS lat, CASE WHEN len(k) >= 2 THEN CAST(k[2] AS DOUBLE) END AS lon FROM n""",
+    "degenerate_text": f"WITH s AS (SELECT doc_id, text, {_SENTENCES} AS p FROM documents) SELECT doc_id, true AS looped FROM s WHERE length(text) >= 2000 AND NOT contains(text, '{{') AND len(p) >= 20 AND len(list_distinct(p)) < 0.1e0 * len(p)",
+    "forbidden_actions": f"SELECT conv_id, turn, regexp_matches(lower(text), '{_VERBS}') AS forbidden, CAST(length(trim(regexp_replace(trim(text, ' '), '(?i)^[\\d.,]+\\s*(km|nm|miles)\\b[^:.]*[:.]?\\s*', ''), ' ')) AS INTEGER) AS n FROM conversations",
+    "report_issues": f"{ASSESS}, {_BRIEFED}, {_ISSUES} SELECT rule, severity, count(*) AS n FROM (SELECT rule, severity FROM issues UNION ALL SELECT 'V13', CASE classification WHEN 'high_priority' THEN 'BLOCKER' ELSE 'WARNING' END FROM cand WHERE m IN (13, 14)) GROUP BY ALL",
+    "missing_briefs": f"{ASSESS}, {_BRIEFED} SELECT CASE classification WHEN 'high_priority' THEN 'BLOCKER' ELSE 'WARNING' END AS severity, 'brief ' || id AS place FROM cand WHERE m IN (13, 14)",
+    "foreign_anchors": f"{ASSESS}, {_BRIEFED}, {_ISSUES} SELECT place, severity FROM issues WHERE rule = 'V8'",
+    "prioritisation_issues": f"""{ASSESS}, {_RANKED}, said AS (SELECT 'activity near ' || id AS prose FROM rec WHERE {_SILENT} ORDER BY ord LIMIT 1) SELECT rule, severity, count(*) AS n FROM (
+  SELECT 'Q2' AS rule, 'BLOCKER' AS severity FROM other UNION ALL SELECT 'Q3', 'BLOCKER' FROM cand WHERE m = 1
+  UNION ALL SELECT 'Q4', 'BLOCKER' FROM rec, said WHERE {_SILENT} AND contains(prose, id)
+  UNION ALL SELECT 'Q5', CASE classification WHEN 'high_priority' THEN 'BLOCKER' ELSE 'WARNING' END FROM cand WHERE m = 2) GROUP BY ALL""",
+    "omitted_candidates": f"{ASSESS}, {_RANKED} SELECT id, classification FROM cand WHERE m = 2",
+    "unknown_ids": f"{ASSESS}, {_RANKED}, r AS (SELECT ord, id, true AS c FROM cand WHERE m <> 2 UNION ALL SELECT ord, id, false FROM other) SELECT 'prioritised ' || CASE WHEN ord % 9 = 0 THEN 'X-' ELSE '' END || id AS place, ord % 9 = 0 AS absent FROM r WHERE ord % 9 = 0 OR NOT c",
+    "top_severity": f"""{ASSESS}, {_BRIEFED}, {_ISSUES}, o AS (SELECT DISTINCT 'brief ' || CASE WHEN m = 13 THEN 'D-none' ELSE id END AS place FROM b), w AS (SELECT place, max(CASE severity WHEN 'BLOCKER' THEN 2 ELSE 1 END) AS w FROM issues GROUP BY place)
+SELECT CASE w WHEN 2 THEN 'BLOCKER' WHEN 1 THEN 'WARNING' ELSE 'clean' END AS severity, count(*) AS n FROM o LEFT JOIN w USING (place) GROUP BY ALL""",
+    "latency_median": """WITH t AS (SELECT event_type AS stage, median(value / 1000) AS s FROM events GROUP BY ALL), x AS (SELECT CASE stage WHEN 'purchase' THEN 'sale' WHEN 'error' THEN 'fault' ELSE 'visit' END AS section, stage, s FROM t WHERE stage IN ('purchase', 'click', 'view', 'signup', 'error'))
+SELECT section, stage, round(sum(s), 9) AS seconds, round(sum(s) / 100, 11) AS per_detection FROM x GROUP BY ROLLUP (section, stage)""",
+    "box_sum": f"WITH {_CHIPS}, {_box('bx', 'px', 'value', 2)} SELECT chip_id, row, col, round(s, 6) AS s FROM bx",
+    "lee_filter": f"WITH {_LEE} SELECT chip_id, row, col, round(filtered, 6) AS filtered FROM lee",
+    "cfar_mask": f"WITH {_CFAR} SELECT chip_id, count(*) FILTER (hit) AS hits, round(avg(background), 6) AS background FROM cf GROUP BY chip_id",
+    "blobs": f"WITH RECURSIVE {_BLOBS} SELECT chip_id, printf('S1-%03d', blob) AS id, CAST(area AS INTEGER) AS area_px, r0 AS row_min, r1 AS row_max, c0 AS col_min, c1 AS col_max, round((greatest(r1 - r0, c1 - c0) + 1) * 10.0e0, 1) AS estimated_length_m FROM blob",
+    "yolo_boxes": f"""WITH RECURSIVE {_BLOBS}, bx AS (SELECT chip_id, blob, greatest(r0 - 1, 0) AS y0, least(r1 + 1, 7) AS y1, greatest(c0 - 1, 0) AS x0, least(c1 + 1, 7) AS x1 FROM blob)
+SELECT chip_id, CAST(blob AS INTEGER) AS blob, printf('0 %.6f %.6f %.6f %.6f', (x0 + x1 + 1) / 2 / 8, (y0 + y1 + 1) / 2 / 8, (x1 - x0 + 1) / 8, (y1 - y0 + 1) / 8) AS line FROM bx""",
+    "pixel_boxes": """WITH p AS (SELECT p_partkey AS chip_id, p_partkey % 30 AS a, p_partkey % 60 AS b, least(p_partkey % 30 + p_partkey % 5, 31) AS c, least(p_partkey % 60 + p_partkey % 7, 63) AS e FROM part),
+q AS (SELECT chip_id, greatest(a - 1, 0) AS y0, least(c + 1, 31) AS y1, greatest(b - 1, 0) AS x0, least(e + 1, 63) AS x1 FROM p)
+SELECT chip_id, round((x0 + x1 + 1) / 2 / 64, 9) AS xc, round((y0 + y1 + 1) / 2 / 32, 9) AS yc, round((x1 - x0 + 1) / 64, 9) AS w, round((y1 - y0 + 1) / 32, 9) AS h FROM q""",
+    "label_validation": """WITH p AS (SELECT 'labels/' || CAST(p_partkey AS VARCHAR) || '.txt' AS path, p_partkey % 5 AS m FROM part)
+SELECT path, 'expected 5 fields, got 4' AS problem FROM p WHERE m = 0 UNION ALL SELECT path, 'coordinate outside [0,1]' FROM p WHERE m = 1 UNION ALL SELECT path, 'non-numeric field' FROM p WHERE m = 2
+UNION ALL SELECT path, unnest(['class id 3 out of range', 'coordinate outside [0,1]', 'non-positive box size']) FROM p WHERE m = 3""",
+    "split_assignment": "WITH n AS (SELECT doc_id AS name, row_number() OVER (ORDER BY md5('7:' || CAST(doc_id AS VARCHAR)), doc_id) AS k, count(*) OVER () AS n FROM labels) SELECT name, CASE WHEN n > 1 AND k <= greatest(1, floor(n * 0.34e0)) THEN 'val' ELSE 'train' END AS part FROM n",
+    "labelled_chips": "SELECT l.doc_id IS NOT NULL AS labelled, count(*) AS n FROM documents AS d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) AS l ON l.doc_id = d.doc_id GROUP BY ALL",
+}
