@@ -109,7 +109,7 @@ def document(records: DataFrame, scenes: DataFrame, zones: list[Zone], config: C
         lists = {"records": pick(F.lit(True))} | lists
     counts = [F.count(F.when(F.col("classification") == c, 1)).alias(c) for c in CLASS_ORDER]
     per = rows.groupBy("scene_id").agg(F.count("*").alias("total_detections"), F.transform(F.array_sort(F.collect_list(stop)), lambda x: x.s).alias("patrol_sequence"), *(v.alias(k) for k, v in lists.items()), *counts)
-    per = per.withColumn("classification_summary", F.map_filter(F.map_from_entries(F.array(*(F.struct(F.lit(c), F.col(c)) for c in CLASS_ORDER))), lambda _, v: v > 0)).drop(*CLASS_ORDER)
+    per = per.withColumn("classification_summary", F.map_filter(F.map_from_entries(F.array(*(F.struct(F.lit(c).alias("k"), F.col(c).alias("v")) for c in CLASS_ORDER))), lambda _, v: v > 0)).drop(*CLASS_ORDER)
     regulated = F.array(*(F.struct(F.lit(z.id).alias("id"), F.lit(z.name).alias("name"), F.lit(z.type).alias("type"), F.array(*(F.lit(g) for g in z.prohibited_gear)).cast("array<string>").alias("prohibited_gear"), temporal.closure_active(z, F.col("day")).alias("closure_active")) for z in zones))
     shut = [F.when(temporal.closure_active(z, F.col("day")), F.struct(F.lit(z.name).alias("zone"), F.lit(z.closure[2]).alias("reason"))) for z in zones if z.closure]
     head = temporal.conditions(scenes.withColumn("day", temporal.scene_date(F.col("timestamp"))), config)
