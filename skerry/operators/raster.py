@@ -93,8 +93,8 @@ def cfar(filtered: DataFrame, config: Cfar) -> DataFrame:
     return both.withColumn("background", background).withColumn("hit", F.col("filtered") > F.col("background") * config.alpha).drop("_o", "_g")
 
 
-def components(hits: DataFrame) -> DataFrame:
-    """chip_id, row, col, blob: eight-connected components, numbered from 1 by their first pixel in reading order.
+def components(hits: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """chip_id, row, col, blob and the columns to keep: eight-connected components, numbered from 1 by their first pixel in reading order.
 
     Runs once a chip over its pixels above the threshold; components never cross chips.
     """
@@ -116,17 +116,17 @@ def components(hits: DataFrame) -> DataFrame:
                         if other is not None and not blob[other]:
                             blob[other] = now
                             queue.append((y, x))
-        return pixels[["chip_id", "row", "col"]].assign(blob=blob)
+        return pixels.assign(blob=blob)
 
-    own = hits.select("chip_id", F.col("row").cast("int"), F.col("col").cast("int"))
-    kind = own.schema["chip_id"].dataType.simpleString()
-    return own.groupBy("chip_id").applyInPandas(label, f"chip_id {kind}, row int, col int, blob int")
+    own = hits.select("chip_id", F.col("row").cast("int"), F.col("col").cast("int"), *keep)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema)
+    return own.groupBy("chip_id").applyInPandas(label, f"{kinds}, blob int")
 
 
 def blobs(pixels: DataFrame, config: Cfar = Cfar(), affine: Affine = Affine()) -> DataFrame:
     """Detections: position, length, confidence, pixel box. Numbers count small blobs too, which are left out afterwards."""
     found = cfar(lee(pixels, config.enl), config).filter("hit")
-    marked = found.join(components(found), ["chip_id", "row", "col"])
+    marked = components(found, ("value", "background", "rows_n", "cols_n"))
     weighted = lambda c: F.sum(F.col(c) * F.col("value")) / F.sum("value")
     rows = marked.groupBy("chip_id", "blob", "rows_n", "cols_n").agg(
         F.count("*").cast("int").alias("area_px"), weighted("row").alias("row_c"), weighted("col").alias("col_c"), F.min("row").alias("row_min"), F.max("row").alias("row_max"), F.min("col").alias("col_min"), F.max("col").alias("col_max"),
