@@ -6,8 +6,8 @@ Filters: sizes; position (what the last common prefix shingle leaves); suffix (a
 counts per hash range); pairs that pass are verified once on the whole sets.
 
 Links inside a component that is already connected need no check, so large groups of near copies cost no square: first
-every set is compared with the leader of each prefix shingle's list (the set that has it earliest; lists of frequent
-shingles are dealt to SALTS parts, whose leaders are compared with the list's leader); then all pairs across the
+every set is compared with the leader of each prefix shingle's list (the set that has it earliest, found over SALTS parts
+where the shingle is frequent); then all pairs across the
 components found so far that pass the filters. Sets that are equal are one class from the start.
 
 A text with fewer words than a shingle has its whole sequence as its one shingle; texts without words (and null texts)
@@ -227,12 +227,10 @@ class Join:
         packed = common.materialize(self.lists())
         split = lambda c, n, p: [F.shiftright(c, 32).alias(n), (F.col(c) % (1 << 32)).cast("int").alias(p)]
         lists = packed.select("tok", "owner", *split("np", "n", "pos"), "lead", *split("lead_np", "lead_n", "lead_pos"))
-        one = lists.filter("owner <> lead")
-        heads = lists.filter("owner = lead").select("tok", "owner", "n", "pos")
-        by = Window.partitionBy("tok")
-        heads = heads.withColumn("first", F.min(F.struct("pos", "n", "owner")).over(by)).filter("owner <> first.owner")
-        heads = heads.select("tok", "owner", "n", "pos", F.col("first.owner").alias("lead"), F.col("first.n").alias("lead_n"), F.col("first.pos").alias("lead_pos"))
-        stars = one.unionByName(heads)
+        # Everyone meets the leader of the whole list, found over the leaders of its parts; a skewed list is split by the join.
+        heads = lists.filter("owner = lead").groupBy("tok").agg(F.min(F.struct("pos", "n", "owner")).alias("f"))
+        heads = common.materialize(heads.select("tok", F.col("f.owner").alias("lead"), F.col("f.n").alias("lead_n"), F.col("f.pos").alias("lead_pos")))
+        stars = lists.select("tok", "owner", "n", "pos").join(heads, "tok").filter("owner <> lead")
         swap = "owner > lead"
         hits = stars.select("tok", *(F.expr(f"if({swap}, {y}, {x})").alias(name) for name, x, y in (("a", "owner", "lead"), ("b", "lead", "owner"), ("na", "n", "lead_n"), ("nb", "lead_n", "n"), ("pa", "pos", "lead_pos"), ("pb", "lead_pos", "pos"))))
         first = self.verify(self.screen(hits))
