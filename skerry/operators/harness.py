@@ -5,6 +5,7 @@ A case is a scene of its own: its name stands as scene_id on its copy of the rec
 
 from __future__ import annotations
 
+import tempfile
 import time
 from collections.abc import Callable
 
@@ -38,8 +39,8 @@ def clean_prose(records: DataFrame) -> DataFrame:
 
 
 def pick(records: DataFrame, condition: str) -> DataFrame:
-    """The first record, in the dossier's order, that meets a condition."""
-    return dossier.ordered(records).filter(condition).orderBy("pos").limit(1)
+    """The first record, in the dossier's order, that meets a condition; no scene is sorted for it."""
+    return records.filter(condition).orderBy(dossier.class_rank(), F.desc("score"), "ord").limit(1)
 
 
 def corpus(records: DataFrame, config: Config) -> dict[str, DataFrame]:
@@ -83,9 +84,17 @@ def corpus(records: DataFrame, config: Config) -> dict[str, DataFrame]:
     return {"cases": table, "briefs": briefs, "ranked": ranked, "prose": prose, "records": copies(records)}
 
 
+def once(records: DataFrame) -> DataFrame:
+    """Assessed once, in spark.checkpoint.dir: the corpus reads its records some hundred times."""
+    sc = records.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="skerry-checkpoint-"))
+    return records.checkpoint(eager=True)
+
+
 def verdicts(records: DataFrame, config: Config) -> DataFrame:
     """case, family, target, expected, got and ok, for the whole corpus."""
-    c = corpus(records, config)
+    c = corpus(once(records), config)
     of = lambda df, target: df.join(F.broadcast(c["cases"].filter(F.col("target") == target).select(F.col("case").alias("scene_id"))), "scene_id", "left_semi")
     report = validate.report_issues(c["briefs"], of(c["prose"], REPORT), of(c["records"], REPORT), config)
     ranking = validate.prioritisation_issues(c["ranked"], of(c["prose"], RANKING), of(c["records"], RANKING))

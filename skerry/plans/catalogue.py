@@ -332,8 +332,8 @@ def top_severity(spark, d):
 
 @query
 def catch_rate(spark, d):
-    """The corpus of mutations, one copy of the records a case; the copies hold the first 2,000 detections as their scene."""
-    return harness.catch_rate(harness.verdicts(records(spark, d).filter("ord < 2000"), CONFIG))
+    """The corpus of mutations, one copy of all records a case."""
+    return harness.catch_rate(harness.verdicts(records(spark, d), CONFIG))
 
 
 @query
