@@ -238,13 +238,20 @@ def forbidden_actions(spark, d):
     return read(spark, d, "conversations").select("conv_id", "turn", F.lower("text").rlike(T.FORBIDDEN_VERBS).alias("forbidden"), F.char_length(T.instruction(F.col("text"))).alias("n"))
 
 
+def claimed_prose(rows: DataFrame) -> DataFrame:
+    """Prose on every record: under its own class, or under none if it is no candidate; every seventh under both classes."""
+    high, medium = F.concat(F.lit("High-priority vessels seen today ("), "id", F.lit(").")), F.concat(F.lit("Medium priority detections "), "id", F.lit("."))
+    wrong = F.concat(F.lit("High-priority vessels seen today ("), "id", F.lit("). Then medium priority detections "), "id", F.lit("."))
+    own = F.when(F.col("classification") == "high_priority", high).when(F.col("classification") == "medium_priority", medium).otherwise(F.concat(F.lit("Other vessels seen today ("), "id", F.lit(").")))
+    return rows.select(F.concat(F.lit("S"), "ord").alias("scene_id"), F.when(F.col("ord") % 7 == 0, wrong).otherwise(own).alias("prose"))
+
+
 @query
 def priority_claims(spark, d):
-    """Claims in templated prose over the records: every seventh record is listed under the wrong class."""
-    rows = records(spark, d).filter("ord % 7 = 0")
-    prose = rows.select(F.concat(F.lit("S"), "ord").alias("scene_id"), F.concat(F.lit("High-priority vessels seen today ("), "id", F.lit("). Then medium priority detections "), "id", F.lit(".")).alias("prose"))
+    """Claims in templated prose over all records: every seventh record is listed under a wrong class, all others rightly."""
+    rows = records(spark, d)
     own = rows.withColumn("scene_id", F.concat(F.lit("S"), "ord"))
-    return validate.wrong_claims(prose, own, "narrative", "V14a").select("scene_id", "severity", "rule")
+    return validate.wrong_claims(claimed_prose(rows), own, "narrative", "V14a").select("scene_id", "severity", "rule")
 
 
 @query

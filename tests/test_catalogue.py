@@ -18,3 +18,16 @@ def tables(spark, tmp_path_factory):
 def test_catch_rate_uses_every_record(spark, tables):
     rates = {r["family"]: (r["hits"], r["total"]) for r in catalogue.catch_rate(spark, tables).collect()}
     assert rates["adversarial"] == (12, 12) and rates["overall"] == (15, 15)
+
+
+def test_priority_claims_cover_every_record(spark, tables, monkeypatch):
+    given, check = {}, catalogue.validate.wrong_claims
+    monkeypatch.setattr(catalogue.validate, "wrong_claims", lambda prose, rows, *a: given.update(prose=prose, rows=rows) or check(prose, rows, *a))
+    found = sorted(r["scene_id"] for r in catalogue.priority_claims(spark, tables).collect())
+    assert given["prose"].count() == given["rows"].count() == 3000
+    rows = catalogue.records(spark, tables).select("ord", "classification").collect()
+    assert found == sorted(f"S{r['ord']}" for r in rows if r["ord"] % 7 == 0 for _ in range(1 if r["classification"] in ("high_priority", "medium_priority") else 2))
+    # Right prose says a candidate's class: listed under the other one it would be found.
+    own = given["rows"].withColumn("classification", catalogue.F.expr("if(classification = 'high_priority', 'medium_priority', 'high_priority')"))
+    right = [r for r in rows if r["ord"] % 7 and r["classification"].endswith("y_priority")]
+    assert {f"S{r['ord']}" for r in right} <= {r["scene_id"] for r in check(given["prose"], own, "narrative", "V14a").collect()}
