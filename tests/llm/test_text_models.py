@@ -123,3 +123,18 @@ def test_spelling_is_a_distribution():
     assert 0 < total <= 1 + 1e-9
     likely = mixer.spell([b"than", b"qxzw"])
     assert likely[0] > likely[1]
+
+
+def test_bit_odds_are_those_of_the_real_counts():
+    tables = [np.tile(np.array([100_000, 300_000], dtype=np.int32), (1 << b, 1)) for b in mixing.TABLE_BITS]
+    tables[0][:] = (70_000, 5_000_000)
+    bits = mixing.Bits([b"word"])
+    for without_self in (False, True):
+        odds, gate = mixing.Mixer(tables).inputs(bits, without_self)
+        assert odds[0] == pytest.approx(math.log(5_000_000 / 70_000), abs=1e-3)
+        assert all(o == pytest.approx(math.log(3), abs=1e-3) for o in odds[1:]) and (gate // 8 == mixing.ORDERS).all()
+    once = [np.zeros((1 << b, 2), dtype=np.int32) for b in mixing.TABLE_BITS]
+    for table, slot in zip(once, bits.slots, strict=True):
+        np.add.at(table, (slot.ravel(), bits.bit.ravel()), 1)
+    odds, gate = mixing.Mixer(once).inputs(bits, True)
+    assert (gate // 8 < mixing.ORDERS).any() and np.isfinite(odds).all()
