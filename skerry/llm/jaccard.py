@@ -33,6 +33,8 @@ HEAVY = 3
 """A slot is frequent in a task that counts it so many times the mean."""
 SALTS = 32
 RANGES = 64
+HOT = 256
+"""A list of more sets is dealt over SALTS parts where all its pairs are made."""
 SEEN = 1_000_000
 BROADCAST_ROWS = 500_000
 """Up to so many ids (16 bytes each) are broadcast to pick texts before they are shuffled; beyond it they are joined."""
@@ -243,14 +245,35 @@ class Join:
         hits = x.join(y, "tok").filter(across).select("tok", "a", "b", "na", "nb", "pa", "pb")
         return first.union(self.verify(self.screen(hits)))
 
-    def members(self) -> DataFrame:
-        """A row per row of the texts: oid, th, n and component (the smallest oid of it; its own for an empty set)."""
-        labels = components(self.links())
+    def all_links(self) -> DataFrame:
+        """Every link between two classes, a < b by s1; rows grow with the square of a group of near copies."""
+        rows = common.materialize(self.lists().select("tok", "owner", "np").distinct())
+        hot = rows.groupBy("tok").count().filter(F.col("count") > HOT).select("tok", F.lit(SALTS).alias("parts"))
+        rows = rows.join(hot, "tok", "left").select("tok", "owner", F.shiftright("np", 32).alias("n"), (F.col("np") % (1 << 32)).cast("int").alias("pos"), F.coalesce("parts", F.lit(1)).alias("parts"))
+        x = rows.select("tok", F.pmod("owner", "parts").cast("int").alias("salt"), F.col("owner").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
+        y = rows.select("tok", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.col("owner").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
+        may = F.expr(f"a < b and {self._near('na', 'nb')} and 1 + least(pa, pb) + least(na - pa - 1, nb - pb - 1) >= {self._need('na', 'nb')}")
+        return self.verify(self.screen(x.join(y, ["tok", "salt"]).filter(may).select("tok", "a", "b", "na", "nb", "pa", "pb")))
+
+    def degrees(self, links: DataFrame) -> DataFrame:
+        """s1, s2 and n_links of every class: the other rows that a row of it is linked with, equal ones among them."""
+        sizes = common.materialize(self.survey.filter("n > 0").groupBy("s1", "s2").agg(F.count("*").alias("rows")))
+        ends = links.select("a", "b").union(links.select("b", "a"))
+        near = ends.join(sizes.select(F.col("s1").alias("b"), "rows"), "b").groupBy(F.col("a").alias("s1")).agg(F.sum("rows").alias("near"))
+        return sizes.join(near, "s1", "left").select("s1", "s2", (F.col("rows") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+
+    def members(self, counted: bool = False) -> DataFrame:
+        """A row per row of the texts: oid, th, n and component (the smallest oid of it; its own for an empty set); counted adds n_links."""
+        links = self.all_links() if counted else self.links()
+        labels = components(links)
         of = self.classes.join(labels.withColumnRenamed("node", "s1"), "s1", "left").select("s1", "s2", F.col("rep.oid").alias("oid"), F.coalesce("comp", "s1").alias("comp"))
         least = of.groupBy("comp").agg(F.min("oid").alias("component"))
-        of = common.materialize(of.join(least, "comp").select("s1", "s2", "component"))
-        rows = self.survey.filter("n > 0").select("oid", "th", "n", "s1", "s2").join(of, ["s1", "s2"]).select("oid", "th", "n", "component")
-        return rows.unionByName(self.survey.filter("n = 0").select("oid", "th", "n", F.col("oid").alias("component")))
+        of = of.join(least, "comp").select("s1", "s2", "component")
+        of = common.materialize(of.join(self.degrees(links), ["s1", "s2"]) if counted else of)
+        more = ["n_links"] if counted else []
+        rows = self.survey.filter("n > 0").select("oid", "th", "n", "s1", "s2").join(of, ["s1", "s2"]).select("oid", "th", "n", "component", *more)
+        empty = self.survey.filter("n = 0").select("oid", "th", "n", F.col("oid").alias("component"), *(F.lit(0).cast("long").alias(c) for c in more))
+        return rows.unionByName(empty)
 
 
 def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -272,6 +295,12 @@ def op3(spark, sf_dir: str) -> DataFrame:
     return members.select(F.nullif(F.col("oid"), F.lit(2**63 - 1)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.col("component"), F.lit(2**63 - 1)).alias("component_id"))
 
 
+def op3_links(spark, sf_dir: str) -> DataFrame:
+    """Every document's class and its number of links, from all verified links; op3's SQL has no such column."""
+    members = Join(common.table(spark, sf_dir, "documents").select("doc_id", "text")).members(counted=True)
+    return members.select(F.nullif(F.col("oid"), F.lit(2**63 - 1)).alias("doc_id"), F.nullif(F.col("component"), F.lit(2**63 - 1)).alias("component_id"), "n_links")
+
+
 ORACLE = f"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
      s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + {SHINGLE - 1}], ' ') AS t FROM (SELECT *, unnest(range(1, greatest(len(w) - {SHINGLE - 2}, 2))) AS i FROM d WHERE len(w) > 0)),

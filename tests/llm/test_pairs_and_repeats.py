@@ -146,3 +146,21 @@ def test_mixture_selects_whole_budgets(spark):
 
 def test_queries_are_registered():
     assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
+
+
+def test_link_counts_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT", 3)
+    rng = np.random.default_rng(1)
+    texts = []
+    for k in range(40):
+        own = words(k % 2, 120)
+        for at in rng.integers(0, len(own), k // 12):
+            own[at] = f"edit{k}_{at}"
+        texts.append((k, " ".join(own)))
+    texts += [(50, "one two"), (51, "ONE two"), (52, ""), (53, None), (54, "solo")]
+    found = {r["oid"]: (r["component"], r["n_links"]) for r in jaccard.Join(frame(spark, texts)).members(counted=True).collect()}
+    sets, comps = {i: shingles(t, 4) for i, t in texts}, brute_components(texts, 4, 85)
+    linked = lambda s, t: bool(s and t) and 100 * len(s & t) >= 85 * len(s | t)
+    assert found == {i: (comps[i], sum(linked(s, t) for j, t in sets.items() if j != i)) for i, s in sets.items()}
+    inside = [n for c, n in found.values() if n]
+    assert len(inside) > 20 and min(inside) < max(inside)
