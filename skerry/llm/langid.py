@@ -1,19 +1,24 @@
 """Language identification by cross-parsing entropy.
 
 A suffix automaton is built for every language over a bounded sample of labelled text. A document is parsed into
-phrases: the longest match in the sample, again and again; a character that the sample lacks is a phrase of its own.
-Phrases times log2 of the sample's length, per character, estimate the cross entropy; the smallest wins.
-
-Bounds of the sample (parameters): SAMPLE_CHARS characters over all languages, shared equally, DOCS_A_LANGUAGE
-documents of each. Documents are parsed whole, in lanes of LANE characters; a lane starts a new phrase. Letters are
-lower-cased, all else counts as one kind of gap. Ties go to the language that sorts first. Null texts and texts
-without a letter are `und`, score 0. With no labelled text everything is `und`. Score: 1 - best / second best, 1
-where only one language is known.
+phrases: the longest match in the sample, again and again; a byte that the sample lacks is a phrase of its own.
+Phrases times log2 of the sample's length estimate the cross entropy; the smallest wins. Texts are lower-cased, every
+character that is no letter counts as one kind of gap, and what is parsed are the bytes of UTF-8, so all scripts are
+covered whole and no alphabet is chosen.
+
+Bounds of the sample (parameters): `size` bytes over all languages, shared equally, of the `docs` documents of each
+language with the smallest hashed ids; short documents leave their share to the language's others. More than
+MAX_LANGUAGES labels raise ValueError, none is left out silently. Documents are parsed whole, in lanes of LANE bytes; a
+lane starts a new phrase.
+
+Ties go to the language that sorts first. Null texts and texts without a letter are `und`, score 0. With no labelled text
+everything is `und`. Score: 1 - best / second best, 1 where only one language is known. Equal texts get equal results,
+whatever their ids (null ids too, which count as one id when the sample is drawn). Rows equal in id, language and text
+are drawn once. Other columns of a table stay; where one has an output's name, the output's name ends in underscores.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,34 +28,43 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SAMPLE_CHARS = 200_000
+SAMPLE_BYTES = 200_000
 DOCS_A_LANGUAGE = 48
+MAX_LANGUAGES = 1000
 LANE = 2048
-ALPHABET = 120
-GROUP_CHARS = 12_000_000
-UNKNOWN, GAP = 0, 1
+GROUP_BYTES = 3_000_000
+GAP = 32
 
 
-def sample(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", docs: int = DOCS_A_LANGUAGE, chars: int = SAMPLE_CHARS) -> dict[str, str]:
-    """Language to sample: the documents with the smallest hashed ids, dealt to 64 parts first so that no language meets in one task."""
+def sample(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", docs: int = DOCS_A_LANGUAGE, size: int = SAMPLE_BYTES) -> dict[str, str]:
+    """Language to sample. Documents are chosen without their texts, from 64 parts first so that no language meets in one
+    task; only the texts chosen are read."""
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.trim(text) != ""))
-    rows = rows.select(F.col(lang).alias("lang"), F.substring(text, 1, 4000).alias("t"), F.xxhash64(F.col(key)).alias("h")).withColumn("part", F.pmod("h", F.lit(64)))
-    order = [F.col("h"), F.col("t")]
+    rows = rows.select(F.col(lang).alias("lang"), F.col(text).alias("t"), F.xxhash64(F.col(key)).alias("h"), F.xxhash64(F.col(text)).alias("th"))
+    slim = rows.select("lang", "h", "th").withColumn("part", F.pmod("h", F.lit(64)))
     for by in (["lang", "part"], ["lang"]):
-        rows = rows.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("r") <= docs).drop("r")
-    found = rows.orderBy("lang", *order).limit(100 * docs).collect()
-    texts: dict[str, list[str]] = {}
-    for r in found:
-        texts.setdefault(r["lang"], []).append(r["t"])
-    share = chars // max(1, len(texts))
+        slim = slim.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("h", "th"))).filter(F.col("r") <= docs).drop("r")
+    chosen = common.materialize(slim.select("lang", "h", "th").distinct())
+    names = chosen.select("lang").distinct().limit(MAX_LANGUAGES + 1).count()
+    if names > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    share = size // max(1, names)
+    found = rows.join(F.broadcast(chosen), ["lang", "h", "th"]).select("lang", "h", "th", F.substring("t", 1, share).alias("t")).distinct()
+    texts: dict[str, list[tuple]] = {}
+    for r in found.collect():
+        texts.setdefault(r["lang"], []).append((len(r["t"]), r["h"], r["th"], r["t"]))
     out = {}
     for name, parts in texts.items():
-        each = max(1, share // len(parts))
-        out[name] = " ".join(p[:each] for p in parts)[:share]
+        left, drawn = share, []
+        for k, (n, *_, t) in enumerate(sorted(parts)):  # the shortest first: what they leave goes to the others
+            own = t[: min(n, max(1, left // (len(parts) - k)))]
+            left -= len(own)
+            drawn.append(own)
+        out[name] = " ".join(drawn)
     return out
 
 
-def suffix_automaton(codes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def suffix_automaton(codes: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Transitions (from, code, to) of the automaton of all substrings; state 0 is the start."""
     edges: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
@@ -82,46 +96,50 @@ def suffix_automaton(codes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return a[:, 0].copy(), a[:, 1].astype(np.uint8), a[:, 2].copy()
 
 
-def normalise(text: str) -> str:
-    return text.lower()
+class Speller:
+    """Texts as the bytes that are parsed: lower-case letters in UTF-8, a gap for every other character."""
 
+    def __init__(self) -> None:
+        self.plain = bytes(c if chr(c).isalpha() and c < 128 else GAP for c in range(256))
+        self.letter = np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000)
 
-def fit(samples: dict[str, str], alphabet: int = ALPHABET) -> dict:
-    """The model: alphabet and transitions by language. Its size follows the bound of the samples."""
-    names = sorted(samples)
-    counts = Counter(c for n in names for c in normalise(samples[n]) if c.isalpha() and ord(c) < 65536)
-    letters = sorted(c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:alphabet])
-    of = {c: i + 2 for i, c in enumerate(letters)}
-    parts, sizes = [], []
-    for n in names:
-        codes = [of.get(c, UNKNOWN) if c.isalpha() else GAP for c in normalise(samples[n])]
-        parts.append(suffix_automaton(codes))
-        sizes.append(max(2, len(codes)))
-    return {"names": names, "letters": letters, "parts": parts, "sizes": sizes}
+    def __call__(self, text: str) -> bytes:
+        text = text.lower()
+        if text.isascii():
+            return text.encode().translate(self.plain)
+        points = np.frombuffer(text.encode("utf-32-le", "replace"), dtype="<u4")
+        return np.where(self.letter[points], points, GAP).astype("<u4").tobytes().decode("utf-32-le").encode()
+
+
+def fit(samples: dict[str, str]) -> dict:
+    """The model: transitions by language. Its size follows the bound of the samples."""
+    names, speller = sorted(samples), Speller()
+    spelled = [speller(samples[n]) for n in names]
+    return {"names": names, "parts": [suffix_automaton(s) for s in spelled], "sizes": [max(2, len(s)) for s in spelled]}
 
 
 class Parser:
+    """The automata as one array: a state is the place of its row, a row holds the next state by code, 0 where there is
+    none. Codes number the bytes of a language's sample; code 0 is every other byte."""
+
     def __init__(self, model: dict) -> None:
-        self.names = model["names"]
-        width = len(model["letters"]) + 2
-        codes = np.fromiter((UNKNOWN if chr(i).isalpha() else GAP for i in range(65536)), dtype=np.uint8, count=65536)
-        for i, c in enumerate(model["letters"]):
-            codes[ord(c)] = i + 2
-        self.codes = codes
-        tables, roots, at = [np.zeros(width, dtype=np.int32)], [], 1
-        for s, c, t in model["parts"]:
-            states = int(t.max(initial=0)) + 1
+        self.names, self.spell = model["names"], Speller()
+        self.codes = np.zeros((len(self.names), 256), dtype=np.int32)
+        tables, roots, at = [np.zeros(1, dtype=np.int32)], [], 1
+        for k, (s, c, t) in enumerate(model["parts"]):
+            used = np.unique(c)
+            self.codes[k, used] = np.arange(1, len(used) + 1)
+            width, states = len(used) + 1, int(t.max(initial=0)) + 1
             own = np.zeros((states, width), dtype=np.int32)
-            known = c != UNKNOWN
-            own[s[known], c[known]] = (t[known] + at) * width
+            own[s, self.codes[k, c]] = t * width + at
             tables.append(own.ravel())
-            roots.append(at * width)
-            at += states
+            roots.append(at)
+            at += states * width
         self.next = np.concatenate(tables)
         self.root = np.array(roots, dtype=np.int32)[:, None]
-        self.start = np.stack([self.next[r : r + width] for r in roots]) if roots else np.zeros((0, width), dtype=np.int32)
-        self.unseen = (self.start == 0).astype(np.int32)
-        self.start = np.where(self.start == 0, self.root, self.start).astype(np.int32) if roots else self.start
+        first = self.next[self.root + self.codes] if roots else np.zeros((0, 256), dtype=np.int32)
+        self.unseen = (first == 0).astype(np.int32)
+        self.start = np.where(first == 0, self.root, first) if roots else first
         self.cost = np.log2(np.array(model["sizes"], dtype=np.float64))
 
     def phrases(self, lanes: list[np.ndarray]) -> np.ndarray:
@@ -140,11 +158,11 @@ class Parser:
             k = active[t]
             c = grid[t, :k]
             s = state[:, :k]
-            to = self.next.take(s + c)
+            to = self.next.take(s + self.codes.take(c, axis=1))
             miss = to == 0
             count[:, :k] += miss & (s != self.root)
-            count[:, :k] += self.unseen[:, c]
-            state[:, :k] = np.where(miss, self.start[:, c], to)
+            count[:, :k] += self.unseen.take(c, axis=1)
+            state[:, :k] = np.where(miss, self.start.take(c, axis=1), to)
         count += state != self.root
         out = np.empty_like(count)
         out[:, order] = count
@@ -152,19 +170,13 @@ class Parser:
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         """Language and score of each text."""
-        coded = []
-        for t in texts:
-            points = np.frombuffer(normalise(t).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-            coded.append(self.codes[np.where(points < 65536, points, 0x4E00)])
-        lanes, owner = [], []
-        for i, c in enumerate(coded):
-            for a in range(0, len(c), LANE):
-                lanes.append(c[a : a + LANE])
-                owner.append(i)
+        coded = [np.frombuffer(self.spell(t), dtype=np.uint8) for t in texts]
+        lanes = [c[a : a + LANE] for c in coded for a in range(0, len(c), LANE)]
+        owner = np.repeat(np.arange(len(coded)), [-(-len(c) // LANE) for c in coded])
         if not lanes or not self.names:
             return [("und", 0.0)] * len(texts)
         total = np.zeros((len(self.names), len(texts)))
-        np.add.at(total, (slice(None), np.array(owner)), self.phrases(lanes))
+        np.add.at(total, (slice(None), owner), self.phrases(lanes))
         cost = total * self.cost[:, None]
         best = np.argmin(cost, axis=0)
         low = np.sort(cost, axis=0)
@@ -180,28 +192,28 @@ class Parser:
 
 
 def identify(df: DataFrame, model: dict, text: str = "text", out: str = "lang_pred", score: str = "lang_score") -> DataFrame:
-    """df with the predicted language and its score."""
-    rest = [c for c in df.columns if c not in (text, out, score)]
-    own = df.select(*rest, text)
+    """df with the predicted language and its score as last columns."""
+    out, score = common.free_names(df, out, score)
+    (given,) = common.free_names(df, "_text")
+    own = df.withColumn(given, F.col(f"`{text}`"))
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = Parser(shared.value)
         for batch in batches:
-            given = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
             found: list[tuple[str, float]] = []
             held, size = [], 0
-            for t in given:
-                held.append(t)
-                size += len(t)
-                if size > GROUP_CHARS:
+            for t in batch.column(batch.num_columns - 1):
+                held.append(t.as_py() or "")
+                size += len(held[-1])
+                if size > GROUP_BYTES:
                     found += parser.predict(held)
                     held, size = [], 0
             found += parser.predict(held)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*batch.schema.names, out, score])
+            arrays = [*batch.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:-1], out, score])
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema)
-    return common.map_batches(own, run, f"{ddl}, `{out}` string, `{score}` double")
+    return common.map_batches(own, run, f"{common.ddl(df)}, `{out}` string, `{score}` double")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -6,8 +6,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from skerry.llm import langid, mixing, pieces, queries
+from skerry.llm import langid, pieces, queries
 
 DOCS = "doc_id long, text string, lang string, source string"
 
@@ -73,12 +74,49 @@ def test_phrases_against_search():
     parser = langid.Parser(langid.fit(samples))
     letters = set("".join(samples.values()))
     for text in ("the cat and the dog", "die katze", "xyz the", "qq", "hund cat", "z"):
-        codes = parser.codes[np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)]
-        got = parser.phrases([codes])[:, 0]
+        got = parser.phrases([np.frombuffer(parser.spell(text), dtype=np.uint8)])[:, 0]
         plain = "".join(c if c in letters else "?" for c in text)
         assert got.tolist() == [brute_phrases(samples[k], plain) for k in ("a", "b")], text
 
 
+def test_scripts_with_many_letters_are_told_apart(spark):
+    """Far more letters than one table column each could hold, letters beyond U+FFFF, and texts without any."""
+    han, hangul, gothic = ("".join(chr(a + i * 7 % n) + " " * (i % 3 == 0) for i in range(3000)) for a, n in ((0x4E00, 5000), (0xAC00, 9000), (0x10330, 26)))
+    parser = langid.Parser(langid.fit({"zh": han, "ko": hangul, "got": gothic, "en": "the of and to in that was"}))
+    texts = [han[100:180], hangul[40:90], gothic[3:60], "and in that", "😀 12", "😀", "日本" * 3]
+    assert [x for x, _ in parser.predict(texts)][:6] == ["zh", "ko", "got", "en", "und", "und"]
+
+
+def test_language_edge_cases(spark):
+    rows = [(None, "der hund und die katze", "de"), (None, "der hund und die katze", "de"), (1, "the cat and the dog", "en"), (1, "the cat and the dog", "en"), (2, "the cat", "en"), (3, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"lang_pred": F.lit("mine"), "_text": F.lit("also")})
+    drawn = langid.sample(docs)
+    assert drawn == {"de": "der hund und die katze", "en": drawn["en"]} and sorted(len(x) for x in drawn["en"].split(" ")) == [3, 3, 3, 3, 3, 3, 3]
+    found = langid.identify(docs, langid.fit(drawn)).collect()
+    assert found[0].asDict().keys() == {"doc_id", "text", "lang", "lang_pred", "_text", "lang_pred_", "lang_score"}
+    assert [r["lang_pred_"] for r in found] == ["de", "de", "en", "en", "en", "und"] and {r["lang_pred"] for r in found} == {"mine"}
+    tie = langid.Parser(langid.fit({"b": "same words", "a": "same words"}))
+    assert tie.predict(["same", "x1"]) == [("a", 0.0), ("a", 0.0)]
+    none = langid.identify(docs, langid.fit(langid.sample(docs.filter("false")))).collect()
+    assert {(r["lang_pred_"], r["lang_score"]) for r in none} == {("und", 0.0)}
+
+
+def test_a_language_with_one_long_text_fills_its_share(spark):
+    long = " ".join(f"wort{i}" for i in range(4000))
+    rows = [(1, long, "de"), *((k, "the cat and the dog " * 9, "en") for k in range(2, 30))]
+    drawn = langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), size=40_000)
+    assert drawn["de"] == long[:20_000]
+
+
+def test_more_languages_than_the_bound_raise(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 150)
+    rows = [(k, f"text of language {k}", f"l{k:03}") for k in range(150)]
+    schema = "doc_id long, text string, lang string"
+    assert len(langid.sample(spark.createDataFrame(rows, schema))) == 150
+    with pytest.raises(ValueError, match="150"):
+        langid.sample(spark.createDataFrame([*rows, (999, "one more", "zz")], schema))
+
+
 def test_language_query(spark, tmp_path):
     words = {"en": "the of and to in that was his with for", "de": "der die und das ist nicht mit ein auf dem"}
     rows = [(i, " ".join(np.random.default_rng(i).choice(words[k].split(), 60)), k, "s") for i, k in zip(range(80), itertools.cycle(words), strict=False)]
@@ -111,30 +149,3 @@ def test_scores(spark, tmp_path):
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(own), sum(counts[w] > 0 for w in own), n)
         assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] < 0
     assert len({r["score"] for r in found if r["doc_id"] == 502}) == 1
-
-
-def test_spelling_is_a_distribution():
-    """All one-byte continuations of a word, and its end, share no more than one."""
-    words = [b"than", b"thin", b"thanks", b"sing", b""]
-    bits = mixing.Bits(words)
-    tables = [np.bincount((s * 2 + bits.bit).ravel(), minlength=2 << b).reshape(-1, 2).astype(np.int32) for s, b in zip(bits.slots, mixing.TABLE_BITS, strict=True)]
-    mixer = mixing.Mixer(tables)
-    total = sum(math.exp(x) for x in mixer.spell([b"", *(bytes([c]) for c in range(256) if c != 32)]))
-    assert 0 < total <= 1 + 1e-9
-    likely = mixer.spell([b"than", b"qxzw"])
-    assert likely[0] > likely[1]
-
-
-def test_bit_odds_are_those_of_the_real_counts():
-    tables = [np.tile(np.array([100_000, 300_000], dtype=np.int32), (1 << b, 1)) for b in mixing.TABLE_BITS]
-    tables[0][:] = (70_000, 5_000_000)
-    bits = mixing.Bits([b"word"])
-    for without_self in (False, True):
-        odds, gate = mixing.Mixer(tables).inputs(bits, without_self)
-        assert odds[0] == pytest.approx(math.log(5_000_000 / 70_000), abs=1e-3)
-        assert all(o == pytest.approx(math.log(3), abs=1e-3) for o in odds[1:]) and (gate // 8 == mixing.ORDERS).all()
-    once = [np.zeros((1 << b, 2), dtype=np.int32) for b in mixing.TABLE_BITS]
-    for table, slot in zip(once, bits.slots, strict=True):
-        np.add.at(table, (slot.ravel(), bits.bit.ravel()), 1)
-    odds, gate = mixing.Mixer(once).inputs(bits, True)
-    assert (gate // 8 < mixing.ORDERS).any() and np.isfinite(odds).all()
