@@ -5,12 +5,14 @@ Python functions of this package travel to executors by value, so a cluster need
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +22,6 @@ cloudpickle.register_pickle_by_value(sys.modules["skerry.llm"])
 
 BROADCAST_ROWS = 500_000
 """Keys (16 bytes each) that may be broadcast."""
-MEMO_WORDS = 400_000
-"""Distinct words whose hashes a task remembers before it starts afresh."""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,11 +29,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may leave it unset (as in tests)."""
     own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if own is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return own or "file://" + tempfile.mkdtemp(prefix="skerry-checkpoint-")
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whichever store it is."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(conf).delete(folder, True)
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like those wanted that no column of df has (Spark compares names without case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
@@ -53,6 +73,25 @@ def raw_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(kind).to_pylist()]
 
 
+GROUP_BYTES = 1 << 22
+
+
+def text_groups(column: pa.Array, size: int = GROUP_BYTES) -> Iterator[list[bytes]]:
+    """The UTF-8 bytes of a text column in runs of size bytes or one text, so that what is made of a run stays small."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(column):
+        before = sizes[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(sizes, before + size, side="right")))
+        yield raw_bytes(column.slice(at, end - at))
+        at = end
+
+
+def names_of(schema: str) -> list[str]:
+    """The column names of a flat schema string."""
+    return [x.split()[0] for x in schema.split(", ")]
+
+
 def pick(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
     """The rows whose keys are among those wanted (a materialized table), found before anything is shuffled where the keys are few.
 
@@ -67,26 +106,6 @@ def row_bucket(column: str, buckets: int) -> F.Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % buckets
 
 
-class WordHasher:
-    """64-bit hashes of words, remembered for the words seen before."""
-
-    def __init__(self) -> None:
-        self.memo: dict[bytes, int] = {}
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        memo = self.memo
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        try:
-            found = [memo[w] for w in words]
-        except KeyError:
-            for w in words:
-                if w not in memo:
-                    memo[w] = xxhash.xxh64_intdigest(w)
-            found = [memo[w] for w in words]
-        return np.array(found, dtype=np.uint64)
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finalizer: spreads the bits of 64-bit values."""
     x = x ^ (x >> np.uint64(30))
@@ -96,6 +115,59 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+SLICE, LONG_WORD = 1 << 15, 256
+SPACES = b" \t\n\v\f\r"
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+_IS_SPACE = np.isin(np.arange(256), list(SPACES))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+_BASE = 0x9E3779B97F4A7C13  # 3 modulo 8
+_BYTE = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_POWER, _INVERSE = _powers(_BASE, SLICE), _powers(pow(_BASE, -1, 2**64), SLICE)
+
+
+def _hash_slice(text: bytes) -> np.ndarray:
+    data = np.frombuffer(text, dtype=np.uint8)
+    space = np.ones(len(data) + 2, dtype=bool)
+    np.take(_IS_SPACE, data, out=space[1:-1])
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE[data] * _POWER[: len(data)], out=sums[1:])
+    out = mix64((sums[ends] - sums[starts]) * _INVERSE[starts])
+    for i in np.flatnonzero(ends - starts > LONG_WORD):
+        out[i] = xxhash.xxh64_intdigest(text[starts[i] : ends[i]])
+    return out
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a text (split at ASCII white space), each the same wherever its word stands.
+
+    A word is a polynomial over its bytes, found from prefix sums of the text, so there is no loop over words; words of
+    more than LONG_WORD bytes, where such polynomials could be made to collide, are hashed one by one. Long texts are
+    taken in slices that end at white space, so memory beyond the result is bounded by SLICE and the longest word.
+    """
+    if len(text) <= SLICE:
+        return _hash_slice(text)
+    parts, at = [], 0
+    while at < len(text):
+        found = _SPACE.search(text, at + SLICE // 2)
+        end = found.end() if found else len(text)
+        if end - at <= SLICE:
+            parts.append(_hash_slice(text[at:end]))
+        else:  # a long word is in it
+            words = text[at:end].split()
+            parts.append(np.array([xxhash.xxh64_intdigest(w) if len(w) > LONG_WORD else int(_hash_slice(w)[0]) for w in words], dtype=np.uint64))
+        at = end
+    return np.concatenate(parts)
+
+
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     """The hash of every run of width consecutive word hashes, by binary composition."""
     n = len(words) - width + 1

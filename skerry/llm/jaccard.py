@@ -2,17 +2,20 @@
 
 Shingles are ordered rare first by one global order: the logarithm of how often a shingle's slot was counted where
 that is far above the mean, then the hash. Of a set with n shingles only the prefix of n - ceil(t n) + 1 is indexed.
-Filters: sizes; position (what the last common prefix shingle leaves); suffix (a lower bound of the difference from
+Filters: sizes; position (what the first common prefix shingle leaves); suffix (a lower bound of the difference from
 counts per hash range); pairs that pass are verified once on the whole sets.
 
-Links inside a component that is already connected need no check, so large groups of near copies cost no square: first
-every set is compared with the leader of each prefix shingle's list (the set that has it earliest, found over SALTS parts
-where the shingle is frequent); then all pairs across the
-components found so far that pass the filters. Sets that are equal are one class from the start.
+Large groups of near copies cost no square. Every set is first verified against one centre: of the sets that lead one of
+its prefix shingles' lists (a list is led by the set whose lists are longest in all) the one that leads most. What a set
+has more or less than its centre is its difference; for two sets x and y of one centre, the symmetric difference of x and
+y is that of their differences. So both are similar where their differences are small enough together, and then both are
+similar to the centre too; all others need a common member of their differences, and are found by the same prefix join
+over differences, rare members first. The join of the sets' own prefixes is left with pairs of different centres. No pair
+is made inside what is connected already. Sets that are equal are one class from the start.
 
 A text with fewer words than a shingle has its whole sequence as its one shingle; texts without words (and null texts)
-have an empty set, linked with nothing. Null ids count as larger than all others. Sets are of 64-bit hashes; a class
-is told apart by 128 bits and named by 64 of them.
+have an empty set, linked with nothing. Null ids count as larger than all others. Rows equal in id and text are judged
+alike. Sets are of 64-bit hashes; a class is told apart by 128 bits and named by 64 of them.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -31,31 +34,36 @@ SHINGLE, PERCENT = 4, 85
 SLOT_BITS = 20
 HEAVY = 3
 """A slot is frequent in a task that counts it so many times the mean."""
-SALTS = 32
-RANGES = 64
-HOT = 256
-"""A list of more sets is dealt over SALTS parts where all its pairs are made."""
+RANGE_MEMBERS = 16
+"""A set is counted in ranges of so many members or up to twice as many; unrelated sets of any size then differ by far."""
+PART = 256
+"""So many sets that meet one other make a part; each part gets a copy of that other one."""
 SEEN = 1_000_000
 BROADCAST_ROWS = 500_000
-"""Up to so many ids (16 bytes each) are broadcast to pick texts before they are shuffled; beyond it they are joined."""
+"""Up to so many ids (16 bytes each) are broadcast to pick rows before they are shuffled; beyond it they are joined."""
 
 
-def shingle_set(hasher: common.WordHasher, text: bytes, width: int) -> np.ndarray:
-    words = hasher(text.lower().split())
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    words = common.word_hashes(text.lower())
     if not len(words):
         return words
     return np.unique(common.window_hashes(words, min(width, len(words))))
 
 
+def range_counts(members: np.ndarray) -> np.ndarray:
+    """How many members fall in each of a power of two of hash ranges (at most 65,535 counted, which only weakens the filter)."""
+    bits = max(3, (len(members) // RANGE_MEMBERS).bit_length() - 1)
+    return np.minimum(np.bincount((members >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 65_535)
+
+
 def _slots(width: int):
     """Counts of the frequent slots of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, counts = common.WordHasher(), np.zeros(1 << SLOT_BITS, dtype=np.int64)
-        mask = np.uint64((1 << SLOT_BITS) - 1)
+        counts, mask = np.zeros(1 << SLOT_BITS, dtype=np.int64), np.uint64((1 << SLOT_BITS) - 1)
         for batch in batches:
-            sets = [shingle_set(hasher, t, width) for t in common.raw_bytes(batch.column(0))]
-            if sets:
+            for group in common.text_groups(batch.column(0)):
+                sets = [shingle_set(t, width) for t in group]
                 counts += np.bincount((np.concatenate(sets) & mask).astype(np.int64), minlength=1 << SLOT_BITS)
         heavy = np.flatnonzero(counts > HEAVY * counts.mean() + 4)
         yield pa.RecordBatch.from_arrays([pa.array(heavy, pa.int64()), pa.array(counts[heavy], pa.int64())], names=["slot", "n"])
@@ -65,99 +73,134 @@ def _slots(width: int):
 
 def slot_ranks(source: DataFrame, width: int) -> np.ndarray:
     """A rank for each of the 2^SLOT_BITS slots: 0, or for a frequent one the logarithm of its count."""
-    found = common.map_batches(source.select("text"), _slots(width), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counted = common.map_batches(source.select("text"), _slots(width), "slot long, n long")
+    found = counted.groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     ranks = np.zeros(1 << SLOT_BITS, dtype=np.uint8)
     if found.num_rows:
         ranks[found["slot"].to_numpy()] = 1 + np.log2(found["n"].to_numpy()).astype(np.uint8)
     return ranks
 
 
+SURVEY = "oid long, th long, n long, s1 long, s2 long, toks array<long>, sketch binary"
+
+
 def _survey(width: int, percent: int, shared):
+    """A row a text; the prefix and the counts per hash range only for the first of equal sets in a task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, ranks, seen = common.WordHasher(), shared.value, set()
-        mask, shift = np.uint64((1 << SLOT_BITS) - 1), np.uint64(64 - RANGES.bit_length() + 1)
+        ranks, seen = shared.value, set()
+        mask = np.uint64((1 << SLOT_BITS) - 1)
         for batch in batches:
-            n, s1, s2, toks, heavy, sketch = [], [], [], [], [], []
-            for text in common.raw_bytes(batch.column(2)):
-                own = shingle_set(hasher, text, width)
-                digest = xxhash.xxh3_128_digest(own.tobytes())
-                n.append(len(own))
-                s1.append(int.from_bytes(digest[:8], "little", signed=True))
-                s2.append(int.from_bytes(digest[8:], "little", signed=True))
-                if not len(own) or digest in seen:
-                    toks.append(own[:0].view(np.int64))
-                    heavy.append(own[:0].view(np.int64))
-                    sketch.append(b"")
-                    continue
-                if len(seen) < SEEN:
-                    seen.add(digest)
-                rank = ranks[(own & mask).astype(np.int64)]
-                prefix = len(own) - -(-percent * len(own) // 100) + 1
-                order = np.lexsort((own, rank))[:prefix]
-                toks.append(common.signed(own[order]))
-                heavy.append((rank[order] > 0).astype(np.int64))
-                sketch.append(np.bincount((own >> shift).astype(np.int64), minlength=RANGES).astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), common.int_lists(toks, pa.int64(), np.int64), common.int_lists(heavy, pa.int8(), np.int8), pa.array(sketch, pa.binary())],
-                names=["oid", "th", "n", "s1", "s2", "toks", "heavy", "sketch"],
-            )
+            at = 0
+            for group in common.text_groups(batch.column(2)):
+                n, s1, s2, toks, sketch = [], [], [], [], []
+                for text in group:
+                    own = shingle_set(text, width)
+                    digest = xxhash.xxh3_128_digest(own.tobytes())
+                    n.append(len(own))
+                    s1.append(int.from_bytes(digest[:8], "little", signed=True))
+                    s2.append(int.from_bytes(digest[8:], "little", signed=True))
+                    if not len(own) or digest in seen:
+                        toks.append(own[:0].view(np.int64))
+                        sketch.append(b"")
+                        continue
+                    if len(seen) < SEEN:
+                        seen.add(digest)
+                    rank = ranks[(own & mask).astype(np.int64)]
+                    prefix = len(own) - -(-percent * len(own) // 100) + 1
+                    toks.append(common.signed(own[np.argsort(rank, kind="stable")[:prefix]]))
+                    sketch.append(range_counts(own).astype("<u2").tobytes())
+                ids = [batch.column(k).slice(at, len(group)) for k in (0, 1)]
+                at += len(group)
+                numbers = [pa.array(x, pa.int64()) for x in (n, s1, s2)]
+                lists = common.int_lists(toks, pa.int64(), np.int64)
+                yield pa.RecordBatch.from_arrays([*ids, *numbers, lists, pa.array(sketch, pa.binary())], names=common.names_of(SURVEY))
 
     return run
 
 
 def _sets(width: int):
-    """Sets of texts; rows (.., text) keep their other columns."""
+    """Sets of texts, the last column; the other columns stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = common.WordHasher()
         for batch in batches:
-            last = batch.num_columns - 1
-            sets = [shingle_set(hasher, t, width).tobytes() for t in common.raw_bytes(batch.column(last))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(sets, pa.binary())], names=[*batch.schema.names[:last], "members"])
+            last, at = batch.num_columns - 1, 0
+            for group in common.text_groups(batch.column(last)):
+                sets = [shingle_set(t, width).tobytes() for t in group]
+                kept = [c.slice(at, len(group)) for c in batch.columns[:last]]
+                at += len(group)
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(sets, pa.binary())], names=[*batch.schema.names[:last], "members"])
 
     return run
 
 
 def _suffix(percent: int):
-    """Pairs whose sets may still be similar, from the counts per hash range."""
+    """Pairs (a, b, na, nb and the counts per range of both) whose sets may still be similar: what ranges differ in, sets do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype="<u4").reshape(-1, RANGES).astype(np.int64) for k in (2, 3))
-            total = a.sum(axis=1) + b.sum(axis=1)
-            need = -(-percent * total // (100 + percent))
-            keep = np.abs(a - b).sum(axis=1) <= total - 2 * need
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
+            total = np.asarray(batch.column(2)) + np.asarray(batch.column(3))
+            most = total - 2 * -(-percent * total // (100 + percent))
+            differ = np.empty(len(total), dtype=np.int64)
+            for i, (a, b) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
+                x, y = np.frombuffer(a.as_buffer(), dtype="<u2").astype(np.int64), np.frombuffer(b.as_buffer(), dtype="<u2").astype(np.int64)
+                ranges = min(len(x), len(y))
+                differ[i] = np.abs(x.reshape(ranges, -1).sum(axis=1) - y.reshape(ranges, -1).sum(axis=1)).sum()
+            keep = pa.array(differ <= most)
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in (0, 1)], names=["a", "b"])
 
     return run
 
 
-def _verify(percent: int):
+COMPARED = "other long, centre long, n_other long, n_centre long, both long, diff array<long>"
+
+
+def _compare(differences: bool):
+    """Sizes and overlap of pairs (other, centre, sets of both); with differences what other has more or less than centre:
+    what it has more comes first, then by hash."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            found, diff = [], []
             for a, b in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(a.as_buffer(), dtype=np.uint64), np.frombuffer(b.as_buffer(), dtype=np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+                both = np.intersect1d(x, y, assume_unique=True)
+                found.append((len(x), len(y), len(both)))
+                if differences:
+                    own = [np.setdiff1d(x, both, assume_unique=True), np.setdiff1d(y, both, assume_unique=True)]
+                    diff.append(common.signed(np.concatenate(own)))
+                else:
+                    diff.append(x[:0].view(np.int64))
+            sizes = np.array(found, dtype=np.int64).reshape(-1, 3)
+            arrays = [batch.column(0), batch.column(1), *(pa.array(sizes[:, k].copy()) for k in range(3)), common.int_lists(diff, pa.int64(), np.int64)]
+            yield pa.RecordBatch.from_arrays(arrays, names=common.names_of(COMPARED))
 
     return run
 
 
+def salted(left: DataFrame, right: DataFrame, on: str, by: str, counted: DataFrame | None = None) -> DataFrame:
+    """left joined with right, unique by `on`: rows of a key that many rows of left have are dealt by the column `by` to
+    parts of PART rows, and right is copied once a part. counted: a table to count the keys in, if left is dear to make."""
+    parts = (left if counted is None else counted).groupBy(on).agg(F.expr(f"cast(ceil(count(*) / {PART}) as int)").alias("_parts"))
+    parts = common.materialize(parts.filter("_parts > 1"))
+    copies = right.join(parts, on, "left").select("*", F.explode(F.expr("sequence(0, coalesce(_parts, 1) - 1)")).alias("_part"))
+    few = parts.count() <= BROADCAST_ROWS
+    dealt = left.join(F.broadcast(parts) if few else parts, on, "left")
+    dealt = dealt.withColumn("_part", F.expr(f"cast(coalesce(pmod(xxhash64({by}), _parts), 0) as int)"))
+    return dealt.drop("_parts").join(copies.drop("_parts"), [on, "_part"]).drop("_part")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, comp (the least node of its component) for the ends of links (a, b): least labels with pointer jumping."""
     edges = common.materialize(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).distinct())
-    labels = common.materialize(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("comp")))
+    labels = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("comp"))
+    labels = common.materialize(labels)
     while True:
-        near = edges.join(labels.select(F.col("node").alias("v"), "comp"), "v").groupBy("u").agg(F.min("comp").alias("m"))
+        near = salted(edges, labels.select(F.col("node").alias("v"), "comp"), "v", "u").groupBy("u").agg(F.min("comp").alias("m"))
         new = labels.join(near.withColumnRenamed("u", "node"), "node").select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
         new = common.materialize(new)
         jump = new.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
-        new = common.materialize(new.join(jump, "comp").select("node", "old", F.col("next").alias("comp")))
+        new = common.materialize(salted(new, jump, "comp", "node").select("node", "old", F.col("next").alias("comp")))
         labels = new.select("node", "comp")
         if not new.filter("comp <> old").limit(1).count():
             return labels
@@ -170,106 +213,144 @@ class Join:
         self.width, self.percent = width, percent
         self.source = docs.select(common.order_id(key).alias("oid"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
         shared = docs.sparkSession.sparkContext.broadcast(slot_ranks(self.source, width))
-        schema = "oid long, th long, n long, s1 long, s2 long, toks array<long>, heavy array<byte>, sketch binary"
-        self.survey = common.materialize(common.map_batches(self.source, _survey(width, percent, shared), schema))
+        self.survey = common.materialize(common.map_batches(self.source, _survey(width, percent, shared), SURVEY))
+        shared.unpersist()
         self.classes = common.materialize(self.survey.filter("n > 0").groupBy("s1", "s2").agg(F.min(F.struct("oid", "th")).alias("rep")))
 
     def _need(self, a: str, b: str) -> str:
         """The overlap that sets of sizes a and b need."""
         return f"(({self.percent} * ({a} + {b}) + {99 + self.percent}) div {100 + self.percent})"
 
+    def _apart(self, a: str, b: str) -> str:
+        """The most members that similar sets of sizes a and b may differ in."""
+        return f"({a} + {b} - 2 * {self._need(a, b)})"
+
     def _near(self, a: str, b: str) -> str:
         """The length filter."""
         return f"{self.percent} * greatest({a}, {b}) <= 100 * least({a}, {b})"
 
     def lists(self) -> DataFrame:
-        """The lists of prefix shingles in two sets or more: tok, owner, np (size and place packed) and the leader's lead, lead_np."""
-        zipped = self.survey.filter("size(toks) > 0").select(F.col("s1").alias("owner"), "n", F.posexplode(F.arrays_zip("toks", "heavy")).alias("pos", "e"))
-        rows = zipped.select(F.col("e.toks").alias("tok"), F.expr(f"cast(if(e.heavy > 0, pmod(owner, {SALTS}), 0) as int)").alias("salt"), (F.col("e.heavy") > 0).alias("frequent"), "owner", F.expr("shiftleft(n, 32) + pos").alias("np"))
-        by = Window.partitionBy("tok", "salt")
-        rows = rows.withColumn("least", F.min("owner").over(by)).withColumn("most", F.max("owner").over(by))
-        first = F.min(F.struct((F.col("np") % (1 << 32)).alias("p"), F.col("np"), F.col("owner"))).over(by)
-        rows = rows.withColumn("first", first)
-        # A set alone in its part of a frequent shingle's list may still share it with the other parts.
-        rows = rows.filter((F.col("least") != F.col("most")) | F.col("frequent"))
-        return rows.select("tok", "owner", "np", F.col("first.owner").alias("lead"), F.col("first.np").alias("lead_np")).distinct()
-
-    def screen(self, hits: DataFrame) -> DataFrame:
-        """Pairs a < b that pass the filters, from rows (a, b, na, nb, pa, pb) for each prefix shingle that they share."""
-        pairs = hits.filter(self._near("na", "nb")).groupBy("a", "b", "na", "nb").agg(F.count_distinct("tok").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
-        pairs = pairs.filter(f"c + least(na - pa - 1, nb - pb - 1) >= {self._need('na', 'nb')}").select("a", "b")
-        sketches = self.survey.filter("length(sketch) > 0").select(F.col("s1").alias("owner"), "sketch").dropDuplicates(["owner"])
-        pairs = pairs.join(sketches.select(F.col("owner").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("owner").alias("b"), F.col("sketch").alias("sb")), "b")
-        return common.materialize(common.map_batches(pairs.select("a", "b", "sa", "sb"), _suffix(self.percent), "a long, b long"))
-
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that are links. Sets are made again from the texts of their classes' representatives.
-
-        Of a pair the set that is in more pairs is the centre. The others' sets are sent to their centres, so a set moves once
-        a pair and few centres move besides.
+        """The lists of prefix shingles in two sets or more: tok, owner, n (the set's size), pos (its place in the prefix)."""
+        rows = self.survey.filter("size(toks) > 0").select(F.col("s1").alias("owner"), "n", F.posexplode("toks").alias("pos", "tok"))
+        alive = rows.groupBy("tok").agg(F.min("owner").alias("least"), F.max("owner").alias("most")).filter("least <> most").select("tok")
+        alive = common.materialize(alive)
+        return common.materialize(rows.join(alive, "tok").select("tok", "owner", "n", "pos").distinct())
+
+    def stars(self, lists: DataFrame) -> DataFrame:
+        """other, centre: the centre of each set that leads a third of its prefix. Others, which can hardly have much in common
+        with their centres, do without one."""
+        known = salted(lists, lists.groupBy("tok").agg(F.count("*").alias("m")), "tok", "owner")
+        weight = common.materialize(known.groupBy("owner").agg(F.sum("m").alias("weight")))
+        weighed = common.materialize(lists.join(weight, "owner"))
+        heads = weighed.groupBy("tok").agg(F.max(F.struct("weight", "owner", "n")).alias("head"))
+        led = salted(weighed.select("tok", "owner", "n"), heads, "tok", "owner").groupBy("owner", "n", "head").agg(F.count("*").alias("c"))
+        best = led.groupBy("owner", "n").agg(F.max(F.struct("c", "head")).alias("best"))
+        best = best.select(F.col("owner").alias("other"), "n", F.col("best.c").alias("c"), F.col("best.head.owner").alias("centre"))
+        prefix = f"n - ({self.percent} * n + 99) div 100 + 1"
+        return common.materialize(best.filter(f"other <> centre and 3 * c >= {prefix}").select("other", "centre"))
+
+    def _places(self, names: DataFrame) -> DataFrame:
+        """owner, oid, th: where the texts of classes (a column owner) stand."""
+        places = self.classes.select(F.col("s1").alias("owner"), F.col("rep.oid").alias("oid"), F.col("rep.th").alias("th"))
+        return common.materialize(names.join(places, "owner"))
+
+    def _members(self, places: DataFrame, *more: str) -> DataFrame:
+        """owner, the columns more, and the set (members) of the texts at places, made again from the text."""
+        few = places.count() <= BROADCAST_ROWS
+        texts = self.source.join(F.broadcast(places) if few else places, ["oid", "th"]).select("owner", *more, "text")
+        return common.map_batches(texts, _sets(self.width), f"{common.ddl(texts.drop('text'))}, members binary")
+
+    def compare(self, pairs: DataFrame, differences: bool = False) -> DataFrame:
+        """COMPARED for pairs (other, centre). The others' sets are made once each and sent to their centres, a centre's to
+        each part of its others."""
+        others = self._places(pairs.groupBy(F.col("other").alias("owner")).agg(F.collect_set("centre").alias("centres")))
+        centres = self._places(pairs.select(F.col("centre").alias("owner")).distinct())
+        sent = self._members(others, "centres").select(F.col("owner").alias("other"), F.explode("centres").alias("centre"), F.col("members").alias("mo"))
+        own = self._members(centres).select(F.col("owner").alias("centre"), F.col("members").alias("mc"))
+        rows = salted(sent, own, "centre", "other", pairs).select("other", "centre", "mo", "mc")
+        compared = common.map_batches(rows, _compare(differences), COMPARED)
+        return common.materialize(compared.dropDuplicates(["other", "centre"]))
+
+    def similar(self) -> str:
+        """Whether a row of COMPARED is a link."""
+        return f"100 * both >= {self.percent} * (n_other + n_centre - both)"
+
+    def screen(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that pass the suffix filter."""
+        sketches = self.survey.filter("length(sketch) > 0").select(F.col("s1").alias("owner"), "n", "sketch")
+        ends = common.materialize(pairs.select(F.col("a").alias("owner")).union(pairs.select("b")).distinct())
+        few = ends.count() <= BROADCAST_ROWS
+        sketches = common.materialize(sketches.join(F.broadcast(ends) if few else ends, "owner").dropDuplicates(["owner"]))
+        first = sketches.withColumnsRenamed({"owner": "a", "n": "na", "sketch": "sa"})
+        second = sketches.withColumnsRenamed({"owner": "b", "n": "nb", "sketch": "sb"})
+        rows = pairs.join(first, "a").join(second, "b").select("a", "b", "na", "nb", "sa", "sb")
+        return common.materialize(common.map_batches(rows, _suffix(self.percent), "a long, b long"))
+
+    def found(self, every: bool = False) -> tuple[DataFrame, DataFrame]:
+        """Links (a, b) between classes, named by s1, enough to connect every component; and differences (owner, cloud, n, d).
+
+        With every these are all links but those of two sets of one cloud (centre) whose differences are small enough
+        together, which `degrees` counts from the second table.
         """
-        ends = pairs.select(F.col("a").alias("s1")).union(pairs.select("b")).groupBy("s1").agg(F.count("*").alias("k"))
-        ends = common.materialize(ends.join(self.classes, "s1").select(F.col("s1").alias("owner"), "k", F.col("rep.oid").alias("oid"), F.col("rep.th").alias("th")))
-        degree = ends.select("owner", "k")
-        both = pairs.join(degree.withColumnsRenamed({"owner": "a", "k": "ka"}), "a").join(degree.withColumnsRenamed({"owner": "b", "k": "kb"}), "b")
-        swap = F.expr("kb > ka or (kb = ka and b < a)")
-        both = both.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("centre"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("other"))
-        places = ends.select("owner", "oid", "th")
-        others = common.materialize(both.groupBy("other").agg(F.collect_set("centre").alias("centres")).join(places.withColumnRenamed("owner", "other"), "other"))
-        centres = common.materialize(both.select(F.col("centre").alias("owner")).distinct().join(places, "owner"))
-        texts = lambda ids: self.source.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, ["oid", "th"])
-        sent = common.map_batches(texts(others).select("other", F.explode("centres").alias("centre"), "text"), _sets(self.width), "other long, centre long, members binary")
-        own = common.map_batches(texts(centres).select(F.col("owner").alias("centre"), "text"), _sets(self.width), "centre long, members binary")
-        rows = sent.withColumnRenamed("members", "ma").join(own.withColumnRenamed("members", "mb"), "centre")
-        rows = rows.select(F.col("other").alias("a"), F.col("centre").alias("b"), "ma", "mb")
-        return common.materialize(common.map_batches(rows, _verify(self.percent), "a long, b long"))
-
-    def links(self) -> DataFrame:
-        """Links enough to connect every component; a and b name classes by s1."""
-        packed = common.materialize(self.lists())
-        split = lambda c, n, p: [F.shiftright(c, 32).alias(n), (F.col(c) % (1 << 32)).cast("int").alias(p)]
-        lists = packed.select("tok", "owner", *split("np", "n", "pos"), "lead", *split("lead_np", "lead_n", "lead_pos"))
-        # Everyone meets the leader of the whole list, found over the leaders of its parts; a skewed list is split by the join.
-        heads = lists.filter("owner = lead").groupBy("tok").agg(F.min(F.struct("pos", "n", "owner")).alias("f"))
-        heads = common.materialize(heads.select("tok", F.col("f.owner").alias("lead"), F.col("f.n").alias("lead_n"), F.col("f.pos").alias("lead_pos")))
-        stars = lists.select("tok", "owner", "n", "pos").join(heads, "tok").filter("owner <> lead")
-        swap = "owner > lead"
-        hits = stars.select("tok", *(F.expr(f"if({swap}, {y}, {x})").alias(name) for name, x, y in (("a", "owner", "lead"), ("b", "lead", "owner"), ("na", "n", "lead_n"), ("nb", "lead_n", "n"), ("pa", "pos", "lead_pos"), ("pb", "lead_pos", "pos"))))
-        first = self.verify(self.screen(hits))
-        labels = common.materialize(components(first))
-        rows = packed.select("tok", "owner", "np").join(labels.withColumnRenamed("node", "owner"), "owner", "left")
-        rows = rows.select("tok", "owner", *split("np", "n", "pos"), F.coalesce("comp", "owner").alias("comp"))
-        x = rows.select("tok", F.col("owner").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
-        y = rows.select("tok", F.col("owner").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"))
-        across = F.expr(f"a < b and ca <> cb and {self._near('na', 'nb')} and 1 + least(pa, pb) + least(na - pa - 1, nb - pb - 1) >= {self._need('na', 'nb')}")
-        hits = x.join(y, "tok").filter(across).select("tok", "a", "b", "na", "nb", "pa", "pb")
-        return first.union(self.verify(self.screen(hits)))
-
-    def all_links(self) -> DataFrame:
-        """Every link between two classes, a < b by s1; rows grow with the square of a group of near copies."""
-        rows = common.materialize(self.lists().select("tok", "owner", "np").distinct())
-        hot = rows.groupBy("tok").count().filter(F.col("count") > HOT).select("tok", F.lit(SALTS).alias("parts"))
-        rows = rows.join(hot, "tok", "left").select("tok", "owner", F.shiftright("np", 32).alias("n"), (F.col("np") % (1 << 32)).cast("int").alias("pos"), F.coalesce("parts", F.lit(1)).alias("parts"))
-        x = rows.select("tok", F.pmod("owner", "parts").cast("int").alias("salt"), F.col("owner").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-        y = rows.select("tok", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.col("owner").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-        may = F.expr(f"a < b and {self._near('na', 'nb')} and 1 + least(pa, pb) + least(na - pa - 1, nb - pb - 1) >= {self._need('na', 'nb')}")
-        return self.verify(self.screen(x.join(y, ["tok", "salt"]).filter(may).select("tok", "a", "b", "na", "nb", "pa", "pb")))
-
-    def degrees(self, links: DataFrame) -> DataFrame:
+        lists = self.lists()
+        stars = self.compare(self.stars(lists), differences=True)
+        first = stars.filter(self.similar()).select(F.col("other").alias("a"), F.col("centre").alias("b"))
+        clouds = stars.filter("2 * (n_other + n_centre - 2 * both) <= n_other + n_centre")
+        clouds = clouds.select(F.col("other").alias("owner"), F.col("centre").alias("cloud"), F.col("n_other").alias("n"), (F.col("n_other") + F.col("n_centre") - 2 * F.col("both")).alias("d"), F.expr(f"if({self.similar()}, centre, other)").alias("comp"), "diff")
+        clouds = common.materialize(clouds)
+
+        # Pairs of one cloud: found by the prefixes of their differences, verified on these.
+        apart = self._apart("na", "nb")
+        prefix = f"d - greatest(1, d - (100 - {self.percent}) * n div {self.percent}) + 1"
+        rows = clouds.select("owner", "cloud", "n", "d", "comp", F.posexplode(F.expr(f"slice(diff, 1, cast({prefix} as int))")).alias("pos", "tok"))
+        rows = common.materialize(rows)
+        shared = rows.groupBy("cloud", "tok").agg(F.min("owner").alias("least"), F.max("owner").alias("most")).filter("least <> most")
+        rows = common.materialize(rows.join(shared.select("cloud", "tok"), ["cloud", "tok"]))
+        side = lambda k: [F.col(c).alias(f"{c[0] if c != "owner" else ""}{k}") for c in ("owner", "n", "d", "pos", "comp")]
+        may = f"{self._near('na', 'nb')} and da + db > {apart} and 2 * least(da - pa, db - pb) >= da + db - {apart}"
+        inside = rows.select("cloud", "tok", *side("a")).join(rows.select("cloud", "tok", *side("b")), ["cloud", "tok"])
+        inside = inside.filter(F.expr(f"a < b and {'true' if every else 'ca <> cb'} and {may}")).select("a", "b").distinct()
+        whole = clouds.select("owner", "n", "diff")
+        inside = inside.join(whole.withColumnsRenamed({"owner": "a", "n": "na", "diff": "xa"}), "a").join(whole.withColumnsRenamed({"owner": "b", "n": "nb", "diff": "xb"}), "b")
+        inside = inside.filter(F.expr(f"size(xa) + size(xb) - 2 * size(array_intersect(xa, xb)) <= {apart}")).select("a", "b")
+
+        # Pairs of different clouds: by their own prefixes.
+        rows = lists.join(clouds.select("owner", "cloud", "comp"), "owner", "left").withColumns({"cloud": F.coalesce("cloud", "owner"), "comp": F.coalesce("comp", "owner")})
+        rows = common.materialize(rows)
+        side = lambda k: [F.col(c).alias(f"{c[0] if c != "owner" else ""}{k}") for c in ("owner", "n", "pos", "comp")] + [F.col("cloud").alias(f"cloud_{k}")]
+        may = f"{self._near('na', 'nb')} and 1 + least(na - pa - 1, nb - pb - 1) >= {self._need('na', 'nb')}"
+        across = rows.select("tok", *side("a")).join(rows.select("tok", *side("b")), "tok")
+        across = across.filter(F.expr(f"a < b and cloud_a <> cloud_b and {'true' if every else 'ca <> cb'} and {may}")).select("a", "b").distinct()
+
+        pairs = self.screen(common.materialize(across)).select(F.col("a").alias("other"), F.col("b").alias("centre"))
+        second = self.compare(pairs).filter(self.similar()).select(F.col("other").alias("a"), F.col("centre").alias("b"))
+        links = first.union(inside).union(second).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return common.materialize(links), clouds.select("owner", "cloud", "n", "d")
+
+    def degrees(self, links: DataFrame, clouds: DataFrame) -> DataFrame:
         """s1, s2 and n_links of every class: the other rows that a row of it is linked with, equal ones among them."""
         sizes = common.materialize(self.survey.filter("n > 0").groupBy("s1", "s2").agg(F.count("*").alias("rows")))
         ends = links.select("a", "b").union(links.select("b", "a"))
         near = ends.join(sizes.select(F.col("s1").alias("b"), "rows"), "b").groupBy(F.col("a").alias("s1")).agg(F.sum("rows").alias("near"))
-        return sizes.join(near, "s1", "left").select("s1", "s2", (F.col("rows") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+        # Pairs of one cloud whose differences are small enough together: counted by size and difference, not made.
+        own = common.materialize(clouds.join(sizes.select(F.col("s1").alias("owner"), "rows"), "owner"))
+        cells = common.materialize(own.groupBy("cloud", "n", "d").agg(F.sum("rows").alias("rows")))
+        apart = self._apart("n", "nb")
+        pairs = cells.select("cloud", "n", "d").join(cells.withColumnsRenamed({"n": "nb", "d": "db", "rows": "rb"}), "cloud").filter(F.expr(f"d + db <= {apart}"))
+        sums = pairs.groupBy("cloud", "n", "d").agg(F.sum("rb").alias("sure"))
+        self_link = F.expr(f"if(2 * d <= {self._apart('n', 'n')}, rows, 0)")
+        sure = own.join(sums, ["cloud", "n", "d"]).select(F.col("owner").alias("s1"), (F.col("sure") - self_link).alias("sure"))
+        total = F.col("rows") - 1 + F.coalesce("near", F.lit(0)) + F.coalesce("sure", F.lit(0))
+        return sizes.join(near, "s1", "left").join(sure, "s1", "left").select("s1", "s2", total.alias("n_links"))
 
     def members(self, counted: bool = False) -> DataFrame:
         """A row per row of the texts: oid, th, n and component (the smallest oid of it; its own for an empty set); counted adds n_links."""
-        links = self.all_links() if counted else self.links()
+        links, clouds = self.found(every=counted)
         labels = components(links)
         of = self.classes.join(labels.withColumnRenamed("node", "s1"), "s1", "left").select("s1", "s2", F.col("rep.oid").alias("oid"), F.coalesce("comp", "s1").alias("comp"))
-        least = of.groupBy("comp").agg(F.min("oid").alias("component"))
-        of = of.join(least, "comp").select("s1", "s2", "component")
-        of = common.materialize(of.join(self.degrees(links), ["s1", "s2"]) if counted else of)
+        of = common.materialize(of)
+        of = salted(of, of.groupBy("comp").agg(F.min("oid").alias("component")), "comp", "s1").select("s1", "s2", "component")
+        of = common.materialize(of.join(self.degrees(links, clouds), ["s1", "s2"]) if counted else of)
         more = ["n_links"] if counted else []
         rows = self.survey.filter("n > 0").select("oid", "th", "n", "s1", "s2").join(of, ["s1", "s2"]).select("oid", "th", "n", "component", *more)
         empty = self.survey.filter("n = 0").select("oid", "th", "n", F.col("oid").alias("component"), *(F.lit(0).cast("long").alias(c) for c in more))
@@ -277,28 +358,24 @@ class Join:
 
 
 def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """docs, all columns, with one row of each component: that of the smallest id (of equal ids, the smallest text hash).
-
-    Rows without words are all kept; of rows equal in id and text one is.
-    """
+    """docs, all columns, with one row of each component: that of the smallest id (of equal ids, the smallest text hash; of
+    rows equal in id and text, that of the least hash of all columns). Rows without words are all kept, equal ones once."""
     join = Join(docs, text, key, width, percent)
     members = join.members()
     kept = members.filter("n > 0").groupBy("component").agg(F.min(F.struct("oid", "th")).alias("k")).select("k.oid", "k.th")
-    kept = common.materialize(kept.union(members.filter("n = 0").select("oid", "th")).distinct()).withColumnsRenamed({"oid": "_oid", "th": "_th"})
-    rows = docs.withColumn("_a", common.order_id(key)).withColumn("_b", F.xxhash64(F.col(text)))
-    rows = rows.join(kept, (F.col("_a") == F.col("_oid")) & (F.col("_b") == F.col("_th")), "left_semi")
-    return rows.dropDuplicates(["_a", "_b"]).select(*docs.columns)
+    kept = common.materialize(kept.union(members.filter("n = 0").select("oid", "th")).distinct())
+    oid, th, row = common.free_names(docs, "_oid", "_th", "_row")
+    kept = kept.withColumnsRenamed({"oid": oid, "th": th})
+    rows = docs.withColumns({oid: common.order_id(key), th: F.xxhash64(F.col(text))}).join(kept, [oid, th], "left_semi")
+    first = rows.groupBy(oid, th).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))).alias(row))
+    return first.select(f"{row}.*")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
-    members = Join(common.table(spark, sf_dir, "documents").select("doc_id", "text")).members()
-    return members.select(F.nullif(F.col("oid"), F.lit(2**63 - 1)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.col("component"), F.lit(2**63 - 1)).alias("component_id"))
-
-
-def op3_links(spark, sf_dir: str) -> DataFrame:
-    """Every document's class and its number of links, from all verified links; op3's SQL has no such column."""
+    """Every document with the size of its set, its component and its number of links."""
     members = Join(common.table(spark, sf_dir, "documents").select("doc_id", "text")).members(counted=True)
-    return members.select(F.nullif(F.col("oid"), F.lit(2**63 - 1)).alias("doc_id"), F.nullif(F.col("component"), F.lit(2**63 - 1)).alias("component_id"), "n_links")
+    ids = {"doc_id": "oid", "component_id": "component"}
+    return members.select(F.col("n").alias("n_shingles"), "n_links", *(F.nullif(F.col(c), F.lit(2**63 - 1)).alias(name) for name, c in ids.items()))
 
 
 ORACLE = f"""
@@ -308,6 +385,7 @@ WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,
      p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s AS x JOIN s AS y ON x.t = y.t AND x.doc_id <> y.doc_id GROUP BY ALL),
      e AS (SELECT a, b FROM p JOIN n AS na ON na.doc_id = a JOIN n AS nb ON nb.doc_id = b WHERE 100 * c >= {PERCENT} * (na.n + nb.n - c)),
      r AS (SELECT a AS node, a AS seen FROM (SELECT DISTINCT a FROM e) UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen)
-SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, CAST(least(d.doc_id, coalesce(m.least_id, d.doc_id)) AS BIGINT) AS component_id
-FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT node AS doc_id, min(seen) AS least_id FROM r GROUP BY node) AS m USING (doc_id)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, CAST(least(d.doc_id, coalesce(m.least_id, d.doc_id)) AS BIGINT) AS component_id,
+       CAST(coalesce(k.n_links, 0) AS BIGINT) AS n_links
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, count(*) AS n_links FROM e GROUP BY a) AS k USING (doc_id) LEFT JOIN (SELECT node AS doc_id, min(seen) AS least_id FROM r GROUP BY node) AS m USING (doc_id)
 """

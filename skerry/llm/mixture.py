@@ -88,11 +88,13 @@ def choose(docs: DataFrame, text: str = "text", key: str = "doc_id", domain: str
 
 def select(docs: DataFrame, text: str = "text", key: str = "doc_id", **settings) -> DataFrame:
     """The chosen rows of docs, all columns, once an epoch; a text that is cut ends after its last token."""
-    chosen = choose(docs, text, key, **settings).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "n_tokens", "epoch", "take_tokens").withColumnsRenamed({"n_tokens": "_n", "epoch": "_epoch", "take_tokens": "_take"})
-    joined = docs.withColumn("_own", F.xxhash64(F.col(text))).join(chosen, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_h")))
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.col("_take").cast("int")), "")
-    joined = joined.withColumn(text, F.when(F.col("_take") < F.col("_n"), cut).otherwise(F.col(text)))
-    return joined.select(*docs.columns)
+    uid, h, n, take, own = common.free_names(docs, "_id", "_h", "_n", "_take", "_own")
+    names = {"doc_id": uid, "h": h, "n_tokens": n, "take_tokens": take}
+    chosen = choose(docs, text, key, **settings).select(*(F.col(c).alias(name) for c, name in names.items()))
+    joined = docs.withColumn(own, F.xxhash64(F.col(text))).join(chosen, F.col(key).eqNullSafe(F.col(uid)) & (F.col(own) == F.col(h)))
+    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.col(take).cast("int")), "")
+    joined = joined.withColumn(text, F.when(F.col(take) < F.col(n), cut).otherwise(F.col(text)))
+    return joined.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

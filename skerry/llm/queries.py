@@ -8,7 +8,6 @@ QUERIES = {
     "op1_ogg_media": ogg.op1,
     "op2_context_mixing": mixing.op2,
     "op3_ngram_jaccard": jaccard.op3,
-    "op3_link_counts": jaccard.op3_links,
     "op4_warc_transactions": warc.op4,
     "op5_license_scan": licenses.op5,
     "op6_substring_dedup": repeats.op6,

@@ -27,65 +27,77 @@ from pyspark.sql import functions as F
 from . import common
 
 LENGTH = 50
-POSITION_BITS = 24
 SEEN = 1_000_000
 WORD = rb"[^\x20\x09-\x0D]+"
 
 
-def anchors(hashes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and positions of the half-length windows that stand for the windows of a document, in order."""
+def _least(hashes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The hashes of the half-length windows, the least of each window's, and how many of them a window has."""
     half = length // 2
     own = common.window_hashes(hashes, half)
-    bits = np.uint64(POSITION_BITS)
-    keys = (own >> bits << bits) | np.arange(len(own), dtype=np.uint64)
-    at = np.unique(common.sliding_minima(keys, length - half + 1) & np.uint64((1 << POSITION_BITS) - 1)).astype(np.int64)
+    return own, common.sliding_minima(own, length - half + 1), length - half + 1
+
+
+def anchors(hashes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and positions of the half-length windows that are the least of some window of a document, in order."""
+    own, least, span = _least(hashes, length)
+    if not len(least):
+        return own[:0], np.empty(0, dtype=np.int64)
+    edge = np.zeros(span - 1, dtype=np.uint64)
+    greatest = ~common.sliding_minima(~np.concatenate([edge, least, edge]), span)  # of the minima of the windows around
+    at = np.flatnonzero(own == greatest)
     return own[at], at
 
 
 def starts_of(hashes: np.ndarray, length: int, kept: np.ndarray) -> np.ndarray:
-    """Starts of the windows whose half-length window (the least of theirs) is among the positions kept."""
-    half = length // 2
-    own = common.window_hashes(hashes, half)
-    bits = np.uint64(POSITION_BITS)
-    keys = (own >> bits << bits) | np.arange(len(own), dtype=np.uint64)
-    at = (common.sliding_minima(keys, length - half + 1) & np.uint64((1 << POSITION_BITS) - 1)).astype(np.int64)
-    return np.flatnonzero(np.isin(at, kept))
+    """Starts of the windows whose least half-length window is among the positions kept."""
+    own, least, span = _least(hashes, length)
+    among = np.full(len(own), np.iinfo(np.uint64).max, dtype=np.uint64)
+    among[kept] = own[kept]
+    return np.flatnonzero(common.sliding_minima(among, span) == least)
+
+
+SURVEY = "oid long, th long, n_words long, s1 long, s2 long, all_sha string, hs array<long>, ps array<int>"
 
 
 def _survey(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, seen = common.WordHasher(), set()
+        seen = set()
         for batch in batches:
-            n, s1, s2, sha, hs, ps = [], [], [], [], [], []
-            for text in common.raw_bytes(batch.column(2)):
-                words = text.split()
-                joined = b" ".join(words)
-                digest = xxhash.xxh3_128_digest(joined)
-                n.append(len(words))
-                s1.append(int.from_bytes(digest[:8], "little", signed=True))
-                s2.append(int.from_bytes(digest[8:], "little", signed=True))
-                sha.append(hashlib.sha256(joined).hexdigest())
-                if len(words) < length or digest in seen:
-                    h, p = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
-                else:
-                    if len(seen) < SEEN:
-                        seen.add(digest)
-                    h, p = anchors(hasher(words), length)
-                hs.append(common.signed(h))
-                ps.append(p)
-            arrays = [*batch.columns[:2], pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(sha), common.int_lists(hs, pa.int64(), np.int64), common.int_lists(ps, pa.int32(), np.int32)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["oid", "th", "n_words", "s1", "s2", "all_sha", "hs", "ps"])
+            at = 0
+            for group in common.text_groups(batch.column(2)):
+                n, s1, s2, sha, hs, ps = [], [], [], [], [], []
+                for text in group:
+                    words = text.split()
+                    joined = b" ".join(words)
+                    digest = xxhash.xxh3_128_digest(joined)
+                    n.append(len(words))
+                    s1.append(int.from_bytes(digest[:8], "little", signed=True))
+                    s2.append(int.from_bytes(digest[8:], "little", signed=True))
+                    sha.append(hashlib.sha256(joined).hexdigest())
+                    if len(words) < length or digest in seen:
+                        h, p = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+                    else:
+                        if len(seen) < SEEN:
+                            seen.add(digest)
+                        h, p = anchors(common.word_hashes(joined), length)
+                    hs.append(common.signed(h))
+                    ps.append(p)
+                ids = [batch.column(k).slice(at, len(group)) for k in (0, 1)]
+                at += len(group)
+                numbers = [pa.array(x, pa.int64()) for x in (n, s1, s2)]
+                lists = [common.int_lists(hs, pa.int64(), np.int64), common.int_lists(ps, pa.int32(), np.int32)]
+                yield pa.RecordBatch.from_arrays([*ids, *numbers, pa.array(sha, pa.string()), *lists], names=common.names_of(SURVEY))
 
     return run
 
 
 def _extend(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = common.WordHasher()
         for batch in batches:
             hs, ps = [], []
             for text, kept in zip(common.raw_bytes(batch.column(2)), common.list_parts(batch.column(3), np.int64), strict=True):
-                words = hasher(text.split())
+                words = common.word_hashes(text)
                 at = starts_of(words, length, kept)
                 hs.append(common.signed(common.window_hashes(words, length)[at]))
                 ps.append(at)
@@ -102,47 +114,54 @@ def covered(n: int, starts: np.ndarray, length: int) -> np.ndarray:
     return np.cumsum(edges[:n]) > 0
 
 
-def find(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Three tables: a row per row of docs (oid, th, n_words, all_sha, first: whether it represents its class); for the
-    representatives with candidates oid, th, text; and oid, th, starts of their windows to remove."""
-    source = docs.select(common.order_id(key).alias("oid"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
-    survey = common.materialize(common.map_batches(source, _survey(length), "oid long, th long, n_words long, s1 long, s2 long, all_sha string, hs array<long>, ps array<int>"))
-    classes = common.materialize(survey.groupBy("s1", "s2").agg(F.min(F.struct("oid", "th")).alias("rep")))
-    meta = survey.select("oid", "th", "n_words", "s1", "s2", "all_sha").join(classes, ["s1", "s2"])
-    meta = meta.select("oid", "th", "n_words", "all_sha", (F.col("oid") == F.col("rep.oid")).alias("first"))
+class Repeats:
+    """What repeats in docs. meta: a row per row of docs (oid, th, n_words, all_sha, first: whether it represents its
+    class); texts: oid, th, text of the representatives with candidates; marks: oid, th, starts of their windows to remove."""
 
-    # Half length: what stands in two different word sequences survives.
-    halves = survey.select("s1", "s2", F.arrays_zip("hs", "ps").alias("a")).select("s1", "s2", F.explode("a").alias("a")).select("s1", "s2", F.col("a.hs").alias("h"), F.col("a.ps").alias("p"))
-    alive = common.materialize(halves.groupBy("h").agg(F.min("s1").alias("least"), F.max("s1").alias("most")).filter("least <> most").select("h"))
-    kept = halves.join(alive, "h").groupBy("s1", "s2").agg(F.sort_array(F.collect_set("p")).alias("kept"))
-    kept = common.materialize(kept.join(classes, ["s1", "s2"]).select(F.col("rep.oid").alias("oid"), F.col("rep.th").alias("th"), "kept"))
+    def __init__(self, docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH) -> None:
+        source = docs.select(common.order_id(key).alias("oid"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
+        survey = common.materialize(common.map_batches(source, _survey(length), SURVEY))
+        classes = common.materialize(survey.groupBy("s1", "s2").agg(F.min(F.struct("oid", "th")).alias("rep")))
+        meta = survey.select("oid", "th", "n_words", "s1", "s2", "all_sha").join(classes, ["s1", "s2"])
+        self.meta = meta.select("oid", "th", "n_words", "all_sha", (F.col("oid") == F.col("rep.oid")).alias("first"))
 
-    # Full length: the windows around them.
-    texts = common.pick(source, kept, ["oid", "th"]).join(kept, ["oid", "th"]).dropDuplicates(["oid", "th"]).select("oid", "th", "text", "kept")
-    candidates = common.materialize(common.map_batches(texts, _extend(length), "oid long, th long, text string, hs array<long>, ps array<int>"))
-    windows = candidates.select("oid", "th", F.explode(F.arrays_zip("hs", "ps")).alias("a")).select("oid", "th", F.col("a.hs").alias("h"), F.col("a.ps").alias("p"))
-    firsts = common.materialize(windows.groupBy("h").agg(F.min("oid").alias("least"), F.max("oid").alias("most")).filter("least < most").select("h", "least"))
-    marks = windows.join(firsts, "h").filter("least < oid").groupBy("oid", "th").agg(F.collect_list("p").alias("starts"))
-    return meta, candidates.select("oid", "th", "text"), common.materialize(marks)
+        # Half length: what stands in two different word sequences survives.
+        halves = survey.select("s1", "s2", F.explode(F.arrays_zip("hs", "ps")).alias("a")).select("s1", "s2", F.col("a.hs").alias("h"), F.col("a.ps").alias("p"))
+        alive = halves.groupBy("h").agg(F.min("s1").alias("least"), F.max("s1").alias("most")).filter("least <> most").select("h")
+        alive = common.materialize(alive)
+        kept = halves.join(alive, "h").groupBy("s1", "s2").agg(F.sort_array(F.collect_set("p")).alias("kept"))
+        kept = common.materialize(kept.join(classes, ["s1", "s2"]).select(F.col("rep.oid").alias("oid"), F.col("rep.th").alias("th"), "kept"))
+
+        # Full length: the windows around them.
+        texts = common.pick(source, kept, ["oid", "th"]).join(kept, ["oid", "th"]).dropDuplicates(["oid", "th"]).select("oid", "th", "text", "kept")
+        candidates = common.materialize(common.map_batches(texts, _extend(length), "oid long, th long, text string, hs array<long>, ps array<int>"))
+        windows = candidates.select("oid", "th", F.explode(F.arrays_zip("hs", "ps")).alias("a")).select("oid", "th", F.col("a.hs").alias("h"), F.col("a.ps").alias("p"))
+        self.texts = candidates.select("oid", "th", "text")
+        self.shared = self._shared(windows)
+        self.marks = common.materialize(self.shared.filter("least < oid").groupBy("oid", "th").agg(F.collect_list("p").alias("starts")))
+
+    @staticmethod
+    def _shared(windows: DataFrame) -> DataFrame:
+        """The windows (oid, th, h, p) that start in two ids, with the least of these."""
+        firsts = windows.groupBy("h").agg(F.min("oid").alias("least"), F.max("oid").alias("most")).filter("least < most")
+        return windows.join(common.materialize(firsts.select("h", "least")), "h")
 
 
 def longest(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH) -> DataFrame:
     """oid, longest: for representatives with removals the greatest length * 2^k of a window that starts in a smaller id too.
 
-    Windows of one level that were repeated and stand end to end are extended to twice the length, level by level,
-    until no candidate survives.
+    Windows of one level that survive, in whichever documents, and stand end to end are extended to twice the length,
+    level by level, until no candidate survives.
     """
-    hashes = lambda at: _windows_at(at)
-    _, texts, marks = find(docs, text, key, length)
-    out, size, alive = None, length, marks
-    while alive.limit(1).count():
-        level = alive.select("oid", F.lit(size).alias("longest"))
+    found = Repeats(docs, text, key, length)
+    out, size, shared = None, length, common.materialize(found.shared)
+    while shared.limit(1).count():
+        level = shared.filter("least < oid").select("oid", F.lit(size).alias("longest")).distinct()
         out = level if out is None else out.unionByName(level)
         size *= 2
-        rows = common.map_batches(texts.join(alive, ["oid", "th"]), hashes(size), "oid long, th long, h long, p int")
-        rows = common.materialize(rows.unionByName(common.map_batches(texts, _all_windows(size), "oid long, th long, h long, p int").join(rows.select("h").distinct(), "h", "left_semi").select("oid", "th", "h", "p")).distinct())
-        firsts = rows.groupBy("h").agg(F.min("oid").alias("least"))
-        alive = common.materialize(rows.join(firsts, "h").filter("least < oid").groupBy("oid", "th").agg(F.collect_list("p").alias("starts")))
+        starts = shared.groupBy("oid", "th").agg(F.collect_list("p").alias("starts"))
+        rows = common.map_batches(found.texts.join(starts, ["oid", "th"]), _windows_at(size), "oid long, th long, h long, p int")
+        shared = common.materialize(Repeats._shared(common.materialize(rows)))
     none = docs.sparkSession.createDataFrame([], "oid long, longest int")
     return (none if out is None else out).groupBy("oid").agg(F.max("longest").alias("longest"))
 
@@ -159,11 +178,10 @@ def _windows_at(size: int):
     """Windows of size words whose two halves both were repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = common.WordHasher()
         for batch in batches:
             found = []
             for text, starts in zip(common.raw_bytes(batch.column(2)), common.list_parts(batch.column(3), np.int64), strict=True):
-                own = common.window_hashes(hasher(text.split()), size)
+                own = common.window_hashes(common.word_hashes(text), size)
                 at = np.unique(starts[np.isin(starts + size // 2, starts)])
                 at = at[at < len(own)]
                 found.append((own[at], at))
@@ -172,29 +190,17 @@ def _windows_at(size: int):
     return run
 
 
-def _all_windows(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = common.WordHasher()
-        for batch in batches:
-            found = []
-            for text in common.raw_bytes(batch.column(2)):
-                own = common.window_hashes(hasher(text.split()), size)
-                found.append((own, np.arange(len(own))))
-            yield _rows(batch, found)
-
-    return run
-
-
 def remove(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH) -> DataFrame:
     """docs, all columns, without the repeated words. Texts that lose nothing stay as they are; others keep the white space
     before each word that stays."""
-    meta, _, marks = find(docs, text, key, length)
-    decided = meta.groupBy("oid", "th").agg(F.first("n_words").alias("_n"), F.first("first").alias("_first")).join(marks, ["oid", "th"], "left")
-    decided = decided.withColumnsRenamed({"oid": "_oid", "th": "_th", "starts": "_starts"}).filter(f"_starts is not null or (not _first and _n >= {length})")
-    rows = docs.withColumn("_a", common.order_id(key)).withColumn("_b", F.xxhash64(F.col(text)))
-    rows = rows.join(decided, (F.col("_a") == F.col("_oid")) & (F.col("_b") == F.col("_th")), "left")
+    found = Repeats(docs, text, key, length)
+    oid, th, mark, n, first, starts = common.free_names(docs, "_oid", "_th", "_mark", "_n", "_first", "_starts")
+    decided = found.meta.groupBy("oid", "th").agg(F.first("n_words").alias(n), F.first("first").alias(first)).join(found.marks, ["oid", "th"], "left")
+    decided = decided.withColumnsRenamed({"oid": oid, "th": th, "starts": starts}).filter(f"{starts} is not null or (not {first} and {n} >= {length})")
+    decided = decided.select(oid, th, F.when(~F.col(first), F.array(F.lit(-1))).otherwise(F.col(starts)).alias(mark))
+    rows = docs.withColumns({oid: common.order_id(key), th: F.xxhash64(F.col(text))}).join(decided, [oid, th], "left")
     rest = [c for c in docs.columns if c != text]
-    own = rows.select(*rest, text, F.when(F.col("_oid").isNotNull() & ~F.col("_first"), F.array(F.lit(-1))).otherwise(F.col("_starts")).alias("_starts"))
+    own = rows.select(*(F.col(f"`{c}`") for c in (*rest, text)), mark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word = re.compile(rb"[\x20\x09-\x0D]*" + WORD)
@@ -212,12 +218,12 @@ def remove(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int
                     out.append(b"".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(out, pa.binary()).cast(pa.string())], names=batch.schema.names[:-1])
 
-    return common.map_batches(own, run, common.ddl(own.drop("_starts"))).select(*docs.columns)
+    return common.map_batches(own, run, common.ddl(own.drop(mark))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    meta, texts, marks = find(docs)
+    found = Repeats(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,8 +235,8 @@ def op6(spark, sf_dir: str) -> DataFrame:
                 sha.append(hashlib.sha256(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])).hexdigest())
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64()), pa.array(sha)], names=["oid", "th", "gone", "kept"])
 
-    cut = common.map_batches(texts.join(marks, ["oid", "th"]), run, "oid long, th long, gone long, kept string")
-    rows = meta.join(cut, ["oid", "th"], "left")
+    cut = common.map_batches(found.texts.join(found.marks, ["oid", "th"]), run, "oid long, th long, gone long, kept string")
+    rows = found.meta.join(cut, ["oid", "th"], "left")
     whole = (F.col("n_words") >= LENGTH) & ~F.col("first")
     return rows.select(
         F.nullif(F.col("oid"), F.lit(2**63 - 1)).alias("doc_id"), "n_words", F.when(whole, F.col("n_words")).otherwise(F.coalesce("gone", F.lit(0))).alias("n_removed"),

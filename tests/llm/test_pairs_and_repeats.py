@@ -89,8 +89,7 @@ def brute_repeats(texts, length):
 def test_repeats_against_brute_force(spark):
     passage, other = words(1, 130), words(2, 60)
     texts = [(5, " ".join(words(3, 200) + passage)), (2, " ".join(words(4, 90) + passage[10:] + words(5, 90))), (9, " ".join(passage[:49])), (7, " ".join(other + passage[20:80] + other)), (8, " ".join(other)), (11, "  ".join(other)), (12, ""), (13, "the " * 300), (14, "the " * 200)]
-    meta, _, _ = repeats.find(frame(spark, texts))
-    assert meta.count() == len(texts)
+    assert repeats.Repeats(frame(spark, texts)).meta.count() == len(texts)
     found = {r["doc_id"]: r["text"] for r in repeats.remove(frame(spark, texts)).collect()}
     want = brute_repeats(texts, 50)
     assert {i: t.split() for i, t in found.items()} == want
@@ -107,6 +106,31 @@ def test_repeats_edge_cases(spark):
     assert repeats.remove(frame(spark, [])).count() == 0
 
 
+def test_anchors_of_a_text_beyond_24_bits_of_positions():
+    """No repeated window is missed however far into a text it stands."""
+    n = (1 << 24) + 2000
+    hashes = np.random.default_rng(5).integers(0, 2**63, n, dtype=np.uint64)
+    passage = hashes[-600:-500]
+    h, p = repeats.anchors(hashes, 50)
+    assert p[-1] > 1 << 24 and set(repeats.anchors(passage, 50)[0].tolist()) <= set(h.tolist())
+    near = p[p >= n - 600]
+    assert set(range(n - 600, n - 500 - 49)) <= set(repeats.starts_of(hashes, 50, near).tolist())
+
+
+def test_columns_that_look_like_ours(spark):
+    """Columns of any name come back as they were."""
+    same = " ".join(words(8, 70))
+    rows = [(1, same, "en", "s"), (2, same, "en", "s"), (3, "short", "en", "s"), (3, "short", "en", "s"), (3, "short", "de", "s")]
+    extra = {c: F.col("doc_id") + 70 for c in ("_a", "_b", "_oid", "_th", "_n", "_first", "_starts", "_mark", "_row", "_id", "_h", "_own", "_epoch", "_take", "component")}
+    docs = spark.createDataFrame(rows, DOCS).withColumns(extra)
+    for made in (repeats.remove(docs), jaccard.keep_first(docs), mixture.select(docs, share_percent=100)):
+        assert made.columns == docs.columns
+        found = made.collect()
+        assert found and all(r[c] == r["doc_id"] + 70 for r in found for c in extra)
+    kept = [sorted((r["doc_id"], r["lang"]) for r in jaccard.keep_first(own).collect()) for own in (docs, docs.repartition(3, "lang"))]
+    assert [i for i, _ in kept[0]] == [1, 3] and kept[0] == kept[1]
+
+
 def test_license_scan(spark):
     mit = licenses.TEMPLATES[1][1]
     long = mit.split()
@@ -149,7 +173,7 @@ def test_queries_are_registered():
 
 
 def test_link_counts_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "HOT", 3)
+    monkeypatch.setattr(jaccard, "PART", 3)
     rng = np.random.default_rng(1)
     texts = []
     for k in range(40):
