@@ -150,16 +150,39 @@ def demultiplex(data: bytes) -> tuple[dict[int, dict], int, int]:
     return streams, good, bad
 
 
+def packet_times(stream: dict) -> list[tuple[int, int]]:
+    """Start and end, in samples, of each packet of a stream after its first, which identifies it.
+
+    A granule position is the end of the last packet that a page completes. The packets before it on the page end where
+    the next one starts, and a packet of 8-bit samples lasts as many samples as it has bytes. So times hold after a gap too.
+    """
+    sizes = [len(p) for p in stream["packets"][1:]]
+    ends, out = stream["ends"][1:], []
+    following = None
+    for size, end in zip(reversed(sizes), reversed(ends), strict=True):
+        end = following if end < 0 else end
+        out.append((size, end))
+        following = None if end is None else end - size
+    out.reverse()
+    at, times = 0, []
+    for size, end in out:  # without a granule behind it a packet follows the one before
+        times.append((at, at + size) if end is None else (end - size, end))
+        at = times[-1][1]
+    return times
+
+
 def decode(data: bytes) -> dict:
     """The payload and what was found about the container."""
     streams, good, bad = demultiplex(data)
     lanes: dict[int, bytes] = {}
-    rate, span = SAMPLE_RATE, 0
+    rate, span, starts = SAMPLE_RATE, 0, []
     for s in streams.values():
         if s["packets"] and s["packets"][0].startswith(IDENT):
             lane, rate, _ = struct.unpack_from("<BIH", s["packets"][0], len(IDENT))
             lanes[lane] = b"".join(s["packets"][1:])
-            span = max([span, *s["ends"]])
+            times = packet_times(s)
+            span = max([span, *(end for _, end in times)])
+            starts += [begin / rate for begin, _ in times]
     a, b = lanes.get(0, b""), lanes.get(1, b"")
     out = bytearray(len(a) + len(b))
     for k, lane in ((0, a), (1, b)):
@@ -169,6 +192,7 @@ def decode(data: bytes) -> dict:
     return {
         "payload": bytes(out), "streams": len(streams), "pages": good, "damaged": bad,
         "packets": sum(len(s["packets"]) for s in streams.values()), "gaps": sum(s["gaps"] for s in streams.values()), "seconds": span / rate,
+        "starts": starts,
     }
 
 
@@ -180,7 +204,7 @@ def _encode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _decode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = {"payload": pa.binary(), "streams": pa.int32(), "pages": pa.int64(), "packets": pa.int64(), "damaged": pa.int64(), "gaps": pa.int64(), "seconds": pa.float64()}
+    kinds = {"payload": pa.binary(), "streams": pa.int32(), "pages": pa.int64(), "packets": pa.int64(), "damaged": pa.int64(), "gaps": pa.int64(), "seconds": pa.float64(), "starts": pa.list_(pa.float64())}
     for batch in batches:
         found = [decode(m) for m in common.raw_bytes(batch.column(batch.num_columns - 1))]
         yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([x[k] for x in found], t) for k, t in kinds.items())], names=[*batch.schema.names, *kinds])
@@ -197,8 +221,9 @@ def write_media(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame
 
 
 def read_media(df: DataFrame) -> DataFrame:
-    """All columns of df (media the last of them), the payload, and what was found about the container."""
-    return common.map_batches(df, _decode_batches, f"{_ddl(df)}, payload binary, streams int, pages long, packets long, damaged long, gaps long, seconds double")
+    """All columns of df (media the last of them), the payload, and what was found about the container: among it starts, the
+    time in seconds at which each packet begins, one stream after the other."""
+    return common.map_batches(df, _decode_batches, f"{_ddl(df)}, payload binary, streams int, pages long, packets long, damaged long, gaps long, seconds double, starts array<double>")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
@@ -207,4 +232,5 @@ def op1(spark, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
         F.format_string("streams=%d pages=%d packets=%d damaged=%d gaps=%d seconds=%.3f", "streams", "pages", "packets", "damaged", "gaps", "seconds").alias("feature"),
+        F.size("starts").cast("long").alias("timed_packets"), F.array_max("starts").alias("last_packet_start"),
     )

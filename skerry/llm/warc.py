@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import re
 import uuid
 from collections.abc import Iterator
@@ -29,7 +30,10 @@ from . import common
 MIN_REVISIT = 100
 SALTS = 32
 """The rows of one payload are dealt to so many keys."""
-CAPTURES_A_FILE = 2000
+CAPTURES_A_FILE, FILE_BYTES = 2000, 1 << 28
+"""An archive holds so many captures, fewer where that many of the largest would make more bytes, and one at least."""
+HEAD_BYTES = 1 << 24
+"""The most that a line of a record's head may have."""
 DATE = "2024-01-01T00:00:00Z"
 CRLF, GAP = "\r\n", "\r\n\r\n"
 
@@ -57,7 +61,10 @@ def plan_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
-    """Gzipped archives in the folder path, at most CAPTURES_A_FILE captures a file."""
+    """Gzipped archives in the folder path, bounded by CAPTURES_A_FILE and FILE_BYTES."""
+    sizes = F.octet_length(F.coalesce("html", F.lit(""))) + 3 * F.octet_length(F.coalesce("url", F.lit("")))
+    largest = pages.agg(F.max(sizes)).first()[0] or 0
+    captures = max(1, min(CAPTURES_A_FILE, FILE_BYTES // (largest + 2000)))
     rows = plan_revisits(pages)
     page = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
     target = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", " ")
@@ -74,27 +81,24 @@ def write_archives(pages: DataFrame, path: str) -> None:
     )
     metadata = _record("metadata", urn("metadata", page, F.col("uid")), F.concat(F.lit("page-id: "), page, F.lit(CRLF)), WARC_concurrent_to=capture, content_type=F.lit("application/warc-fields"))
     value = F.concat(request, F.lit(GAP), F.when(revisit, again).otherwise(response), F.lit(GAP), metadata)
-    rows.select(value.alias("value")).write.option("lineSep", GAP).option("compression", "gzip").option("maxRecordsPerFile", CAPTURES_A_FILE).text(path)
+    rows.select(value.alias("value")).write.option("lineSep", GAP).option("compression", "gzip").option("maxRecordsPerFile", captures).text(path)
 
 
 def parse(data: bytes) -> Iterator[dict]:
-    """The records of an archive. What is no record is skipped up to the next one's first line."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while (at := data.find(b"WARC/1.", at)) >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
-        lines = data[at:end].split(b"\r\n")[1:]
-        head = {k.strip().lower().decode("latin-1"): v.strip().decode("utf-8", "replace") for k, _, v in (x.partition(b":") for x in lines)}
-        if not head.get("content-length", "").isdigit() or "warc-type" not in head:
-            at += 7
+    """The records of an archive, one in memory at a time. What is no record is skipped up to the next one's first line."""
+    stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data), 1 << 20)
+    line = stream.readline(HEAD_BYTES)
+    while line:
+        if b"WARC/1." not in line:
+            line = stream.readline(HEAD_BYTES)
             continue
-        start = end + 4
-        block = data[start : start + int(head["content-length"])]
-        at = start + len(block)
-        yield head | {"block": block}
+        head = {}
+        while (line := stream.readline(HEAD_BYTES)) not in (b"", b"\r\n", b"\n") and b"WARC/1." not in line:
+            name, _, value = line.partition(b":")
+            head[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+        if line in (b"\r\n", b"\n") and head.get("content-length", "").isdigit() and "warc-type" in head:
+            yield head | {"block": stream.read(int(head["content-length"]))}
+            line = stream.readline(HEAD_BYTES)
 
 
 RECORDS = (
@@ -165,7 +169,8 @@ def assemble(records: DataFrame, keep_payload: bool = True) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{common.shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(common.table(spark, sf_dir, "pages"), path)
-    captures = assemble(read_archives(spark, path, keep_payload=False), keep_payload=False)
+    captures = common.materialize(assemble(read_archives(spark, path, keep_payload=False), keep_payload=False))
+    common.delete(spark, path)
     rows = captures.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return rows.select(
         F.expr(r"try_cast(nullif(regexp_extract(metadata.fields, 'page-id: (-?\\d*)', 1), '') as bigint)").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.record_type").alias("record_type"),

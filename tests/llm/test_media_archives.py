@@ -1,5 +1,7 @@
+import gzip
 import hashlib
 import zlib
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -42,6 +44,17 @@ def test_damage_and_noise_are_seen():
     assert ogg.decode(b"")["pages"] == 0
 
 
+def test_packet_times_come_from_granule_positions():
+    payload = bytes(i % 251 for i in range(192 * 901))
+    media = bytearray(ogg.encode(payload))
+    frames = [192 * len(range(k, 901, 2)) for k in (0, 1)]
+    want = [t / ogg.SAMPLE_RATE for n in frames for t in range(0, n, 768)]
+    assert ogg.decode(bytes(media))["starts"] == want
+    media[len(media) // 2] ^= 1  # a page is lost: the packets behind it keep their times
+    found = ogg.decode(bytes(media))["starts"]
+    assert 0 < len(found) < len(want) and set(found) <= set(want) and max(found) == max(want)
+
+
 def test_op1_contract(spark, tmp_path):
     rows = [(1, "héllo"), (2, None), (3, ""), (4, "x" * 192), (5, "y" * 5000), (5, "y" * 5000), (None, "z")]
     spark.createDataFrame(rows, "doc_id long, text string").withColumn("media", F.lit("clash")).write.parquet(f"{tmp_path}/documents.parquet")
@@ -73,6 +86,19 @@ def test_warc_transactions(spark, tmp_path):
     assert bytes(odd["response"]["payload"]).decode() == rows[8][2] and odd["response"]["payload_bytes"] == len(rows[8][2].encode())
 
 
+def test_archives_are_bounded_by_bytes_and_deleted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
+    rows = [(i, f"http://{i}/", "x" * (1 + i % 3 * 2500)) for i in range(40)]
+    docs = spark.createDataFrame(rows, PAGES).withColumns({c: F.lit("clash") for c in ("payload", "digest", "uid", "first", "salt", "_copy")}).coalesce(1)
+    warc.write_archives(docs, f"{tmp_path}/w")
+    files = list((tmp_path / "w").glob("*.gz"))
+    assert len(files) > 10 and len(gzip.decompress(files[0].read_bytes())) <= 20_000
+    docs.write.parquet(f"{tmp_path}/in/pages.parquet")
+    found = queries.QUERIES["op4_warc_transactions"](spark, f"{tmp_path}/in")
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    assert found.count() == 40 and not list(shared.glob("warc-*"))
+
+
 def test_warc_lone_records_and_empty(spark, tmp_path):
     warc.write_archives(spark.createDataFrame([], PAGES), f"{tmp_path}/e")
     records = b"WARC/1.1\r\nWARC-Type: request\r\nWARC-Record-ID: <r>\r\nContent-Length: 3\r\n\r\nGET\r\n\r\njunk WARC/1.0\r\nWARC-Type: metadata\r\nWARC-Record-ID: <m>\r\nWARC-Concurrent-To: <x>\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
