@@ -8,7 +8,9 @@ Likeness of two fingerprints: buckets that agree, as a share of those that eithe
 are alike (1).
 
 Occurrence numbers come from run lengths in the sorted hashes, found by doubling: c(k+1)[j] = c(k)[j] + c(k)[j - 2^k]
-where c(k)[j] has reached 2^k. Work is n log n in the length of a text, and nothing is exploded.
+where c(k)[j] has reached 2^k. Work is n log n in the length of a text, and nothing is exploded. Text order is that of
+positions; in a text of 2^24 pieces or more, of positions in units of two pieces or more, so k-mers that start within one
+unit stand in the order of their hashes.
 
 The next document is that of the next smaller id; after the last comes the first. Rows equal in id and text are one
 document; among equal ids texts are ordered by their hash; null ids come before all others; null texts are empty.
@@ -23,7 +25,7 @@ from . import common
 
 K, PIECE, BUCKETS, TUPLE = 3, 12, 32, 2
 LOW = (1 << 24) - 1
-"""Positions take the low 24 bits of a sort key; the hash keeps the rest."""
+"""Positions take the low 24 bits of a sort key, in units that let the last one fit; the hash keeps the rest."""
 
 
 def fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -37,7 +39,7 @@ def fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     df = df.withColumn(r, F.expr(f"filter({s}, (v, j) -> {same(s, 'j - 1')} or {same(s, 'j + 1')})"))
     ones = f"transform({r}, (v, j) -> if({same(r, 'j - 1')}, 1, 0))"
     step = "transform(c, (n, j) -> if(n = shiftleft(1, k), n + get(c, j - shiftleft(1, k)), n))"
-    df = df.withColumn(o, F.expr(f"if(size({r}) = 0, array(), aggregate(sequence(0, 23), {ones}, (c, k) -> if(array_max(c) < shiftleft(1, k), c, {step})))"))
+    df = df.withColumn(o, F.expr(f"if(size({r}) = 0, array(), aggregate(sequence(0, 30), {ones}, (c, k) -> if(array_max(c) < shiftleft(1, k), c, {step})))"))
     once = f"transform(filter({s}, (v, j) -> not ({same(s, 'j - 1')} or {same(s, 'j + 1')})), v -> (xxhash64(shiftright(v, 24), 0) & {high}L) | (v & {LOW}))"
     again = f"transform(arrays_zip({r}, {o}), z -> (xxhash64(shiftright(z.{r}, 24), z.{o}) & {high}L) | (z.{r} & {LOW}))"
     df = df.withColumn(e, F.expr(f"sort_array(concat({once}, {again}))"))

@@ -139,9 +139,9 @@ def _ids_array(found: list, valid: list[bool]) -> pa.ListArray:
 
 
 def encode(df: DataFrame, model: dict, text: str = "text", ids: str = "piece_ids", score: str = "piece_score") -> DataFrame:
-    """df with the columns ids (array of int) and score."""
-    rest = [c for c in df.columns if c not in (text, ids, score)]
-    own = df.select(*rest, text)
+    """df with the columns ids (array of int) and score at the end; where df has such a name, theirs end in underscores."""
+    ids, score, given = common.free_names(df, ids, score, "_text")
+    own = df.withColumn(given, F.col(f"`{text}`"))
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,27 +150,25 @@ def encode(df: DataFrame, model: dict, text: str = "text", ids: str = "piece_ids
             texts = batch.column(batch.num_columns - 1)
             given = texts.to_pylist()
             found = [encoder.encode(t) if t is not None else (b"", None) for t in given]
-            arrays = [*batch.columns, _ids_array([f[0] for f in found], [t is not None for t in given]), pa.array([f[1] for f in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, ids, score])
+            arrays = [*batch.columns[:-1], _ids_array([f[0] for f in found], [t is not None for t in given]), pa.array([f[1] for f in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:-1], ids, score])
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema)
-    return common.map_batches(own, run, f"{ddl}, `{ids}` array<int>, `{score}` double")
+    return common.map_batches(own, run, f"{common.ddl(df)}, `{ids}` array<int>, `{score}` double")
 
 
 def decode(df: DataFrame, model: dict, ids: str = "piece_ids", text: str = "decoded") -> DataFrame:
-    """df with the column text, put together from the ids."""
-    rest = [c for c in df.columns if c not in (ids, text)]
-    own = df.select(*rest, ids)
+    """df with the column text, put together from the ids, at the end; where df has such a name, its name ends in underscores."""
+    text, given = common.free_names(df, text, "_ids")
+    own = df.withColumn(given, F.col(f"`{ids}`"))
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(shared.value)
         for batch in batches:
             texts = decoder.decode(batch.column(batch.num_columns - 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary()).cast(pa.string())], names=[*batch.schema.names, text])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.binary()).cast(pa.string())], names=[*batch.schema.names[:-1], text])
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema)
-    return common.map_batches(own, run, f"{ddl}, `{text}` string")
+    return common.map_batches(own, run, f"{common.ddl(df)}, `{text}` string")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
