@@ -5,20 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Patterns that outputs are checked against. English and Spanish wording of the duty to carry AIS.
-AIS_WORDING = r"\bais\b|carriage requirement|article\s*10|art[íi]culo\s*10|\bart\.?\s*10\b|1224/2009|reglamento\s*\(ce\)\s*n?\S*\s*1224"
-# Zone ids, legal references, figures with either decimal separator.
-ANCHOR = r"[A-Z]{2,4}-\d{2,}|\d{4}/\d{4}|\d+[.,]\d+"
+# Patterns that outputs are checked against. English and Spanish wording of the duty to carry AIS; zone ids,
+# legal references and figures with either decimal separator; verbs beyond an inspector's authority; a leading distance;
+# claims that ids belong to a class. All are Unicode patterns: white space, digits and word edges are those of Unicode.
+SPACE = r"[\s\x1C-\x1F]"
+AIS_WORDING = rf"(?U)\bais\b|carriage requirement|article{SPACE}*10|art[íi]culo{SPACE}*10|\bart\.?{SPACE}*10\b|1224/2009|reglamento{SPACE}*\(ce\){SPACE}*n?\S*{SPACE}*1224"
+ANCHOR = r"(?U)[A-Z]{2,4}-\d{2,}|\d{4}/\d{4}|\d+[.,]\d+"
 DASHES = "‐‑‒–—―"
-FORBIDDEN_VERBS = r"\b(seize|confiscate|arrest|impound|incautar|detener|apresar|confiscar)\b"
-NUMBER = r"-?\d+(?:\.\d+)?"
-LEADING_DISTANCE = r"(?i)^[\d.,]+\s*(km|nm|miles)\b[^:.]*[:.]?\s*"
+FORBIDDEN_VERBS = r"(?U)\b(seize|confiscate|arrest|impound|incautar|detener|apresar|confiscar)\b"
+NUMBER = r"(?U)-?\d+(?:\.\d+)?"
+LEADING_DISTANCE = rf"(?Ui)^[\d.,]+{SPACE}*(km|nm|miles)\b[^:.]*[:.]?{SPACE}*"
 LONG_WORD = r"[a-z]{4,}"
 NOTHING_NAMED = r"none identified|not applicable"
 ID = r"D-\d+"
-_DASH = r"[\s\x{2010}-\x{2015}-]*"
-CLAIM_IN_BRACKETS = rf"(?i)(high|medium){_DASH}priority((?:(?!high{_DASH}priority|medium{_DASH}priority)[^.(]){{0,100}})\(([^)]*)\)"
-CLAIM_BARE = rf"(?i)(high|medium){_DASH}priority\s+(?:[a-zA-Z]+\s+){{0,3}}({{id}}(?:(?:\s*,\s*|\s+and\s+){{id}})*)"
+_DASH = r"[\s\x1C-\x1F\x{2010}-\x{2015}-]*"
+CLAIM_IN_BRACKETS = rf"(?Ui)(high|medium){_DASH}priority((?:(?!high{_DASH}priority|medium{_DASH}priority)[^.(]){{0,100}})\(([^)]*)\)"
+CLAIM_BARE = (
+    rf"(?Ui)(high|medium){_DASH}priority{SPACE}+(?:[a-zA-Z]+{SPACE}+){{0,3}}"
+    rf"({{id}}(?:(?:{SPACE}*,{SPACE}*|{SPACE}+and{SPACE}+){{id}})*)"
+)
+
+
+def stripped(text: Column | str) -> Column:
+    """Without white space of any kind at either end; null is empty."""
+    column = F.col(text) if isinstance(text, str) else text
+    return F.regexp_replace(F.coalesce(column, F.lit("")), rf"(?U)^{SPACE}+|{SPACE}+$", "")
 
 
 def mentions_ais(text: Column) -> Column:
@@ -55,12 +66,12 @@ def long_words(text: Column) -> Column:
 
 def instruction(action: Column) -> Column:
     """What remains of an action when a leading distance is set aside."""
-    return F.trim(F.regexp_replace(F.trim(action), LEADING_DISTANCE, ""))
+    return stripped(F.regexp_replace(stripped(action), LEADING_DISTANCE, ""))
 
 
 def below_claim(threshold: float) -> str:
     n = int(threshold)
-    return rf"(under|below|less than)\s*{n}|menos de\s*{n}|not meet|no alcanza"
+    return rf"(?U)(under|below|less than){SPACE}*{n}|menos de{SPACE}*{n}|not meet|no alcanza"
 
 
 def claims(prose: Column, id_pattern: str = ID) -> Column:
@@ -74,21 +85,21 @@ def claims(prose: Column, id_pattern: str = ID) -> Column:
 
 def degenerate(text: Column, least_chars: int = 2000, least_sentences: int = 20, ratio: float = 0.1) -> Column:
     """A long text without an object that says the same sentences again and again."""
-    sentences = F.filter(F.transform(F.split(text, "[.]"), lambda s: F.trim(s)), lambda s: s != "")
+    sentences = F.filter(F.transform(F.split(text, "[.]"), stripped), lambda s: s != "")
     n = F.size(sentences)
     return F.coalesce((F.char_length(text) >= least_chars) & ~F.contains(text, F.lit("{")) & (n >= least_sentences) & (F.size(F.array_distinct(sentences)) < ratio * n), F.lit(False))
 
 
 def repaired(fragment: Column) -> Column:
     """Without comment lines and commas before a closing bracket."""
-    return F.regexp_replace(F.regexp_replace(fragment, r"(?m)^\s*//.*$", ""), r",(\s*[}\]])", "$1")
+    return F.regexp_replace(F.regexp_replace(fragment, r"(?mU)^\s*//.*$", ""), r"(?U),(\s*[}\]])", "$1")
 
 
 def unfenced(text: Column) -> Column:
     """The first part between code fences that holds an object, or the text itself."""
-    parts = F.filter(F.split(F.trim(text), "```"), lambda p: F.contains(p, F.lit("{")))
+    parts = F.filter(F.split(stripped(text), "```"), lambda p: F.contains(p, F.lit("{")))
     first = F.get(parts, F.lit(0))
-    return F.when(F.contains(text, F.lit("```")) & first.isNotNull(), F.regexp_replace(first, r"^\s*json", "")).otherwise(F.trim(text))
+    return F.when(F.contains(text, F.lit("```")) & first.isNotNull(), F.regexp_replace(first, r"(?U)^\s*json", "")).otherwise(stripped(text))
 
 
 def first_object(text: Column) -> Column:

@@ -21,7 +21,7 @@ ECHO_CHARS = 2000
 def parse(responses: DataFrame) -> DataFrame:
     """With doc (VARIANT or null) and failure: why there is none."""
     rows = responses.withColumn("looped", T.degenerate(F.col("raw"))).withColumn("doc", F.when(~F.col("looped"), T.parsed(F.col("raw"))))
-    why = F.when(F.coalesce(F.trim("raw"), F.lit("")) == "", "no content").when(F.col("looped"), "the same sentences again and again").when(~F.contains("raw", F.lit("{")), "no object").when(T.first_object(T.unfenced(F.col("raw"))).isNull(), "the object is not closed").otherwise("not JSON")
+    why = F.when(T.stripped("raw") == "", "no content").when(F.col("looped"), "the same sentences again and again").when(~F.contains("raw", F.lit("{")), "no object").when(T.first_object(T.unfenced(F.col("raw"))).isNull(), "the object is not closed").otherwise("not JSON")
     return rows.withColumn("failure", F.when(F.col("doc").isNull(), why)).drop("looped")
 
 

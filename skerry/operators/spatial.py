@@ -31,12 +31,27 @@ def structure_hits(points: DataFrame, structures: DataFrame, keys: list[str], si
     return slim.join(spread, ["cy", "cx"]).withColumn("km", km).filter("km <= s_km")
 
 
+BROADCAST_CELLS = 200_000
+"""Structures on so many cells (some hundred bytes each) are broadcast, so detections are not shuffled; beyond it they are joined."""
+
+
 def match_structures(rows: DataFrame, structures: DataFrame, size: float = geo.CELL_DEG) -> DataFrame:
-    """rows with fixed_structure: the nearest structure (of equally near ones the first listed), or null. Needs scene_id and ord."""
-    keys = ["scene_id", "ord"]
-    hits = structure_hits(rows, structures, keys, size)
-    best = hits.groupBy(*keys).agg(F.min(F.struct("km", F.col("s_ord").alias("ord"), F.col("s_id").alias("id"), F.col("s_type").alias("type"), F.col("s_name").alias("name")).cast(MATCH)).alias("fixed_structure"))
-    return rows.join(best, keys, "left")
+    """rows with fixed_structure: the nearest structure (of equally near ones the first listed), or null.
+
+    The structures of a cell come as one array, as many as the registry has there; one left join on the cell brings a
+    detection all that may be near, and the nearest is found within the row.
+    """
+    item = F.struct("ord", "id", "type", "name", "lat", "lon", (F.coalesce("match_radius_m", F.lit(DEFAULT_RADIUS_M)) / 1000).alias("reach"))
+    own = structures.select(item.alias("s"), F.col("lat").alias("_y"), F.col("lon").alias("_x"))
+    high, wide = geo.radius_deg(F.col("s.reach"), F.col("_y"))
+    y, x = F.col("_y"), F.col("_x")
+    near = _cells(own.withColumns({"_h": high, "_w": wide}), y - F.col("_h"), y + F.col("_h"), x - F.col("_w"), x + F.col("_w"), size)
+    near = near.groupBy(F.col("cy").alias("_cy"), F.col("cx").alias("_cx")).agg(F.collect_list("s").alias("_near"))
+    few = near.count() <= BROADCAST_CELLS
+    joined = rows.withColumns({"_cy": geo.cell(F.col("lat"), size), "_cx": geo.cell(F.col("lon"), size)}).join(F.broadcast(near) if few else near, ["_cy", "_cx"], "left")
+    km = lambda s: geo.distance_km(F.col("lat"), F.col("lon"), s.lat, s.lon)
+    found = F.transform("_near", lambda s: F.when(km(s) <= s.reach, F.struct(km(s).alias("km"), *(s[c].alias(c) for c in ("ord", "id", "type", "name")))))
+    return joined.withColumn("fixed_structure", F.array_min(F.array_compact(found)).cast(MATCH)).drop("_cy", "_cx", "_near")
 
 
 def zone_hits(points: DataFrame, zones: DataFrame, keys: list[str], size: float = geo.CELL_DEG) -> DataFrame:

@@ -30,12 +30,15 @@ def reasons(indicators: str = "potential_indicators") -> Column:
 
 def _facts(records: DataFrame) -> DataFrame:
     """Records with what the rules ask of them, columns prefixed r_."""
-    rows = latest(records)
-    return rows.select(
-        "scene_id", "id", F.col("ord").alias("r_ord"), F.col("classification").alias("r_class"), F.col("ais").alias("r_ais"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"), F.col("estimated_length_m").alias("r_length"),
-        F.col("potential_indicators").alias("r_indicators"), F.exists("potential_indicators", lambda i: i.kind.startswith("ais")).alias("r_engaged"), (F.size("potential_indicators") > 0).alias("r_has"),
-        T.anchors(reasons()).alias("r_anchors"), F.lower(reasons()).alias("r_text"), (F.col("ais_indicator_suppressed") & (F.size("potential_indicators") == 0)).alias("r_silent"),
-    )
+    rows, said = latest(records), reasons()
+    silent = F.col("ais_indicator_suppressed") & (F.size("potential_indicators") == 0)
+    facts = {
+        "r_ord": F.col("ord"), "r_class": F.col("classification"), "r_ais": F.col("ais"), "r_lat": F.col("lat"), "r_lon": F.col("lon"),
+        "r_length": F.col("estimated_length_m"), "r_reasons": F.transform("potential_indicators", lambda i: i.reason),
+        "r_engaged": F.exists("potential_indicators", lambda i: i.kind.startswith("ais")), "r_has": F.size("potential_indicators") > 0,
+        "r_anchors": T.anchors(said), "r_text": F.lower(said), "r_silent": silent,
+    }
+    return rows.select("scene_id", "id", *(v.alias(k) for k, v in facts.items()))
 
 
 def _issue(when: Column, severity, rule: str, message) -> Column:
@@ -44,73 +47,105 @@ def _issue(when: Column, severity, rule: str, message) -> Column:
     return F.when(when, F.struct(level.alias("severity"), F.lit(rule).alias("rule"), say.alias("message")))
 
 
-def brief_issues(briefs: DataFrame, records: DataFrame, config: Config) -> DataFrame:
-    """Rules on single briefs (scene_id, brief_ord, id, position, priority, indicators, regulation_concerned, suggested_action, caveat)."""
-    facts = _facts(records)
-    joined = briefs.join(facts.withColumn("r_found", F.lit(True)), ["scene_id", "id"], "left")
-    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
-    rows = joined.withColumns({"regulation": blank("regulation_concerned"), "caveat": blank("caveat"), "action": blank("suggested_action"), "listed": F.coalesce("indicators", F.expr("array()").cast("array<string>"))})
-    known, has, engaged, sending = F.col("r_found").isNotNull(), F.col("r_has"), F.col("r_engaged"), F.col("r_ais") == "matched"
-    rows = rows.withColumn("at", T.position(F.col("position"))).withColumn("cited", T.anchors(F.col("regulation"))).withColumn("own", T.anchors(F.array_join("listed", " ")))
-    # The last other detection that owns an anchor which this brief cites and its own record lacks.
-    owners = facts.select("scene_id", F.explode("r_anchors").alias("anchor"), "id", "r_ord").groupBy("scene_id", "anchor").agg(F.max(F.struct("r_ord", "id")).alias("o"))
-    alien = rows.filter(known).select("scene_id", "brief_ord", F.explode(F.array_except("cited", "r_anchors")).alias("anchor")).join(owners, ["scene_id", "anchor"])
-    alien = alien.groupBy("scene_id", "brief_ord").agg(F.array_join(F.array_sort(F.collect_set(F.concat("anchor", F.lit(" ("), "o.id", F.lit(")")))), ", ").alias("alien"))
-    rows = rows.join(alien, ["scene_id", "brief_ord"], "left")
-    none_named, stated = F.lower("regulation").rlike(T.NOTHING_NAMED), F.lower(F.trim(F.coalesce("priority", F.lit(""))))
-    limit = config.ais_length_threshold_m
+PER_BRIEF = 10_000
+"""Issues of one brief are numbered within so many places."""
+
+
+def _alien(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """rows with alien: the anchors that a brief cites, its own record lacks and another detection has, each with the last owner."""
+    owners = facts.select("scene_id", F.explode("r_anchors").alias("anchor"), "id", "r_ord")
+    owners = owners.groupBy("scene_id", "anchor").agg(F.max(F.struct("r_ord", "id")).alias("o"))
+    cited = rows.filter("r_found").select("scene_id", "brief_ord", F.explode(F.array_except("cited", "r_anchors")).alias("anchor"))
+    named = F.concat("anchor", F.lit(" ("), "o.id", F.lit(")"))
+    alien = cited.join(owners, ["scene_id", "anchor"]).groupBy("scene_id", "brief_ord").agg(F.array_sort(F.collect_set(named)).alias("alien"))
+    return rows.join(alien.withColumn("alien", F.array_join("alien", ", ")), ["scene_id", "brief_ord"], "left")
+
+
+def _brief_rules(config: Config) -> list[Column]:
+    has, engaged, sending = F.col("r_has"), F.col("r_engaged"), F.col("r_ais") == "matched"
+    regulation, caveat, action, stated = (F.col(c) for c in ("regulation", "caveat", "action", "stated"))
+    limit, none_named = config.ais_length_threshold_m, F.lower(regulation).rlike(T.NOTHING_NAMED)
     why = F.when(sending, "vessel is broadcasting").otherwise("no AIS indicator stands for this vessel")
-    wording = [("the regulation", F.col("regulation")), ("the indicators", F.array_join("listed", " ")), ("the action", F.col("action"))]
-    rest = T.instruction(F.col("action"))
-    english = F.lit(config.output_language.casefold() == "english")
-    rules = [
+    wording = [("the regulation", regulation), ("the indicators", F.array_join("listed", " ")), ("the action", action)]
+    far = (F.abs(F.col("at.lat") - F.col("r_lat")) > TOLERANCE_DEG) | (F.abs(F.col("at.lon") - F.col("r_lon")) > TOLERANCE_DEG)
+    plain = F.replace("r_class", F.lit("_priority"), F.lit(""))
+    repeated = F.exists("r_reasons", lambda r: (F.char_length(T.stripped(r)) > 40) & F.contains(F.lower(regulation), F.lower(F.substring(T.stripped(r), 1, 60))))
+    number = lambda c: F.size(c).cast("string")
+    text = lambda *parts: F.concat(*(x if isinstance(x, Column) else F.lit(x) for x in parts))
+    return [
         _issue(F.col("r_silent"), BLOCKER, "V1", "its AIS indicator is suppressed and nothing else stands against it: it must not be briefed"),
-        _issue(~F.col("r_class").isin(*CANDIDATES), WARNING, "V2", F.concat(F.lit("its class is "), "r_class", F.lit(", which warrants no brief"))),
-        _issue(has & (F.col("caveat") == ""), BLOCKER, "VA", "the caveat that indicators require is missing"),
-        _issue((F.col("r_length") >= limit) & F.lower("caveat").rlike(T.below_claim(limit)), BLOCKER, "VB", F.concat(F.lit(f"the caveat places it under {limit} m, the record gives "), F.col("r_length").cast("string"), F.lit(" m"))),
-        _issue(F.lower("action").rlike(T.FORBIDDEN_VERBS), BLOCKER, "VC", F.concat(F.lit("the action '"), "action", F.lit("' exceeds an inspector's authority"))),
-        *(_issue(~engaged & T.mentions_ais(c), BLOCKER, "V3", F.concat(why, F.lit(f", yet {n} invokes the duty to carry AIS"))) for n, c in wording),
-        _issue(sending & T.mentions_ais(F.col("caveat")), WARNING, "V3b", "vessel is broadcasting, yet the caveat discusses AIS"),
+        _issue(~F.col("r_class").isin(*CANDIDATES), WARNING, "V2", text("its class is ", F.col("r_class"), ", which warrants no brief")),
+        _issue(has & (caveat == ""), BLOCKER, "VA", "the caveat that indicators require is missing"),
+        _issue((F.col("r_length") >= limit) & F.lower(caveat).rlike(T.below_claim(limit)), BLOCKER, "VB", text(f"the caveat places it under {limit} m, the record gives ", F.col("r_length").cast("string"), " m")),
+        _issue(F.lower(action).rlike(T.FORBIDDEN_VERBS), BLOCKER, "VC", text("the action '", action, "' exceeds an inspector's authority")),
+        *(_issue(~engaged & T.mentions_ais(c), BLOCKER, "V3", text(why, f", yet {n} invokes the duty to carry AIS")) for n, c in wording),
+        _issue(sending & T.mentions_ais(caveat), WARNING, "V3b", "vessel is broadcasting, yet the caveat discusses AIS"),
         _issue(F.col("at").isNull(), WARNING, "V4", "position is missing or cannot be read"),
-        _issue((F.abs(F.col("at.lat") - F.col("r_lat")) > TOLERANCE_DEG) | (F.abs(F.col("at.lon") - F.col("r_lon")) > TOLERANCE_DEG), BLOCKER, "V4", "position differs from the computed one"),
-        _issue(has & ((F.col("regulation") == "") | none_named | F.lower("regulation").rlike("^none$")), WARNING, "V5", "it has indicators but no regulation is named"),
-        _issue(~has & (F.col("regulation") != "") & ~none_named, BLOCKER, "V6", "it has no indicators, yet a regulation is named"),
-        _issue((stated != "") & (stated != F.replace("r_class", F.lit("_priority"), F.lit(""))) & (stated != F.col("r_class")), BLOCKER, "V7", F.concat(F.lit("priority is stated as "), stated, F.lit(", the record is "), "r_class")),
-        _issue(F.col("alien").isNotNull(), BLOCKER, "V8", F.concat(F.lit("the regulation carries anchors of another detection: "), "alien")),
-        _issue(F.exists("r_indicators", lambda i: (F.char_length(F.trim(i.reason)) > 40) & F.contains(F.lower(F.col("regulation")), F.lower(F.substring(F.trim(i.reason), 1, 60)))), WARNING, "V8b", "the regulation repeats an indicator instead of naming a provision"),
+        _issue(far, BLOCKER, "V4", "position differs from the computed one"),
+        _issue(has & ((regulation == "") | none_named | F.lower(regulation).rlike("^none$")), WARNING, "V5", "it has indicators but no regulation is named"),
+        _issue(~has & (regulation != "") & ~none_named, BLOCKER, "V6", "it has no indicators, yet a regulation is named"),
+        _issue((stated != "") & (stated != plain) & (stated != F.col("r_class")), BLOCKER, "V7", text("priority is stated as ", stated, ", the record is ", F.col("r_class"))),
+        _issue(F.col("alien").isNotNull(), BLOCKER, "V8", text("the regulation carries anchors of another detection: ", F.col("alien"))),
+        _issue(repeated, WARNING, "V8b", "the regulation repeats an indicator instead of naming a provision"),
         _issue((F.size("r_anchors") > 0) & ~F.arrays_overlap("r_anchors", "own"), BLOCKER, "V9", "its indicators carry no zone, figure or reference of the record's own"),
-        _issue(F.size("listed") > F.size("r_indicators"), BLOCKER, "V10", F.concat(F.lit("it lists "), F.size("listed").cast("string"), F.lit(" indicators, the record has "), F.size("r_indicators").cast("string"))),
-        _issue(F.char_length(rest) < 15, WARNING, "V11", F.concat(F.lit("the action '"), "action", F.lit("' is no instruction"))),
+        _issue(F.size("listed") > F.size("r_reasons"), BLOCKER, "V10", text("it lists ", number("listed"), " indicators, the record has ", number("r_reasons"))),
+        _issue(F.char_length(T.instruction(action)) < 15, WARNING, "V11", text("the action '", action, "' is no instruction")),
     ]
-    words = T.long_words(F.col("r_text"))
-    per_line = F.transform("listed", lambda x: (
-        F.when(F.char_length(F.trim(x)) < 25, F.struct(F.lit(BLOCKER).alias("severity"), F.lit("V12a").alias("rule"), F.concat(F.lit("indicator '"), F.trim(x), F.lit("' is a label, not a statement")).alias("message")))
-        .when(english & (F.size(T.long_words(x)) > 0) & (F.col("r_text") != "") & ~F.arrays_overlap(T.long_words(x), words), F.struct(F.lit(WARNING).alias("severity"), F.lit("V12b").alias("rule"), F.lit("an indicator shares no wording with the record's").alias("message")))
+
+
+def _line_rules(config: Config) -> Column:
+    """What is wrong with each listed indicator."""
+    english = F.lit(config.output_language.casefold() == "english")
+    issue = lambda level, rule, message: F.struct(F.lit(level).alias("severity"), F.lit(rule).alias("rule"), message.alias("message"))
+    unlike = lambda x: (F.size(T.long_words(x)) > 0) & (F.col("r_text") != "") & ~F.arrays_overlap(T.long_words(x), T.long_words(F.col("r_text")))
+    label = lambda x: F.concat(F.lit("indicator '"), T.stripped(x), F.lit("' is a label, not a statement"))
+    return F.transform("listed", lambda x: (
+        F.when(F.char_length(T.stripped(x)) < 25, issue(BLOCKER, "V12a", label(x)))
+        .when(english & unlike(x), issue(WARNING, "V12b", F.lit("an indicator shares no wording with the record's")))
     ))
+
+
+def brief_issues(briefs: DataFrame, records: DataFrame, config: Config) -> DataFrame:
+    """Rules on single briefs (scene_id, brief_ord, id, position, priority, indicators, regulation_concerned, suggested_action, caveat)."""
+    facts = _facts(records)
+    rows = briefs.join(facts.withColumn("r_found", F.lit(True)), ["scene_id", "id"], "left")
+    rows = rows.withColumns({"regulation": T.stripped("regulation_concerned"), "caveat": T.stripped("caveat"), "action": T.stripped("suggested_action"), "stated": F.lower(T.stripped("priority"))})
+    rows = rows.withColumn("listed", F.coalesce("indicators", F.expr("array()").cast("array<string>")))
+    rows = rows.withColumns({"at": T.position(F.col("position")), "cited": T.anchors(F.col("regulation")), "own": T.anchors(F.array_join("listed", " "))})
+    rows = _alien(rows, facts)
     missing = F.array(F.struct(F.lit(BLOCKER).alias("severity"), F.lit("V0").alias("rule"), F.lit("its id is not in the dossier").alias("message")))
-    every = F.when(known, F.array_compact(F.concat(F.array(*rules), per_line))).otherwise(missing)
+    every = F.when(F.col("r_found"), F.array_compact(F.concat(F.array(*_brief_rules(config)), _line_rules(config)))).otherwise(missing)
     found = rows.select("scene_id", "id", "brief_ord", F.posexplode(every).alias("k", "i"))
-    return found.select("scene_id", F.col("i.severity").alias("severity"), F.concat(F.lit("brief "), F.coalesce("id", F.lit("?"))).alias("place"), F.col("i.message").alias("message"), F.col("i.rule").alias("rule"), (F.col("brief_ord") * 100 + F.col("k")).cast("bigint").alias("ord"))
+    place, order = F.concat(F.lit("brief "), F.coalesce("id", F.lit("?"))), (F.col("brief_ord") * PER_BRIEF + F.col("k")).cast("bigint")
+    return found.select("scene_id", "i.severity", place.alias("place"), "i.message", "i.rule", order.alias("ord"))
 
 
 def missing_briefs(briefs: DataFrame, records: DataFrame) -> DataFrame:
-    wanted = dossier.candidates(records).join(briefs.select("scene_id", "id").distinct(), ["scene_id", "id"], "left_anti")
-    return wanted.select("scene_id", F.when(F.col("classification") == "high_priority", BLOCKER).otherwise(WARNING).alias("severity"), F.concat(F.lit("brief "), "id").alias("place"), F.concat("classification", F.lit(" record has no brief")).alias("message"), F.lit("V13").alias("rule"), (F.lit(STEP * STEP) + F.col("ord")).alias("ord"))
+    wanted = dossier.candidates(records).join(briefs.select("scene_id", "id"), ["scene_id", "id"], "left_anti")
+    severity = F.when(F.col("classification") == "high_priority", BLOCKER).otherwise(WARNING)
+    place, message = F.concat(F.lit("brief "), "id"), F.concat("classification", F.lit(" record has no brief"))
+    order = (F.lit(STEP * STEP) + F.col("ord")).cast("bigint")
+    return wanted.select("scene_id", severity.alias("severity"), place.alias("place"), message.alias("message"), F.lit("V13").alias("rule"), order.alias("ord"))
 
 
 def wrong_claims(prose: DataFrame, records: DataFrame, place: str, rule: str, id_pattern: str = T.ID) -> DataFrame:
     """Ids that prose (scene_id, prose) lists under a class that is not theirs; each once."""
-    said = prose.select("scene_id", F.posexplode(T.claims(F.coalesce("prose", F.lit("")), id_pattern)).alias("k", "c")).select("scene_id", "k", F.col("c.claimed").alias("claimed"), F.posexplode(F.regexp_extract_all(F.col("c.listed"), F.lit(rf"\b{id_pattern}\b"), F.lit(0))).alias("j", "id"))
-    own = latest(records).select("scene_id", "id", "classification")
-    rows = said.join(own, ["scene_id", "id"]).filter("classification <> claimed").groupBy("scene_id", "id", "claimed", "classification").agg(F.min(F.col("k") * 1000 + F.col("j")).alias("k"))
-    return rows.select("scene_id", F.lit(WARNING).alias("severity"), F.lit(place).alias("place"), F.concat("id", F.lit(" is "), "classification", F.lit(" but is listed among "), "claimed", F.lit(" records")).alias("message"), F.lit(rule).alias("rule"), F.col("k").cast("bigint").alias("ord"))
+    said = prose.select("scene_id", F.posexplode(T.claims(F.coalesce("prose", F.lit("")), id_pattern)).alias("k", "c"))
+    ids = F.regexp_extract_all(F.col("c.listed"), F.lit(rf"(?U)\b{id_pattern}\b"), F.lit(0))
+    said = said.select("scene_id", "k", F.col("c.claimed").alias("claimed"), F.posexplode(ids).alias("j", "id"))
+    rows = said.join(latest(records).select("scene_id", "id", "classification"), ["scene_id", "id"]).filter("classification <> claimed")
+    rows = rows.groupBy("scene_id", "id", "claimed", "classification").agg(F.min(F.col("k") * 1000 + F.col("j")).cast("bigint").alias("ord"))
+    message = F.concat("id", F.lit(" is "), "classification", F.lit(" but is listed among "), "claimed", F.lit(" records"))
+    return rows.select("scene_id", F.lit(WARNING).alias("severity"), F.lit(place).alias("place"), message.alias("message"), F.lit(rule).alias("rule"), "ord")
 
 
 def silent_in_prose(prose: DataFrame, records: DataFrame, place: str, rule: str) -> DataFrame:
+    """Ids that must not be named but are, in order."""
     ids = dossier.silent(latest(records)).select("scene_id", "id")
     rows = ids.join(prose, "scene_id").filter(F.contains(F.coalesce("prose", F.lit("")), F.col("id")))
-    by = Window.partitionBy("scene_id").orderBy("id")
-    return rows.select("scene_id", F.lit(BLOCKER).alias("severity"), F.lit(place).alias("place"), F.concat("id", F.lit(" has its AIS indicator suppressed and nothing else, yet is named")).alias("message"), F.lit(rule).alias("rule"), F.row_number().over(by).cast("bigint").alias("ord"))
+    order = F.row_number().over(Window.partitionBy("scene_id").orderBy("id")).cast("bigint")
+    message = F.concat("id", F.lit(" has its AIS indicator suppressed and nothing else, yet is named"))
+    return rows.select("scene_id", F.lit(BLOCKER).alias("severity"), F.lit(place).alias("place"), message.alias("message"), F.lit(rule).alias("rule"), order.alias("ord"))
 
 
 def _shift(issues: DataFrame, block: int) -> DataFrame:
@@ -134,21 +169,35 @@ def figures(records: DataFrame) -> Column:
     return F.array_union(F.array_union(texts, said), F.transform("zones", lambda z: z.id))
 
 
+def ranking_issues(ranked: DataFrame, records: DataFrame) -> DataFrame:
+    """Issues of rankings (scene_id, rank_ord, id, reason): what is no candidate, foreign figures, candidates left out."""
+    facts = latest(records).select("scene_id", "id", F.col("ord").alias("r_ord"), F.col("classification").alias("r_class"), figures(records).alias("r_figures"))
+    rows = ranked.join(facts, ["scene_id", "id"], "full")  # a record that nobody ranked comes without a rank
+    given, cited = F.col("rank_ord").isNotNull(), T.anchors(F.col("reason"))
+    is_candidate = F.col("r_class").isin(*CANDIDATES)
+    foreign = (F.size(cited) > 0) & (F.size("r_figures") > 0) & ~F.arrays_overlap(cited, "r_figures")
+    place = F.concat(F.lit("prioritised "), F.coalesce("id", F.lit("None")))
+
+    def issue(when: Column, severity, where: Column, message: Column, rule: str, block: int) -> Column:
+        order = F.coalesce("rank_ord", "r_ord").cast("bigint") + F.lit(block * STEP * STEP)
+        level = severity if isinstance(severity, Column) else F.lit(severity)
+        return F.when(when, F.struct(level.alias("severity"), where.alias("place"), message.alias("message"), F.lit(rule).alias("rule"), order.alias("ord")))
+
+    by_class = F.when(F.col("r_class") == "high_priority", BLOCKER).otherwise(WARNING)
+    not_ranked = F.concat("id", F.lit(" is "), "r_class", F.lit(" but was not ranked"))
+    found = F.array_compact(F.array(
+        issue(given & F.col("r_class").isNull(), BLOCKER, place, F.lit("its id is not in the dossier"), "Q2", 1),
+        issue(given & ~is_candidate, BLOCKER, place, F.concat(F.lit("it is no candidate (class "), "r_class", F.lit(")")), "Q2", 1),
+        issue(given & F.col("r_class").isNotNull() & foreign, BLOCKER, place, F.concat(F.lit("its reason cites "), F.array_join(F.array_sort(cited), ", "), F.lit(", none of it the record's")), "Q3", 2),
+        issue(~given & is_candidate, by_class, F.lit("analyst prioritisation"), not_ranked, "Q5", 4),
+    ))
+    return rows.select("scene_id", F.explode(found).alias("i")).select("scene_id", "i.severity", "i.place", "i.message", "i.rule", "i.ord")
+
+
 def prioritisation_issues(ranked: DataFrame, prose: DataFrame, records: DataFrame, id_pattern: str = T.ID) -> DataFrame:
     """Issues of prioritisations: ranked (scene_id, rank_ord, id, reason) and their narrative (scene_id, prose)."""
-    facts = latest(records).select("scene_id", "id", F.col("classification").alias("r_class"), figures(records).alias("r_figures"))
-    rows = ranked.join(facts, ["scene_id", "id"], "left")
-    name = F.coalesce("id", F.lit("None"))
-    cited = T.anchors(F.col("reason"))
-    q2 = F.when(F.col("r_class").isNull(), "its id is not in the dossier").when(~F.col("r_class").isin(*CANDIDATES), F.concat(F.lit("it is no candidate (class "), "r_class", F.lit(")")))
-    q3 = F.when(F.col("r_class").isNotNull() & (F.size(cited) > 0) & (F.size("r_figures") > 0) & ~F.arrays_overlap(cited, "r_figures"), F.concat(F.lit("its reason cites "), F.array_join(F.array_sort(cited), ", "), F.lit(", none of it the record's")))
-    part = lambda message, rule, block: _shift(rows.withColumn("message", message).filter("message is not null").select("scene_id", F.lit(BLOCKER).alias("severity"), F.concat(F.lit("prioritised "), name).alias("place"), "message", F.lit(rule).alias("rule"), F.col("rank_ord").cast("bigint").alias("ord")), block)
-    wanted = dossier.candidates(records).join(ranked.select("scene_id", "id").distinct(), ["scene_id", "id"], "left_anti")
-    q5 = wanted.select("scene_id", F.when(F.col("classification") == "high_priority", BLOCKER).otherwise(WARNING).alias("severity"), F.lit("analyst prioritisation").alias("place"), F.concat("id", F.lit(" is "), "classification", F.lit(" but was not ranked")).alias("message"), F.lit("Q5").alias("rule"), F.col("ord").cast("bigint").alias("ord"))
-    out = wrong_claims(prose, records, "analyst narrative", "Q1", id_pattern)
-    for p in (part(q2, "Q2", 1), part(q3, "Q3", 2), _shift(silent_in_prose(prose, records, "analyst narrative", "Q4"), 3), _shift(q5, 4)):
-        out = out.unionByName(p)
-    return out
+    out = wrong_claims(prose, records, "analyst narrative", "Q1", id_pattern).unionByName(ranking_issues(ranked, records))
+    return out.unionByName(_shift(silent_in_prose(prose, records, "analyst narrative", "Q4"), 3))
 
 
 ANALYST_KEYS = ("prioritised_candidates", "ais_not_applicable", "observed_pattern", "overall_recommendation", "limitations")
@@ -181,7 +230,18 @@ def has_blockers(issues: DataFrame) -> DataFrame:
     return issues.groupBy("scene_id").agg(F.bool_or(F.col("severity") == BLOCKER).alias("blocked"))
 
 
-def listing(issues: DataFrame) -> DataFrame:
-    """scene_id and text: a line an issue, in order."""
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("ord", F.concat(F.lit("  ["), "severity", F.lit("] "), "place", F.lit(": "), "message").alias("t")))), lambda x: x.t)
-    return issues.groupBy("scene_id").agg(F.concat(F.lit("Output validation: "), F.count("*").cast("string"), F.lit(" issue(s)\n"), F.array_join(lines, "\n")).alias("text"))
+def listing(issues: DataFrame, scenes: DataFrame | None = None) -> DataFrame:
+    """scene_id and text: a line an issue, in order; "no issues" for a scene of `scenes` that has none."""
+    line = F.concat(F.lit("  ["), "severity", F.lit("] "), "place", F.lit(": "), "message")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("ord", "rule", line.alias("t")))), lambda x: x.t)
+    head = F.concat(F.lit("Output validation: "), F.count("*").cast("string"), F.lit(" issue(s)\n"))
+    out = issues.groupBy("scene_id").agg(F.concat(head, F.array_join(lines, "\n")).alias("text"))
+    if scenes is None:
+        return out
+    return scenes.select("scene_id").distinct().join(out, "scene_id", "left").withColumn("text", F.coalesce("text", F.lit("Output validation: no issues")))
+
+
+def passed(issues: DataFrame, outputs: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: how many outputs there are and how many of them have no issue."""
+    judged = top_severity(issues, outputs, keys)
+    return judged.agg(F.count("*").alias("total"), F.count_if(F.col("severity") == "clean").alias("passed"))

@@ -137,7 +137,7 @@ def assessed_records(spark, d):
 
 @query
 def classification_summary(spark, d):
-    return dossier.summary(records(spark, d)).select("classification", "n", "rank")
+    return dossier.summary(records(spark, d)).select("scene_id", "classification", "n", "rank")
 
 
 @query
@@ -242,7 +242,8 @@ def claimed_prose(rows: DataFrame) -> DataFrame:
     """Prose on every record: under its own class, or under none if it is no candidate; every seventh under both classes."""
     high, medium = F.concat(F.lit("High-priority vessels seen today ("), "id", F.lit(").")), F.concat(F.lit("Medium priority detections "), "id", F.lit("."))
     wrong = F.concat(F.lit("High-priority vessels seen today ("), "id", F.lit("). Then medium priority detections "), "id", F.lit("."))
-    own = F.when(F.col("classification") == "high_priority", high).when(F.col("classification") == "medium_priority", medium).otherwise(F.concat(F.lit("Other vessels seen today ("), "id", F.lit(").")))
+    own = F.when(F.col("classification") == "high_priority", high).when(F.col("classification") == "medium_priority", medium)
+    own = own.otherwise(F.concat(F.lit("Other vessels seen today ("), "id", F.lit(").")))
     return rows.select(F.concat(F.lit("S"), "ord").alias("scene_id"), F.when(F.col("ord") % 7 == 0, wrong).otherwise(own).alias("prose"))
 
 
@@ -251,7 +252,7 @@ def priority_claims(spark, d):
     """Claims in templated prose over all records: every seventh record is listed under a wrong class, all others rightly."""
     rows = records(spark, d)
     own = rows.withColumn("scene_id", F.concat(F.lit("S"), "ord"))
-    return validate.wrong_claims(claimed_prose(rows), own, "narrative", "V14a").select("scene_id", "severity", "rule")
+    return validate.wrong_claims(claimed_prose(rows), own, "narrative", "V14a").select("scene_id", "severity", "rule", "message")
 
 
 @query
@@ -266,83 +267,117 @@ def json_repair_parse(spark, d):
 # --- validation ------------------------------------------------------------------------------------------------------------
 
 
-def mutated_briefs(rows: DataFrame) -> DataFrame:
-    """A brief for every candidate, spoiled in a way that its ord decides."""
-    m = F.col("brief_ord") % 16
-    own = harness.clean_briefs(rows, CONFIG).drop("brief_ord").join(rows.select("scene_id", "id", F.col("ord").alias("brief_ord"), "lat", "lon"), ["scene_id", "id"]).filter(m != 14)
-    say = lambda k, value, other: F.when(m == k, value).otherwise(other)
-    return own.select(
-        "scene_id", "brief_ord", say(13, F.lit("D-none"), F.col("id")).alias("id"), F.when(m == 5, F.concat_ws(", ", F.col("lat") + 0.05, "lon")).when(m == 6, "unknown").otherwise(F.col("position")).alias("position"), say(8, F.lit("low"), F.col("priority")).alias("priority"),
-        F.when(m == 9, F.array_append("indicators", F.lit("nets were also seen being hauled by the crew"))).when(m == 11, F.array(F.lit("zone"))).when(m == 12, F.array(F.lit("qqqqq wwwww kkkkk jjjjj zzzzz xxxxx"))).otherwise(F.col("indicators")).alias("indicators"),
-        F.when(m == 4, F.concat("regulation_concerned", F.lit(" and Regulation 1224/2009"))).when(m == 7, "").otherwise(F.col("regulation_concerned")).alias("regulation_concerned"),
-        F.when(m == 3, "seize the vessel and all of its gear").when(m == 10, "12.5 km from base").otherwise(F.col("suggested_action")).alias("suggested_action"), F.when(m == 1, " ").when(m == 2, "the vessel is below 15 m").otherwise(F.col("caveat")).alias("caveat"),
-    )
+def judged(spark, d: str) -> DataFrame:
+    """Records, assessed once for all rules."""
+    return harness.once(records(spark, d))
+
+
+def all_report_issues(spark, d: str) -> DataFrame:
+    """Issues of a brief a record, with a fault planted in most, and of a narrative a scene."""
+    rows = judged(spark, d)
+    return validate.report_issues(harness.given(harness.planted_briefs(rows, CONFIG)), harness.spoiled_prose(rows), rows, CONFIG)
 
 
 @query
 def report_issues(spark, d):
-    rows = records(spark, d)
-    prose = spark.createDataFrame([("S", "Several detections carry concurring indicators.")], "scene_id string, prose string")
-    return validate.report_issues(mutated_briefs(rows), prose, rows, CONFIG).groupBy("rule", "severity").agg(F.count("*").alias("n"))
+    """Every issue of the reports, with its message."""
+    return all_report_issues(spark, d).select("scene_id", "place", "rule", "severity", "message")
+
+
+@query
+def issue_listing(spark, d):
+    """The text of each scene's issues, in order."""
+    events = detections(spark, d).select("scene_id")
+    return validate.listing(all_report_issues(spark, d).filter("rule in ('V13', 'V14a', 'V14b')"), events)
+
+
+@query
+def report_gate(spark, d):
+    """Whether a scene's report is held back."""
+    return validate.has_blockers(all_report_issues(spark, d))
 
 
 @query
 def missing_briefs(spark, d):
-    rows = records(spark, d)
-    return validate.missing_briefs(mutated_briefs(rows), rows).select("severity", "place")
+    rows = judged(spark, d)
+    return validate.missing_briefs(harness.given(harness.planted_briefs(rows, CONFIG)), rows).select("severity", "place", "message")
 
 
 @query
 def foreign_anchors(spark, d):
     """Briefs whose regulation carries another detection's anchors."""
-    rows = records(spark, d)
-    return validate.brief_issues(mutated_briefs(rows), rows, CONFIG).filter("rule = 'V8'").select("place", "severity")
-
-
-def mutated_ranking(rows: DataFrame) -> DataFrame:
-    m = F.col("ord") % 8
-    own = dossier.candidates(rows).filter(m != 2).select("scene_id", F.col("ord").alias("rank_ord"), "id", F.when(m == 1, "seen at 9999.9 m").otherwise(F.get(F.col("potential_indicators"), F.lit(0))["reason"]).alias("reason"))
-    others = rows.filter("ord % 50 = 0 and classification not in ('high_priority', 'medium_priority')").select("scene_id", F.col("ord").alias("rank_ord"), "id", F.lit("worth a look").alias("reason"))
-    return own.unionByName(others)
+    rows = judged(spark, d)
+    issues = validate.brief_issues(harness.given(harness.planted_briefs(rows, CONFIG)), rows, CONFIG)
+    return issues.filter("rule = 'V8'").select("place", "severity", "message")
 
 
 @query
 def prioritisation_issues(spark, d):
-    rows = records(spark, d)
-    prose = dossier.silent(rows).groupBy("scene_id").agg(F.min_by("id", "ord").alias("s")).select("scene_id", F.concat(F.lit("activity near "), "s").alias("prose"))
-    return validate.prioritisation_issues(mutated_ranking(rows), prose, rows).groupBy("rule", "severity").agg(F.count("*").alias("n"))
+    """Every issue of a ranking of all records, with faults planted in it, and of a narrative a scene."""
+    rows = judged(spark, d)
+    issues = validate.prioritisation_issues(harness.given(harness.planted_ranking(rows)), harness.spoiled_prose(rows), rows)
+    return issues.select("scene_id", "place", "rule", "severity", "message")
 
 
 @query
 def omitted_candidates(spark, d):
-    rows = records(spark, d)
-    return responses.omitted(dossier.candidates(rows), mutated_ranking(rows)).select("id", "classification")
+    rows = judged(spark, d)
+    return responses.omitted(dossier.candidates(rows), harness.given(harness.planted_ranking(rows))).select("id", "classification")
 
 
 @query
 def unknown_ids(spark, d):
     """Ranked ids that are not in the dossier, or are there without being candidates."""
-    rows = records(spark, d)
-    ranked = mutated_ranking(rows).withColumn("id", F.when(F.col("rank_ord") % 9 == 0, F.concat(F.lit("X-"), "id")).otherwise(F.col("id")))
-    prose = harness.clean_prose(rows)
-    return validate.prioritisation_issues(ranked, prose, rows).filter("rule = 'Q2'").select("place", F.col("message").contains("not in the dossier").alias("absent"))
+    rows = judged(spark, d)
+    found = validate.ranking_issues(harness.given(harness.planted_ranking(rows)), rows).filter("rule = 'Q2'")
+    return found.select("place", F.col("message").contains("not in the dossier").alias("absent"))
 
 
 @query
 def top_severity(spark, d):
-    rows = records(spark, d)
-    briefs = mutated_briefs(rows)
-    issues = validate.brief_issues(briefs, rows, CONFIG).select("place", "severity")
-    outputs = briefs.select(F.concat(F.lit("brief "), "id").alias("place")).distinct()
-    return validate.top_severity(issues, outputs, ["place"]).groupBy("severity").agg(F.count("*").alias("n"))
+    """The worst severity of each brief."""
+    rows = judged(spark, d)
+    briefs = harness.given(harness.planted_briefs(rows, CONFIG))
+    issues = validate.brief_issues(briefs, rows, CONFIG).select("scene_id", "place", "severity")
+    outputs = briefs.select("scene_id", F.concat(F.lit("brief "), "id").alias("place")).distinct()
+    return validate.top_severity(issues, outputs, ["scene_id", "place"])
+
+
+@query
+def passed_briefs(spark, d):
+    rows = judged(spark, d)
+    briefs = harness.given(harness.planted_briefs(rows, CONFIG))
+    outputs = briefs.select("scene_id", F.concat(F.lit("brief "), "id").alias("place")).distinct()
+    return validate.passed(validate.brief_issues(briefs, rows, CONFIG).select("scene_id", "place", "severity"), outputs, ["scene_id", "place"])
 
 
 @query
 def catch_rate(spark, d):
-    """The corpus of mutations, one copy of all records a case."""
+    """Which faults, planted in a brief and a rank of every record, their rules find."""
     return harness.catch_rate(harness.verdicts(records(spark, d), CONFIG))
 
 
+@query
+def structure_issues(spark, d):
+    """Answers of every shape: keys left out, candidates that are no list or carry no id."""
+    k = F.col("event_id") % 6
+    items = F.when(k == 0, '[{"id": "a"}]').when(k == 1, '"none"').when(k == 2, '[{"id": "a"}, {"rank": 1}, 3, {"id": ""}]').when(k == 3, "null").when(k == 4, "{}").otherwise("[]")
+    keys = F.when(F.col("event_id") % 4 == 0, ', "limitations": []').otherwise(', "observed_pattern": "", "overall_recommendation": "", "limitations": [], "ais_not_applicable": []')
+    doc = F.when(F.col("event_id") % 11 == 0, "{}").otherwise(F.concat(F.lit('{"prioritised_candidates": '), items, keys, F.lit("}")))
+    answers = read(spark, d, "events").select(F.col("event_id").cast("string").alias("scene_id"), F.parse_json(doc).alias("doc"))
+    return validate.structure_issues(answers).select("scene_id", "severity", "message")
+
+
+@query
+def odd_spaces(spark, d):
+    """White space of every kind, at both ends of a text and inside of patterns."""
+    k = (F.col("event_id") % 5).cast("int")
+    gap = F.element_at(F.array(*(F.lit(c) for c in (" ", "\t", "\u00a0", "\n", "\u2003"))), k + 1)
+    rows = read(spark, d, "events").select("event_id", "event_type", F.concat(gap, "event_type", gap, F.lit("Article"), gap, F.lit("10"), gap).alias("t"), F.concat(F.lit("é"), F.lit("ais"), gap).alias("u"))
+    action = F.concat(F.lit("7,5"), gap, F.lit("km off: "), "event_type", gap)
+    return rows.select("event_id", F.char_length(T.stripped("t")).alias("n"), T.mentions_ais(F.col("t")).alias("cited"), T.mentions_ais(F.col("u")).alias("inner"), T.instruction(action).alias("rest"))
+
+
 @query
 def latency_median(spark, d):
     rows = read(spark, d, "events").select(F.col("event_type").alias("stage"), (F.col("value") / 1000).alias("seconds"))

@@ -1,4 +1,4 @@
-"""A small scene with known results, as literals."""
+"""A small scene with known results, as literals: fixed values all of them, down to ROWS, ZONES and CONFIG."""
 
 from skerry.schemas import Config, Season, Weights, Zone
 

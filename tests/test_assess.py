@@ -1,3 +1,4 @@
+from dataclasses import replace
 from datetime import date
 
 import pytest
@@ -8,6 +9,7 @@ from skerry.operators import assess, dossier, harness, spatial
 from skerry.schemas import Config, Season, Zone
 from tests import demo
 
+# What is known of the scene in demo.py.
 GOLDEN = [  # id, firm, degraded, notes, score, class, suppressed, km
     ("D-004", 2, 0, 0, 70, "high_priority", False, 40.77), ("D-010", 2, 0, 0, 70, "high_priority", False, 38.0), ("D-006", 2, 0, 0, 60, "high_priority", False, 78.21), ("D-001", 1, 0, 1, 50, "medium_priority", False, 71.04),
     ("D-002", 1, 0, 1, 50, "medium_priority", False, 68.15), ("D-008", 1, 0, 0, 50, "medium_priority", False, 102.56), ("D-005", 1, 0, 0, 30, "medium_priority", True, 44.02), ("D-013", 0, 0, 2, 0, "fixed_structure", False, 70.36),
@@ -110,11 +112,27 @@ def test_seasons_and_bad_dates(spark):
     assert local == date(2024, 1, 11)  # the date as written, not in UTC
 
 
-def test_corpus_is_caught(spark):
-    found = harness.verdicts(demo.records(spark), demo.CONFIG).collect()
-    assert len(found) == 15 and [r["case"] for r in found if not r["ok"]] == []
-    rates = {r["family"]: (r["hits"], r["total"]) for r in harness.catch_rate(harness.verdicts(demo.records(spark), demo.CONFIG)).collect()}
-    assert rates["adversarial"] == (12, 12) and rates["overall"] == (15, 15)
+def test_every_fault_is_caught_on_every_record(spark):
+    """The scene once for each turn of the faults, so every record carries each that applies to it."""
+    turns = len(harness.BRIEF_FAULTS)
+    base = demo.detections(spark)
+    rows = base.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(turns - 1)))).withColumns({"scene_id": F.concat(F.lit("S"), "t"), "ord": F.col("ord") + F.col("t")}).drop("t")
+    found = harness.verdicts(assess.assess(rows, demo.ZONES, demo.CONFIG, demo.structures(spark)), demo.CONFIG)
+    seen = found.collect()
+    assert len(seen) == 2 * turns * len(demo.ROWS) and [r for r in seen if not r["ok"]] == []
+    faults = {f.name for f in (*harness.BRIEF_FAULTS, *harness.RANKING_FAULTS)}
+    assert {r["fault"] for r in seen} - {None} == faults
+    rules = {"V0", "V1", "V2", "VA", "VB", "VC", "V3", "V3b", "V4", "V5", "V6", "V7", "V8", "V8b", "V9", "V10", "V11", "V12a", "V12b", "V13", "Q2", "Q3", "Q5"}
+    assert {r["expected"] for r in seen} - {None} == rules
+    rates = {r["family"]: (r["hits"], r["total"]) for r in harness.catch_rate(found).collect()}
+    assert rates["overall"] == (len(seen), len(seen)) and rates["adversarial"][1] + rates["control"][1] == len(seen)
+
+
+def test_a_missed_fault_is_counted(spark):
+    """A rule that finds nothing lowers the rate: without the config's language the wording of indicators is not compared."""
+    mute = replace(demo.CONFIG, output_language="Spanish")
+    rates = {r["family"]: (r["hits"], r["total"]) for k in (3, 9) for r in harness.catch_rate(harness.verdicts(demo.records(spark), mute, shift=k)).collect()}
+    assert any(hits < total for hits, total in rates.values())
 
 
 def test_document(spark):

@@ -110,6 +110,23 @@ def test_text_functions(spark):
         assert value(spark, T.mentions_ais(F.col("t")), t=text) is want
 
 
+@pytest.mark.parametrize("gap", ["\t", "\n", "\u00a0", "\u2003", "\x1c"])
+def test_white_space_of_every_kind(spark, records, gap):
+    assert value(spark, T.stripped("t"), t=f"{gap}high{gap}{gap}") == "high" and value(spark, T.stripped("t"), t=None) == ""
+    assert value(spark, T.mentions_ais(F.col("t")), t=f"Article{gap}10") is True
+    assert value(spark, T.instruction(F.col("t")), t=f"7,5{gap}km off: board it{gap}") == "board it"
+    base = clean(records, "D-004")
+    spoil = lambda **change: rules(spark, records, [tuple((base | change).values())])
+    assert spoil(priority=f"HIGH{gap}") == set()
+    assert {r for _, r, _ in spoil(caveat=gap * 3)} == {"VA"}
+    assert {r for _, r, _ in spoil(caveat=f"it is below{gap}15 m")} == {"VB"}
+
+
+def test_words_end_where_unicode_says(spark):
+    for text, want in (("éais", False), ("aisé", False), ("AIS.", True), ("¿ais?", True)):
+        assert value(spark, T.mentions_ais(F.col("t")), t=text) is want, text
+
+
 def test_feed(spark):
     entries = [
         {"id": "A", "detect_lat": 36.7, "detect_lon": -7.0, "length_m": 34.0, "matched_category": "matched", "fishing_score": 0.9, "mmsi": "224000", "shipname": "N", "flag": "ESP", "geartype": "trawlers"}, {"id": "B", "lat": 36.5, "lon": -6.75, "length_m": 22.0, "matched_category": "unmatched", "is_fishing": True},
@@ -186,7 +203,7 @@ def test_split_and_labels(spark):
     assert sorted(parts.values()) == ["train"] * 4 + ["val"] * 2 and parts == {r["name"]: r["part"] for r in dataset.split(names, 0.34).collect()}
     assert [r["part"] for r in dataset.split(names.limit(1), 0.34).collect()] == ["train"]
     bad = dataset.label_problems(spark.createDataFrame([("f", 1, "0 1.5 0.5 0.2 0.2"), ("f", 2, " "), ("f", 3, "0 .5 .5 .1 .1")], "path string, line_no int, line string"))
-    assert [tuple(r) for r in bad.collect()] == [("f", 1, "coordinate outside [0,1]")]
+    assert [tuple(r) for r in bad.collect()] == [("f", 1, "a coordinate is not a share of the chip")]
     with pytest.raises(ValueError, match="f:1"):
         dataset.check(bad)
 
@@ -194,6 +211,9 @@ def test_split_and_labels(spark):
 def test_listing_and_gate(spark, records):
     issues = validate.missing_briefs(spark.createDataFrame([], "scene_id string, id string"), records)
     assert "[BLOCKER] brief D-004" in validate.listing(issues).first()["text"] and validate.has_blockers(issues).first()["blocked"]
+    text = {r["scene_id"]: r["text"] for r in validate.listing(issues, spark.createDataFrame([("S",), ("T",)], "scene_id string")).collect()}
+    assert text["T"] == "Output validation: no issues" and text["S"].startswith("Output validation: 7 issue(s)")
+    assert tuple(validate.passed(issues, issues.select("scene_id", "place").distinct(), ["scene_id", "place"]).first()) == (7, 0)
     lines = present.dossier_lines(records, "S", demo.CONFIG)
     assert any("D-010" in x for x in lines) and present.brief_lines(harness.clean_briefs(records, demo.CONFIG))
     times = spark.createDataFrame(pd.DataFrame(harness.timed({"a": lambda: None}, 3), columns=["stage", "run", "seconds"]))
