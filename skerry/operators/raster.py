@@ -1,15 +1,18 @@
 """Raster front-end: moving sums, speckle filter, constant-false-alarm detection, blobs and labels.
 
 Pixels are rows (chip_id, row, col, value); rows_n and cols_n are a chip's size. Moving sums are two separable windows over
-pixels mirrored at the edges (without repeating the edge), so a chip of any size is spread over its rows and columns.
+pixels mirrored at the edges (without repeating the edge). Pixels are dealt by chip once, and all windows keep to that; with
+whole_chips=False they are dealt by row and by column instead, so one chip of any size is spread over many tasks.
 """
 
 from __future__ import annotations
 
-from collections import deque
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,10 +77,10 @@ def box_sum(pixels: DataFrame, values: dict[str, Column], radius: int) -> DataFr
     return _pass(rows, "row", "col", "rows_n", list(values), radius)
 
 
-def lee(pixels: DataFrame, enl: float = 4.0, radius: int = LEE_RADIUS) -> DataFrame:
+def lee(pixels: DataFrame, enl: float = 4.0, radius: int = LEE_RADIUS, whole_chips: bool = True) -> DataFrame:
     """With filtered: the local mean, moved to the pixel where the neighbourhood varies more than speckle does."""
     n = (2 * radius + 1) ** 2
-    rows = box_sum(pixels, {"_s": F.col("value"), "_q": F.col("value") * F.col("value")}, radius)
+    rows = box_sum(pixels.repartition("chip_id") if whole_chips else pixels, {"_s": F.col("value"), "_q": F.col("value") * F.col("value")}, radius)
     mean = F.col("_s") / n
     var = F.greatest(F.col("_q") / n - mean * mean, F.lit(0.0))
     ratio = F.when(mean > 0, var / F.nullif(mean * mean, F.lit(0.0))).otherwise(F.lit(0.0))
@@ -93,49 +96,82 @@ def cfar(filtered: DataFrame, config: Cfar) -> DataFrame:
     return both.withColumn("background", background).withColumn("hit", F.col("filtered") > F.col("background") * config.alpha).drop("_o", "_g")
 
 
+def label_runs(chip: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Numbers, from 1 in each chip, of the eight-connected components of pixels sorted by chip, row and column.
+
+    Neighbours are found by search among the sorted pixels; roots of neighbours are hooked to the smaller one and paths
+    halved until none differ, so the number of rounds is logarithmic and all chips are labelled together.
+    """
+    n = len(chip)
+    wide, high = int(col.max()) + 2, int(row.max()) + 2
+    key = (chip.astype(np.int64) * high + row) * wide + col
+    ends = []
+    for step in (1, wide - 1, wide, wide + 1):
+        at = np.minimum(np.searchsorted(key, key + step), n - 1)
+        found = np.flatnonzero(key[at] == key + step)
+        ends.append((found, at[found]))
+    a, b = (np.concatenate([e[k] for e in ends]) for k in (0, 1))
+    root = np.arange(n)
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            break
+        np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (root[root] != root).any():
+            root = root[root]
+    roots, place = np.unique(root, return_inverse=True)
+    own = chip[roots]
+    return (np.arange(len(roots)) - np.searchsorted(own, own) + 1)[place]
+
+
 def components(hits: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """chip_id, row, col, blob and the columns to keep: eight-connected components, numbered from 1 by their first pixel in reading order.
 
-    Runs once a chip over its pixels above the threshold; components never cross chips.
+    Chips are whole within a partition and their pixels sorted; what a batch ends with is carried into the next one.
     """
+    own = hits.select("chip_id", F.col("row").cast("int"), F.col("col").cast("int"), *keep)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema)
 
-    def label(pixels: pd.DataFrame) -> pd.DataFrame:
-        pixels = pixels.sort_values(["row", "col"], ignore_index=True)
-        left = {(r, c): k for k, (r, c) in enumerate(zip(pixels["row"], pixels["col"], strict=True))}
-        blob, now = [0] * len(pixels), 0
-        for start, k in list(left.items()):
-            if blob[k]:
+    def labelled(rows: pa.Table) -> list[pa.RecordBatch]:
+        chip = rows["chip_id"].combine_chunks().dictionary_encode().indices
+        blob = label_runs(np.asarray(chip), rows["row"].to_numpy(), rows["col"].to_numpy())
+        return rows.append_column("blob", pa.array(blob, pa.int32())).combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            now += 1
-            blob[k], queue = now, deque([start])
-            while queue:
-                r, c = queue.popleft()
-                for y in (r - 1, r, r + 1):
-                    for x in (c - 1, c, c + 1):
-                        other = left.get((y, x))
-                        if other is not None and not blob[other]:
-                            blob[other] = now
-                            queue.append((y, x))
-        return pixels.assign(blob=blob)
+            held = pa.concat_tables([*([held] if held is not None else []), pa.Table.from_batches([batch])])
+            last = held["chip_id"][-1].as_py()
+            same = pc.equal(held["chip_id"], last).to_numpy(zero_copy_only=False)
+            done = held.num_rows - int(same[::-1].argmin() if not same.all() else len(same))
+            if done:
+                yield from labelled(held.slice(0, done))
+                held = held.slice(done)
+        if held is not None:
+            yield from labelled(held)
 
-    own = hits.select("chip_id", F.col("row").cast("int"), F.col("col").cast("int"), *keep)
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema)
-    return own.groupBy("chip_id").applyInPandas(label, f"{kinds}, blob int")
+    return own.repartition("chip_id").sortWithinPartitions("chip_id", "row", "col").mapInArrow(run, f"{kinds}, blob int")
 
 
-def blobs(pixels: DataFrame, config: Cfar = Cfar(), affine: Affine = Affine()) -> DataFrame:
+def blobs(pixels: DataFrame, config: Cfar = Cfar(), affine: Affine = Affine(), whole_chips: bool = True) -> DataFrame:
     """Detections: position, length, confidence, pixel box. Numbers count small blobs too, which are left out afterwards."""
-    found = cfar(lee(pixels, config.enl), config).filter("hit")
+    found = cfar(lee(pixels, config.enl, whole_chips=whole_chips), config).filter("hit")
     marked = components(found, ("value", "background", "rows_n", "cols_n"))
     weighted = lambda c: F.sum(F.col(c) * F.col("value")) / F.sum("value")
     rows = marked.groupBy("chip_id", "blob", "rows_n", "cols_n").agg(
-        F.count("*").cast("int").alias("area_px"), weighted("row").alias("row_c"), weighted("col").alias("col_c"), F.min("row").alias("row_min"), F.max("row").alias("row_max"), F.min("col").alias("col_min"), F.max("col").alias("col_max"),
+        F.count("*").cast("int").alias("area_px"), weighted("row").alias("row_c"), weighted("col").alias("col_c"),
+        *(f(c).alias(f"{c}_{n}") for c in ("row", "col") for n, f in (("min", F.min), ("max", F.max))),
         F.max(F.col("value") / F.col("background")).alias("peak"),
     ).filter(F.col("area_px") >= config.min_area_px)
     extent = F.greatest(F.col("row_max") - F.col("row_min"), F.col("col_max") - F.col("col_min")) + 1
+    lat, lon = affine.origin_lat - F.col("row_c") * affine.pixel_deg_lat, affine.origin_lon + F.col("col_c") * affine.pixel_deg_lon
     return rows.select(
-        "chip_id", "blob", "rows_n", "cols_n", F.format_string("S1-%03d", "blob").alias("id"), F.round(affine.origin_lat - F.col("row_c") * affine.pixel_deg_lat, 5).alias("lat"), F.round(affine.origin_lon + F.col("col_c") * affine.pixel_deg_lon, 5).alias("lon"),
-        F.round(extent * config.pixel_spacing_m, 1).alias("estimated_length_m"), F.round(1 - F.exp(-F.col("peak") / 10), 3).alias("detection_confidence"), F.round("row_c", 1).alias("row"), F.round("col_c", 1).alias("col"), "area_px", "row_min", "row_max", "col_min", "col_max",
+        "chip_id", "blob", "rows_n", "cols_n", F.format_string("S1-%03d", "blob").alias("id"), F.round(lat, 5).alias("lat"), F.round(lon, 5).alias("lon"),
+        F.round(extent * config.pixel_spacing_m, 1).alias("estimated_length_m"), F.round(1 - F.exp(-F.col("peak") / 10), 3).alias("detection_confidence"),
+        F.round("row_c", 1).alias("row"), F.round("col_c", 1).alias("col"), "area_px", "row_min", "row_max", "col_min", "col_max",
     )
 
 
@@ -168,6 +204,18 @@ def recalled(truth: DataFrame, detections: DataFrame, slack: float = 2.0) -> Dat
     return truth.join(d, (F.col("chip_id") == F.col("_c")) & (F.abs(F.col("row") - F.col("_r")) <= slack) & (F.abs(F.col("col") - F.col("_x")) <= slack), "left_semi")
 
 
+def draw_targets(chips: DataFrame, size: int = 256, seed: int = 0, least: int = 2, most: int = 5, margin: int = 12) -> DataFrame:
+    """Targets (chip_id, row, col, amplitude) of chips (chip_id): between least and most a chip, from seeded hashes, away from
+    the edges and each in a column band of its own, so that no two touch."""
+    number = F.lit(least) + F.pmod(F.xxhash64(F.lit(seed), "chip_id"), F.lit(most - least + 1))
+    rows = chips.withColumn("_n", number.cast("int")).select("chip_id", "_n", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_k"))
+    drawn = lambda what, n: F.pmod(F.xxhash64(F.lit(seed), F.lit(what), "chip_id", "_k"), n).cast("int")
+    band = F.floor(F.lit(size - 2 * margin) / F.col("_n")).cast("int")
+    col = F.lit(margin) + F.col("_k") * band + drawn("col", F.greatest(band - 4, F.lit(1)))
+    row = F.lit(margin) + drawn("row", F.lit(size - 2 * margin))
+    return rows.select("chip_id", row.alias("row"), col.cast("int").alias("col"), (F.lit(40.0) + drawn("amplitude", F.lit(400)) / 10).alias("amplitude"))
+
+
 def synthetic(spark, targets: DataFrame, size: int = 256, clutter: float = 1.0, seed: int = 0) -> DataFrame:
     """Pixels of chips with exponential clutter; targets (chip_id, row, col, amplitude) bleed 40 % into four neighbours."""
     chips = targets.select("chip_id").distinct()

@@ -387,7 +387,7 @@ def latency_median(spark, d):
 
 # --- raster and data sets ------------------------------------------------------------------------------------------------------
 
-SMALL = raster.Cfar(pfa=0.05, guard_radius=1, train_radius=2, enl=4.0, min_area_px=1)
+SMALL = raster.Cfar(pfa=0.05, guard_radius=1, train_radius=2, enl=4.0, min_area_px=2)
 
 
 def chips(spark, d: str) -> DataFrame:
@@ -398,7 +398,7 @@ def chips(spark, d: str) -> DataFrame:
 
 @query
 def box_sum(spark, d):
-    return raster.box_sum(chips(spark, d), {"s": F.col("value")}, 2).select("chip_id", "row", "col", F.round("s", 6).alias("s"))
+    return raster.box_sum(chips(spark, d).repartition("chip_id"), {"s": F.col("value")}, 2).select("chip_id", "row", "col", F.round("s", 6).alias("s"))
 
 
 @query
@@ -413,7 +413,7 @@ def cfar_mask(spark, d):
 
 @query
 def blobs(spark, d):
-    return raster.blobs(chips(spark, d), SMALL).select("chip_id", "id", "area_px", "row_min", "row_max", "col_min", "col_max", "estimated_length_m")
+    return raster.blobs(chips(spark, d), SMALL).drop("blob", "rows_n", "cols_n")
 
 
 @query

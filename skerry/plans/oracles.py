@@ -224,11 +224,12 @@ lee AS (SELECT chip_id, row, col, value, mean + least(greatest(1.0e0 - 0.25e0 /
 _ALPHA = "(16 * (pow(0.05e0, -1.0e0 / 16) - 1.0e0))"
 _CFAR = f"""{_LEE}, {_box("bo", "lee", "filtered", 2)}, {_box("bg", "lee", "filtered", 1)},
 cf AS (SELECT chip_id, row, col, value, (bo.s - bg.s) / 16 AS background, filtered > (bo.s - bg.s) / 16 * {_ALPHA} AS hit FROM lee JOIN bo USING (chip_id, row, col) JOIN bg USING (chip_id, row, col))"""
-_BLOBS = f"""{_CFAR}, hit AS (SELECT chip_id, row, col, row * 8 + col AS k FROM cf WHERE hit),
+_BLOBS = f"""{_CFAR}, hit AS (SELECT chip_id, row, col, row * 8 + col AS k, value, background FROM cf WHERE hit),
 reach AS (SELECT chip_id, k AS node, k AS seen FROM hit UNION SELECT r.chip_id, r.node, b.k FROM reach AS r JOIN hit AS a ON a.chip_id = r.chip_id AND a.k = r.seen JOIN hit AS b ON b.chip_id = a.chip_id AND abs(b.row - a.row) <= 1 AND abs(b.col - a.col) <= 1),
 lab AS (SELECT chip_id, node AS k, min(seen) AS first_k FROM reach GROUP BY ALL),
 num AS (SELECT *, dense_rank() OVER (PARTITION BY chip_id ORDER BY first_k) AS blob FROM lab),
-blob AS (SELECT chip_id, blob, count(*) AS area, min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1 FROM num JOIN hit USING (chip_id, k) GROUP BY ALL)"""
+blob AS (SELECT chip_id, blob, count(*) AS area, min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1, sum(row * value) / sum(value) AS rc, sum(col * value) / sum(value) AS cc, max(value / background) AS peak
+  FROM num JOIN hit USING (chip_id, k) GROUP BY ALL HAVING count(*) >= 2)"""
 
 ORACLES |= {
     "invariant_tokens": f"SELECT doc_id, unnest({_anchors("coalesce(text, '')")}) AS token FROM documents",
@@ -269,7 +270,8 @@ SELECT section, stage, round(sum(s), 9) AS seconds, round(sum(s) / 100, 11) AS p
     "box_sum": f"WITH {_CHIPS}, {_box('bx', 'px', 'value', 2)} SELECT chip_id, row, col, round(s, 6) AS s FROM bx",
     "lee_filter": f"WITH {_LEE} SELECT chip_id, row, col, round(filtered, 6) AS filtered FROM lee",
     "cfar_mask": f"WITH {_CFAR} SELECT chip_id, count(*) FILTER (hit) AS hits, round(avg(background), 6) AS background FROM cf GROUP BY chip_id",
-    "blobs": f"WITH RECURSIVE {_BLOBS} SELECT chip_id, printf('S1-%03d', blob) AS id, CAST(area AS INTEGER) AS area_px, r0 AS row_min, r1 AS row_max, c0 AS col_min, c1 AS col_max, round((greatest(r1 - r0, c1 - c0) + 1) * 10.0e0, 1) AS estimated_length_m FROM blob",
+    "blobs": f"""WITH RECURSIVE {_BLOBS} SELECT chip_id, printf('S1-%03d', blob) AS id, CAST(area AS INTEGER) AS area_px, r0 AS row_min, r1 AS row_max, c0 AS col_min, c1 AS col_max, round((greatest(r1 - r0, c1 - c0) + 1) * 10.0e0, 1) AS estimated_length_m,
+round(36.9e0 - rc * 0.00009e0, 5) AS lat, round(-7.2e0 + cc * 0.00011e0, 5) AS lon, round(1 - exp(-peak / 10), 3) AS detection_confidence, round(rc, 1) AS row, round(cc, 1) AS col FROM blob""",
     "yolo_boxes": f"""WITH RECURSIVE {_BLOBS}, bx AS (SELECT chip_id, blob, greatest(r0 - 1, 0) AS y0, least(r1 + 1, 7) AS y1, greatest(c0 - 1, 0) AS x0, least(c1 + 1, 7) AS x1 FROM blob)
 SELECT chip_id, CAST(blob AS INTEGER) AS blob, printf('0 %.6f %.6f %.6f %.6f', (x0 + x1 + 1) / 2 / 8, (y0 + y1 + 1) / 2 / 8, (x1 - x0 + 1) / 8, (y1 - y0 + 1) / 8) AS line FROM bx""",
     "pixel_boxes": """WITH p AS (SELECT p_partkey AS chip_id, p_partkey % 30 AS a, p_partkey % 60 AS b, least(p_partkey % 30 + p_partkey % 5, 31) AS c, least(p_partkey % 60 + p_partkey % 7, 63) AS e FROM part),

@@ -185,6 +185,47 @@ def test_raster(spark, tmp_path):
         raster.detect(pixels, "other")
 
 
+def brute_components(pixels):
+    """Numbers by a walk from each pixel in reading order."""
+    number, now = {}, 0
+    for start in sorted(pixels):
+        if start in number:
+            continue
+        now += 1
+        todo = [start]
+        while todo:
+            r, c = todo.pop()
+            if (r, c) in pixels and (r, c) not in number:
+                number[r, c] = now
+                todo += [(r + y, c + x) for y in (-1, 0, 1) for x in (-1, 0, 1)]
+    return number
+
+
+def test_components_against_a_walk(spark):
+    rng = np.random.default_rng(4)
+    images = {f"c{k}": {(int(r), int(c)) for r, c in zip(*np.nonzero(rng.random((9 + k, 14)) < 0.2 + 0.1 * k), strict=True)} for k in range(5)}
+    images["snake"] = {(r, c) for r in range(0, 40, 2) for c in range(30)} | {(r, 29 if r % 4 == 1 else 0) for r in range(1, 39, 2)}
+    rows = [(name, r, c) for name, own in images.items() for r, c in own]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")  # chips are cut by batches
+    try:
+        found = raster.components(spark.createDataFrame(rows, "chip_id string, row int, col int")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(r["chip_id"], r["row"], r["col"]): r["blob"] for r in found} == {(n, *at): b for n, own in images.items() for at, b in brute_components(own).items()}
+    assert raster.components(spark.createDataFrame([], "chip_id string, row int, col int")).count() == 0
+
+
+def test_drawn_targets_are_found_whichever_way_pixels_are_dealt(spark):
+    chips = spark.createDataFrame([(f"t{k}",) for k in range(4)], "chip_id string")
+    targets = raster.draw_targets(chips, size=96, seed=7)
+    assert {2 <= r["count"] <= 5 for r in targets.groupBy("chip_id").count().collect()} == {True}
+    assert sorted(targets.collect()) == sorted(raster.draw_targets(chips.repartition(3), size=96, seed=7).collect())
+    pixels = raster.synthetic(spark, targets, size=96, seed=3)
+    found = [sorted(raster.blobs(pixels, whole_chips=own).select("chip_id", "id", "area_px").collect()) for own in (True, False)]
+    assert found[0] == found[1] and len(found[0]) >= targets.count()
+    assert raster.recalled(targets, raster.blobs(pixels)).count() == targets.count()
+
+
 def test_targets_are_found(spark):
     truth = [("c", 40, 60, 60.0), ("c", 90, 20, 45.0), ("c", 20, 90, 80.0), ("c", 75, 75, 55.0)]
     targets = spark.createDataFrame(truth, "chip_id string, row int, col int, amplitude double")
