@@ -76,17 +76,33 @@ def raw_bytes(column: pa.Array) -> list[bytes]:
 GROUP_BYTES = 1 << 22
 
 
-def text_groups(column: pa.Array, size: int = GROUP_BYTES) -> Iterator[list[bytes]]:
-    """The UTF-8 bytes of a text column in runs of size bytes or one text, so that what is made of a run stays small."""
+def row_groups(column: pa.Array, size: int = GROUP_BYTES) -> Iterator[tuple[int, int]]:
+    """Start and length of runs of rows that hold size bytes of a text column, or of one row, so what is made of them stays small."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     at = 0
     while at < len(column):
         before = sizes[at - 1] if at else 0
         end = max(at + 1, int(np.searchsorted(sizes, before + size, side="right")))
-        yield raw_bytes(column.slice(at, end - at))
+        yield at, end - at
         at = end
 
 
+def text_groups(column: pa.Array, size: int = GROUP_BYTES) -> Iterator[list[bytes]]:
+    """The UTF-8 bytes of a text column by row_groups."""
+    for at, n in row_groups(column, size):
+        yield raw_bytes(column.slice(at, n))
+
+
+def with_last(df: DataFrame, column: str) -> DataFrame:
+    """df with a column moved to the end, so that functions on batches find it there and it travels once."""
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c != column), F.col(f"`{column}`"))
+
+
+def as_before(made: DataFrame, df: DataFrame, *new: str) -> DataFrame:
+    """The columns of df in their order, then the new ones."""
+    return made.select(*(F.col(f"`{c}`") for c in (*df.columns, *new)))
+
+
 def names_of(schema: str) -> list[str]:
     """The column names of a flat schema string."""
     return [x.split()[0] for x in schema.split(", ")]

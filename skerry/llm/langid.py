@@ -125,18 +125,15 @@ class Parser:
     def __init__(self, model: dict) -> None:
         self.names, self.spell = model["names"], Speller()
         self.codes = np.zeros((len(self.names), 256), dtype=np.int32)
-        tables, roots, at = [np.zeros(1, dtype=np.int32)], [], 1
+        used = [np.unique(c) for _, c, _ in model["parts"]]
+        states = [int(t.max(initial=0)) + 1 for _, _, t in model["parts"]]
+        roots = np.cumsum([1, *(n * (len(u) + 1) for n, u in zip(states, used, strict=True))])
+        self.next, roots = np.zeros(roots[-1], dtype=np.int32), roots[:-1].tolist()
         for k, (s, c, t) in enumerate(model["parts"]):
-            used = np.unique(c)
-            self.codes[k, used] = np.arange(1, len(used) + 1)
-            width, states = len(used) + 1, int(t.max(initial=0)) + 1
-            own = np.zeros((states, width), dtype=np.int32)
-            own[s, self.codes[k, c]] = t * width + at
-            tables.append(own.ravel())
-            roots.append(at)
-            at += states * width
-        self.next = np.concatenate(tables)
-        self.root = np.array(roots, dtype=np.int32)[:, None]
+            width = len(used[k]) + 1
+            self.codes[k, used[k]] = np.arange(1, width)
+            self.next[s * width + self.codes[k, c] + roots[k]] = t * width + roots[k]
+        self.root = np.array(roots, dtype=np.int32).reshape(-1, 1)
         first = self.next[self.root + self.codes] if roots else np.zeros((0, 256), dtype=np.int32)
         self.unseen = (first == 0).astype(np.int32)
         self.start = np.where(first == 0, self.root, first) if roots else first
@@ -194,26 +191,19 @@ class Parser:
 def identify(df: DataFrame, model: dict, text: str = "text", out: str = "lang_pred", score: str = "lang_score") -> DataFrame:
     """df with the predicted language and its score as last columns."""
     out, score = common.free_names(df, out, score)
-    (given,) = common.free_names(df, "_text")
-    own = df.withColumn(given, F.col(f"`{text}`"))
+    own = common.with_last(df, text)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = Parser(shared.value)
         for batch in batches:
-            found: list[tuple[str, float]] = []
-            held, size = [], 0
-            for t in batch.column(batch.num_columns - 1):
-                held.append(t.as_py() or "")
-                size += len(held[-1])
-                if size > GROUP_BYTES:
-                    found += parser.predict(held)
-                    held, size = [], 0
-            found += parser.predict(held)
-            arrays = [*batch.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:-1], out, score])
-
-    return common.map_batches(own, run, f"{common.ddl(df)}, `{out}` string, `{score}` double")
+            for at, n in common.row_groups(batch.column(batch.num_columns - 1), GROUP_BYTES):
+                rows = batch.slice(at, n)
+                found = parser.predict([t or "" for t in rows.column(rows.num_columns - 1).to_pylist()])
+                arrays = [*rows.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*rows.schema.names, out, score])
+
+    return common.as_before(common.map_batches(own, run, f"{common.ddl(own)}, `{out}` string, `{score}` double"), df, out, score)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

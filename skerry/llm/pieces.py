@@ -28,7 +28,8 @@ SPACE = "▁"
 FALLBACK_PENALTY = 10.0
 NEVER = -1e8
 """Pieces at or below this score are spelled out by design of the file; they do not set the fallback."""
-MEMO_CHUNKS, MEMO_CHARS = 300_000, 64
+MEMO_CHUNKS, MEMO_CHARS = 200_000, 64
+DECODE_ROWS = 1000
 
 
 def load(path: str = MODEL) -> dict:
@@ -126,7 +127,8 @@ class Decoder:
     def decode(self, ids: pa.ListArray) -> list[bytes | None]:
         """The texts of a column of ids: all pieces are gathered into one buffer, which the rows then share out."""
         starts = np.asarray(ids.offsets)
-        flat = self.of.take(ids.values)
+        first, starts = starts[0], starts - starts[0]  # ids may be a slice
+        flat = self.of.take(ids.values.slice(first, starts[-1]))
         ends = np.frombuffer(flat.buffers()[1], dtype=np.int32)[flat.offset :][starts].tolist()
         data = memoryview(flat.buffers()[2] or b"")
         return [data[a + 1 : b].tobytes() if ok else None for a, b, ok in zip(ends, ends[1:], ids.is_valid().to_pylist(), strict=False)]
@@ -140,35 +142,38 @@ def _ids_array(found: list, valid: list[bool]) -> pa.ListArray:
 
 def encode(df: DataFrame, model: dict, text: str = "text", ids: str = "piece_ids", score: str = "piece_score") -> DataFrame:
     """df with the columns ids (array of int) and score at the end; where df has such a name, theirs end in underscores."""
-    ids, score, given = common.free_names(df, ids, score, "_text")
-    own = df.withColumn(given, F.col(f"`{text}`"))
+    ids, score = common.free_names(df, ids, score)
+    own = common.with_last(df, text)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            given = texts.to_pylist()
-            found = [encoder.encode(t) if t is not None else (b"", None) for t in given]
-            arrays = [*batch.columns[:-1], _ids_array([f[0] for f in found], [t is not None for t in given]), pa.array([f[1] for f in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:-1], ids, score])
+            for at, n in common.row_groups(batch.column(batch.num_columns - 1)):
+                rows = batch.slice(at, n)
+                given = rows.column(rows.num_columns - 1).to_pylist()
+                found = [encoder.encode(t) if t is not None else (b"", None) for t in given]
+                arrays = [*rows.columns, _ids_array([f[0] for f in found], [t is not None for t in given]), pa.array([f[1] for f in found], pa.float64())]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*rows.schema.names, ids, score])
 
-    return common.map_batches(own, run, f"{common.ddl(df)}, `{ids}` array<int>, `{score}` double")
+    return common.as_before(common.map_batches(own, run, f"{common.ddl(own)}, `{ids}` array<int>, `{score}` double"), df, ids, score)
 
 
 def decode(df: DataFrame, model: dict, ids: str = "piece_ids", text: str = "decoded") -> DataFrame:
     """df with the column text, put together from the ids, at the end; where df has such a name, its name ends in underscores."""
-    text, given = common.free_names(df, text, "_ids")
-    own = df.withColumn(given, F.col(f"`{ids}`"))
+    (text,) = common.free_names(df, text)
+    own = common.with_last(df, ids)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(shared.value)
         for batch in batches:
-            texts = decoder.decode(batch.column(batch.num_columns - 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.binary()).cast(pa.string())], names=[*batch.schema.names[:-1], text])
+            for at in range(0, batch.num_rows, DECODE_ROWS):
+                rows = batch.slice(at, DECODE_ROWS)
+                texts = decoder.decode(rows.column(rows.num_columns - 1))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(texts, pa.binary()).cast(pa.string())], names=[*rows.schema.names, text])
 
-    return common.map_batches(own, run, f"{common.ddl(df)}, `{text}` string")
+    return common.as_before(common.map_batches(own, run, f"{common.ddl(own)}, `{text}` string"), df, text)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -55,6 +55,26 @@ def test_pieces_round_trip(spark):
     assert pieces.encode(rows.limit(0), model).count() == 0
 
 
+def test_pieces_of_many_rows(spark):
+    """More rows than are decoded at a time, with nulls among them, and columns of the names that the operator gives."""
+    model = pieces.load()
+    rows = spark.range(2500).selectExpr("id as doc_id", "if(id % 7 = 0, null, concat('row ', id, ' ünd more')) as text", "'mine' as piece_ids", "'too' as decoded", "3 as _ids").coalesce(1)
+    coded = pieces.encode(rows, model)
+    made = pieces.decode(coded, model, ids="piece_ids_")
+    assert made.columns == ["doc_id", "text", "piece_ids", "decoded", "_ids", "piece_ids_", "piece_score", "decoded_"]
+    found = made.collect()
+    assert len(found) == 2500 and all(r["decoded_"] == r["text"] and r["piece_ids"] == "mine" for r in found)
+
+
+def test_pieces_query(spark, tmp_path):
+    rows = [(1, "some text", "en", "s"), (2, None, "en", "s"), (3, "", None, None), (4, "x" * 30_000, "en", "s"), (4, "x" * 30_000, "en", "s"), (None, "some text", "en", "s")]
+    found = queries.QUERIES["op7_sentencepiece"](spark, parquet(spark, tmp_path, rows)).collect()
+    assert len(found) == 6 and all(r["round_trip"] for r in found)
+    by = {r["doc_id"]: r for r in found}
+    assert (by[1]["n_chars"], by[2]["n_pieces"], by[3]["n_pieces"], by[4]["n_chars"]) == (9, 0, 0, 30_000)
+    assert by[None]["ids_hash"] == by[1]["ids_hash"] and queries.QUERIES["op7_sentencepiece"](spark, parquet(spark, tmp_path / "e", [])).count() == 0
+
+
 # --- language
 
 
