@@ -1 +1,8 @@
 """Spark-native triage analytics: spatial cross-referencing, rule validation and raster detection."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to executors by value, so a cluster needs no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -93,6 +93,11 @@ def suitability(season: Column, light: Column, spring: Column, dark_at: float) -
     return F.when(~season, "out_of_season").when(dark & tide, "high").when(dark | tide, "moderate").otherwise("low")
 
 
+ROLE = "ranks days and zones for observation; it is no indicator against a vessel and no part of any score"
+SCOPE = "the fishery works from shore and small craft, which the radar cannot see; the signal is about where to look, not who was seen"
+CROSS_CHECK = "times of high water and of darkness come from the authority's own tables for the estuary"
+
+
 def conditions(scenes, config, timestamp: str = "timestamp"):
     """Scenes with their environmental context: season, moon, tide tendency, suitability and why."""
     ts = F.col(timestamp)
@@ -100,7 +105,7 @@ def conditions(scenes, config, timestamp: str = "timestamp"):
     rows = scenes.withColumn("_turn", phase(instant(ts))).withColumn("_light", illumination(turn)).withColumn("_tide", spring_index(turn))
     rows = rows.withColumn("in_season", in_season(scene_date(ts), config.season)).withColumn("moon_phase", phase_name(turn)).withColumn("suitability", suitability(F.col("in_season"), light, tide, config.dark_illumination))
     window = f"{config.season.start} to {config.season.end}"
-    percent = F.format_string("%.0f%%", light * 100)
+    percent = F.concat(F.bround(light * 100, 0).cast("int").cast("string"), F.lit("%"))
     why = (
         F.when(F.col("suitability") == "out_of_season", F.lit(f"outside the season ({window}): the moon raises no priority while the fishery is closed"))
         .when(F.col("suitability") == "high", F.concat("moon_phase", F.lit(": dark night ("), percent, F.lit(" lit) with spring tides, in season")))
@@ -108,4 +113,5 @@ def conditions(scenes, config, timestamp: str = "timestamp"):
         .otherwise(F.concat("moon_phase", F.lit(": bright night ("), percent, F.lit(" lit) near neap tides")))
     )
     rows = rows.withColumns({"season_window": F.lit(window), "moon_illumination": F.round(light, 3), "darkness_favourability": F.round(1 - light, 3), "spring_tide_tendency": F.round(tide, 3), "rationale": why})
+    rows = rows.withColumns({k: F.lit(v) for k, v in (("role", ROLE), ("sensor_scope", SCOPE), ("cross_check_required", CROSS_CHECK))})
     return rows.drop("_turn", "_light", "_tide")

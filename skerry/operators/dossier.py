@@ -113,7 +113,7 @@ def document(records: DataFrame, scenes: DataFrame, zones: list[Zone], config: C
     regulated = F.array(*(F.struct(F.lit(z.id).alias("id"), F.lit(z.name).alias("name"), F.lit(z.type).alias("type"), F.array(*(F.lit(g) for g in z.prohibited_gear)).cast("array<string>").alias("prohibited_gear"), temporal.closure_active(z, F.col("day")).alias("closure_active")) for z in zones))
     shut = [F.when(temporal.closure_active(z, F.col("day")), F.struct(F.lit(z.name).alias("zone"), F.lit(z.closure[2]).alias("reason"))) for z in zones if z.closure]
     head = temporal.conditions(scenes.withColumn("day", temporal.scene_date(F.col("timestamp"))), config)
-    env = ("in_season", "season_window", "moon_phase", "moon_illumination", "darkness_favourability", "spring_tide_tendency", "suitability", "rationale")
+    env = ("in_season", "season_window", "moon_phase", "moon_illumination", "darkness_favourability", "spring_tide_tendency", "suitability", "rationale", "role", "sensor_scope", "cross_check_required")
     base = F.struct(*(F.lit(v).alias(n) for n, v in zip(("lat", "lon", "name"), config.base, strict=True))) if config.base else F.lit(None).cast("string")
     head = head.select("scene_id", F.struct(
         F.struct(*(c for c in scenes.columns if c != "scene_id")).alias("scene"), F.col("day").cast("string").alias("analysis_date"), F.struct(*env).alias("environmental_context"), F.lit(config.study_area).alias("study_area"),

@@ -7,7 +7,6 @@ never copied. What carries no fault is a control and must stay without issues, u
 
 from __future__ import annotations
 
-import tempfile
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 
 from skerry.operators import dossier, validate
 from skerry.schemas import CANDIDATES, Config
+from skerry.sources.files import once
 
 CONTROL = "control"
 
@@ -143,17 +143,6 @@ def given(planted: DataFrame) -> DataFrame:
     return planted.filter(~F.col("left_out")).drop("fault", "family", "expected", "left_out")
 
 
-def once(records: DataFrame) -> DataFrame:
-    """Assessed once, in spark.checkpoint.dir: rules read records several times."""
-    sc = records.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        where = records.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if where is None and not sc.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(where or "file://" + tempfile.mkdtemp(prefix="skerry-checkpoint-"))
-    return records.checkpoint(eager=True)
-
-
 def verdicts(records: DataFrame, config: Config, shift: int = 0) -> DataFrame:
     """scene_id, ord, kind (brief or ranking), fault, family, expected and ok of every planted output."""
     records = once(records)

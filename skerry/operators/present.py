@@ -5,15 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skerry.functions import temporal
 from skerry.functions import text as T
 from skerry.operators import dossier
-from skerry.schemas import Config
+from skerry.schemas import Config, Zone
+
+
+def head_lines(scenes: DataFrame, scene_id: str, zones: list[Zone], config: Config, detections: int) -> list[str]:
+    """What stands above a scene's listings: scenes (scene_id, timestamp)."""
+    row = temporal.conditions(scenes.filter(F.col("scene_id") == scene_id), config).withColumn("day", temporal.scene_date(F.col("timestamp")))
+    shut = dossier.active_closures(row.select("scene_id", "day"), zones).collect()
+    env = row.first()
+    out = [f"Study area {config.study_area or '-'}, scene of {env['timestamp']}", f"{detections} detections"]
+    out.append(f"AIS is compulsory above {config.ais_length_threshold_m} m; lengths are known to {config.length_sigma_m} m")
+    out += [f"Conditions ({env['moon_phase']}): {env['suitability']}; {env['rationale']}", f"  {env['role']}"]
+    out += [f"Closed: {r['zone']} ({r['reason']})" for r in shut]
+    if config.base:
+        out.append(f"Base: {config.base[2]}" + (f", radius {config.patrol_radius_km} km" if config.patrol_radius_km is not None else ""))
+    return out
 
 
-def dossier_lines(records: DataFrame, scene_id: str, config: Config) -> list[str]:
-    """A scene's summary, candidates, patrol, what lies below the threshold, and what was suppressed."""
+def dossier_lines(records: DataFrame, scene_id: str, config: Config, scenes: DataFrame | None = None, zones: list[Zone] = ()) -> list[str]:
+    """A scene's summary, candidates, patrol, what lies below the threshold, and what was suppressed; with scenes, its head."""
     own = records.filter(F.col("scene_id") == scene_id)
-    out = [f"Dossier of {scene_id}", "", "Classes:"]
+    out = [f"Dossier of {scene_id}", *(head_lines(scenes, scene_id, list(zones), config, own.count()) if scenes is not None else ()), "", "Classes:"]
     out += [f"  {r['classification']:<28}{r['n']}" for r in dossier.summary(own).orderBy("rank").collect()]
     out.append("\nCandidates:")
     rows = dossier.ordered(dossier.with_distance(dossier.candidates(own), config)).orderBy("pos")

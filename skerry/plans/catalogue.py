@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skerry.functions import geo, temporal
 from skerry.functions import text as T
 from skerry.operators import assess, dataset, dossier, harness, raster, responses, spatial, validate
-from skerry.plans.derive import CONFIG, GEOMETRY, ZONES, detections, read, structures
+from skerry.plans.derive import CONFIG, GEOMETRY, REGULATION, ZONES, detections, read, structures
 from skerry.schemas import Season
+from skerry.sources import feed, files, scenes
 
 QUERIES: dict = {}
 
@@ -447,3 +451,235 @@ def labelled_chips(spark, d):
     images = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("stem"))
     labels = read(spark, d, "labels").select(F.col("doc_id").cast("string").alias("stem"))
     return dataset.by_label(images, labels).groupBy("labelled").agg(F.count("*").alias("n"))
+
+
+# --- sources and sinks ---------------------------------------------------------------------------------------------------------
+
+
+def scratch(spark, name: str) -> str:
+    """A folder of its own in the folder that driver and executors share."""
+    return f"{files.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def scene_files(spark, d: str) -> str:
+    """Detections as scene documents, one a day."""
+    path = scratch(spark, "scenes")
+    scenes.write_documents(detections(spark, d), path, source="radar", mode="survey", area=CONFIG.study_area)
+    return path
+
+
+_READ = ("scene", "ord", "id", "day", "lat", "lon", "estimated_length_m", "fishing_score", "ais_matched", "likely_gear")
+
+
+def _read_back(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"scene": F.regexp_extract("scene_id", r"([^/]+)\.json$", 1), "day": F.col("day").cast("string")}).select(*_READ)
+
+
+@query
+def scene_documents(spark, d):
+    """Scene documents, written and read back; ord is the place in the document."""
+    return _read_back(scenes.detection_rows(scenes.read_scenes(spark, scene_files(spark, d))))
+
+
+@query
+def strict_scenes(spark, d):
+    """The same by the reader that takes no number for granted."""
+    return _read_back(scenes.read_strict_scenes(spark, scene_files(spark, d)))
+
+
+@query
+def dispatched_source(spark, d):
+    """The local source of the dispatcher, and the feed that falls back to it."""
+    path = scene_files(spark, d)
+    local, fallen = scenes.load_detections(spark, path, "local"), scenes.load_detections(spark, path, "feed")
+    return _read_back(local).withColumn("source", F.lit("local")).unionByName(_read_back(fallen).withColumn("source", F.lit("feed"))).select("source", "scene", "id")
+
+
+@query
+def scene_conditions(spark, d):
+    """The environment of every scene, from its document's timestamp."""
+    rows = scenes.scene_rows(scenes.read_scenes(spark, scene_files(spark, d)))
+    rows = temporal.conditions(rows, CONFIG).withColumn("day", temporal.scene_date(F.col("timestamp")).cast("string"))
+    return rows.select("day", "in_season", "season_window", "moon_phase", "moon_illumination", "darkness_favourability", "spring_tide_tendency", "suitability", "rationale")
+
+
+def regulation_file(spark, d: str) -> str:
+    """The regulation as a document, with suppliers as its structures."""
+    path = scratch(spark, "regulation")
+    item = F.struct("id", "name", "type", "lat", "lon", "match_radius_m")
+    own = structures(spark, d).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", item.alias("s")))), lambda x: x.s).alias("fixed_structures"))
+    listed = json.loads(own.select(F.to_json(F.struct("fixed_structures"))).first()[0])
+    files.write_text(spark, path, "regulation.json", json.dumps(REGULATION | listed))
+    return f"{path}/regulation.json"
+
+
+@query
+def regulated_structures(spark, d):
+    _, _, rows = scenes.regulations(spark, regulation_file(spark, d))
+    return rows
+
+
+@query
+def regulated_zones(spark, d):
+    """Detections in the zones of the document."""
+    _, zones, _ = scenes.regulations(spark, regulation_file(spark, d))
+    return spatial.literal_zone_hits(detections(spark, d), zones, ["ord"])
+
+
+def feed_bodies(spark, d: str) -> DataFrame:
+    """Answers of a feed, one a day: entries under changing names, and in changing envelopes."""
+    e = detections(spark, d).withColumn("k", F.col("ord") % 5)
+    say = lambda k, name, value: F.when(F.col("k") == k, F.concat(F.lit(f'"{name}": '), value)).otherwise(F.lit(None))
+    text, word = lambda c: F.col(c).cast("string"), lambda c: F.concat(F.lit('"'), F.col(c), F.lit('"'))
+    parts = [
+        *(say(k, n, text("lat")) for k, n in ((0, "detect_lat"), (1, "lat"), (2, "latitude"), (3, "lat"), (4, "detect_lat"))),
+        *(say(k, n, text("lon")) for k, n in ((0, "detect_lon"), (1, "lon"), (2, "longitude"), (3, "lon"), (4, "detect_lon"))),
+        *(say(k, n, text("estimated_length_m")) for k, n in ((0, "length_m"), (1, "estimated_length_m"), (2, "length"), (4, "length_m"))),
+        say(0, "id", word("id")), say(1, "detect_id", word("id")), say(2, "detection_id", word("id")), say(4, "id", F.lit("0")),
+        say(0, "fishing_score", text("fishing_score")), say(1, "is_fishing", (F.col("fishing_score") >= 0.5).cast("string")), say(2, "score", text("fishing_score")), say(4, "vessel_class", F.lit('"Fishing vessel"')),
+        say(0, "matched_category", F.when(F.col("ais_matched"), '"matched"').when(~F.col("ais_matched"), '"unmatched"').otherwise('"discrepancy"')),
+        say(1, "matched", F.col("ais_matched").cast("string")), say(2, "match_category", F.when(F.col("ais_matched"), '"matched"').otherwise("null")),
+        say(0, "geartype", word("likely_gear")), say(0, "ssvid", word("id")), say(0, "shipname", word("id")), say(0, "flag", F.lit('"ESP"')), say(0, "speed", F.lit("3.5")),
+    ]
+    entry = F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*parts)), ", "), F.lit("}"))
+    entry = F.when(F.col("k") == 4, F.concat(F.lit('{"properties": '), entry, F.lit("}"))).otherwise(entry)
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", entry.alias("t")))), lambda x: x.t), ", ")
+    turn = F.dayofmonth("day") % 4
+    body = F.when(turn == 0, F.concat(F.lit("["), "t", F.lit("]"))).otherwise(F.concat(F.lit('{"n": 1, "'), F.element_at(F.array(F.lit("entries"), F.lit("data"), F.lit("features")), F.greatest(turn, F.lit(1))), F.lit('": ['), "t", F.lit("]}")))
+    return e.groupBy("day").agg(listed.alias("t")).select("day", body.alias("body"))
+
+
+_FED = ("day", "ord", "id", "lat", "lon", "estimated_length_m", "ais_matched", "fishing_score", "speed_kn", "likely_gear", "mmsi", "vessel_name", "flag")
+
+
+def mapped_feed(answers: DataFrame) -> DataFrame:
+    """Detections of answers (day, body) with usable; every day is mapped by itself."""
+    entries = scenes.feed_entries(answers)
+    return scenes.map_feed(entries, keep=("day",)).withColumn("day", F.col("day").cast("string"))
+
+
+@query
+def feed_detections(spark, d):
+    """The feed through its reader, a request a day; what lacks position, length or a sign of activity is left out."""
+    path = scratch(spark, "feed")
+    bodies = feed_bodies(spark, d)
+    files.write_files(bodies.select(F.concat(F.col("day").cast("string"), F.lit(".json")).alias("name"), F.encode("body", "utf-8").alias("content")), path)
+    first, last = bodies.agg(F.min("day").cast("string"), F.max("day").cast("string")).first()
+    feed.register(spark)
+    answers = spark.read.format("detection_feed").options(url=f"{path}/{{day}}.json", start=first, end=last).load()
+    return scenes.usable(mapped_feed(answers)).select(*_FED)
+
+
+@query
+def feed_skipped(spark, d):
+    return scenes.skipped(mapped_feed(feed_bodies(spark, d)))
+
+
+@query
+def dossier_documents(spark, d):
+    """Parts of each scene's dossier as JSON, with and without the full list of records."""
+    rows, heads = judged(spark, d), scenes.scene_rows(scenes.read_scenes(spark, scene_files(spark, d)))
+    heads = heads.withColumn("scene_id", F.regexp_extract("scene_id", r"([^/]+)\.json$", 1))
+    made = [dossier.document(rows, heads, ZONES, CONFIG, keep_records=keep).withColumn("kept", F.lit(keep)) for keep in (True, False)]
+    doc = made[0].unionByName(made[1])
+    at = lambda p: F.get_json_object("dossier", p)
+    count = lambda p: F.coalesce(F.json_array_length(at(p)), F.lit(-1))
+    return doc.select(
+        "scene_id", "kept", at("$.total_detections").cast("long").alias("total"), count("$.records").alias("records"), count("$.inspection_candidates").alias("candidates"),
+        count("$.ais_indicator_suppressed").alias("suppressed"), count("$.fixed_structure_suppressed").alias("fixed"), count("$.patrol_sequence").alias("stops"), count("$.active_closures").alias("closures"),
+        at("$.inspection_candidates[0].id").alias("first_candidate"), at("$.patrol_sequence[0].id").alias("first_stop"), at("$.analysis_date").alias("analysis_date"), at("$.environmental_context.suitability").alias("suitability"),
+    )
+
+
+@query
+def map_layers(spark, d):
+    """Per scene the centre of its view; for every zone its outline with longitude first, and its centre."""
+    rows = detections(spark, d)
+    lat, lon = geo.mean_centre(F.col("lat"), F.col("lon"))
+    views = rows.groupBy(F.col("scene_id").alias("layer")).agg(F.round(lat, 6).alias("lat"), F.round(lon, 6).alias("lon")).withColumn("outline", F.lit(None).cast("string"))
+    outlines = spark.createDataFrame([(z.id, *(float(x) for x in geo.centroid(z.polygon)), [[float(a), float(b)] for a, b in z.polygon]) for z in ZONES], "layer string, lat double, lon double, ring array<array<double>>")
+    drawn = outlines.select("layer", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), F.to_json(geo.flip(F.col("ring"))).alias("outline"))
+    return views.unionByName(drawn)
+
+
+@query
+def run_archive(spark, d):
+    """Issues archived as JSON lines, a scene a line, and read back."""
+    path = scratch(spark, "archive")
+    issues = validate.listing(all_report_issues(spark, d).filter("rule = 'V13'"), detections(spark, d).select("scene_id"))
+    scenes.write_archive(issues.withColumn("n", F.size(F.split("text", "\n")) - 1), path)
+    return spark.read.schema("scene_id string, text string, n int").json(path).select("scene_id", "n")
+
+
+def data_set(spark, d: str) -> str:
+    """Chips, labels and manifest as a data set of files."""
+    path, own = scratch(spark, "dataset"), chips(spark, d)
+    dataset.write_dataset(own, raster.label_lines(raster.blobs(own, SMALL)), path)
+    return path
+
+
+@query
+def chip_files(spark, d):
+    """Chips as .npy files, read back pixel by pixel."""
+    path = scratch(spark, "chips")
+    scenes.write_chips(chips(spark, d), path)
+    return scenes.read_chips(spark, path).groupBy("chip_id", "rows_n", "cols_n").agg(F.count("*").alias("n"), F.round(F.sum(F.col("value") * (F.col("row") * 8 + F.col("col"))), 6).alias("weighed"))
+
+
+@query
+def label_files(spark, d):
+    """Label files of a data set, by stem and line."""
+    return scenes.read_labels(spark, f"{data_set(spark, d)}/labels").select("stem", "line_no", "line")
+
+
+@query
+def manifest_totals(spark, d):
+    rows = scenes.read_manifest(spark, f"{data_set(spark, d)}/manifest.json")
+    at = lambda p: F.get_json_object("manifest", p)
+    return rows.select(at("$.chips").cast("long").alias("chips"), at("$.candidate_labels_total").cast("long").alias("labels"), dataset.pending().alias("pending"))
+
+
+@query
+def prepared_dataset(spark, d):
+    """The labelled chips of a data set, split in two."""
+    return dataset.prepare(spark, data_set(spark, d), 0.34, 7).select("name", "part")
+
+
+@query
+def answer_attempts(spark, d):
+    """Two attempts a scene: the first that parses counts, where none does the last is kept."""
+    k = F.col("event_id") % 4
+    good, cut = F.concat(F.lit('{"n": '), F.col("event_id"), F.lit("}")), F.lit('{"n": 1')
+    rows = read(spark, d, "events").select(F.col("event_id").cast("string").alias("scene_id"), F.lit("analyst").alias("agent"), F.explode(F.array(
+        F.struct(F.lit(1).alias("attempt"), F.when(k.isin(0, 1), good).otherwise(cut).alias("raw")), F.struct(F.lit(2).alias("attempt"), F.when(k.isin(0, 2), good).otherwise("sorry").alias("raw")),
+    )).alias("a")).select("scene_id", "agent", "a.*")
+    chosen = responses.first_parsed(rows).select("scene_id", "attempt", F.lit("parsed").alias("state"))
+    lost = responses.dead_letters(rows).select("scene_id", "attempt", F.col("failure").alias("state"))
+    return chosen.unionByName(lost)
+
+
+@query
+def best_attempts(spark, d):
+    """Of two rankings a scene the one that omits fewer candidates; the first wins a tie."""
+    rows = judged(spark, d)
+    listed = lambda keep: F.concat(F.lit('{"prioritised_candidates": ['), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("ord", "id")))), lambda x: F.concat(F.lit('{"id": "'), x["id"], F.lit('"}'))), ", "), F.lit("]}"))
+    every, odd = dossier.candidates(rows), F.col("ord") % 3 != 0
+    said = every.groupBy("scene_id").agg(listed(odd).alias("one"), listed(~odd).alias("two")).select("scene_id", F.posexplode(F.array("one", "two")).alias("k", "raw"))
+    answers = said.select("scene_id", (F.col("k") + 1).alias("attempt"), F.parse_json("raw").alias("doc"))
+    return responses.best_attempt(every, answers).select("scene_id", "attempt", "omitted")
+
+
+@query
+def recalled_targets(spark, d):
+    """Parts as true targets, events' detections as found: those with one within two pixels."""
+    truth = read(spark, d, "part").select((F.col("p_partkey") % 7).alias("chip_id"), (F.col("p_partkey") * 13 % 200).cast("int").alias("row"), (F.col("p_partkey") * 29 % 200).cast("int").alias("col"))
+    found = read(spark, d, "supplier").select((F.col("s_suppkey") % 7).alias("chip_id"), (F.col("s_suppkey") * 17 % 200).alias("row"), (F.col("s_suppkey") * 31 % 200).alias("col"))
+    return raster.recalled(truth, found)
+
+
+@query
+def document_positions(spark, d):
+    """Positions given as an object or as a text, parsed and shown."""
+    given = F.when(F.col("ord") % 3 == 0, F.concat(F.lit('{"lat": '), "lat", F.lit(', "lon": "'), "lon", F.lit('"}'))).when(F.col("ord") % 3 == 1, F.concat_ws(", ", "lat", "lon")).otherwise(F.lit("not known"))
+    rows = detections(spark, d).select("ord", given.alias("g"))
+    return rows.select("ord", T.position(F.col("g"))["lat"].alias("lat"), T.position(F.col("g"))["lon"].alias("lon"), T.position_text(F.col("g")).alias("shown"))

@@ -18,6 +18,19 @@ CONFIG = Config(
     ais_length_threshold_m=15.0, fishing_score_threshold=0.7, length_sigma_m=2.0, length_sigma_k=1.0, vms_length_threshold_m=12.0,
     ais_legal_basis="Article 10(1), Council Regulation (EC) No 1224/2009", base=(36.53, -6.29, "patrol base"), patrol_radius_km=60.0, study_area="Gulf", season=Season("01-15", "01-25"),
 )
+# The same configuration as a document.
+REGULATION = {
+    "_note": "thresholds in metres",
+    "config": {
+        "ais_length_threshold_m": CONFIG.ais_length_threshold_m, "fishing_score_threshold": CONFIG.fishing_score_threshold, "length_sigma_m": CONFIG.length_sigma_m,
+        "vms_length_threshold_m": CONFIG.vms_length_threshold_m, "ais_legal_basis": CONFIG.ais_legal_basis, "patrol_radius_km": CONFIG.patrol_radius_km, "study_area": CONFIG.study_area,
+        "patrol_base": dict(zip(("lat", "lon", "name"), CONFIG.base, strict=True)), "environment": {"season": {"start": CONFIG.season.start, "end": CONFIG.season.end}},
+    },
+    "zones": [
+        {"id": z.id, "name": z.name, "type": z.type, "polygon": [list(p) for p in z.polygon], "prohibited_gear": list(z.prohibited_gear), "closure": dict(zip(("start", "end", "reason"), z.closure, strict=True)) if z.closure else None}
+        for z in ZONES
+    ],
+}
 GEOMETRY = {"type": "MultiPolygon", "coordinates": [
     [[[-7.3, 36.3], [-6.8, 36.3], [-6.8, 36.7], [-7.3, 36.7], [-7.3, 36.3]], [[-7.1, 36.4], [-7.0, 36.4], [-7.0, 36.6], [-7.1, 36.6], [-7.1, 36.4]]],
     [[[-6.7, 36.9], [-6.4, 36.9], [-6.5, 37.1], [-6.7, 37.1], [-6.7, 36.9]]],

@@ -283,3 +283,55 @@ UNION ALL SELECT path, unnest(['unknown class 3', 'a coordinate is not a share o
     "split_assignment": "WITH n AS (SELECT doc_id AS name, row_number() OVER (ORDER BY md5('7:' || CAST(doc_id AS VARCHAR)), doc_id) AS k, count(*) OVER () AS n FROM labels) SELECT name, CASE WHEN n > 1 AND k <= greatest(1, floor(n * 0.34e0)) THEN 'val' ELSE 'train' END AS part FROM n",
     "labelled_chips": "SELECT l.doc_id IS NOT NULL AS labelled, count(*) AS n FROM documents AS d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) AS l ON l.doc_id = d.doc_id GROUP BY ALL",
 }
+
+# --- sources and sinks ---------------------------------------------------------------------------------------------------------
+
+_IN_SCENE = "CAST(row_number() OVER (PARTITION BY scene_id ORDER BY ord) - 1 AS BIGINT)"
+_DOCUMENT = f"WITH {DET} SELECT scene_id AS scene, {_IN_SCENE} AS ord, id, CAST(day AS VARCHAR) AS day, lat, lon, estimated_length_m, fishing_score, ais_matched, likely_gear FROM det"
+_WAXING = "['new moon', 'waxing crescent', 'first quarter', 'waxing gibbous', 'full moon', 'waning gibbous', 'last quarter', 'waning crescent']"
+_SEASON = f"{CONFIG.season.start} to {CONFIG.season.end}"
+_MONTH_DAY = lambda x: int(x[:2]) * 100 + int(x[3:])
+_CONDITIONS = f"""WITH {DET}, sc AS (SELECT DISTINCT scene_id, day, date_diff('microsecond', TIMESTAMP '2000-01-06 18:14:00', CAST(day AS TIMESTAMP)) / 86400e6 AS t FROM det),
+tu AS (SELECT *, (t - floor(t / 29.530588853e0) * 29.530588853e0) / 29.530588853e0 AS turn FROM sc),
+li AS (SELECT *, (1.0e0 - cos(2.0e0 * pi() * turn)) / 2 AS light, (cos(4.0e0 * pi() * turn) + 1) / 2 AS tide, month(day) * 100 + day(day) BETWEEN {_MONTH_DAY(CONFIG.season.start)} AND {_MONTH_DAY(CONFIG.season.end)} AS in_season, {_WAXING}[CAST(floor(turn * 8 + 0.5e0) AS BIGINT) % 8 + 1] AS moon_phase FROM tu),
+su AS (SELECT *, CASE WHEN NOT in_season THEN 'out_of_season' WHEN light <= 0.25e0 AND tide >= 0.5e0 THEN 'high' WHEN light <= 0.25e0 OR tide >= 0.5e0 THEN 'moderate' ELSE 'low' END AS suitability, CAST(CAST(round_even(light * 100, 0) AS INTEGER) AS VARCHAR) || '%' AS pct FROM li)"""
+_WHY = f"""CASE suitability WHEN 'out_of_season' THEN 'outside the season ({_SEASON}): the moon raises no priority while the fishery is closed' WHEN 'high' THEN moon_phase || ': dark night (' || pct || ' lit) with spring tides, in season'
+  WHEN 'moderate' THEN moon_phase || ', in season: ' || CASE WHEN light <= 0.25e0 THEN 'a dark night' ELSE 'spring tides' END || ' only' ELSE moon_phase || ': bright night (' || pct || ' lit) near neap tides' END"""
+_FED = f"""WITH {DET}, fe AS (SELECT *, ord % 5 AS k, {_IN_SCENE} AS place FROM det),
+fm AS (SELECT *, CASE k WHEN 0 THEN ais_matched WHEN 1 THEN CASE WHEN ais_matched THEN true END WHEN 2 THEN CASE WHEN ais_matched THEN true END END AS matched,
+  CASE k WHEN 1 THEN CASE WHEN fishing_score >= 0.5 THEN 1.0e0 ELSE 0.0e0 END WHEN 4 THEN 1.0e0 ELSE fishing_score END AS active, k <> 3 AS usable FROM fe)"""
+_CENTRES = ", ".join(f"('{z.id}', {sum(p[0] for p in z.polygon) / len(z.polygon)!r}e0, {sum(p[1] for p in z.polygon) / len(z.polygon)!r}e0, '[{','.join(f'[{b},{a}]' for a, b in z.polygon)}]')" for z in ZONES)
+
+ORACLES |= {
+    "scene_documents": _DOCUMENT,
+    "strict_scenes": _DOCUMENT,
+    "dispatched_source": f"WITH {DET} SELECT s AS source, scene_id AS scene, id FROM det, (VALUES ('local'), ('feed')) AS v(s)",
+    "scene_conditions": f"""{_CONDITIONS} SELECT CAST(day AS VARCHAR) AS day, in_season, '{_SEASON}' AS season_window, moon_phase, round(light, 3) AS moon_illumination, round(1 - light, 3) AS darkness_favourability, round(tide, 3) AS spring_tide_tendency,
+suitability, {_WHY} AS rationale FROM su""",
+    "regulated_structures": """SELECT CAST(row_number() OVER (ORDER BY s_suppkey) - 1 AS BIGINT) AS ord, 'FIX-' || CAST(s_suppkey AS VARCHAR) AS id, s_name AS name, 'platform' AS type, (36200 + (s_suppkey * 6151) % 1000) / 1000.0e0 AS lat, (-7450 + (s_suppkey * 3571) % 1200) / 1000.0e0 AS lon,
+CAST(CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE 300 + (s_suppkey % 5) * 700 END AS DOUBLE) AS match_radius_m FROM supplier""",
+    "regulated_zones": f"WITH {DET}, {HITS} SELECT ord, zone_id FROM hits",
+    "feed_detections": f"""{_FED} SELECT CAST(day AS VARCHAR) AS day, place AS ord, CASE WHEN k = 4 THEN printf('GFW-%04d', place) ELSE id END AS id, lat, lon, estimated_length_m, matched AS ais_matched, active AS fishing_score, CASE WHEN k = 0 THEN 3.5e0 END AS speed_kn,
+CASE WHEN k = 0 AND matched THEN likely_gear ELSE 'unknown' END AS likely_gear, CASE WHEN k = 0 AND matched THEN id END AS mmsi, CASE WHEN k = 0 AND matched THEN id END AS vessel_name, CASE WHEN k = 0 AND matched THEN 'ESP' END AS flag FROM fm WHERE usable""",
+    "feed_skipped": f"{_FED} SELECT count(*) FILTER (usable) AS mapped, count(*) FILTER (NOT usable) AS skipped FROM fm",
+    "dossier_documents": f"""{ASSESS}, {_CONDITIONS.removeprefix(f"WITH {DET}, ")}, st1 AS (SELECT scene_id, id, row_number() OVER (PARTITION BY scene_id ORDER BY {_RANK}, distance_from_base_km, score DESC, ord) AS p FROM rec WHERE {_CANDIDATE} AND distance_from_base_km <= 60.0e0),
+sp AS (SELECT scene_id, count(*) AS stops, arg_min(id, p) AS first_stop FROM st1 GROUP BY scene_id), ca AS (SELECT scene_id, id, row_number() OVER (PARTITION BY scene_id ORDER BY {_ORDER}) AS p FROM rec WHERE {_CANDIDATE}), fc AS (SELECT scene_id, arg_min(id, p) AS first_candidate FROM ca GROUP BY scene_id),
+g AS (SELECT scene_id, any_value(day) AS day, count(*) AS total, count(*) FILTER ({_CANDIDATE}) AS candidates, count(*) FILTER (ais_indicator_suppressed) AS suppressed, count(*) FILTER (classification = 'fixed_structure') AS fixed FROM rec GROUP BY scene_id)
+SELECT scene_id, kept, total, CAST(CASE WHEN kept THEN total ELSE -1 END AS INTEGER) AS records, CAST(candidates AS INTEGER) AS candidates, CAST(suppressed AS INTEGER) AS suppressed, CAST(fixed AS INTEGER) AS fixed, CAST(coalesce(stops, 0) AS INTEGER) AS stops,
+CAST(CASE WHEN {_SHUT.replace("day", "g.day")} THEN 1 ELSE 0 END AS INTEGER) AS closures, first_candidate, first_stop, CAST(g.day AS VARCHAR) AS analysis_date, suitability
+FROM g LEFT JOIN sp USING (scene_id) LEFT JOIN fc USING (scene_id) JOIN su USING (scene_id), (VALUES (true), (false)) AS v(kept)""",
+    "map_layers": f"WITH {DET}, zo AS (SELECT * FROM (VALUES {_CENTRES}) AS v(layer, lat, lon, outline)) SELECT scene_id AS layer, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon, CAST(NULL AS VARCHAR) AS outline FROM det GROUP BY scene_id UNION ALL SELECT layer, round(lat, 6), round(lon, 6), outline FROM zo",
+    "run_archive": f"{ASSESS}, {_SAID}, {_RULES} SELECT scene_id, CAST(count(unsaid.ord) AS INTEGER) AS n FROM (SELECT DISTINCT scene_id FROM det) LEFT JOIN unsaid USING (scene_id) GROUP BY scene_id",
+    "chip_files": f"WITH {_CHIPS} SELECT CAST(chip_id AS VARCHAR) AS chip_id, 8 AS rows_n, 8 AS cols_n, count(*) AS n, round(sum(value * (row * 8 + col)), 6) AS weighed FROM px GROUP BY chip_id",
+    "label_files": f"""WITH RECURSIVE {_BLOBS}, bx AS (SELECT chip_id, blob, greatest(r0 - 1, 0) AS y0, least(r1 + 1, 7) AS y1, greatest(c0 - 1, 0) AS x0, least(c1 + 1, 7) AS x1 FROM blob)
+SELECT CAST(chip_id AS VARCHAR) AS stem, CAST(row_number() OVER (PARTITION BY chip_id ORDER BY blob) AS INTEGER) AS line_no, printf('0 %.6f %.6f %.6f %.6f', (x0 + x1 + 1) / 2 / 8, (y0 + y1 + 1) / 2 / 8, (x1 - x0 + 1) / 8, (y1 - y0 + 1) / 8) AS line FROM bx""",
+    "manifest_totals": f"WITH RECURSIVE {_BLOBS}, c AS (SELECT count(DISTINCT vec_id) AS n FROM embeddings) SELECT n AS chips, (SELECT count(*) FROM blob) AS labels, CAST(n AS INTEGER) AS pending FROM c",
+    "prepared_dataset": f"""WITH RECURSIVE {_BLOBS}, u AS (SELECT DISTINCT CAST(chip_id AS VARCHAR) AS name FROM blob), r AS (SELECT name, row_number() OVER (ORDER BY md5('7:' || name), name) AS k, count(*) OVER () AS n FROM u)
+SELECT name, CASE WHEN n > 1 AND k <= greatest(1, floor(n * 0.34e0)) THEN 'val' ELSE 'train' END AS part FROM r""",
+    "answer_attempts": """SELECT CAST(event_id AS VARCHAR) AS scene_id, CASE WHEN event_id % 4 IN (2, 3) THEN 2 ELSE 1 END AS attempt, CASE WHEN event_id % 4 = 3 THEN 'no object' ELSE 'parsed' END AS state FROM events""",
+    "best_attempts": f"""{ASSESS}, c AS (SELECT scene_id, count(*) FILTER (ord % 3 <> 0) AS odd, count(*) FILTER (ord % 3 = 0) AS even FROM rec WHERE {_CANDIDATE} GROUP BY scene_id)
+SELECT scene_id, CASE WHEN odd >= even THEN 1 ELSE 2 END AS attempt, least(odd, even) AS omitted FROM c""",
+    "recalled_targets": """WITH t AS (SELECT p_partkey % 7 AS chip_id, CAST(p_partkey * 13 % 200 AS INTEGER) AS row, CAST(p_partkey * 29 % 200 AS INTEGER) AS col FROM part), f AS (SELECT s_suppkey % 7 AS c, s_suppkey * 17 % 200 AS r, s_suppkey * 31 % 200 AS x FROM supplier)
+SELECT chip_id, row, col FROM t WHERE EXISTS (SELECT 1 FROM f WHERE c = chip_id AND abs(row - r) <= 2 AND abs(col - x) <= 2)""",
+    "document_positions": f"""WITH {DET} SELECT ord, CASE WHEN ord % 3 < 2 THEN lat END AS lat, CASE WHEN ord % 3 < 2 THEN lon END AS lon, CASE WHEN ord % 3 < 2 THEN CAST(lat AS VARCHAR) || ', ' || CAST(lon AS VARCHAR) ELSE 'not known' END AS shown FROM det""",
+}

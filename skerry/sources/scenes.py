@@ -9,13 +9,20 @@ from datetime import date, timedelta
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skerry.schemas import SCENE_DOCUMENT, STRUCTURES, Config, Season, Weights, Zone
+from skerry.sources import files
 
+# The box of a request, its largest answer, and the data set that is asked for.
 REGION = (-7.40, 36.20, -6.50, 37.15)
 MAX_ROWS = 500
+DATASET = "public-global-sar-presence:latest"
+
+
+DETECTION_FIELDS = ("id", "lat", "lon", "estimated_length_m", "ais_matched", "fishing_score", "speed_kn", "likely_gear", "mmsi", "vessel_name", "flag")
 
 
 def read_scenes(spark: SparkSession, path: str) -> DataFrame:
@@ -45,7 +52,7 @@ def read_strict_scenes(spark: SparkSession, path: str) -> DataFrame:
     that is present but null counts as false, unlike one that is missing."""
     from skerry.functions.temporal import fail, scene_date
 
-    docs = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("scene_id"), F.parse_json("value").alias("v"))
+    docs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("scene_id"), F.parse_json("value").alias("v"))
     rows = docs.select("scene_id", scene_date(F.expr("try_variant_get(v, '$.scene.timestamp', 'string')")).alias("day"), F.posexplode(F.expr("variant_get(v, '$.detections', 'array<variant>')")).alias("ord", "d"))
     get = lambda k, kind: F.try_variant_get("d", f"$.{k}", kind)
     name = F.coalesce(get("id", "string"), F.lit("?"))
@@ -128,7 +135,7 @@ def _number(what: str) -> Column:
     return F.coalesce(*(F.try_variant_get("entry", f"${p}.{n}", "string") for p in ("", ".properties") for n in ALIASES[what])).try_cast("double")
 
 
-def map_feed(entries: DataFrame) -> DataFrame:
+def map_feed(entries: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Entries as detections with usable: whether position, length and a sign of activity are there. Nothing is dropped here.
 
     The match is true, false, or unknown for all that is ambiguous; a boolean false is ambiguous too. Identity and gear are
@@ -146,7 +153,7 @@ def map_feed(entries: DataFrame) -> DataFrame:
     raw_id = _alias("id", "string")
     named = F.when(raw_id.isin("", "0", "false"), F.lit(None)).otherwise(raw_id)
     return entries.select(
-        F.col("entry_no").cast("bigint").alias("ord"), F.coalesce(named, F.format_string("GFW-%04d", "entry_no")).alias("id"), lat.alias("lat"), lon.alias("lon"), length.alias("estimated_length_m"), matched.alias("ais_matched"), fishing.alias("fishing_score"), _number("speed").alias("speed_kn"),
+        *keep, F.col("entry_no").cast("bigint").alias("ord"), F.coalesce(named, F.format_string("GFW-%04d", "entry_no")).alias("id"), lat.alias("lat"), lon.alias("lon"), length.alias("estimated_length_m"), matched.alias("ais_matched"), fishing.alias("fishing_score"), _number("speed").alias("speed_kn"),
         F.coalesce(kept(F.nullif(_alias("gear", "string"), F.lit(""))), F.lit("unknown")).alias("likely_gear"), kept(_alias("mmsi", "string")).alias("mmsi"), kept(F.coalesce(_alias("", "string", ("shipname",)), _alias("", "string", ("vessel_name",)))).alias("vessel_name"),
         kept(_alias("", "string", ("flag",))).alias("flag"), (lat.isNotNull() & lon.isNotNull() & length.isNotNull() & fishing.isNotNull()).alias("usable"),
     )
@@ -167,9 +174,10 @@ def window(end: str | None = None, start: str | None = None) -> tuple[str, str]:
     return start or (last - timedelta(days=1)).isoformat(), last.isoformat()
 
 
-def query_parameters(region: tuple[float, float, float, float] = REGION, start: str | None = None, end: str | None = None, dataset: str = "public-global-sar-presence:latest", limit: int = MAX_ROWS) -> dict[str, str]:
+def query_parameters(region: tuple[float, float, float, float] = REGION, start: str | None = None, end: str | None = None, dataset: str = DATASET, limit: int = MAX_ROWS) -> dict[str, str]:
     """Filters that the source applies itself: box, days, number of rows."""
     first, last = window(end, start)
+    # The names of the parameters.
     return {"datasets[0]": dataset, "start-date": first, "end-date": last, "bbox": ",".join(str(x) for x in region), "limit": str(limit)}
 
 
@@ -208,7 +216,10 @@ def load_detections(spark: SparkSession, path: str, source: str = "local", fetch
 
 
 def read_chips(spark: SparkSession, path: str) -> DataFrame:
-    """Pixels of .npy chips in a folder: chip_id (the file's stem), rows_n, cols_n, row, col, value."""
+    """Pixels of .npy chips in a folder: chip_id (the file's stem), rows_n, cols_n, row, col, value.
+
+    Rows of a chip come in reading order; `chip_paths` gives the chips themselves in order.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select("path", "content")
 
     def pixels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -224,14 +235,49 @@ def read_chips(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(pixels, "chip_id string, rows_n int, cols_n int, row int, col int, value double")
 
 
+def chip_paths(spark: SparkSession, path: str) -> DataFrame:
+    """chip_id and path of the chips in a folder, sorted by name; their contents are not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select("path")
+    return files.select(F.regexp_extract("path", r"([^/]+)\.npy$", 1).alias("chip_id"), "path").orderBy("chip_id")
+
+
+def write_chips(pixels: DataFrame, path: str) -> int:
+    """Write whole chips (chip_id, row, col, value) as <chip_id>.npy below path; their number."""
+
+    def image(key: tuple, table: pa.Table) -> pa.Table:
+        row, col = table["row"].to_numpy(), table["col"].to_numpy()
+        out = np.zeros((int(row.max()) + 1, int(col.max()) + 1))
+        out[row, col] = table["value"].to_numpy()
+        held = io.BytesIO()
+        np.save(held, out)
+        return pa.table({"name": pa.array([f"{key[0].as_py()}.npy"]), "content": pa.array([held.getvalue()], pa.binary())})
+
+    made = pixels.select("chip_id", "row", "col", "value").groupBy("chip_id").applyInArrow(image, "name string, content binary")
+    return files.write_files(made, path)
+
+
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """path, stem, line_no, line of the label files in a folder."""
-    files = spark.read.option("wholetext", True).text(path, pathGlobFilter="*.txt").select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("k", "line"))
-    return files.select("path", F.regexp_extract("path", r"([^/]+)\.txt$", 1).alias("stem"), (F.col("k") + 1).alias("line_no"), "line")
+    whole = spark.read.text(path, wholetext=True, pathGlobFilter="*.txt")
+    lines = whole.select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("k", "line"))
+    return lines.select("path", F.regexp_extract("path", r"([^/]+)\.txt$", 1).alias("stem"), (F.col("k") + 1).alias("line_no"), "line")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("wholetext", True).text(path).withColumnRenamed("value", "manifest")
+    """One row a manifest file; none where there is no such file, which is no error."""
+    if not files.exists(spark, path):
+        return spark.createDataFrame([], "manifest string")
+    return spark.read.text(path, wholetext=True).withColumnRenamed("value", "manifest")
+
+
+def write_documents(detections: DataFrame, path: str, source: str = "", mode: str = "", area: str = "") -> None:
+    """Scene documents that read_scenes reads back, one a scene: detections with scene_id, ord and day, in the order of ord."""
+    fields = [c for c in DETECTION_FIELDS if c in detections.columns]
+    stamp = F.concat(F.col("day").cast("string"), F.lit("T00:00:00Z"))
+    scene = F.struct(F.lit(source).alias("source"), F.lit(mode).alias("mode"), F.first(stamp).alias("timestamp"), F.lit(area).alias("area"))
+    own = F.transform(F.array_sort(F.collect_list(F.struct("ord", F.struct(*fields).alias("d")))), lambda x: x.d)
+    docs = detections.groupBy("scene_id").agg(F.to_json(F.struct(scene.alias("scene"), own.alias("detections"))).alias("value"))
+    files.write_files(docs.select(F.concat("scene_id", F.lit(".json")).alias("name"), F.encode("value", "utf-8").alias("content")), path)
 
 
 def write_archive(documents: DataFrame, path: str) -> None:

@@ -1,4 +1,6 @@
+import http.server
 import json
+import threading
 
 import numpy as np
 import pandas as pd
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skerry.functions import text as T
 from skerry.operators import dataset, harness, present, raster, responses, validate
-from skerry.sources import scenes
+from skerry.sources import feed, scenes
 from skerry.streaming import scenes as stream
 from tests import demo
 
@@ -270,3 +272,69 @@ def test_stream_equals_batch(spark, tmp_path):
 
     batch = assess.assess(rows, demo.ZONES, demo.CONFIG).select("id", "classification", "score")
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_documents_over_many_lines(spark, tmp_path):
+    doc = {"scene": {"source": "s", "timestamp": demo.TIMESTAMP}, "detections": [{"id": "a", "lat": 36.5, "lon": -6.75, "estimated_length_m": 9, "fishing_score": 0.9}]}
+    (tmp_path / "d.json").write_text(json.dumps(doc, indent=2))
+    assert [r["id"] for r in scenes.read_strict_scenes(spark, str(tmp_path / "d.json")).collect()] == ["a"]
+    (tmp_path / "manifest.json").write_text(json.dumps({"chips": 1, "entries": [{"name": "c", "candidate_labels": 0, "review_status": "pending"}]}, indent=2))
+    assert scenes.read_manifest(spark, f"{tmp_path}/manifest.json").select(dataset.pending()).first()[0] == 1
+    assert scenes.read_manifest(spark, f"file://{tmp_path}/none.json").count() == 0
+
+
+def test_data_set_on_disk(spark, tmp_path):
+    pixels = raster.synthetic(spark, raster.draw_targets(spark.createDataFrame([("a",), ("b",)], "chip_id string"), size=64, seed=1, margin=8), size=64, seed=1)
+    path = f"file://{tmp_path}/set"
+    dataset.write_dataset(pixels, raster.label_lines(raster.blobs(pixels)), path)
+    assert [r["chip_id"] for r in scenes.chip_paths(spark, f"{path}/images").collect()] == ["a", "b"]
+    back = scenes.read_chips(spark, f"{path}/images")
+    assert back.join(pixels, ["chip_id", "row", "col"]).filter(F.abs(back["value"] - pixels["value"]) > 0).count() == 0 and back.count() == 2 * 64 * 64
+    lines = scenes.read_labels(spark, f"{path}/labels")
+    assert {r["stem"] for r in lines.collect()} == {"a", "b"} and dataset.label_problems(lines).count() == 0
+    assert sorted(r["part"] for r in dataset.prepare(spark, path, 0.5, 3).collect()) == ["train", "val"]
+    assert "names: ['vessel']" in (tmp_path / "set" / "data.yaml").read_text()
+    with pytest.raises(ValueError, match="no images"):
+        dataset.prepare(spark, f"file://{tmp_path}/nothing")
+    (tmp_path / "set" / "labels" / "a.txt").write_text("0 2 0.5 0.1 0.1")
+    with pytest.raises(ValueError, match="a.txt:1"):
+        dataset.prepare(spark, path)
+
+
+def test_feed_reader(spark, tmp_path):
+    """A request a day, with the options it is given; the environment sets options too."""
+    asked = []
+
+    class Answer(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked.append((self.path, self.headers.get("Authorization")))
+            body = json.dumps({"entries": [{"id": self.path[-3:], "lat": 36.5, "lon": -6.75, "length_m": 9, "score": 0.5}]}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Answer)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    feed.register(spark)
+    env = {"GFW_DATASET": "own", "GFW_LIMIT": "7", "GFW_TOKEN": "secret", "GFW_PATH": "/v9"}
+    options = feed.from_environment(env) | {"url": f"http://127.0.0.1:{server.server_port}", "start": "2024-01-01", "end": "2024-01-03", "bbox": "-7,36,-6,37"}
+    rows = spark.read.format("detection_feed").options(**options).load()
+    found = scenes.usable(scenes.map_feed(scenes.feed_entries(rows), keep=("day",))).collect()
+    server.shutdown()
+    assert sorted(str(r["day"]) for r in found) == ["2024-01-01", "2024-01-02", "2024-01-03"]
+    assert len(asked) == 3 and all(p.startswith("/v9?") and "limit=7" in p and "own" in p and "bbox=-7.0%2C36.0%2C-6.0%2C37.0" in p and a == "Bearer secret" for p, a in asked)
+    with pytest.raises(ValueError, match="url"):
+        feed.FeedReader({})
+    with pytest.raises(ValueError, match="bbox"):
+        feed.FeedReader({"url": "x", "bbox": "1,2"})
+
+
+def test_report_head(spark, records):
+    rows = spark.createDataFrame([("S", demo.TIMESTAMP)], "scene_id string, timestamp string")
+    lines = present.dossier_lines(records, "S", demo.CONFIG, rows, demo.ZONES)
+    text = "\n".join(lines)
+    assert "13 detections" in text and "Closed: River Mouth (spawning)" in text and "Base: base, radius 120.0 km" in text and "out_of_season" in text
+    assert [x for x in present.ranking_lines(harness.clean_ranked(records).withColumn("rank", F.col("rank_ord"))) if "D-010" in x]
