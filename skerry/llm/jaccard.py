@@ -36,7 +36,7 @@ HEAVY = 3
 """A slot is frequent in a task that counts it so many times the mean."""
 RANGE_MEMBERS = 16
 """A set is counted in ranges of so many members or up to twice as many; unrelated sets of any size then differ by far."""
-PART = 256
+PART = 1024
 """So many sets that meet one other make a part; each part gets a copy of that other one."""
 SEEN = 1_000_000
 BROADCAST_ROWS = 500_000
@@ -156,37 +156,37 @@ COMPARED = "other long, centre long, n_other long, n_centre long, both long, dif
 
 
 def _compare(differences: bool):
-    """Sizes and overlap of pairs (other, centre, sets of both); with differences what other has more or less than centre:
-    what it has more comes first, then by hash."""
+    """Sizes and overlap of a centre's set with each of its others', from rows (centre, part, role, owner, members) of which
+    a centre's own (role 0) comes first in each part. With differences what other has more or less than centre: what it has
+    more comes first, then by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, y = None, np.empty(0, dtype=np.uint64)
         for batch in batches:
-            found, diff = [], []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(a.as_buffer(), dtype=np.uint64), np.frombuffer(b.as_buffer(), dtype=np.uint64)
-                both = np.intersect1d(x, y, assume_unique=True)
-                found.append((len(x), len(y), len(both)))
-                if differences:
-                    own = [np.setdiff1d(x, both, assume_unique=True), np.setdiff1d(y, both, assume_unique=True)]
+            ids, found, diff = [], [], []
+            for centre, part, role, owner, members in zip(*(c.to_pylist() for c in batch.columns[:4]), batch.column(4), strict=True):
+                x = np.frombuffer(members.as_buffer(), dtype=np.uint64)
+                if not role:
+                    place, y = (centre, part), x.copy()
+                elif place == (centre, part):
+                    both = np.intersect1d(x, y, assume_unique=True)
+                    ids.append((owner, centre))
+                    found.append((len(x), len(y), len(both)))
+                    own = [np.setdiff1d(x, both, assume_unique=True), np.setdiff1d(y, both, assume_unique=True)] if differences else [x[:0]]
                     diff.append(common.signed(np.concatenate(own)))
-                else:
-                    diff.append(x[:0].view(np.int64))
-            sizes = np.array(found, dtype=np.int64).reshape(-1, 3)
-            arrays = [batch.column(0), batch.column(1), *(pa.array(sizes[:, k].copy()) for k in range(3)), common.int_lists(diff, pa.int64(), np.int64)]
+            numbers = np.concatenate([np.array(a, dtype=np.int64).reshape(-1, n) for a, n in ((ids, 2), (found, 3))], axis=1)
+            arrays = [*(pa.array(numbers[:, k].copy()) for k in range(5)), common.int_lists(diff, pa.int64(), np.int64)]
             yield pa.RecordBatch.from_arrays(arrays, names=common.names_of(COMPARED))
 
     return run
 
 
-def salted(left: DataFrame, right: DataFrame, on: str, by: str, counted: DataFrame | None = None) -> DataFrame:
+def salted(left: DataFrame, right: DataFrame, on: str, by: str) -> DataFrame:
     """left joined with right, unique by `on`: rows of a key that many rows of left have are dealt by the column `by` to
-    parts of PART rows, and right is copied once a part. counted: a table to count the keys in, if left is dear to make."""
-    parts = (left if counted is None else counted).groupBy(on).agg(F.expr(f"cast(ceil(count(*) / {PART}) as int)").alias("_parts"))
-    parts = common.materialize(parts.filter("_parts > 1"))
+    parts of PART rows, and right is copied once a part."""
+    parts = left.groupBy(on).agg(F.expr(f"cast(ceil(count(*) / {PART}) as int)").alias("_parts")).filter("_parts > 1")
     copies = right.join(parts, on, "left").select("*", F.explode(F.expr("sequence(0, coalesce(_parts, 1) - 1)")).alias("_part"))
-    few = parts.count() <= BROADCAST_ROWS
-    dealt = left.join(F.broadcast(parts) if few else parts, on, "left")
-    dealt = dealt.withColumn("_part", F.expr(f"cast(coalesce(pmod(xxhash64({by}), _parts), 0) as int)"))
+    dealt = left.join(parts, on, "left").withColumn("_part", F.expr(f"cast(coalesce(pmod(xxhash64({by}), _parts), 0) as int)"))
     return dealt.drop("_parts").join(copies.drop("_parts"), [on, "_part"]).drop("_part")
 
 
@@ -239,36 +239,32 @@ class Join:
     def stars(self, lists: DataFrame) -> DataFrame:
         """other, centre: the centre of each set that leads a third of its prefix. Others, which can hardly have much in common
         with their centres, do without one."""
-        known = salted(lists, lists.groupBy("tok").agg(F.count("*").alias("m")), "tok", "owner")
-        weight = common.materialize(known.groupBy("owner").agg(F.sum("m").alias("weight")))
+        weight = lists.join(lists.groupBy("tok").agg(F.count("*").alias("m")), "tok").groupBy("owner").agg(F.sum("m").alias("weight"))
         weighed = common.materialize(lists.join(weight, "owner"))
         heads = weighed.groupBy("tok").agg(F.max(F.struct("weight", "owner", "n")).alias("head"))
-        led = salted(weighed.select("tok", "owner", "n"), heads, "tok", "owner").groupBy("owner", "n", "head").agg(F.count("*").alias("c"))
+        led = weighed.select("tok", "owner", "n").join(heads, "tok").groupBy("owner", "n", "head").agg(F.count("*").alias("c"))
         best = led.groupBy("owner", "n").agg(F.max(F.struct("c", "head")).alias("best"))
         best = best.select(F.col("owner").alias("other"), "n", F.col("best.c").alias("c"), F.col("best.head.owner").alias("centre"))
         prefix = f"n - ({self.percent} * n + 99) div 100 + 1"
         return common.materialize(best.filter(f"other <> centre and 3 * c >= {prefix}").select("other", "centre"))
 
-    def _places(self, names: DataFrame) -> DataFrame:
-        """owner, oid, th: where the texts of classes (a column owner) stand."""
-        places = self.classes.select(F.col("s1").alias("owner"), F.col("rep.oid").alias("oid"), F.col("rep.th").alias("th"))
-        return common.materialize(names.join(places, "owner"))
-
-    def _members(self, places: DataFrame, *more: str) -> DataFrame:
-        """owner, the columns more, and the set (members) of the texts at places, made again from the text."""
-        few = places.count() <= BROADCAST_ROWS
-        texts = self.source.join(F.broadcast(places) if few else places, ["oid", "th"]).select("owner", *more, "text")
-        return common.map_batches(texts, _sets(self.width), f"{common.ddl(texts.drop('text'))}, members binary")
-
     def compare(self, pairs: DataFrame, differences: bool = False) -> DataFrame:
-        """COMPARED for pairs (other, centre). The others' sets are made once each and sent to their centres, a centre's to
-        each part of its others."""
-        others = self._places(pairs.groupBy(F.col("other").alias("owner")).agg(F.collect_set("centre").alias("centres")))
-        centres = self._places(pairs.select(F.col("centre").alias("owner")).distinct())
-        sent = self._members(others, "centres").select(F.col("owner").alias("other"), F.explode("centres").alias("centre"), F.col("members").alias("mo"))
-        own = self._members(centres).select(F.col("owner").alias("centre"), F.col("members").alias("mc"))
-        rows = salted(sent, own, "centre", "other", pairs).select("other", "centre", "mo", "mc")
-        compared = common.map_batches(rows, _compare(differences), COMPARED)
+        """COMPARED for pairs (other, centre). Every set in a pair is made again from the text of its class's representative,
+        once, and sent from there: as other to its centres, as centre to each part of its others."""
+        counts = pairs.groupBy("centre").agg(F.expr(f"cast(ceil(count(*) / {PART}) as int)").alias("parts"))
+        part = F.expr("cast(pmod(xxhash64(other), parts) as int)").alias("part")
+        as_other = pairs.join(counts, "centre").select(F.col("other").alias("owner"), F.struct("centre", part, F.lit(1).alias("role")).alias("to"))
+        parts = counts.select("centre", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"))
+        as_centre = parts.select(F.col("centre").alias("owner"), F.struct("centre", "part", F.lit(0).alias("role")).alias("to"))
+        ways = as_other.union(as_centre).groupBy("owner").agg(F.collect_list("to").alias("ways"))
+        places = self.classes.select(F.col("s1").alias("owner"), F.col("rep.oid").alias("oid"), F.col("rep.th").alias("th"))
+        ways = common.materialize(ways.join(places, "owner"))
+        few = ways.count() <= BROADCAST_ROWS
+        texts = self.source.join(F.broadcast(ways) if few else ways, ["oid", "th"]).select("owner", "ways", "text")
+        sets = common.map_batches(texts, _sets(self.width), f"{common.ddl(texts.drop('text'))}, members binary")
+        sent = sets.select("owner", F.explode("ways").alias("to"), "members").select("to.*", "owner", "members")
+        met = sent.repartition("centre", "part").sortWithinPartitions("centre", "part", "role")
+        compared = common.map_batches(met, _compare(differences), COMPARED)
         return common.materialize(compared.dropDuplicates(["other", "centre"]))
 
     def similar(self) -> str:
@@ -278,9 +274,7 @@ class Join:
     def screen(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that pass the suffix filter."""
         sketches = self.survey.filter("length(sketch) > 0").select(F.col("s1").alias("owner"), "n", "sketch")
-        ends = common.materialize(pairs.select(F.col("a").alias("owner")).union(pairs.select("b")).distinct())
-        few = ends.count() <= BROADCAST_ROWS
-        sketches = common.materialize(sketches.join(F.broadcast(ends) if few else ends, "owner").dropDuplicates(["owner"]))
+        sketches = sketches.dropDuplicates(["owner"])
         first = sketches.withColumnsRenamed({"owner": "a", "n": "na", "sketch": "sa"})
         second = sketches.withColumnsRenamed({"owner": "b", "n": "nb", "sketch": "sb"})
         rows = pairs.join(first, "a").join(second, "b").select("a", "b", "na", "nb", "sa", "sb")
@@ -303,7 +297,6 @@ class Join:
         apart = self._apart("na", "nb")
         prefix = f"d - greatest(1, d - (100 - {self.percent}) * n div {self.percent}) + 1"
         rows = clouds.select("owner", "cloud", "n", "d", "comp", F.posexplode(F.expr(f"slice(diff, 1, cast({prefix} as int))")).alias("pos", "tok"))
-        rows = common.materialize(rows)
         shared = rows.groupBy("cloud", "tok").agg(F.min("owner").alias("least"), F.max("owner").alias("most")).filter("least <> most")
         rows = common.materialize(rows.join(shared.select("cloud", "tok"), ["cloud", "tok"]))
         side = lambda k: [F.col(c).alias(f"{c[0] if c != "owner" else ""}{k}") for c in ("owner", "n", "d", "pos", "comp")]
@@ -316,7 +309,6 @@ class Join:
 
         # Pairs of different clouds: by their own prefixes.
         rows = lists.join(clouds.select("owner", "cloud", "comp"), "owner", "left").withColumns({"cloud": F.coalesce("cloud", "owner"), "comp": F.coalesce("comp", "owner")})
-        rows = common.materialize(rows)
         side = lambda k: [F.col(c).alias(f"{c[0] if c != "owner" else ""}{k}") for c in ("owner", "n", "pos", "comp")] + [F.col("cloud").alias(f"cloud_{k}")]
         may = f"{self._near('na', 'nb')} and 1 + least(na - pa - 1, nb - pb - 1) >= {self._need('na', 'nb')}"
         across = rows.select("tok", *side("a")).join(rows.select("tok", *side("b")), "tok")
