@@ -108,3 +108,19 @@ def test_warc_lone_records_and_empty(spark, tmp_path):
         rows = rows.withColumn(c, F.lit(None).cast("string"))
     rows = rows.withColumns({"payload_bytes": F.lit(1).cast("long"), "digest_ok": F.lit(True), "payload": F.lit(None).cast("binary")})
     assert {r["capture_id"]: r["response"] is None for r in warc.assemble(rows).collect()} == {"<r>": True, "<q>": False}
+
+
+def test_op4_contract(spark, tmp_path):
+    same = "<p>" + "equal payload " * 20 + "</p>"
+    rows = [(3, "u", same), (1, "v", same), (1, "v", same), (2, "w", "tiny"), (4, "x", "tiny"), (5, None, None), (6, "y", ""), (None, "z", same), (7, "u", "é" * 49), (8, "u", "é" * 49), (9, "u", "é" * 50), (10, "u", "é" * 50)]
+    spark.createDataFrame(rows, PAGES).withColumns({c: F.lit("clash") for c in ("n", "value", "capture_id", "response")}).write.parquet(f"{tmp_path}/pages.parquet")
+    found = queries.QUERIES["op4_warc_transactions"](spark, str(tmp_path)).collect()
+    raw = [(i, (h or "").encode()) for i, _, h in rows]
+    first = {}
+    for i, h in raw:
+        if i is not None:
+            first[h] = min(first.get(h, i), i)
+    want = [(i, len(h), hashlib.sha256(h).hexdigest(), "revisit" if len(h) >= 100 and first[h] != i else "response", first[h] if len(h) >= 100 and first[h] != i else None) for i, h in raw]
+    assert sorted(map(str, (tuple(r) for r in found))) == sorted(map(str, want))
+    spark.createDataFrame([], PAGES).write.parquet(f"{tmp_path}/empty/pages.parquet")
+    assert queries.QUERIES["op4_warc_transactions"](spark, f"{tmp_path}/empty").count() == 0

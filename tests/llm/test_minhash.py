@@ -3,8 +3,10 @@ import re
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from skerry.llm import minhash as M
+from skerry.llm import queries
 
 SCHEMA = "doc_id long, text string"
 MASK = (1 << 64) - 1
@@ -98,3 +100,27 @@ def test_long_runs(spark, n):
     """A text of one repeated word: occurrence numbers keep its k-mers apart."""
     found = run(spark, [(1, "w " * n), (2, "w " * (n // 2))])
     assert found[1]["own"] == brute("w " * n)
+
+
+def alike(a, b):
+    """Buckets that agree, of those that either text fills."""
+    pairs = list(zip(*(re.findall("........", x) for x in (a, b)), strict=True))
+    filled = [p for p in pairs if p != ("--------",) * 2]
+    return sum(x == y for x, y in filled) / len(filled) if filled else 1.0
+
+
+def test_op8_contract(spark, tmp_path):
+    rows = [(i, " ".join(f"w{(i % 5 * 7 + j) % 61}" for j in range(9 + 30 * (i % 3)))) for i in range(9)] + [(40, ""), (41, None), (42, "one")]
+    clash = {c: F.lit(7) for c in ("oid", "th", "own", "edited", "tail", "part", "n", "m", "next_own", "_own_w")}
+    spark.createDataFrame(rows, SCHEMA).withColumns(clash).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r for r in queries.QUERIES["op8_order_minhash"](spark, str(tmp_path)).collect()}
+    plain = [(i, t or "") for i, t in rows]
+    want, order = edited(plain), sorted((i for i, _ in plain), reverse=True)
+    text = dict(plain)
+    for k, i in enumerate(order):
+        following = text[order[(k + 1) % len(order)]]
+        r = found[i]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(text[i]), hashlib.sha256(want[i].encode()).hexdigest())
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (brute(text[i]), brute(want[i]))
+        assert r["near_edited"] == pytest.approx(alike(brute(text[i]), brute(want[i]))) and r["near_next"] == pytest.approx(alike(brute(text[i]), brute(following)))
+    assert len({found[i]["fingerprint"] for i in (40, 41)}) == 1

@@ -188,3 +188,13 @@ def test_link_counts_against_brute_force(spark, monkeypatch):
     assert found == {i: (comps[i], sum(linked(s, t) for j, t in sets.items() if j != i)) for i, s in sets.items()}
     inside = [n for c, n in found.values() if n]
     assert len(inside) > 20 and min(inside) < max(inside)
+
+
+def test_license_query_with_repeated_rows_and_clashes(spark, tmp_path):
+    rows = [(1, "under the MIT License", "en", "s"), (1, "under the MIT License", "en", "s"), (2, "x " * 30_000 + "apache license", "en", "s"), (None, "mit license", "en", "s"), (3, None, None, None)]
+    clash = {c: F.lit("clash") for c in ("words", "h", "label", "cover", "own", "best", "base", "n_words", "labels", "score")}
+    frame(spark, rows and [(i, t) for i, t, *_ in rows]).withColumns(clash).write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.QUERIES["op5_license_scan"](spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] or 0, r["labels"], r["n_words"]) for r in found) == [(0, "mit", 2), (1, "mit", 4), (1, "mit", 4), (2, "apache", 30_002), (3, "", 0)]
+    frame(spark, []).write.parquet(f"{tmp_path}/empty/documents.parquet")
+    assert queries.QUERIES["op5_license_scan"](spark, f"{tmp_path}/empty").count() == 0
