@@ -290,7 +290,11 @@ class Join:
         stars = self.compare(self.stars(lists), differences=True)
         first = stars.filter(self.similar()).select(F.col("other").alias("a"), F.col("centre").alias("b"))
         clouds = stars.filter("2 * (n_other + n_centre - 2 * both) <= n_other + n_centre")
-        clouds = clouds.select(F.col("other").alias("owner"), F.col("centre").alias("cloud"), F.col("n_other").alias("n"), (F.col("n_other") + F.col("n_centre") - 2 * F.col("both")).alias("d"), F.expr(f"if({self.similar()}, centre, other)").alias("comp"), "diff")
+        clouds = clouds.select(
+            F.col("other").alias("owner"), F.col("centre").alias("cloud"), F.col("n_other").alias("n"),
+            (F.col("n_other") + F.col("n_centre") - 2 * F.col("both")).alias("d"), F.expr(f"if({self.similar()}, centre, other)").alias("comp"),
+            "diff"
+        )
         clouds = common.materialize(clouds)
 
         # Pairs of one cloud: found by the prefixes of their differences, verified on these.
@@ -304,12 +308,18 @@ class Join:
         inside = rows.select("cloud", "tok", *side("a")).join(rows.select("cloud", "tok", *side("b")), ["cloud", "tok"])
         inside = inside.filter(F.expr(f"a < b and {'true' if every else 'ca <> cb'} and {may}")).select("a", "b").distinct()
         whole = clouds.select("owner", "n", "diff")
-        inside = inside.join(whole.withColumnsRenamed({"owner": "a", "n": "na", "diff": "xa"}), "a").join(whole.withColumnsRenamed({"owner": "b", "n": "nb", "diff": "xb"}), "b")
+        inside = inside.join(
+            whole.withColumnsRenamed({"owner": "a", "n": "na", "diff": "xa"}), "a"
+        ).join(whole.withColumnsRenamed({"owner": "b", "n": "nb", "diff": "xb"}), "b")
         inside = inside.filter(F.expr(f"size(xa) + size(xb) - 2 * size(array_intersect(xa, xb)) <= {apart}")).select("a", "b")
 
         # Pairs of different clouds: by their own prefixes.
-        rows = lists.join(clouds.select("owner", "cloud", "comp"), "owner", "left").withColumns({"cloud": F.coalesce("cloud", "owner"), "comp": F.coalesce("comp", "owner")})
-        side = lambda k: [F.col(c).alias(f"{c[0] if c != "owner" else ""}{k}") for c in ("owner", "n", "pos", "comp")] + [F.col("cloud").alias(f"cloud_{k}")]
+        rows = lists.join(clouds.select("owner", "cloud", "comp"), "owner", "left").withColumns({
+            "cloud": F.coalesce("cloud", "owner"), "comp": F.coalesce("comp", "owner")
+        })
+        side = lambda k: [
+            F.col(c).alias(f"{c[0] if c != "owner" else ""}{k}") for c in ("owner", "n", "pos", "comp")
+        ] + [F.col("cloud").alias(f"cloud_{k}")]
         may = f"{self._near('na', 'nb')} and 1 + least(na - pa - 1, nb - pb - 1) >= {self._need('na', 'nb')}"
         across = rows.select("tok", *side("a")).join(rows.select("tok", *side("b")), "tok")
         across = across.filter(F.expr(f"a < b and cloud_a <> cloud_b and {'true' if every else 'ca <> cb'} and {may}")).select("a", "b").distinct()
@@ -328,7 +338,9 @@ class Join:
         own = common.materialize(clouds.join(sizes.select(F.col("s1").alias("owner"), "rows"), "owner"))
         cells = common.materialize(own.groupBy("cloud", "n", "d").agg(F.sum("rows").alias("rows")))
         apart = self._apart("n", "nb")
-        pairs = cells.select("cloud", "n", "d").join(cells.withColumnsRenamed({"n": "nb", "d": "db", "rows": "rb"}), "cloud").filter(F.expr(f"d + db <= {apart}"))
+        pairs = cells.select("cloud", "n", "d").join(
+            cells.withColumnsRenamed({"n": "nb", "d": "db", "rows": "rb"}), "cloud"
+        ).filter(F.expr(f"d + db <= {apart}"))
         sums = pairs.groupBy("cloud", "n", "d").agg(F.sum("rb").alias("sure"))
         self_link = F.expr(f"if(2 * d <= {self._apart('n', 'n')}, rows, 0)")
         sure = own.join(sums, ["cloud", "n", "d"]).select(F.col("owner").alias("s1"), (F.col("sure") - self_link).alias("sure"))
@@ -339,7 +351,9 @@ class Join:
         """A row per row of the texts: oid, th, n and component (the smallest oid of it; its own for an empty set); counted adds n_links."""
         links, clouds = self.found(every=counted)
         labels = components(links)
-        of = self.classes.join(labels.withColumnRenamed("node", "s1"), "s1", "left").select("s1", "s2", F.col("rep.oid").alias("oid"), F.coalesce("comp", "s1").alias("comp"))
+        of = self.classes.join(labels.withColumnRenamed("node", "s1"), "s1", "left").select(
+            "s1", "s2", F.col("rep.oid").alias("oid"), F.coalesce("comp", "s1").alias("comp")
+        )
         of = common.materialize(of)
         of = salted(of, of.groupBy("comp").agg(F.min("oid").alias("component")), "comp", "s1").select("s1", "s2", "component")
         of = common.materialize(of.join(self.degrees(links, clouds), ["s1", "s2"]) if counted else of)
@@ -359,7 +373,9 @@ def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", width:
     oid, th, row = common.free_names(docs, "_oid", "_th", "_row")
     kept = kept.withColumnsRenamed({"oid": oid, "th": th})
     rows = docs.withColumns({oid: common.order_id(key), th: F.xxhash64(F.col(text))}).join(kept, [oid, th], "left_semi")
-    first = rows.groupBy(oid, th).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))).alias(row))
+    first = rows.groupBy(oid, th).agg(F.min_by(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
+    ).alias(row))
     return first.select(f"{row}.*")
 
 

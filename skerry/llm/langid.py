@@ -36,7 +36,9 @@ GROUP_BYTES = 3_000_000
 GAP = 32
 
 
-def sample(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", docs: int = DOCS_A_LANGUAGE, size: int = SAMPLE_BYTES) -> dict[str, str]:
+def sample(
+    labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", docs: int = DOCS_A_LANGUAGE, size: int = SAMPLE_BYTES
+) -> dict[str, str]:
     """Language to sample. Documents are chosen without their texts, from 64 parts first so that no language meets in one
     task; only the texts chosen are read."""
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.trim(text) != ""))

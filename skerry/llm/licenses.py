@@ -37,7 +37,10 @@ TEMPLATES = (
     ("apache", "licensed under the apache license version 2 0"),
     ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
     ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    (
+        "gpl",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"
+    ),
     ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
@@ -72,8 +75,12 @@ def bands(words: DataFrame, keys: list[str], templates: DataFrame, k: int = K) -
     own = [*keys, "template", "label", "t_words"]
     votes = hits.groupBy(*own, "diagonal").agg(F.collect_set("t_pos").alias("t_at"))
     by = Window.partitionBy(*own).orderBy("diagonal")
-    votes = votes.withColumn("new", F.when(F.col("diagonal") - F.lag("diagonal").over(by) <= MERGE_GAP, 0).otherwise(1)).withColumn("band", F.sum("new").over(by))
-    covered = votes.select(*own, "band", "diagonal", F.explode("t_at").alias("t")).select(*own, "band", (F.col("diagonal") + F.col("t")).alias("at"), F.explode(F.expr(f"sequence(t, t + {k - 1})")).alias("t"))
+    votes = votes.withColumn(
+        "new", F.when(F.col("diagonal") - F.lag("diagonal").over(by) <= MERGE_GAP, 0).otherwise(1)
+    ).withColumn("band", F.sum("new").over(by))
+    covered = votes.select(*own, "band", "diagonal", F.explode("t_at").alias("t")).select(
+        *own, "band", (F.col("diagonal") + F.col("t")).alias("at"), F.explode(F.expr(f"sequence(t, t + {k - 1})")).alias("t")
+    )
     found = covered.groupBy(*own, "band").agg(F.min("at").alias("start"), (F.max("at") + k - 1).alias("stop"), F.count_distinct("t").alias("n"))
     found = found.withColumn("span_words", F.col("stop") - F.col("start") + 1).withColumn("cover", F.col("n") / F.col("t_words"))
     return found.filter((F.col("cover") >= MIN_COVER) & (F.col("span_words") <= MAX_STRETCH * F.col("t_words"))).drop("n", "t_words")

@@ -72,7 +72,9 @@ def neighbours(ids: DataFrame) -> DataFrame:
     order = [F.desc("oid"), F.asc("th")]
     heads = dealt.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy(*order))).filter("r = 1").select("part", "oid", "th")
     line = Window.partitionBy(F.lit(0)).orderBy("part")
-    heads = heads.withColumn("a", F.struct("oid", "th")).withColumn("b", F.coalesce(F.lead("a").over(line), F.first("a").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))).select("part", "b")
+    heads = heads.withColumn("a", F.struct("oid", "th")).withColumn(
+        "b", F.coalesce(F.lead("a").over(line), F.first("a").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    ).select("part", "b")
     own = dealt.withColumn("a", F.lead(F.struct("oid", "th")).over(Window.partitionBy("part").orderBy(*order)))
     own = own.join(F.broadcast(heads), "part").withColumn("a", F.coalesce("a", "b"))  # a row a partition
     return own.select("oid", "th", "n", "m", F.col("a.oid").alias("next_oid"), F.col("a.th").alias("next_th"))
@@ -83,7 +85,10 @@ def compare(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     source = docs.select(common.order_id(key).alias("oid"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     base = fingerprint(source.select("oid", "th", "text"), "text", "own")
     near = common.materialize(neighbours(source.select("oid", "th", F.char_length("text").alias("n"))))
-    give = near.select(F.col("next_oid").alias("oid"), F.col("next_th").alias("th"), F.col("oid").alias("to_oid"), F.col("th").alias("to_th"), F.expr("n div 3").cast("int").alias("need"))
+    give = near.select(
+        F.col("next_oid").alias("oid"), F.col("next_th").alias("th"), F.col("oid").alias("to_oid"), F.col("th").alias("to_th"),
+        F.expr("n div 3").cast("int").alias("need")
+    )
     give = give.join(near.select("oid", "th", "m"), ["oid", "th"])
     given = base.join(give, ["oid", "th"]).select("to_oid", "to_th", "m", F.expr("left(text, need)").alias("tail"), F.col("own").alias("next_own"))
     once = given.filter("m = 1").drop("m")

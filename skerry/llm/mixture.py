@@ -50,9 +50,13 @@ def budgets(leaves: DataFrame, weights: dict = WEIGHTS, share_percent: int = SHA
         by = Window.partitionBy(*parent) if parent else Window.partitionBy(F.lit(0))
         order = by.orderBy((F.col("cap").cast("double") / F.col("w").cast("double")), level)
         before = order.rowsBetween(Window.unboundedPreceding, -1)
-        own = own.withColumn("c_before", F.coalesce(F.sum("cap").over(before), F.lit(0))).withColumn("w_before", F.coalesce(F.sum("w").over(before), F.lit(0))).withColumn("w_all", F.sum("w").over(by))
+        own = own.withColumn(
+            "c_before", F.coalesce(F.sum("cap").over(before), F.lit(0))
+        ).withColumn("w_before", F.coalesce(F.sum("w").over(before), F.lit(0))).withColumn("w_all", F.sum("w").over(by))
         own = own.withColumn("full", F.expr("cap * cast(w_all - w_before as decimal(12,0)) <= w * cast(budget - c_before as decimal(20,0))"))
-        own = own.withColumn("c_full", F.sum(F.when(F.col("full"), F.col("cap")).otherwise(F.lit(0))).over(by)).withColumn("w_rest", F.sum(F.when(~F.col("full"), F.col("w")).otherwise(F.lit(0))).over(by))
+        own = own.withColumn(
+            "c_full", F.sum(F.when(F.col("full"), F.col("cap")).otherwise(F.lit(0))).over(by)
+        ).withColumn("w_rest", F.sum(F.when(~F.col("full"), F.col("w")).otherwise(F.lit(0))).over(by))
         dealt = "cast((cast(budget - c_full as decimal(20,0)) * w) div nullif(cast(w_rest as decimal(12,0)), 0) as decimal(20,0))"
         nodes = own.select(*path, F.expr(f"CASE WHEN full THEN cap ELSE {dealt} END").alias("budget"))
     del spark
@@ -63,15 +67,25 @@ def tokens_of(text) -> F.Column:
     return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))), F.lit(0)).cast("long")
 
 
-def choose(docs: DataFrame, text: str = "text", key: str = "doc_id", domain: str = DOMAIN, weights: dict = WEIGHTS, share_percent: int = SHARE_PERCENT, epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+def choose(
+    docs: DataFrame, text: str = "text", key: str = "doc_id", domain: str = DOMAIN, weights: dict = WEIGHTS, share_percent: int = SHARE_PERCENT,
+    epochs: int = MAX_EPOCHS, seed: int = SEED
+) -> DataFrame:
     """Units chosen: key, h (hash of the text), domain, lang, source, n_tokens, epoch (from 0), take_tokens. No text is moved."""
-    units = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(text)).alias("h"), F.coalesce("lang", F.lit("unknown")).alias("lang"), F.coalesce("source", F.lit("unknown")).alias("source"), tokens_of(F.col(text)).alias("n_tokens"))
+    units = docs.select(
+        F.col(key).alias("doc_id"), F.xxhash64(F.col(text)).alias("h"), F.coalesce("lang", F.lit("unknown")).alias("lang"),
+        F.coalesce("source", F.lit("unknown")).alias("source"), tokens_of(F.col(text)).alias("n_tokens")
+    )
     units = units.filter("n_tokens > 0").withColumn("domain", F.expr(domain))
     units = common.materialize(units.groupBy("doc_id", "h", *LEVELS, "n_tokens").agg(F.count("*").alias("m")))
     leaves = budgets(units.groupBy(*LEVELS).agg(F.sum(F.col("n_tokens") * F.col("m")).alias("tokens")), weights, share_percent, epochs)
-    leaves = common.materialize(leaves.select(*LEVELS, F.expr("cast(budget div tokens as int)").alias("whole"), (F.col("budget") % F.col("tokens")).alias("rest")).filter("whole > 0 or rest > 0"))
+    leaves = common.materialize(leaves.select(
+        *LEVELS, F.expr("cast(budget div tokens as int)").alias("whole"), (F.col("budget") % F.col("tokens")).alias("rest")
+    ).filter("whole > 0 or rest > 0"))
     own = units.join(leaves, list(LEVELS)) if leaves.count() > 10_000 else units.join(F.broadcast(leaves), list(LEVELS))
-    own = own.withColumn("order", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.col("doc_id").cast("string")))).withColumn("bucket", F.substring("order", 1, BUCKET_DIGITS))
+    own = own.withColumn(
+        "order", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.col("doc_id").cast("string")))
+    ).withColumn("bucket", F.substring("order", 1, BUCKET_DIGITS))
     sums = own.groupBy(*LEVELS, "bucket").agg(F.sum(F.col("n_tokens") * F.col("m")).alias("in_bucket"))
     before = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = common.materialize(sums.withColumn("before", F.coalesce(F.sum("in_bucket").over(before), F.lit(0))))
@@ -81,7 +95,9 @@ def choose(docs: DataFrame, text: str = "text", key: str = "doc_id", domain: str
     within = Window.partitionBy(*LEVELS, "bucket").orderBy("order", "doc_id", "h").rowsBetween(Window.unboundedPreceding, -1)
     edge = edge.withColumn("left", F.expr("rest - before") - F.coalesce(F.sum(F.expr("n_tokens * m")).over(within), F.lit(0)))
     columns = ["doc_id", "h", *LEVELS, "n_tokens"]
-    last = ahead.unionByName(edge).withColumn("take_tokens", F.expr("least(n_tokens, left div m)")).filter("take_tokens > 0").select(*columns, F.col("whole").alias("epoch"), "take_tokens")
+    last = ahead.unionByName(edge).withColumn("take_tokens", F.expr("least(n_tokens, left div m)")).filter("take_tokens > 0").select(
+        *columns, F.col("whole").alias("epoch"), "take_tokens"
+    )
     full = own.filter("whole > 0").select(*columns, F.explode(F.expr("sequence(0, whole - 1)")).alias("epoch"), F.col("n_tokens").alias("take_tokens"))
     return full.unionByName(last)
 

@@ -110,7 +110,10 @@ def pages(data: bytes) -> Iterator[dict]:
         if ok:
             whole = data[at:end]
             ok = page_crc(whole[:22] + b"\0\0\0\0" + whole[26:]) == crc
-        yield {"ok": ok, "kind": kind, "granule": granule, "serial": serial, "number": number, "lacing": lacing, "body": data[at + HEADER_SIZE + count : end] if ok else b""}
+        yield {
+            "ok": ok, "kind": kind, "granule": granule, "serial": serial, "number": number, "lacing": lacing,
+            "body": data[at + HEADER_SIZE + count : end] if ok else b""
+        }
         at = end if ok else at + 4
 
 
@@ -200,11 +203,17 @@ def _encode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         texts = common.raw_bytes(batch.column(batch.num_columns - 1))
         media = [encode(t + b" " * (-len(t) % FRAME or (0 if t else FRAME))) for t in texts]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], names=[*batch.schema.names[:-1], "n_bytes", "media"])
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns[:-1], pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())],
+            names=[*batch.schema.names[:-1], "n_bytes", "media"]
+        )
 
 
 def _decode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = {"payload": pa.binary(), "streams": pa.int32(), "pages": pa.int64(), "packets": pa.int64(), "damaged": pa.int64(), "gaps": pa.int64(), "seconds": pa.float64(), "starts": pa.list_(pa.float64())}
+    kinds = {
+        "payload": pa.binary(), "streams": pa.int32(), "pages": pa.int64(), "packets": pa.int64(), "damaged": pa.int64(), "gaps": pa.int64(),
+        "seconds": pa.float64(), "starts": pa.list_(pa.float64())
+    }
     for batch in batches:
         found = [decode(m) for m in common.raw_bytes(batch.column(batch.num_columns - 1))]
         yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([x[k] for x in found], t) for k, t in kinds.items())], names=[*batch.schema.names, *kinds])
@@ -223,7 +232,10 @@ def write_media(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame
 def read_media(df: DataFrame) -> DataFrame:
     """All columns of df (media the last of them), the payload, and what was found about the container: among it starts, the
     time in seconds at which each packet begins, one stream after the other."""
-    return common.map_batches(df, _decode_batches, f"{_ddl(df)}, payload binary, streams int, pages long, packets long, damaged long, gaps long, seconds double, starts array<double>")
+    return common.map_batches(
+        df, _decode_batches,
+        f"{_ddl(df)}, payload binary, streams int, pages long, packets long, damaged long, gaps long, seconds double, starts array<double>"
+    )
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
@@ -231,6 +243,8 @@ def op1(spark, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
-        F.format_string("streams=%d pages=%d packets=%d damaged=%d gaps=%d seconds=%.3f", "streams", "pages", "packets", "damaged", "gaps", "seconds").alias("feature"),
+        F.format_string(
+            "streams=%d pages=%d packets=%d damaged=%d gaps=%d seconds=%.3f", "streams", "pages", "packets", "damaged", "gaps", "seconds"
+        ).alias("feature"),
         F.size("starts").cast("long").alias("timed_packets"), F.array_max("starts").alias("last_packet_start"),
     )

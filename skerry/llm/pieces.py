@@ -41,7 +41,11 @@ def load(path: str = MODEL) -> dict:
     byte_ids = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
     if len(byte_ids) != 256:
         raise ValueError(f"{path} has no byte pieces")
-    usable = {i: (sp.id_to_piece(i), sp.get_score(i)) for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) and sp.id_to_piece(i)}
+    usable = {
+        i: (sp.id_to_piece(i), sp.get_score(i)) for i in range(n) if not (
+            sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)
+        ) and sp.id_to_piece(i)
+    }
     return {"usable": usable, "bytes": [byte_ids[b] for b in range(256)]}
 
 

@@ -101,7 +101,10 @@ def _extend(length: int):
                 at = starts_of(words, length, kept)
                 hs.append(common.signed(common.window_hashes(words, length)[at]))
                 ps.append(at)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], common.int_lists(hs, pa.int64(), np.int64), common.int_lists(ps, pa.int32(), np.int32)], names=["oid", "th", "text", "hs", "ps"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], common.int_lists(hs, pa.int64(), np.int64), common.int_lists(ps, pa.int32(), np.int32)],
+                names=["oid", "th", "text", "hs", "ps"]
+            )
 
     return run
 
@@ -126,7 +129,9 @@ class Repeats:
         self.meta = meta.select("oid", "th", "n_words", "all_sha", (F.col("oid") == F.col("rep.oid")).alias("first"))
 
         # Half length: what stands in two different word sequences survives.
-        halves = survey.select("s1", "s2", F.explode(F.arrays_zip("hs", "ps")).alias("a")).select("s1", "s2", F.col("a.hs").alias("h"), F.col("a.ps").alias("p"))
+        halves = survey.select("s1", "s2", F.explode(F.arrays_zip("hs", "ps")).alias("a")).select(
+            "s1", "s2", F.col("a.hs").alias("h"), F.col("a.ps").alias("p")
+        )
         alive = halves.groupBy("h").agg(F.min("s1").alias("least"), F.max("s1").alias("most")).filter("least <> most").select("h")
         alive = common.materialize(alive)
         kept = halves.join(alive, "h").groupBy("s1", "s2").agg(F.sort_array(F.collect_set("p")).alias("kept"))
@@ -135,7 +140,9 @@ class Repeats:
         # Full length: the windows around them.
         texts = common.pick(source, kept, ["oid", "th"]).join(kept, ["oid", "th"]).dropDuplicates(["oid", "th"]).select("oid", "th", "text", "kept")
         candidates = common.materialize(common.map_batches(texts, _extend(length), "oid long, th long, text string, hs array<long>, ps array<int>"))
-        windows = candidates.select("oid", "th", F.explode(F.arrays_zip("hs", "ps")).alias("a")).select("oid", "th", F.col("a.hs").alias("h"), F.col("a.ps").alias("p"))
+        windows = candidates.select("oid", "th", F.explode(F.arrays_zip("hs", "ps")).alias("a")).select(
+            "oid", "th", F.col("a.hs").alias("h"), F.col("a.ps").alias("p")
+        )
         self.texts = candidates.select("oid", "th", "text")
         self.shared = self._shared(windows)
         self.marks = common.materialize(self.shared.filter("least < oid").groupBy("oid", "th").agg(F.collect_list("p").alias("starts")))
@@ -171,7 +178,10 @@ def _rows(batch: pa.RecordBatch, found: list[tuple[np.ndarray, np.ndarray]]) ->
     ids = [np.repeat(np.asarray(batch.column(k)), sizes) for k in (0, 1)]
     h = np.concatenate([common.signed(x) for x, _ in found]) if found else np.empty(0, dtype=np.int64)
     p = np.concatenate([x for _, x in found]) if found else np.empty(0, dtype=np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(ids[0], pa.int64()), pa.array(ids[1], pa.int64()), pa.array(h, pa.int64()), pa.array(p.astype(np.int32))], names=["oid", "th", "h", "p"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ids[0], pa.int64()), pa.array(ids[1], pa.int64()), pa.array(h, pa.int64()), pa.array(p.astype(np.int32))],
+        names=["oid", "th", "h", "p"]
+    )
 
 
 def _windows_at(size: int):

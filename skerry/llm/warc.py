@@ -52,7 +52,9 @@ def plan_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("n", F.octet_length("payload").cast("long"))
     rows = rows.withColumn("uid", F.lower(F.hex(F.xxhash64("page_id", "url", "digest"))))
-    small = rows.filter(f"n >= {min_bytes}").groupBy("digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "uid"))).alias("first"), F.count("*").alias("c"))
+    small = rows.filter(f"n >= {min_bytes}").groupBy("digest").agg(
+        F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "uid"))).alias("first"), F.count("*").alias("c")
+    )
     small = small.filter("c > 1 and first is not null").select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     keyed = rows.withColumn("salt", F.expr(f"cast(pmod(xxhash64(page_id, url), {SALTS}) as int)"))
     joined = keyed.join(small, ["digest", "salt"], "left")
@@ -73,13 +75,24 @@ def write_archives(pages: DataFrame, path: str) -> None:
     revisit = F.col("first").isNotNull()
     head = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("n").cast("string"), F.lit(GAP))
     digest = F.concat(F.lit("sha256:"), F.col("digest"))
-    request = _record("request", urn("request", page, F.col("uid")), F.concat(F.lit("GET "), target, F.lit(f" HTTP/1.1{GAP}")), WARC_target_URI=target, WARC_concurrent_to=capture)
-    response = _record("response", capture, F.concat(head, F.col("payload")), WARC_target_URI=target, WARC_payload_digest=digest, content_type=F.lit("application/http; msgtype=response"))
+    request = _record(
+        "request", urn("request", page, F.col("uid")), F.concat(F.lit("GET "), target, F.lit(f" HTTP/1.1{GAP}")), WARC_target_URI=target,
+        WARC_concurrent_to=capture
+    )
+    response = _record(
+        "response", capture, F.concat(head, F.col("payload")), WARC_target_URI=target, WARC_payload_digest=digest,
+        content_type=F.lit("application/http; msgtype=response")
+    )
     again = _record(
-        "revisit", capture, head, WARC_target_URI=target, WARC_payload_digest=digest, WARC_refers_to=urn("capture", F.col("first.page_id").cast("string"), F.col("first.uid")),
+        "revisit", capture, head, WARC_target_URI=target, WARC_payload_digest=digest, WARC_refers_to=urn(
+            "capture", F.col("first.page_id").cast("string"), F.col("first.uid")
+        ),
         WARC_profile=F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
     )
-    metadata = _record("metadata", urn("metadata", page, F.col("uid")), F.concat(F.lit("page-id: "), page, F.lit(CRLF)), WARC_concurrent_to=capture, content_type=F.lit("application/warc-fields"))
+    metadata = _record(
+        "metadata", urn("metadata", page, F.col("uid")), F.concat(F.lit("page-id: "), page, F.lit(CRLF)), WARC_concurrent_to=capture,
+        content_type=F.lit("application/warc-fields")
+    )
     value = F.concat(request, F.lit(GAP), F.when(revisit, again).otherwise(response), F.lit(GAP), metadata)
     rows.select(value.alias("value")).write.option("lineSep", GAP).option("compression", "gzip").option("maxRecordsPerFile", captures).text(path)
 
@@ -160,7 +173,9 @@ def assemble(records: DataFrame, keep_payload: bool = True) -> DataFrame:
     payload = ["payload"] if keep_payload else []
     return records.groupBy(root.alias("capture_id")).agg(
         F.max(F.when(F.col("record_type") == "request", F.struct("record_id", "target_uri", "date"))).alias("request"),
-        F.max(F.when(is_response, F.struct("record_type", "target_uri", "date", "payload_digest", "payload_bytes", "digest_ok", "refers_to", *payload))).alias("response"),
+        F.max(F.when(
+            is_response, F.struct("record_type", "target_uri", "date", "payload_digest", "payload_bytes", "digest_ok", "refers_to", *payload)
+        )).alias("response"),
         F.max(F.when(F.col("record_type") == "metadata", F.struct("record_id", "fields"))).alias("metadata"),
         F.count(F.when(is_response, 1)).alias("copies"),
     )
@@ -173,7 +188,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.delete(spark, path)
     rows = captures.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return rows.select(
-        F.expr(r"try_cast(nullif(regexp_extract(metadata.fields, 'page-id: (-?\\d*)', 1), '') as bigint)").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.record_type").alias("record_type"),
+        F.expr(
+            r"try_cast(nullif(regexp_extract(metadata.fields, 'page-id: (-?\\d*)', 1), '') as bigint)"
+        ).alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.record_type").alias("record_type"),
         F.expr(r"try_cast(nullif(regexp_extract(response.refers_to, '^<urn:x-capture:(-?\\d*):', 1), '') as bigint)").alias("refers_to"),
     )
 

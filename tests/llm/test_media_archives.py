@@ -74,7 +74,10 @@ PAGES = "page_id long, url string, html string"
 
 def test_warc_transactions(spark, tmp_path):
     same = "<p>" + "same payload " * 20 + "</p>"
-    rows = [(3, "http://a/", same), (1, "http://b/", same), (1, "http://c/", same), (7, "http://d/\r\nX: y", same), (4, "u", "tiny"), (5, "u", "tiny"), (6, None, None), (None, "n", same), (8, "e", "é\r\n\r\nWARC/1.1\r\nü" * 30), (9, "s", "once"), (9, "s", "once")]
+    rows = [
+        (3, "http://a/", same), (1, "http://b/", same), (1, "http://c/", same), (7, "http://d/\r\nX: y", same), (4, "u", "tiny"), (5, "u", "tiny"),
+        (6, None, None), (None, "n", same), (8, "e", "é\r\n\r\nWARC/1.1\r\nü" * 30), (9, "s", "once"), (9, "s", "once")
+    ]
     warc.write_archives(spark.createDataFrame(rows, PAGES), f"{tmp_path}/w")
     found = warc.assemble(warc.read_archives(spark, f"{tmp_path}/w")).collect()
     assert sum(r["copies"] for r in found) == len(rows)
@@ -112,15 +115,26 @@ def test_warc_lone_records_and_empty(spark, tmp_path):
 
 def test_op4_contract(spark, tmp_path):
     same = "<p>" + "equal payload " * 20 + "</p>"
-    rows = [(3, "u", same), (1, "v", same), (1, "v", same), (2, "w", "tiny"), (4, "x", "tiny"), (5, None, None), (6, "y", ""), (None, "z", same), (7, "u", "é" * 49), (8, "u", "é" * 49), (9, "u", "é" * 50), (10, "u", "é" * 50)]
-    spark.createDataFrame(rows, PAGES).withColumns({c: F.lit("clash") for c in ("n", "value", "capture_id", "response")}).write.parquet(f"{tmp_path}/pages.parquet")
+    rows = [
+        (3, "u", same), (1, "v", same), (1, "v", same), (2, "w", "tiny"), (4, "x", "tiny"), (5, None, None), (6, "y", ""), (None, "z", same),
+        (7, "u", "é" * 49), (8, "u", "é" * 49), (9, "u", "é" * 50), (10, "u", "é" * 50)
+    ]
+    spark.createDataFrame(rows, PAGES).withColumns(
+        {c: F.lit("clash") for c in ("n", "value", "capture_id", "response")}
+    ).write.parquet(f"{tmp_path}/pages.parquet")
     found = queries.QUERIES["op4_warc_transactions"](spark, str(tmp_path)).collect()
     raw = [(i, (h or "").encode()) for i, _, h in rows]
     first = {}
     for i, h in raw:
         if i is not None:
             first[h] = min(first.get(h, i), i)
-    want = [(i, len(h), hashlib.sha256(h).hexdigest(), "revisit" if len(h) >= 100 and first[h] != i else "response", first[h] if len(h) >= 100 and first[h] != i else None) for i, h in raw]
+    want = [
+        (
+            i, len(h), hashlib.sha256(h).hexdigest(), "revisit" if len(h) >= 100 and first[h] != i else "response",
+            first[h] if len(h) >= 100 and first[h] != i else None
+        ) for i,
+        h in raw
+    ]
     assert sorted(map(str, (tuple(r) for r in found))) == sorted(map(str, want))
     spark.createDataFrame([], PAGES).write.parquet(f"{tmp_path}/empty/pages.parquet")
     assert queries.QUERIES["op4_warc_transactions"](spark, f"{tmp_path}/empty").count() == 0

@@ -60,7 +60,10 @@ def edited(rows):
 def run(spark, rows):
     docs = spark.createDataFrame(rows, SCHEMA)
     found = M.compare(docs)
-    return {r["oid"]: r for r in found.select("oid", "text", "edited", M.written("own").alias("own"), M.written("edited_own").alias("edited_own"), M.written("next_own").alias("next_own"), M.likeness("own", "edited_own").alias("near")).collect()}
+    return {r["oid"]: r for r in found.select(
+        "oid", "text", "edited", M.written("own").alias("own"), M.written("edited_own").alias("edited_own"), M.written("next_own").alias("next_own"),
+        M.likeness("own", "edited_own").alias("near")
+    ).collect()}
 
 
 def test_against_brute_force(spark):
@@ -122,5 +125,7 @@ def test_op8_contract(spark, tmp_path):
         r = found[i]
         assert (r["n_chars"], r["edited_sha256"]) == (len(text[i]), hashlib.sha256(want[i].encode()).hexdigest())
         assert (r["fingerprint"], r["edited_fingerprint"]) == (brute(text[i]), brute(want[i]))
-        assert r["near_edited"] == pytest.approx(alike(brute(text[i]), brute(want[i]))) and r["near_next"] == pytest.approx(alike(brute(text[i]), brute(following)))
+        assert r["near_edited"] == pytest.approx(alike(brute(text[i]), brute(want[i]))) and r["near_next"] == pytest.approx(
+            alike(brute(text[i]), brute(following))
+        )
     assert len({found[i]["fingerprint"] for i in (40, 41)}) == 1

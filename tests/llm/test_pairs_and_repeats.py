@@ -88,7 +88,10 @@ def brute_repeats(texts, length):
 
 def test_repeats_against_brute_force(spark):
     passage, other = words(1, 130), words(2, 60)
-    texts = [(5, " ".join(words(3, 200) + passage)), (2, " ".join(words(4, 90) + passage[10:] + words(5, 90))), (9, " ".join(passage[:49])), (7, " ".join(other + passage[20:80] + other)), (8, " ".join(other)), (11, "  ".join(other)), (12, ""), (13, "the " * 300), (14, "the " * 200)]
+    texts = [
+        (5, " ".join(words(3, 200) + passage)), (2, " ".join(words(4, 90) + passage[10:] + words(5, 90))), (9, " ".join(passage[:49])),
+        (7, " ".join(other + passage[20:80] + other)), (8, " ".join(other)), (11, "  ".join(other)), (12, ""), (13, "the " * 300), (14, "the " * 200)
+    ]
     assert repeats.Repeats(frame(spark, texts)).meta.count() == len(texts)
     found = {r["doc_id"]: r["text"] for r in repeats.remove(frame(spark, texts)).collect()}
     want = brute_repeats(texts, 50)
@@ -121,7 +124,9 @@ def test_columns_that_look_like_ours(spark):
     """Columns of any name come back as they were."""
     same = " ".join(words(8, 70))
     rows = [(1, same, "en", "s"), (2, same, "en", "s"), (3, "short", "en", "s"), (3, "short", "en", "s"), (3, "short", "de", "s")]
-    extra = {c: F.col("doc_id") + 70 for c in ("_a", "_b", "_oid", "_th", "_n", "_first", "_starts", "_mark", "_row", "_id", "_h", "_own", "_epoch", "_take", "component")}
+    extra = {c: F.col("doc_id") + 70 for c in (
+        "_a", "_b", "_oid", "_th", "_n", "_first", "_starts", "_mark", "_row", "_id", "_h", "_own", "_epoch", "_take", "component"
+    )}
     docs = spark.createDataFrame(rows, DOCS).withColumns(extra)
     for made in (repeats.remove(docs), jaccard.keep_first(docs), mixture.select(docs, share_percent=100)):
         assert made.columns == docs.columns
@@ -134,7 +139,11 @@ def test_columns_that_look_like_ours(spark):
 def test_license_scan(spark):
     mit = licenses.TEMPLATES[1][1]
     long = mit.split()
-    texts = [(1, "Released under the MIT License."), (2, None), (3, "nothing"), (4, "x " * 30 + mit.upper() + " y" * 30), (5, " ".join(long[:8] + ["extra"] + long[8:])), (6, "mit\nLicense, Apache license; general PUBLIC license"), (7, "mit license " * 500), (8, " ".join(long[:9] + long[11:]))]
+    texts = [
+        (1, "Released under the MIT License."), (2, None), (3, "nothing"), (4, "x " * 30 + mit.upper() + " y" * 30),
+        (5, " ".join(long[:8] + ["extra"] + long[8:])), (6, "mit\nLicense, Apache license; general PUBLIC license"), (7, "mit license " * 500),
+        (8, " ".join(long[:9] + long[11:]))
+    ]
     found = {r["doc_id"]: r for r in licenses.scan(frame(spark, texts)).collect()}
     assert found[1]["labels"] == "mit" and found[1]["n_base"] == 1 and found[1]["first_word"] == 3 and found[1]["score"] == 1.0
     assert (found[2]["n_words"], found[2]["labels"], found[2]["first_word"], found[2]["score"]) == (0, "", None, 0.0)
@@ -147,14 +156,21 @@ def test_license_scan(spark):
 
 
 def test_budgets_fill_siblings_first(spark):
-    leaves = spark.createDataFrame([("domain0", "en", "a", 100), ("domain0", "en", "b", 1000), ("domain0", "fr", "c", 1000), ("domain1", "en", "d", 1000)], "domain string, lang string, source string, tokens long")
-    found = {r["source"]: r["budget"] for r in mixture.budgets(leaves, weights={"domain": {"domain0": 50, "domain1": 50}, "lang": {"en": 50, "fr": 50}}, share_percent=50, epochs=1).collect()}
+    leaves = spark.createDataFrame(
+        [("domain0", "en", "a", 100), ("domain0", "en", "b", 1000), ("domain0", "fr", "c", 1000), ("domain1", "en", "d", 1000)],
+        "domain string, lang string, source string, tokens long"
+    )
+    found = {r["source"]: r["budget"] for r in mixture.budgets(
+        leaves, weights={"domain": {"domain0": 50, "domain1": 50}, "lang": {"en": 50, "fr": 50}}, share_percent=50, epochs=1
+    ).collect()}
     # 1550 tokens: 775 each domain; domain0's 388 and 387 by language; `a` holds 100, the rest of its share goes to `b`.
     assert found["d"] == 775 and found["c"] == 387 and found["a"] == 100 and found["b"] == 287
 
 
 def test_mixture_selects_whole_budgets(spark):
-    rows = [(i, " ".join(words(i, 5 + i % 40)), ("en", "de", None)[i % 3], f"src{i % 5}") for i in range(300)] + [(900, None, "en", "src1"), (901, "", "en", None), (7, " ".join(words(7, 12)), "de", "src2")]
+    rows = [(i, " ".join(words(i, 5 + i % 40)), ("en", "de", None)[i % 3], f"src{i % 5}") for i in range(300)] + [
+        (900, None, "en", "src1"), (901, "", "en", None), (7, " ".join(words(7, 12)), "de", "src2")
+    ]
     docs = spark.createDataFrame(rows, DOCS)
     chosen = mixture.choose(docs).collect()
     total = sum(len(t.split()) for _, t, *_ in rows if t)
@@ -191,10 +207,15 @@ def test_link_counts_against_brute_force(spark, monkeypatch):
 
 
 def test_license_query_with_repeated_rows_and_clashes(spark, tmp_path):
-    rows = [(1, "under the MIT License", "en", "s"), (1, "under the MIT License", "en", "s"), (2, "x " * 30_000 + "apache license", "en", "s"), (None, "mit license", "en", "s"), (3, None, None, None)]
+    rows = [
+        (1, "under the MIT License", "en", "s"), (1, "under the MIT License", "en", "s"), (2, "x " * 30_000 + "apache license", "en", "s"),
+        (None, "mit license", "en", "s"), (3, None, None, None)
+    ]
     clash = {c: F.lit("clash") for c in ("words", "h", "label", "cover", "own", "best", "base", "n_words", "labels", "score")}
     frame(spark, rows and [(i, t) for i, t, *_ in rows]).withColumns(clash).write.parquet(f"{tmp_path}/documents.parquet")
     found = queries.QUERIES["op5_license_scan"](spark, str(tmp_path)).collect()
-    assert sorted((r["doc_id"] or 0, r["labels"], r["n_words"]) for r in found) == [(0, "mit", 2), (1, "mit", 4), (1, "mit", 4), (2, "apache", 30_002), (3, "", 0)]
+    assert sorted((r["doc_id"] or 0, r["labels"], r["n_words"]) for r in found) == [
+        (0, "mit", 2), (1, "mit", 4), (1, "mit", 4), (2, "apache", 30_002), (3, "", 0)
+    ]
     frame(spark, []).write.parquet(f"{tmp_path}/empty/documents.parquet")
     assert queries.QUERIES["op5_license_scan"](spark, f"{tmp_path}/empty").count() == 0

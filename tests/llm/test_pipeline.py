@@ -28,8 +28,14 @@ def rows():
         lang = ("en", "de")[i % 2]
         out.append((i, prose(lang, i, 30 + i), lang if i % 7 else None, f"src{i % 5}" if i % 11 else None))
     passage = prose("en", 900, 70)
-    out += [(100, out[3][1], "de", "src1"), (101, out[3][1] + " nachtrag", "de", "src1"), (102, passage + " start", "en", "src2"), (103, prose("en", 901, 20) + "\n" + passage, "en", "src2")]
-    out += [(104, None, "en", "src1"), (105, "", "en", "src1"), (106, "123 !!", "en", "src1"), (107, passage + " start", "en", "src3"), (107, passage + " start", "en", "src3"), (None, prose("de", 902, 40), "de", "src4")]
+    out += [
+        (100, out[3][1], "de", "src1"), (101, out[3][1] + " nachtrag", "de", "src1"), (102, passage + " start", "en", "src2"),
+        (103, prose("en", 901, 20) + "\n" + passage, "en", "src2")
+    ]
+    out += [
+        (104, None, "en", "src1"), (105, "", "en", "src1"), (106, "123 !!", "en", "src1"), (107, passage + " start", "en", "src3"),
+        (107, passage + " start", "en", "src3"), (None, prose("de", 902, 40), "de", "src4")
+    ]
     return [(i, t, lang, s, len(t) if t is not None else None) for i, t, lang, s in out]
 
 

@@ -58,7 +58,9 @@ def test_pieces_round_trip(spark):
 def test_pieces_of_many_rows(spark):
     """More rows than are decoded at a time, with nulls among them, and columns of the names that the operator gives."""
     model = pieces.load()
-    rows = spark.range(2500).selectExpr("id as doc_id", "if(id % 7 = 0, null, concat('row ', id, ' ünd more')) as text", "'mine' as piece_ids", "'too' as decoded", "3 as _ids").coalesce(1)
+    rows = spark.range(2500).selectExpr(
+        "id as doc_id", "if(id % 7 = 0, null, concat('row ', id, ' ünd more')) as text", "'mine' as piece_ids", "'too' as decoded", "3 as _ids"
+    ).coalesce(1)
     coded = pieces.encode(rows, model)
     made = pieces.decode(coded, model, ids="piece_ids_")
     assert made.columns == ["doc_id", "text", "piece_ids", "decoded", "_ids", "piece_ids_", "piece_score", "decoded_"]
@@ -67,7 +69,10 @@ def test_pieces_of_many_rows(spark):
 
 
 def test_pieces_query(spark, tmp_path):
-    rows = [(1, "some text", "en", "s"), (2, None, "en", "s"), (3, "", None, None), (4, "x" * 30_000, "en", "s"), (4, "x" * 30_000, "en", "s"), (None, "some text", "en", "s")]
+    rows = [
+        (1, "some text", "en", "s"), (2, None, "en", "s"), (3, "", None, None), (4, "x" * 30_000, "en", "s"), (4, "x" * 30_000, "en", "s"),
+        (None, "some text", "en", "s")
+    ]
     found = queries.QUERIES["op7_sentencepiece"](spark, parquet(spark, tmp_path, rows)).collect()
     assert len(found) == 6 and all(r["round_trip"] for r in found)
     by = {r["doc_id"]: r for r in found}
@@ -108,7 +113,10 @@ def test_scripts_with_many_letters_are_told_apart(spark):
 
 
 def test_language_edge_cases(spark):
-    rows = [(None, "der hund und die katze", "de"), (None, "der hund und die katze", "de"), (1, "the cat and the dog", "en"), (1, "the cat and the dog", "en"), (2, "the cat", "en"), (3, None, None)]
+    rows = [
+        (None, "der hund und die katze", "de"), (None, "der hund und die katze", "de"), (1, "the cat and the dog", "en"),
+        (1, "the cat and the dog", "en"), (2, "the cat", "en"), (3, None, None)
+    ]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"lang_pred": F.lit("mine"), "_text": F.lit("also")})
     drawn = langid.sample(docs)
     assert drawn == {"de": "der hund und die katze", "en": drawn["en"]} and sorted(len(x) for x in drawn["en"].split(" ")) == [3, 3, 3, 3, 3, 3, 3]
@@ -156,7 +164,10 @@ def test_scores(spark, tmp_path):
     rng = np.random.default_rng(3)
     stems = ["than", "ble", "er", "ing", "ou", "sh"]
     rows = [(i, " ".join("".join(rng.choice(stems, 2)) for _ in range(40)), "en" if i % 3 else "de", "s") for i in range(120)]
-    rows += [(500, None, None, None), (501, "", "en", "s"), (502, "Than-THAN zzqy", "en", "s"), (502, "Than-THAN zzqy", "en", "s"), (503, "ing " * 4000, "en", "s")]
+    rows += [
+        (500, None, None, None), (501, "", "en", "s"), (502, "Than-THAN zzqy", "en", "s"), (502, "Than-THAN zzqy", "en", "s"),
+        (503, "ing " * 4000, "en", "s")
+    ]
     found = queries.QUERIES["op2_context_mixing"](spark, parquet(spark, tmp_path, rows)).collect()
     assert len(found) == len(rows)
     split = lambda t: [*re.findall(rb"[^\x20\x09-\x0d]+", (t or "").encode().lower()), b""]
