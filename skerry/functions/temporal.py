@@ -103,15 +103,23 @@ def conditions(scenes, config, timestamp: str = "timestamp"):
     ts = F.col(timestamp)
     turn, light, tide = F.col("_turn"), F.col("_light"), F.col("_tide")
     rows = scenes.withColumn("_turn", phase(instant(ts))).withColumn("_light", illumination(turn)).withColumn("_tide", spring_index(turn))
-    rows = rows.withColumn("in_season", in_season(scene_date(ts), config.season)).withColumn("moon_phase", phase_name(turn)).withColumn("suitability", suitability(F.col("in_season"), light, tide, config.dark_illumination))
+    rows = rows.withColumn("in_season", in_season(scene_date(ts), config.season)).withColumn("moon_phase", phase_name(turn)).withColumn(
+        "suitability", suitability(F.col("in_season"), light, tide, config.dark_illumination)
+    )
     window = f"{config.season.start} to {config.season.end}"
     percent = F.concat(F.bround(light * 100, 0).cast("int").cast("string"), F.lit("%"))
     why = (
         F.when(F.col("suitability") == "out_of_season", F.lit(f"outside the season ({window}): the moon raises no priority while the fishery is closed"))
         .when(F.col("suitability") == "high", F.concat("moon_phase", F.lit(": dark night ("), percent, F.lit(" lit) with spring tides, in season")))
-        .when(F.col("suitability") == "moderate", F.concat("moon_phase", F.lit(", in season: "), F.when(light <= config.dark_illumination, "a dark night").otherwise("spring tides"), F.lit(" only")))
+        .when(
+            F.col("suitability") == "moderate",
+            F.concat("moon_phase", F.lit(", in season: "), F.when(light <= config.dark_illumination, "a dark night").otherwise("spring tides"), F.lit(" only"))
+        )
         .otherwise(F.concat("moon_phase", F.lit(": bright night ("), percent, F.lit(" lit) near neap tides")))
     )
-    rows = rows.withColumns({"season_window": F.lit(window), "moon_illumination": F.round(light, 3), "darkness_favourability": F.round(1 - light, 3), "spring_tide_tendency": F.round(tide, 3), "rationale": why})
+    rows = rows.withColumns({
+        "season_window": F.lit(window), "moon_illumination": F.round(light, 3), "darkness_favourability": F.round(1 - light, 3),
+        "spring_tide_tendency": F.round(tide, 3), "rationale": why
+    })
     rows = rows.withColumns({k: F.lit(v) for k, v in (("role", ROLE), ("sensor_scope", SCOPE), ("cross_check_required", CROSS_CHECK))})
     return rows.drop("_turn", "_light", "_tide")

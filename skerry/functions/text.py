@@ -87,7 +87,10 @@ def degenerate(text: Column, least_chars: int = 2000, least_sentences: int = 20,
     """A long text without an object that says the same sentences again and again."""
     sentences = F.filter(F.transform(F.split(text, "[.]"), stripped), lambda s: s != "")
     n = F.size(sentences)
-    return F.coalesce((F.char_length(text) >= least_chars) & ~F.contains(text, F.lit("{")) & (n >= least_sentences) & (F.size(F.array_distinct(sentences)) < ratio * n), F.lit(False))
+    return F.coalesce(
+        (F.char_length(text) >= least_chars) & ~F.contains(text, F.lit("{")) & (n >= least_sentences) & (F.size(F.array_distinct(sentences)) < ratio * n),
+        F.lit(False)
+    )
 
 
 def repaired(fragment: Column) -> Column:
@@ -118,7 +121,10 @@ def first_object(text: Column) -> Column:
         depth = F.when(inside, a.depth).when(m == "{", a.depth + 1).when(m == "}", a.depth - 1).otherwise(a.depth)
         at = a.at + F.char_length(m)
         closes = ~inside & (m == "}") & (a.depth == 1)
-        moved = F.struct(depth.alias("depth"), F.when(quote, ~inside).otherwise(inside).alias("open"), at.alias("at"), F.when(closes, at).otherwise(F.lit(0)).alias("end"))
+        moved = F.struct(
+            depth.alias("depth"), F.when(quote, ~inside).otherwise(inside).alias("open"), at.alias("at"),
+            F.when(closes, at).otherwise(F.lit(0)).alias("end")
+        )
         return F.when(a.end > 0, a).otherwise(moved)
 
     end = F.aggregate(marks, zero, step)["end"]

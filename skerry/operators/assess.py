@@ -21,11 +21,20 @@ HIGH_COUNT = 2
 
 def length_of(length: Column, name: Column) -> Column:
     """The length; an error names the detection that has none."""
-    return F.coalesce(length, temporal.fail(F.concat(F.lit("detection "), F.coalesce(name, F.lit("?")), F.lit(": estimated_length_m is missing or not numeric")), "double"))
+    return F.coalesce(
+        length,
+        temporal.fail(F.concat(F.lit("detection "), F.coalesce(name, F.lit("?")), F.lit(": estimated_length_m is missing or not numeric")), "double")
+    )
 
 
 def score_of(score: Column, name: Column) -> Column:
-    return F.coalesce(score, temporal.fail(F.concat(F.lit("detection "), F.coalesce(name, F.lit("?")), F.lit(": fishing_score is missing; that is not absence of activity")), "double"))
+    return F.coalesce(
+        score,
+        temporal.fail(
+            F.concat(F.lit("detection "), F.coalesce(name, F.lit("?")), F.lit(": fishing_score is missing; that is not absence of activity")),
+            "double"
+        )
+    )
 
 
 def ais_status(matched: Column) -> Column:
@@ -59,7 +68,9 @@ def assess(detections: DataFrame, zones: list[Zone], config: Config, structures:
     limit, sigma, k = config.ais_length_threshold_m, config.length_sigma_m, config.length_sigma_k
     name, lat, lon = F.col("id"), F.col("lat"), F.col("lon")
 
-    rows = detections.withColumn("estimated_length_m", length_of(F.col("estimated_length_m"), name)).withColumn("fishing_score", score_of(F.col("fishing_score"), name))
+    rows = detections.withColumn(
+        "estimated_length_m", length_of(F.col("estimated_length_m"), name)
+    ).withColumn("fishing_score", score_of(F.col("fishing_score"), name))
     rows = rows.withColumn("ais_status", ais_status(F.col("ais_matched"))).withColumn("likely_gear", F.coalesce("likely_gear", F.lit("unknown")))
     rows = rows.withColumn("fishing", F.col("fishing_score") >= config.fishing_score_threshold)
     rows = rows.withColumn("ais_applicability", applicability(F.col("estimated_length_m"), limit, sigma, k))
@@ -68,10 +79,24 @@ def assess(detections: DataFrame, zones: list[Zone], config: Config, structures:
     dark, matched, fishing, gear = F.col("ais_status") == "dark", F.col("ais_status") == "matched", F.col("fishing"), F.col("likely_gear")
     applies, near = F.col("ais_applicability") == "applicable", F.col("ais_applicability") == "near_threshold_inconclusive"
     metres = F.concat(F.col("estimated_length_m").cast("string"), F.lit(" m"))
-    firm_reason = F.concat(F.lit("estimated length "), metres, F.lit(f" exceeds {limit} m by more than the sensor's uncertainty and no AIS broadcast was matched; the duty to carry AIS may be engaged ({basis})"))
-    near_reason = F.concat(F.lit("estimated length "), metres, F.lit(f" lies near {limit} m (uncertainty {k}*{sigma} m): inconclusive; without a matched AIS broadcast the duty to carry it could be engaged ({basis})"))
-    indicators = [F.when(dark & applies, _indicator("ais", None, False, False, firm_reason)), F.when(dark & near, _indicator("ais_inconclusive", None, True, False, near_reason))]
-    items = [F.when(dark & applies, _item("AIS broadcast not matched, length firmly above the threshold", w.ais_dark)), F.when(dark & near, _item("AIS broadcast not matched, length near the threshold: inconclusive", w.ais_dark_inconclusive))]
+    firm_reason = F.concat(
+        F.lit("estimated length "), metres,
+        F.lit(f" exceeds {limit} m by more than the sensor's uncertainty and no AIS broadcast was matched; the duty to carry AIS may be engaged ({basis})")
+    )
+    near_reason = F.concat(
+        F.lit("estimated length "), metres,
+        F.lit(
+            f" lies near {limit} m (uncertainty {k}*{sigma} m): inconclusive; without a matched AIS broadcast the duty to carry it could be engaged ({basis})"
+        )
+    )
+    indicators = [
+        F.when(dark & applies, _indicator("ais", None, False, False, firm_reason)),
+        F.when(dark & near, _indicator("ais_inconclusive", None, True, False, near_reason))
+    ]
+    items = [
+        F.when(dark & applies, _item("AIS broadcast not matched, length firmly above the threshold", w.ais_dark)),
+        F.when(dark & near, _item("AIS broadcast not matched, length near the threshold: inconclusive", w.ais_dark_inconclusive))
+    ]
     context = [F.when(F.col("ais_status") == "unknown", F.lit("AIS matching is unknown here, so the absence of a broadcast cannot be asserted"))]
     found = []
     for i, z in enumerate(zones):
@@ -80,20 +105,38 @@ def assess(detections: DataFrame, zones: list[Zone], config: Config, structures:
         label = f"{z.type} '{z.name}' ({z.id})"
         if "all" in z.prohibited_gear:
             hit = here & fishing
-            indicators.append(F.when(hit, _indicator("zone", z, False, True, F.lit(f"likely fishing by the activity classifier inside {label}, where all gear is prohibited"))))
+            indicators.append(F.when(
+                hit,
+                _indicator("zone", z, False, True, F.lit(f"likely fishing by the activity classifier inside {label}, where all gear is prohibited"))
+            ))
             items.append(F.when(hit, _item(f"likely fishing where all gear is prohibited ({z.id})", w.zone_violation)))
         elif z.prohibited_gear:
             banned = here & gear.isin(*z.prohibited_gear)
-            indicators.append(F.when(banned & matched, _indicator("zone", z, False, False, F.concat(F.lit("registered gear '"), gear, F.lit(f"' is prohibited inside {label}")))))
+            indicators.append(F.when(
+                banned & matched,
+                _indicator("zone", z, False, False, F.concat(F.lit("registered gear '"), gear, F.lit(f"' is prohibited inside {label}")))
+            ))
             items.append(F.when(banned & matched, _item(f"registered gear is prohibited in the zone ({z.id})", w.zone_violation)))
-            context.append(F.when(banned & ~matched, F.concat(F.lit("inferred gear '"), gear, F.lit(f"' would be prohibited inside {label}; inferred gear is context only"))))
+            context.append(F.when(
+                banned & ~matched,
+                F.concat(F.lit("inferred gear '"), gear, F.lit(f"' would be prohibited inside {label}; inferred gear is context only"))
+            ))
         if z.closure:
             shut = here & fishing & temporal.closure_active(z, F.col(day))
-            indicators.append(F.when(shut, _indicator("zone", z, False, True, F.lit(f"likely fishing by the activity classifier inside '{z.name}' ({z.id}) while it is closed ({z.closure[2]})"))))
+            indicators.append(F.when(
+                shut,
+                _indicator(
+                    "zone", z, False, True,
+                    F.lit(f"likely fishing by the activity classifier inside '{z.name}' ({z.id}) while it is closed ({z.closure[2]})")
+                )
+            ))
             items.append(F.when(shut, _item(f"likely fishing during a closure ({z.id})", w.zone_violation)))
 
     zone_type = "struct<id:string,name:string,type:string>"
-    rows = rows.withColumns({"zones": _present(found, zone_type), "_ind": _present(indicators, INDICATOR), "_ctx": _present(context, "string"), "_items": _present(items, SCORE_ITEM)})
+    rows = rows.withColumns({
+        "zones": _present(found, zone_type), "_ind": _present(indicators, INDICATOR), "_ctx": _present(context, "string"),
+        "_items": _present(items, SCORE_ITEM)
+    })
     rows = rows.drop(*(f"_in{i}" for i in range(len(zones))))
     rows = rows.withColumn("_items", F.when(
         fishing & (F.size("_ind") > 0) & ~F.exists("_ind", lambda x: (x.kind == "zone") & x.rests_on_activity),
@@ -102,7 +145,10 @@ def assess(detections: DataFrame, zones: list[Zone], config: Config, structures:
 
     rows = spatial.match_structures(rows, structures) if structures is not None else rows.withColumn("fixed_structure", F.lit(None).cast(spatial.MATCH))
     fixed = F.col("fixed_structure").isNotNull()
-    demoted = F.transform("_ind", lambda x: F.concat(F.lit("suppressed as attributable to fixed structure "), F.coalesce(F.col("fixed_structure.id"), F.lit("?")), F.lit(": "), x.reason))
+    demoted = F.transform(
+        "_ind",
+        lambda x: F.concat(F.lit("suppressed as attributable to fixed structure "), F.coalesce(F.col("fixed_structure.id"), F.lit("?")), F.lit(": "), x.reason)
+    )
     empty = lambda kind: F.expr("array()").cast(f"array<{kind}>")
     rows = rows.withColumns({
         "potential_indicators": F.when(fixed, empty(INDICATOR)).otherwise(F.col("_ind")),
@@ -111,12 +157,16 @@ def assess(detections: DataFrame, zones: list[Zone], config: Config, structures:
         "ais_indicator_suppressed": dark & ~applies & ~near & ~fixed,
     }).drop("_ind", "_ctx", "_items")
     rows = rows.withColumn("score", F.aggregate("score_breakdown", F.lit(0), lambda a, x: a + x.points))
-    rows = rows.withColumn("firm", F.size(F.filter("potential_indicators", lambda x: ~x.degraded))).withColumn("degraded", F.size("potential_indicators") - F.col("firm"))
+    rows = rows.withColumn(
+        "firm", F.size(F.filter("potential_indicators", lambda x: ~x.degraded))
+    ).withColumn("degraded", F.size("potential_indicators") - F.col("firm"))
 
     margin, vms, own = k * sigma, config.vms, F.col("estimated_length_m")
     note = F.concat(
         F.lit("Below the length from which AIS must be carried: silence is not an indicator. Other indicators, if any, remain."),
-        F.when(own - margin >= vms, F.lit(f" The right cross-check is VMS, which is carried from {vms} m.")).when(own + margin >= vms, F.lit(f" The length is within uncertainty of {vms} m, so a VMS cross-check may or may not apply.")).otherwise(F.lit("")),
+        F.when(own - margin >= vms, F.lit(f" The right cross-check is VMS, which is carried from {vms} m.")).when(
+            own + margin >= vms, F.lit(f" The length is within uncertainty of {vms} m, so a VMS cross-check may or may not apply.")
+        ).otherwise(F.lit("")),
     )
     rows = rows.withColumn("ais_note", F.when(F.col("ais_indicator_suppressed"), note))
     firm, worse = F.col("firm"), F.col("degraded")
@@ -126,9 +176,21 @@ def assess(detections: DataFrame, zones: list[Zone], config: Config, structures:
     ))
     text = lambda c: c.cast("string")
     rows = rows.withColumn("note", (
-        F.when(fixed, F.concat(F.lit("Coincides with fixed structure "), F.coalesce("fixed_structure.id", F.lit("?")), F.lit(" ("), F.coalesce("fixed_structure.type", F.lit("unknown")), F.lit("); verify that no vessel operates beside it.")))
+        F.when(
+            fixed,
+            F.concat(
+                F.lit("Coincides with fixed structure "), F.coalesce("fixed_structure.id", F.lit("?")), F.lit(" ("),
+                F.coalesce("fixed_structure.type", F.lit("unknown")), F.lit("); verify that no vessel operates beside it.")
+            )
+        )
         .when(firm >= HIGH_COUNT, F.concat(text(firm), F.lit(" independent indicators concur.")))
-        .when(firm >= 1, F.concat(text(firm), F.lit(" indicator; corroboration is needed."), F.when(worse > 0, F.concat(F.lit(" "), text(worse), F.lit(" further degraded indicator(s) corroborate only."))).otherwise(F.lit(""))))
+        .when(
+            firm >= 1,
+            F.concat(
+                text(firm), F.lit(" indicator; corroboration is needed."),
+                F.when(worse > 0, F.concat(F.lit(" "), text(worse), F.lit(" further degraded indicator(s) corroborate only."))).otherwise(F.lit(""))
+            )
+        )
         .when(worse > 0, F.concat(text(worse), F.lit(" degraded indicator(s) only: recorded, not enough for an inspection.")))
         .when(F.col("ais_indicator_suppressed"), F.col("ais_note")).otherwise(F.lit("Nothing that would justify an inspection."))
     ))

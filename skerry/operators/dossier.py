@@ -57,7 +57,10 @@ def summary(records: DataFrame) -> DataFrame:
 
 def active_closures(scenes: DataFrame, zones: list[Zone], day: str = "day") -> DataFrame:
     """scene columns with zone_id, zone and reason of each closure active on its day."""
-    parts = [F.when(temporal.closure_active(z, F.col(day)), F.struct(F.lit(z.id).alias("zone_id"), F.lit(z.name).alias("zone"), F.lit(z.closure[2]).alias("reason"))) for z in zones if z.closure]
+    parts = [F.when(
+        temporal.closure_active(z, F.col(day)),
+        F.struct(F.lit(z.id).alias("zone_id"), F.lit(z.name).alias("zone"), F.lit(z.closure[2]).alias("reason"))
+    ) for z in zones if z.closure]
     if not parts:
         return scenes.withColumns({c: F.lit(None).cast("string") for c in ("zone_id", "zone", "reason")}).limit(0)
     return scenes.withColumn("c", F.explode(F.array_compact(F.array(*parts)))).select(*scenes.columns, "c.*")
@@ -82,7 +85,10 @@ def patrol(records: DataFrame, config: Config) -> DataFrame:
 def citation(indicators: str = "potential_indicators", basis: str | None = None) -> Column:
     """The provisions at stake: the AIS article once, then each zone once, in order."""
     article = F.when(F.exists(indicators, lambda x: x.kind.startswith("ais")), F.lit(basis or "the AIS carriage and operation requirement"))
-    named = F.transform(F.filter(indicators, lambda x: x.zone_id.isNotNull()), lambda x: F.concat(F.coalesce(x.zone, F.lit("zone")), F.lit(" ("), x.zone_id, F.lit(")")))
+    named = F.transform(
+        F.filter(indicators, lambda x: x.zone_id.isNotNull()),
+        lambda x: F.concat(F.coalesce(x.zone, F.lit("zone")), F.lit(" ("), x.zone_id, F.lit(")"))
+    )
     text = F.concat_ws("; ", article, F.array_join(F.array_distinct(named), "; "))
     return F.when(F.size(indicators) == 0, "none identified").otherwise(F.regexp_replace(text, "; $", ""))
 
@@ -103,23 +109,51 @@ def document(records: DataFrame, scenes: DataFrame, zones: list[Zone], config: C
     stops = patrol(records, config).select("scene_id", "ord", "stop")
     rows = rows.join(stops, ["scene_id", "ord"], "left")
     pick = lambda keep: F.transform(F.array_sort(F.collect_list(F.when(keep, own))), lambda x: x.r)
-    stop = F.when(F.col("stop").isNotNull(), F.struct("stop", F.struct("id", F.col("classification").alias("priority"), "distance_from_base_km", F.struct("lat", "lon").alias("position")).alias("s")))
-    lists = {"inspection_candidates": pick(F.col("classification").isin(*CANDIDATES)), "ais_indicator_suppressed": pick(F.col("ais_indicator_suppressed")), "fixed_structure_suppressed": pick(F.col("classification") == "fixed_structure")}
+    stop = F.when(
+        F.col("stop").isNotNull(),
+        F.struct(
+            "stop",
+            F.struct("id", F.col("classification").alias("priority"), "distance_from_base_km", F.struct("lat", "lon").alias("position")).alias("s")
+        )
+    )
+    lists = {
+        "inspection_candidates": pick(F.col("classification").isin(*CANDIDATES)), "ais_indicator_suppressed": pick(F.col("ais_indicator_suppressed")),
+        "fixed_structure_suppressed": pick(F.col("classification") == "fixed_structure")
+    }
     if keep_records:
         lists = {"records": pick(F.lit(True))} | lists
     counts = [F.count(F.when(F.col("classification") == c, 1)).alias(c) for c in CLASS_ORDER]
-    per = rows.groupBy("scene_id").agg(F.count("*").alias("total_detections"), F.transform(F.array_sort(F.collect_list(stop)), lambda x: x.s).alias("patrol_sequence"), *(v.alias(k) for k, v in lists.items()), *counts)
-    per = per.withColumn("classification_summary", F.map_filter(F.map_from_entries(F.array(*(F.struct(F.lit(c).alias("k"), F.col(c).alias("v")) for c in CLASS_ORDER))), lambda _, v: v > 0)).drop(*CLASS_ORDER)
-    regulated = F.array(*(F.struct(F.lit(z.id).alias("id"), F.lit(z.name).alias("name"), F.lit(z.type).alias("type"), F.array(*(F.lit(g) for g in z.prohibited_gear)).cast("array<string>").alias("prohibited_gear"), temporal.closure_active(z, F.col("day")).alias("closure_active")) for z in zones))
-    shut = [F.when(temporal.closure_active(z, F.col("day")), F.struct(F.lit(z.name).alias("zone"), F.lit(z.closure[2]).alias("reason"))) for z in zones if z.closure]
+    per = rows.groupBy("scene_id").agg(
+        F.count("*").alias("total_detections"), F.transform(F.array_sort(F.collect_list(stop)), lambda x: x.s).alias("patrol_sequence"),
+        *(v.alias(k) for k, v in lists.items()), *counts
+    )
+    per = per.withColumn(
+        "classification_summary",
+        F.map_filter(F.map_from_entries(F.array(*(F.struct(F.lit(c).alias("k"), F.col(c).alias("v")) for c in CLASS_ORDER))), lambda _, v: v > 0)
+    ).drop(*CLASS_ORDER)
+    regulated = F.array(*(F.struct(
+        F.lit(z.id).alias("id"), F.lit(z.name).alias("name"), F.lit(z.type).alias("type"),
+        F.array(*(F.lit(g) for g in z.prohibited_gear)).cast("array<string>").alias("prohibited_gear"),
+        temporal.closure_active(z, F.col("day")).alias("closure_active")
+    ) for z in zones))
+    shut = [F.when(
+        temporal.closure_active(z, F.col("day")), F.struct(F.lit(z.name).alias("zone"), F.lit(z.closure[2]).alias("reason"))
+    ) for z in zones if z.closure]
     head = temporal.conditions(scenes.withColumn("day", temporal.scene_date(F.col("timestamp"))), config)
-    env = ("in_season", "season_window", "moon_phase", "moon_illumination", "darkness_favourability", "spring_tide_tendency", "suitability", "rationale", "role", "sensor_scope", "cross_check_required")
+    env = (
+        "in_season", "season_window", "moon_phase", "moon_illumination", "darkness_favourability", "spring_tide_tendency", "suitability", "rationale",
+        "role", "sensor_scope", "cross_check_required"
+    )
     base = F.struct(*(F.lit(v).alias(n) for n, v in zip(("lat", "lon", "name"), config.base, strict=True))) if config.base else F.lit(None).cast("string")
     head = head.select("scene_id", F.struct(
-        F.struct(*(c for c in scenes.columns if c != "scene_id")).alias("scene"), F.col("day").cast("string").alias("analysis_date"), F.struct(*env).alias("environmental_context"), F.lit(config.study_area).alias("study_area"),
+        F.struct(
+            *(c for c in scenes.columns if c != "scene_id")
+        ).alias("scene"), F.col("day").cast("string").alias("analysis_date"), F.struct(*env).alias("environmental_context"), F.lit(config.study_area).alias("study_area"),
         F.lit(config.output_language).alias("output_language"), F.lit(config.ais_length_threshold_m).alias("ais_length_threshold_m"), F.lit(config.length_sigma_m).alias("length_sigma_m"), F.lit(config.vms_length_threshold_m).alias("vms_length_threshold_m"),
         F.lit(config.ais_legal_basis).alias("ais_legal_basis"), F.lit(config.lawful_dark_derogation).alias("lawful_dark_derogation"), regulated.alias("regulated_zones"),
-        (F.array_compact(F.array(*shut)) if shut else F.expr("array()")).alias("active_closures"), base.alias("patrol_base"), F.lit(config.patrol_radius_km).alias("patrol_radius_km"),
+        (
+            F.array_compact(F.array(*shut)) if shut else F.expr("array()")
+        ).alias("active_closures"), base.alias("patrol_base"), F.lit(config.patrol_radius_km).alias("patrol_radius_km"),
     ).alias("h"))
     fields = ["total_detections", "classification_summary", *lists, "patrol_sequence"]
     return head.join(per, "scene_id").select("scene_id", F.to_json(F.struct("h.*", *fields)).alias("dossier"))
@@ -127,11 +161,17 @@ def document(records: DataFrame, scenes: DataFrame, zones: list[Zone], config: C
 
 def map_points(records: DataFrame) -> DataFrame:
     """id, lat, lon, class, colour and radius for a map; candidates are drawn larger."""
-    return records.select("scene_id", "id", "lat", "lon", "classification", colour().alias("colour"), F.when(F.col("classification").isin(*CANDIDATES), 1400).otherwise(700).alias("radius"))
+    return records.select(
+        "scene_id", "id", "lat", "lon", "classification", colour().alias("colour"),
+        F.when(F.col("classification").isin(*CANDIDATES), 1400).otherwise(700).alias("radius")
+    )
 
 
 # Colours by class, red, green, blue, opacity of 255; other classes are grey.
-COLOURS = {"high_priority": (214, 40, 40, 220), "medium_priority": (243, 166, 30, 220), "below_candidate_threshold": (140, 140, 140, 160), "no_indicators": (140, 140, 140, 120), "ais_not_applicable": (90, 140, 200, 160)}
+COLOURS = {
+    "high_priority": (214, 40, 40, 220), "medium_priority": (243, 166, 30, 220), "below_candidate_threshold": (140, 140, 140, 160),
+    "no_indicators": (140, 140, 140, 120), "ais_not_applicable": (90, 140, 200, 160)
+}
 GREY = (140, 140, 140, 160)
 
 
@@ -146,6 +186,8 @@ def candidate_rows(records: DataFrame, config: Config) -> DataFrame:
     """A flat table of candidates for display."""
     rows = with_distance(candidates(records), config)
     return rows.select(
-        "scene_id", "id", F.replace("classification", F.lit("_priority"), F.lit("")).alias("priority"), F.concat_ws(", ", "lat", "lon").alias("position"), F.col("estimated_length_m").alias("length_m"), F.col("ais").alias("AIS"),
+        "scene_id", "id", F.replace(
+            "classification", F.lit("_priority"), F.lit("")
+        ).alias("priority"), F.concat_ws(", ", "lat", "lon").alias("position"), F.col("estimated_length_m").alias("length_m"), F.col("ais").alias("AIS"),
         F.size("potential_indicators").alias("indicators"), F.col("distance_from_base_km").alias("km_from_base"),
     )

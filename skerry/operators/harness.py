@@ -86,19 +86,33 @@ def _brief(config: Config) -> dict[str, Column]:
 def clean_ranked(records: DataFrame, every: bool = False) -> DataFrame:
     """A correct ranking: every candidate with its first reason."""
     rows = records if every else dossier.candidates(records)
-    return rows.select("scene_id", F.col("ord").alias("rank_ord"), "id", F.coalesce(F.get(F.col("potential_indicators"), F.lit(0))["reason"], F.lit("worth a look")).alias("reason"))
+    return rows.select(
+        "scene_id", F.col("ord").alias("rank_ord"), "id",
+        F.coalesce(F.get(F.col("potential_indicators"), F.lit(0))["reason"], F.lit("worth a look")).alias("reason")
+    )
 
 
 def clean_prose(records: DataFrame) -> DataFrame:
-    return records.select("scene_id").distinct().withColumn("prose", F.lit("Several detections carry concurring indicators. Priority orders attention; a person decides on patrols."))
+    return records.select("scene_id").distinct().withColumn(
+        "prose", F.lit("Several detections carry concurring indicators. Priority orders attention; a person decides on patrols.")
+    )
 
 
 def spoiled_prose(records: DataFrame) -> DataFrame:
     """Per scene: its first medium record is claimed to be high, and its first silent one is named."""
     silent = F.col("ais_indicator_suppressed") & (F.size("potential_indicators") == 0)
     medium = F.col("classification") == "medium_priority"
-    per = records.groupBy("scene_id").agg(F.min_by(F.when(medium, F.col("id")), F.when(medium, F.col("ord"))).alias("m"), F.min_by(F.when(silent, F.col("id")), F.when(silent, F.col("ord"))).alias("s"))
-    return per.select("scene_id", F.concat(F.lit("High-priority vessels seen today ("), F.coalesce("m", F.lit("none")), F.lit("). Activity gathers near "), F.coalesce("s", F.lit("the bank")), F.lit(".")).alias("prose"))
+    per = records.groupBy("scene_id").agg(
+        F.min_by(F.when(medium, F.col("id")), F.when(medium, F.col("ord"))).alias("m"),
+        F.min_by(F.when(silent, F.col("id")), F.when(silent, F.col("ord"))).alias("s")
+    )
+    return per.select(
+        "scene_id",
+        F.concat(
+            F.lit("High-priority vessels seen today ("), F.coalesce("m", F.lit("none")), F.lit("). Activity gathers near "),
+            F.coalesce("s", F.lit("the bank")), F.lit(".")
+        ).alias("prose")
+    )
 
 
 def _planted(rows: DataFrame, faults: tuple[Fault, ...], fields: tuple[str, ...], shift: int) -> DataFrame:
@@ -111,8 +125,13 @@ def _planted(rows: DataFrame, faults: tuple[Fault, ...], fields: tuple[str, ...]
     # A record that is no candidate warrants no output: the rule on that must speak where no fault does.
     unwarranted = F.col("expected").isNull() & ~is_candidate
     by_rule = F.lit("Q2") if "reason" in fields else F.when(F.col("ais_indicator_suppressed") & (F.size("potential_indicators") == 0), "V1").otherwise("V2")
-    rows = rows.withColumns({"family": F.when(unwarranted, "over-report").otherwise(F.coalesce("family", F.lit(CONTROL))), "expected": F.when(unwarranted, by_rule).otherwise(F.col("expected"))})
-    changed = {c: F.coalesce(*(F.when(F.col("k") == k, F.expr(f.changes[c])) for k, f in enumerate(faults) if c in f.changes), F.col(c)) for c in fields if any(c in f.changes for f in faults)}
+    rows = rows.withColumns({
+        "family": F.when(unwarranted, "over-report").otherwise(F.coalesce("family", F.lit(CONTROL))),
+        "expected": F.when(unwarranted, by_rule).otherwise(F.col("expected"))
+    })
+    changed = {c: F.coalesce(
+        *(F.when(F.col("k") == k, F.expr(f.changes[c])) for k, f in enumerate(faults) if c in f.changes), F.col(c)
+    ) for c in fields if any(c in f.changes for f in faults)}
     left_out = [k for k, f in enumerate(faults) if f.rule and not f.changes]
     return rows.withColumns(changed).withColumn("left_out", F.coalesce(F.col("k").isin(*left_out), F.lit(False)))
 

@@ -42,7 +42,9 @@ def dossier_lines(records: DataFrame, scene_id: str, config: Config, scenes: Dat
     out.append("\nPatrol:")
     out += [f"  {r['stop']}. {r['id']} {r['classification']} {r['distance_from_base_km']} km" for r in dossier.patrol(own, config).orderBy("stop").collect()]
     out.append("\nBelow the threshold:")
-    out += [f"  {r['id']} ({r['classification']}, score {r['score']}): {r['summary']}" for r in dossier.ordered(dossier.below_threshold(own)).orderBy("pos").collect()]
+    out += [
+        f"  {r['id']} ({r['classification']}, score {r['score']}): {r['summary']}" for r in dossier.ordered(dossier.below_threshold(own)).orderBy("pos").collect()
+    ]
     out.append("\nAIS indicator suppressed:")
     out += [f"  {r['id']} ({r['classification']}): {r['ais_note']}" for r in dossier.ordered(dossier.suppressed(own)).orderBy("pos").collect()]
     out.append("\nFixed structures:")
@@ -57,5 +59,8 @@ def ranking_lines(ranked: DataFrame) -> list[str]:
 def brief_lines(briefs: DataFrame) -> list[str]:
     out = []
     for r in briefs.withColumn("position", T.position_text(F.col("position"))).orderBy("brief_ord").collect():
-        out += [f"[{(r['priority'] or '').upper()}] {r['id']} - {r['position']}", *(f"  - {i}" for i in r["indicators"] or []), f"  regulation: {r['regulation_concerned']}", f"  action: {r['suggested_action']}", f"  caveat: {r['caveat']}"]
+        out += [
+            f"[{(r['priority'] or '').upper()}] {r['id']} - {r['position']}", *(f"  - {i}" for i in r["indicators"] or []),
+            f"  regulation: {r['regulation_concerned']}", f"  action: {r['suggested_action']}", f"  caveat: {r['caveat']}"
+        ]
     return out

@@ -189,7 +189,10 @@ def label_box(pad: int = 1) -> list[Column]:
     """Centre and size of a padded, clamped pixel box, as shares of the chip: xc, yc, w, h."""
     r0, c0 = F.greatest(F.col("row_min") - pad, F.lit(0)), F.greatest(F.col("col_min") - pad, F.lit(0))
     r1, c1 = F.least(F.col("row_max") + pad, F.col("rows_n") - 1), F.least(F.col("col_max") + pad, F.col("cols_n") - 1)
-    return [((c0 + c1 + 1) / 2 / F.col("cols_n")).alias("xc"), ((r0 + r1 + 1) / 2 / F.col("rows_n")).alias("yc"), ((c1 - c0 + 1) / F.col("cols_n")).alias("w"), ((r1 - r0 + 1) / F.col("rows_n")).alias("h")]
+    return [
+        ((c0 + c1 + 1) / 2 / F.col("cols_n")).alias("xc"), ((r0 + r1 + 1) / 2 / F.col("rows_n")).alias("yc"),
+        ((c1 - c0 + 1) / F.col("cols_n")).alias("w"), ((r1 - r0 + 1) / F.col("rows_n")).alias("h")
+    ]
 
 
 def label_lines(detections: DataFrame, pad: int = 1) -> DataFrame:
@@ -201,7 +204,10 @@ def label_lines(detections: DataFrame, pad: int = 1) -> DataFrame:
 def recalled(truth: DataFrame, detections: DataFrame, slack: float = 2.0) -> DataFrame:
     """True targets (chip_id, row, col) with a detection within slack pixels."""
     d = detections.select(F.col("chip_id").alias("_c"), F.col("row").alias("_r"), F.col("col").alias("_x"))
-    return truth.join(d, (F.col("chip_id") == F.col("_c")) & (F.abs(F.col("row") - F.col("_r")) <= slack) & (F.abs(F.col("col") - F.col("_x")) <= slack), "left_semi")
+    return truth.join(
+        d, (F.col("chip_id") == F.col("_c")) & (F.abs(F.col("row") - F.col("_r")) <= slack) & (F.abs(F.col("col") - F.col("_x")) <= slack),
+        "left_semi"
+    )
 
 
 def draw_targets(chips: DataFrame, size: int = 256, seed: int = 0, least: int = 2, most: int = 5, margin: int = 12) -> DataFrame:
@@ -219,7 +225,9 @@ def draw_targets(chips: DataFrame, size: int = 256, seed: int = 0, least: int =
 def synthetic(spark, targets: DataFrame, size: int = 256, clutter: float = 1.0, seed: int = 0) -> DataFrame:
     """Pixels of chips with exponential clutter; targets (chip_id, row, col, amplitude) bleed 40 % into four neighbours."""
     chips = targets.select("chip_id").distinct()
-    place = lambda dr, dc, share: targets.select("chip_id", (F.col("row") + dr).alias("row"), (F.col("col") + dc).alias("col"), (F.col("amplitude") * share).alias("a"))
+    place = lambda dr, dc, share: targets.select(
+        "chip_id", (F.col("row") + dr).alias("row"), (F.col("col") + dc).alias("col"), (F.col("amplitude") * share).alias("a")
+    )
     stamp = place(0, 0, 1.0)
     for dr, dc in ((0, 1), (1, 0), (0, -1), (-1, 0)):
         stamp = stamp.unionByName(place(dr, dc, 0.4))
@@ -228,4 +236,7 @@ def synthetic(spark, targets: DataFrame, size: int = 256, clutter: float = 1.0,
     uniform = (F.shiftrightunsigned(noise, 11) + F.lit(0.5)) / F.lit(float(1 << 53))
     grid = chips.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
     rows = grid.withColumn("value", -F.log(uniform) * clutter).join(added, ["chip_id", "row", "col"], "left")
-    return rows.select("chip_id", F.lit(size).alias("rows_n"), F.lit(size).alias("cols_n"), "row", "col", (F.col("value") + F.coalesce("a", F.lit(0.0))).alias("value"))
+    return rows.select(
+        "chip_id", F.lit(size).alias("rows_n"), F.lit(size).alias("cols_n"), "row", "col",
+        (F.col("value") + F.coalesce("a", F.lit(0.0))).alias("value")
+    )

@@ -21,7 +21,11 @@ ECHO_CHARS = 2000
 def parse(responses: DataFrame) -> DataFrame:
     """With doc (VARIANT or null) and failure: why there is none."""
     rows = responses.withColumn("looped", T.degenerate(F.col("raw"))).withColumn("doc", F.when(~F.col("looped"), T.parsed(F.col("raw"))))
-    why = F.when(T.stripped("raw") == "", "no content").when(F.col("looped"), "the same sentences again and again").when(~F.contains("raw", F.lit("{")), "no object").when(T.first_object(T.unfenced(F.col("raw"))).isNull(), "the object is not closed").otherwise("not JSON")
+    why = F.when(T.stripped("raw") == "", "no content").when(
+        F.col("looped"), "the same sentences again and again"
+    ).when(~F.contains("raw", F.lit("{")), "no object").when(
+        T.first_object(T.unfenced(F.col("raw"))).isNull(), "the object is not closed"
+    ).otherwise("not JSON")
     return rows.withColumn("failure", F.when(F.col("doc").isNull(), why)).drop("looped")
 
 
@@ -29,7 +33,9 @@ def first_parsed(responses: DataFrame, attempts: int = MAX_ATTEMPTS) -> DataFram
     """The first attempt of each scene and agent that parses."""
     good = parse(responses).filter(F.col("doc").isNotNull() & (F.col("attempt") <= attempts))
     text = good.select("scene_id", "agent", "attempt", F.to_json("doc").alias("json"))
-    return text.groupBy("scene_id", "agent").agg(F.min(F.struct("attempt", "json")).alias("b")).select("scene_id", "agent", "b.attempt", F.parse_json("b.json").alias("doc"))
+    return text.groupBy("scene_id", "agent").agg(F.min(F.struct("attempt", "json")).alias("b")).select(
+        "scene_id", "agent", "b.attempt", F.parse_json("b.json").alias("doc")
+    )
 
 
 def dead_letters(responses: DataFrame, attempts: int = MAX_ATTEMPTS) -> DataFrame:
@@ -65,7 +71,9 @@ def briefs(answers: DataFrame) -> DataFrame:
 
 def prose(answers: DataFrame, report: bool = True) -> DataFrame:
     fields = ("executive_summary", "methodological_note", "human_decision_required") if report else ("observed_pattern", "overall_recommendation")
-    return answers.select("scene_id", F.concat_ws(" ", *(F.coalesce(F.expr(f"try_variant_get(doc, '$.{f}', 'string')"), F.lit("")) for f in fields)).alias("prose"))
+    return answers.select(
+        "scene_id", F.concat_ws(" ", *(F.coalesce(F.expr(f"try_variant_get(doc, '$.{f}', 'string')"), F.lit("")) for f in fields)).alias("prose")
+    )
 
 
 def omitted(candidates: DataFrame, ranks: DataFrame, keys: tuple[str, ...] = ("scene_id",)) -> DataFrame:
@@ -75,10 +83,14 @@ def omitted(candidates: DataFrame, ranks: DataFrame, keys: tuple[str, ...] = ("s
 
 def best_attempt(candidates: DataFrame, answers: DataFrame) -> DataFrame:
     """Of parsed attempts (scene_id, attempt, doc) the one that omits fewest candidates; the earlier one wins a tie."""
-    ranks = answers.select("scene_id", "attempt", F.explode_outer(as_prioritisation()["prioritised_candidates"]).alias("c")).select("scene_id", "attempt", F.col("c.id").alias("id"))
+    ranks = answers.select(
+        "scene_id", "attempt", F.explode_outer(as_prioritisation()["prioritised_candidates"]).alias("c")
+    ).select("scene_id", "attempt", F.col("c.id").alias("id"))
     wanted = candidates.select("scene_id", "id").join(answers.select("scene_id", "attempt"), "scene_id")
     lost = wanted.join(ranks.distinct(), ["scene_id", "attempt", "id"], "left_anti").groupBy("scene_id", "attempt").agg(F.count("*").alias("lost"))
-    rows = answers.select("scene_id", "attempt", F.to_json("doc").alias("json")).join(lost, ["scene_id", "attempt"], "left").withColumn("lost", F.coalesce("lost", F.lit(0)))
+    rows = answers.select(
+        "scene_id", "attempt", F.to_json("doc").alias("json")
+    ).join(lost, ["scene_id", "attempt"], "left").withColumn("lost", F.coalesce("lost", F.lit(0)))
     best = rows.groupBy("scene_id").agg(F.min(F.struct("lost", "attempt", "json")).alias("b"))
     return best.select("scene_id", "b.attempt", F.col("b.lost").alias("omitted"), F.parse_json("b.json").alias("doc"))
 

@@ -23,9 +23,15 @@ def structure_hits(points: DataFrame, structures: DataFrame, keys: list[str], si
 
     Structures are spread over the cells that their circles touch; points meet them by an equi-join on the cell.
     """
-    own = structures.select(F.col("ord").alias("s_ord"), F.col("id").alias("s_id"), F.col("type").alias("s_type"), F.col("name").alias("s_name"), F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"), (F.coalesce("match_radius_m", F.lit(DEFAULT_RADIUS_M)) / 1000).alias("s_km"))
+    own = structures.select(
+        F.col("ord").alias("s_ord"), F.col("id").alias("s_id"), F.col("type").alias("s_type"), F.col("name").alias("s_name"),
+        F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"), (F.coalesce("match_radius_m", F.lit(DEFAULT_RADIUS_M)) / 1000).alias("s_km")
+    )
     high, wide = geo.radius_deg(F.col("s_km"), F.col("s_lat"))
-    spread = _cells(own.withColumn("_h", high).withColumn("_w", wide), F.col("s_lat") - F.col("_h"), F.col("s_lat") + F.col("_h"), F.col("s_lon") - F.col("_w"), F.col("s_lon") + F.col("_w"), size).drop("_h", "_w")
+    spread = _cells(
+        own.withColumn("_h", high).withColumn("_w", wide), F.col("s_lat") - F.col("_h"), F.col("s_lat") + F.col("_h"), F.col("s_lon") - F.col("_w"),
+        F.col("s_lon") + F.col("_w"), size
+    ).drop("_h", "_w")
     slim = points.select(*keys, "lat", "lon", geo.cell(F.col("lat"), size).alias("cy"), geo.cell(F.col("lon"), size).alias("cx"))
     km = geo.distance_km(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon"))
     return slim.join(spread, ["cy", "cx"]).withColumn("km", km).filter("km <= s_km")
@@ -48,7 +54,9 @@ def match_structures(rows: DataFrame, structures: DataFrame, size: float = geo.C
     near = _cells(own.withColumns({"_h": high, "_w": wide}), y - F.col("_h"), y + F.col("_h"), x - F.col("_w"), x + F.col("_w"), size)
     near = near.groupBy(F.col("cy").alias("_cy"), F.col("cx").alias("_cx")).agg(F.collect_list("s").alias("_near"))
     few = near.count() <= BROADCAST_CELLS
-    joined = rows.withColumns({"_cy": geo.cell(F.col("lat"), size), "_cx": geo.cell(F.col("lon"), size)}).join(F.broadcast(near) if few else near, ["_cy", "_cx"], "left")
+    joined = rows.withColumns({
+        "_cy": geo.cell(F.col("lat"), size), "_cx": geo.cell(F.col("lon"), size)
+    }).join(F.broadcast(near) if few else near, ["_cy", "_cx"], "left")
     km = lambda s: geo.distance_km(F.col("lat"), F.col("lon"), s.lat, s.lon)
     found = F.transform("_near", lambda s: F.when(km(s) <= s.reach, F.struct(km(s).alias("km"), *(s[c].alias(c) for c in ("ord", "id", "type", "name")))))
     return joined.withColumn("fixed_structure", F.array_min(F.array_compact(found)).cast(MATCH)).drop("_cy", "_cx", "_near")
@@ -59,7 +67,10 @@ def zone_hits(points: DataFrame, zones: DataFrame, keys: list[str], size: float
 
     Rings are spread over covering cells; the ray cast refines what meets there.
     """
-    own = zones.select("zone_id", "ring", F.array_min(F.transform("ring", lambda p: p[0])).alias("s"), F.array_max(F.transform("ring", lambda p: p[0])).alias("n"), F.array_min(F.transform("ring", lambda p: p[1])).alias("w"), F.array_max(F.transform("ring", lambda p: p[1])).alias("e"))
+    own = zones.select(
+        "zone_id", "ring", F.array_min(F.transform("ring", lambda p: p[0])).alias("s"), F.array_max(F.transform("ring", lambda p: p[0])).alias("n"),
+        F.array_min(F.transform("ring", lambda p: p[1])).alias("w"), F.array_max(F.transform("ring", lambda p: p[1])).alias("e")
+    )
     spread = _cells(own, F.col("s"), F.col("n"), F.col("w"), F.col("e"), size)
     slim = points.select(*keys, "lat", "lon", geo.cell(F.col("lat"), size).alias("cy"), geo.cell(F.col("lon"), size).alias("cx"))
     cast = """aggregate(sequence(0, size(ring) - 1), false, (inside, i) -> inside !=

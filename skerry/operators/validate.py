@@ -69,14 +69,19 @@ def _brief_rules(config: Config) -> list[Column]:
     wording = [("the regulation", regulation), ("the indicators", F.array_join("listed", " ")), ("the action", action)]
     far = (F.abs(F.col("at.lat") - F.col("r_lat")) > TOLERANCE_DEG) | (F.abs(F.col("at.lon") - F.col("r_lon")) > TOLERANCE_DEG)
     plain = F.replace("r_class", F.lit("_priority"), F.lit(""))
-    repeated = F.exists("r_reasons", lambda r: (F.char_length(T.stripped(r)) > 40) & F.contains(F.lower(regulation), F.lower(F.substring(T.stripped(r), 1, 60))))
+    repeated = F.exists(
+        "r_reasons", lambda r: (F.char_length(T.stripped(r)) > 40) & F.contains(F.lower(regulation), F.lower(F.substring(T.stripped(r), 1, 60)))
+    )
     number = lambda c: F.size(c).cast("string")
     text = lambda *parts: F.concat(*(x if isinstance(x, Column) else F.lit(x) for x in parts))
     return [
         _issue(F.col("r_silent"), BLOCKER, "V1", "its AIS indicator is suppressed and nothing else stands against it: it must not be briefed"),
         _issue(~F.col("r_class").isin(*CANDIDATES), WARNING, "V2", text("its class is ", F.col("r_class"), ", which warrants no brief")),
         _issue(has & (caveat == ""), BLOCKER, "VA", "the caveat that indicators require is missing"),
-        _issue((F.col("r_length") >= limit) & F.lower(caveat).rlike(T.below_claim(limit)), BLOCKER, "VB", text(f"the caveat places it under {limit} m, the record gives ", F.col("r_length").cast("string"), " m")),
+        _issue(
+            (F.col("r_length") >= limit) & F.lower(caveat).rlike(T.below_claim(limit)), BLOCKER, "VB",
+            text(f"the caveat places it under {limit} m, the record gives ", F.col("r_length").cast("string"), " m")
+        ),
         _issue(F.lower(action).rlike(T.FORBIDDEN_VERBS), BLOCKER, "VC", text("the action '", action, "' exceeds an inspector's authority")),
         *(_issue(~engaged & T.mentions_ais(c), BLOCKER, "V3", text(why, f", yet {n} invokes the duty to carry AIS")) for n, c in wording),
         _issue(sending & T.mentions_ais(caveat), WARNING, "V3b", "vessel is broadcasting, yet the caveat discusses AIS"),
@@ -84,11 +89,20 @@ def _brief_rules(config: Config) -> list[Column]:
         _issue(far, BLOCKER, "V4", "position differs from the computed one"),
         _issue(has & ((regulation == "") | none_named | F.lower(regulation).rlike("^none$")), WARNING, "V5", "it has indicators but no regulation is named"),
         _issue(~has & (regulation != "") & ~none_named, BLOCKER, "V6", "it has no indicators, yet a regulation is named"),
-        _issue((stated != "") & (stated != plain) & (stated != F.col("r_class")), BLOCKER, "V7", text("priority is stated as ", stated, ", the record is ", F.col("r_class"))),
+        _issue(
+            (stated != "") & (stated != plain) & (stated != F.col("r_class")), BLOCKER, "V7",
+            text("priority is stated as ", stated, ", the record is ", F.col("r_class"))
+        ),
         _issue(F.col("alien").isNotNull(), BLOCKER, "V8", text("the regulation carries anchors of another detection: ", F.col("alien"))),
         _issue(repeated, WARNING, "V8b", "the regulation repeats an indicator instead of naming a provision"),
-        _issue((F.size("r_anchors") > 0) & ~F.arrays_overlap("r_anchors", "own"), BLOCKER, "V9", "its indicators carry no zone, figure or reference of the record's own"),
-        _issue(F.size("listed") > F.size("r_reasons"), BLOCKER, "V10", text("it lists ", number("listed"), " indicators, the record has ", number("r_reasons"))),
+        _issue(
+            (F.size("r_anchors") > 0) & ~F.arrays_overlap("r_anchors", "own"), BLOCKER, "V9",
+            "its indicators carry no zone, figure or reference of the record's own"
+        ),
+        _issue(
+            F.size("listed") > F.size("r_reasons"), BLOCKER, "V10",
+            text("it lists ", number("listed"), " indicators, the record has ", number("r_reasons"))
+        ),
         _issue(F.char_length(T.instruction(action)) < 15, WARNING, "V11", text("the action '", action, "' is no instruction")),
     ]
 
@@ -109,7 +123,10 @@ def brief_issues(briefs: DataFrame, records: DataFrame, config: Config) -> DataF
     """Rules on single briefs (scene_id, brief_ord, id, position, priority, indicators, regulation_concerned, suggested_action, caveat)."""
     facts = _facts(records)
     rows = briefs.join(facts.withColumn("r_found", F.lit(True)), ["scene_id", "id"], "left")
-    rows = rows.withColumns({"regulation": T.stripped("regulation_concerned"), "caveat": T.stripped("caveat"), "action": T.stripped("suggested_action"), "stated": F.lower(T.stripped("priority"))})
+    rows = rows.withColumns({
+        "regulation": T.stripped("regulation_concerned"), "caveat": T.stripped("caveat"), "action": T.stripped("suggested_action"),
+        "stated": F.lower(T.stripped("priority"))
+    })
     rows = rows.withColumn("listed", F.coalesce("indicators", F.expr("array()").cast("array<string>")))
     rows = rows.withColumns({"at": T.position(F.col("position")), "cited": T.anchors(F.col("regulation")), "own": T.anchors(F.array_join("listed", " "))})
     rows = _alien(rows, facts)
@@ -145,7 +162,10 @@ def silent_in_prose(prose: DataFrame, records: DataFrame, place: str, rule: str)
     rows = ids.join(prose, "scene_id").filter(F.contains(F.coalesce("prose", F.lit("")), F.col("id")))
     order = F.row_number().over(Window.partitionBy("scene_id").orderBy("id")).cast("bigint")
     message = F.concat("id", F.lit(" has its AIS indicator suppressed and nothing else, yet is named"))
-    return rows.select("scene_id", F.lit(BLOCKER).alias("severity"), F.lit(place).alias("place"), message.alias("message"), F.lit(rule).alias("rule"), order.alias("ord"))
+    return rows.select(
+        "scene_id", F.lit(BLOCKER).alias("severity"), F.lit(place).alias("place"), message.alias("message"), F.lit(rule).alias("rule"),
+        order.alias("ord")
+    )
 
 
 def _shift(issues: DataFrame, block: int) -> DataFrame:
@@ -154,7 +174,10 @@ def _shift(issues: DataFrame, block: int) -> DataFrame:
 
 def report_issues(briefs: DataFrame, prose: DataFrame, records: DataFrame, config: Config, id_pattern: str = T.ID) -> DataFrame:
     """All issues of reports: briefs, then what is missing, then the narrative (scene_id, prose)."""
-    parts = [brief_issues(briefs, records, config), missing_briefs(briefs, records), _shift(wrong_claims(prose, records, "narrative", "V14a", id_pattern), 2), _shift(silent_in_prose(prose, records, "narrative", "V14b"), 3)]
+    parts = [
+        brief_issues(briefs, records, config), missing_briefs(briefs, records),
+        _shift(wrong_claims(prose, records, "narrative", "V14a", id_pattern), 2), _shift(silent_in_prose(prose, records, "narrative", "V14b"), 3)
+    ]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -188,7 +211,10 @@ def ranking_issues(ranked: DataFrame, records: DataFrame) -> DataFrame:
     found = F.array_compact(F.array(
         issue(given & F.col("r_class").isNull(), BLOCKER, place, F.lit("its id is not in the dossier"), "Q2", 1),
         issue(given & ~is_candidate, BLOCKER, place, F.concat(F.lit("it is no candidate (class "), "r_class", F.lit(")")), "Q2", 1),
-        issue(given & F.col("r_class").isNotNull() & foreign, BLOCKER, place, F.concat(F.lit("its reason cites "), F.array_join(F.array_sort(cited), ", "), F.lit(", none of it the record's")), "Q3", 2),
+        issue(
+            given & F.col("r_class").isNotNull() & foreign, BLOCKER, place,
+            F.concat(F.lit("its reason cites "), F.array_join(F.array_sort(cited), ", "), F.lit(", none of it the record's")), "Q3", 2
+        ),
         issue(~given & is_candidate, by_class, F.lit("analyst prioritisation"), not_ranked, "Q5", 4),
     ))
     return rows.select("scene_id", F.explode(found).alias("i")).select("scene_id", "i.severity", "i.place", "i.message", "i.rule", "i.ord")
@@ -207,22 +233,38 @@ def structure_issues(answers: DataFrame, doc: str = "doc") -> DataFrame:
     """Issues with the shape of analysts' answers: scene_id and doc, a VARIANT object."""
     v = lambda path, kind="variant": F.expr(f"try_variant_get({doc}, '$.{path}', '{kind}')")
     have = F.json_object_keys(F.expr(f"to_json({doc})"))
-    absent = F.transform(F.array_except(F.array(*(F.lit(k) for k in ANALYST_KEYS)), have), lambda k: F.struct(F.lit(WARNING).alias("severity"), F.concat(F.lit("the answer lacks "), k).alias("message")))
+    absent = F.transform(
+        F.array_except(F.array(*(F.lit(k) for k in ANALYST_KEYS)), have),
+        lambda k: F.struct(F.lit(WARNING).alias("severity"), F.concat(F.lit("the answer lacks "), k).alias("message"))
+    )
     given = v("prioritised_candidates")
     kind = F.schema_of_variant(given)
     blocker = lambda m: F.struct(F.lit(BLOCKER).alias("severity"), (m if isinstance(m, Column) else F.lit(m)).alias("message"))
     items = v("prioritised_candidates", "array<variant>")
-    nameless = F.array_compact(F.transform(items, lambda x, i: F.when(F.coalesce(F.try_variant_get(x, "$.id", "string"), F.lit("")) == "", blocker(F.concat(F.lit("candidate "), (i + 1).cast("string"), F.lit(" carries no id"))))))
-    shape = F.when(given.isNull() | (kind == "VOID"), F.array(blocker("there is no list of candidates"))).when(~kind.startswith("ARRAY"), F.array(blocker(F.concat(F.lit("candidates are "), kind, F.lit(", not a list"))))).otherwise(nameless)
+    nameless = F.array_compact(F.transform(
+        items, lambda x,
+        i: F.when(
+            F.coalesce(F.try_variant_get(x, "$.id", "string"), F.lit("")) == "",
+            blocker(F.concat(F.lit("candidate "), (i + 1).cast("string"), F.lit(" carries no id")))
+        )
+    ))
+    shape = F.when(given.isNull() | (kind == "VOID"), F.array(blocker("there is no list of candidates"))).when(
+        ~kind.startswith("ARRAY"), F.array(blocker(F.concat(F.lit("candidates are "), kind, F.lit(", not a list"))))
+    ).otherwise(nameless)
     rows = answers.select("scene_id", F.posexplode(F.concat(absent, shape)).alias("k", "i"))
-    return rows.select("scene_id", F.col("i.severity").alias("severity"), F.lit("analyst structure").alias("place"), F.col("i.message").alias("message"), F.lit("S").alias("rule"), F.col("k").cast("bigint").alias("ord"))
+    return rows.select(
+        "scene_id", F.col("i.severity").alias("severity"), F.lit("analyst structure").alias("place"), F.col("i.message").alias("message"),
+        F.lit("S").alias("rule"), F.col("k").cast("bigint").alias("ord")
+    )
 
 
 def top_severity(issues: DataFrame, outputs: DataFrame, keys: list[str]) -> DataFrame:
     """For every output the worst severity of its issues: BLOCKER, WARNING or clean."""
     rank = F.when(F.col("severity") == BLOCKER, 2).when(F.col("severity") == WARNING, 1)
     worst = issues.groupBy(*keys).agg(F.max(rank).alias("w"))
-    return outputs.join(worst, keys, "left").withColumn("severity", F.when(F.col("w") == 2, BLOCKER).when(F.col("w") == 1, WARNING).otherwise("clean")).drop("w")
+    return outputs.join(worst, keys, "left").withColumn(
+        "severity", F.when(F.col("w") == 2, BLOCKER).when(F.col("w") == 1, WARNING).otherwise("clean")
+    ).drop("w")
 
 
 def has_blockers(issues: DataFrame) -> DataFrame:

@@ -33,7 +33,9 @@ def records(spark, sf_dir: str) -> DataFrame:
 
 @query
 def detections_scan(spark, d):
-    return detections(spark, d).select("ord", F.col("day").cast("string").alias("day"), "lat", "lon", "estimated_length_m", "fishing_score", "ais_matched", "likely_gear")
+    return detections(spark, d).select(
+        "ord", F.col("day").cast("string").alias("day"), "lat", "lon", "estimated_length_m", "fishing_score", "ais_matched", "likely_gear"
+    )
 
 
 @query
@@ -41,7 +43,9 @@ def ais_by_zone(spark, d):
     """Per zone and AIS status: detections and how many of them are active."""
     rows = detections(spark, d).withColumn("status", assess.ais_status(F.col("ais_matched")))
     hits = spatial.literal_zone_hits(rows, ZONES, ["status", "fishing_score"])
-    return hits.groupBy("zone_id", "status").agg(F.count("*").alias("n"), F.count(F.when(F.col("fishing_score") >= CONFIG.fishing_score_threshold, 1)).alias("active"))
+    return hits.groupBy("zone_id", "status").agg(
+        F.count("*").alias("n"), F.count(F.when(F.col("fishing_score") >= CONFIG.fishing_score_threshold, 1)).alias("active")
+    )
 
 
 @query
@@ -99,31 +103,48 @@ def closure_active(spark, d):
 @query
 def season_gate(spark, d):
     days = detections(spark, d).select("day").distinct()
-    return days.select(_day(), temporal.in_season(F.col("day"), Season("01-15", "01-25")).alias("plain"), temporal.in_season(F.col("day"), Season("01-20", "01-05")).alias("wraps"))
+    return days.select(
+        _day(), temporal.in_season(F.col("day"), Season("01-15", "01-25")).alias("plain"),
+        temporal.in_season(F.col("day"), Season("01-20", "01-05")).alias("wraps")
+    )
 
 
 @query
 def lunar_phase(spark, d):
     turn = temporal.phase(F.col("ts"))
     rows = detections(spark, d)
-    return rows.select("ord", F.round(temporal.illumination(turn), 3).alias("illumination"), F.round(temporal.spring_index(turn), 3).alias("spring"), temporal.phase_name(turn).alias("name"))
+    return rows.select(
+        "ord", F.round(temporal.illumination(turn), 3).alias("illumination"), F.round(temporal.spring_index(turn), 3).alias("spring"),
+        temporal.phase_name(turn).alias("name")
+    )
 
 
 @query
 def suitability(spark, d):
     turn = temporal.phase(F.col("ts"))
-    return detections(spark, d).select("ord", temporal.suitability(temporal.in_season(F.col("day"), CONFIG.season), temporal.illumination(turn), temporal.spring_index(turn), CONFIG.dark_illumination).alias("suitability"))
+    return detections(spark, d).select(
+        "ord",
+        temporal.suitability(
+            temporal.in_season(F.col("day"), CONFIG.season), temporal.illumination(turn), temporal.spring_index(turn), CONFIG.dark_illumination
+        ).alias("suitability")
+    )
 
 
 @query
 def indicators_long(spark, d):
     rows = records(spark, d).select("ord", F.posexplode("potential_indicators").alias("place", "i"))
-    return rows.select("ord", "place", F.col("i.kind").alias("kind"), F.col("i.zone_id").alias("zone_id"), F.col("i.degraded").alias("degraded"), F.col("i.rests_on_activity").alias("rests"))
+    return rows.select(
+        "ord", "place", F.col("i.kind").alias("kind"), F.col("i.zone_id").alias("zone_id"), F.col("i.degraded").alias("degraded"),
+        F.col("i.rests_on_activity").alias("rests")
+    )
 
 
 @query
 def context_notes(spark, d):
-    return records(spark, d).select("ord", F.size("contextual_notes").alias("n_notes"), F.size(F.filter("contextual_notes", lambda x: x.startswith("suppressed as"))).alias("n_demoted")).filter("n_notes > 0")
+    return records(spark, d).select(
+        "ord", F.size("contextual_notes").alias("n_notes"),
+        F.size(F.filter("contextual_notes", lambda x: x.startswith("suppressed as"))).alias("n_demoted")
+    ).filter("n_notes > 0")
 
 
 @query
@@ -134,7 +155,9 @@ def score_breakdown(spark, d):
 @query
 def assessed_records(spark, d):
     return dossier.with_distance(records(spark, d), CONFIG).select(
-        "ord", "ais_status", "ais_applicability", "ais", F.array_join(F.transform("zones", lambda z: z.id), "|").alias("zone_ids"), "firm", "degraded", F.size("contextual_notes").alias("notes"), "score", "classification",
+        "ord", "ais_status", "ais_applicability", "ais", F.array_join(
+            F.transform("zones", lambda z: z.id), "|"
+        ).alias("zone_ids"), "firm", "degraded", F.size("contextual_notes").alias("notes"), "score", "classification",
         "ais_indicator_suppressed", F.col("fixed_structure.id").alias("structure_id"), "distance_from_base_km",
     )
 
@@ -151,7 +174,9 @@ def active_closures(spark, d):
 
 @query
 def inspection_candidates(spark, d):
-    return dossier.candidates(records(spark, d)).select("id", "classification", "score", F.size("potential_indicators").alias("n_indicators"), dossier.citation(basis="AIS").alias("citation"))
+    return dossier.candidates(records(spark, d)).select(
+        "id", "classification", "score", F.size("potential_indicators").alias("n_indicators"), dossier.citation(basis="AIS").alias("citation")
+    )
 
 
 @query
@@ -186,7 +211,9 @@ def patrol_sequence(spark, d):
 
 @query
 def map_points(spark, d):
-    return dossier.map_points(records(spark, d)).groupBy("classification", "colour", "radius").agg(F.count("*").alias("n"), F.round(F.avg("lat"), 6).alias("lat"), F.round(F.avg("lon"), 6).alias("lon"))
+    return dossier.map_points(records(spark, d)).groupBy("classification", "colour", "radius").agg(
+        F.count("*").alias("n"), F.round(F.avg("lat"), 6).alias("lat"), F.round(F.avg("lon"), 6).alias("lon")
+    )
 
 
 @query
@@ -239,7 +266,9 @@ def degenerate_text(spark, d):
 
 @query
 def forbidden_actions(spark, d):
-    return read(spark, d, "conversations").select("conv_id", "turn", F.lower("text").rlike(T.FORBIDDEN_VERBS).alias("forbidden"), F.char_length(T.instruction(F.col("text"))).alias("n"))
+    return read(spark, d, "conversations").select(
+        "conv_id", "turn", F.lower("text").rlike(T.FORBIDDEN_VERBS).alias("forbidden"), F.char_length(T.instruction(F.col("text"))).alias("n")
+    )
 
 
 def claimed_prose(rows: DataFrame) -> DataFrame:
@@ -263,8 +292,14 @@ def priority_claims(spark, d):
 def json_repair_parse(spark, d):
     """Events wrapped as models' answers: fenced, with a trailing comma, truncated, or plain."""
     body = F.concat(F.lit('{"id": "'), F.col("event_id"), F.lit('", "text": "a } in { a \\" string", "n": [1, 2]'))
-    raw = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("Here it is:\n```json\n"), body, F.lit("}\n```\nDone {ok}"))).when(F.col("event_id") % 4 == 1, F.concat(body, F.lit(",}"))).when(F.col("event_id") % 4 == 2, body).otherwise(F.concat(F.lit("\n// note\n"), body, F.lit("} trailing }")))
-    rows = read(spark, d, "events").select(F.col("event_id").cast("string").alias("scene_id"), F.lit("analyst").alias("agent"), F.lit(1).alias("attempt"), raw.alias("raw"))
+    raw = F.when(
+        F.col("event_id") % 4 == 0, F.concat(F.lit("Here it is:\n```json\n"), body, F.lit("}\n```\nDone {ok}"))
+    ).when(
+        F.col("event_id") % 4 == 1, F.concat(body, F.lit(",}"))
+    ).when(F.col("event_id") % 4 == 2, body).otherwise(F.concat(F.lit("\n// note\n"), body, F.lit("} trailing }")))
+    rows = read(spark, d, "events").select(
+        F.col("event_id").cast("string").alias("scene_id"), F.lit("analyst").alias("agent"), F.lit(1).alias("attempt"), raw.alias("raw")
+    )
     return responses.parse(rows).select("scene_id", F.expr("try_variant_get(doc, '$.id', 'string')").alias("id"), "failure")
 
 
@@ -365,8 +400,12 @@ def catch_rate(spark, d):
 def structure_issues(spark, d):
     """Answers of every shape: keys left out, candidates that are no list or carry no id."""
     k = F.col("event_id") % 6
-    items = F.when(k == 0, '[{"id": "a"}]').when(k == 1, '"none"').when(k == 2, '[{"id": "a"}, {"rank": 1}, 3, {"id": ""}]').when(k == 3, "null").when(k == 4, "{}").otherwise("[]")
-    keys = F.when(F.col("event_id") % 4 == 0, ', "limitations": []').otherwise(', "observed_pattern": "", "overall_recommendation": "", "limitations": [], "ais_not_applicable": []')
+    items = F.when(k == 0, '[{"id": "a"}]').when(k == 1, '"none"').when(
+        k == 2, '[{"id": "a"}, {"rank": 1}, 3, {"id": ""}]'
+    ).when(k == 3, "null").when(k == 4, "{}").otherwise("[]")
+    keys = F.when(
+        F.col("event_id") % 4 == 0, ', "limitations": []'
+    ).otherwise(', "observed_pattern": "", "overall_recommendation": "", "limitations": [], "ais_not_applicable": []')
     doc = F.when(F.col("event_id") % 11 == 0, "{}").otherwise(F.concat(F.lit('{"prioritised_candidates": '), items, keys, F.lit("}")))
     answers = read(spark, d, "events").select(F.col("event_id").cast("string").alias("scene_id"), F.parse_json(doc).alias("doc"))
     return validate.structure_issues(answers).select("scene_id", "severity", "message")
@@ -377,16 +416,26 @@ def odd_spaces(spark, d):
     """White space of every kind, at both ends of a text and inside of patterns."""
     k = (F.col("event_id") % 5).cast("int")
     gap = F.element_at(F.array(*(F.lit(c) for c in (" ", "\t", "\u00a0", "\n", "\u2003"))), k + 1)
-    rows = read(spark, d, "events").select("event_id", "event_type", F.concat(gap, "event_type", gap, F.lit("Article"), gap, F.lit("10"), gap).alias("t"), F.concat(F.lit("é"), F.lit("ais"), gap).alias("u"))
+    rows = read(spark, d, "events").select(
+        "event_id", "event_type", F.concat(gap, "event_type", gap, F.lit("Article"), gap, F.lit("10"), gap).alias("t"),
+        F.concat(F.lit("é"), F.lit("ais"), gap).alias("u")
+    )
     action = F.concat(F.lit("7,5"), gap, F.lit("km off: "), "event_type", gap)
-    return rows.select("event_id", F.char_length(T.stripped("t")).alias("n"), T.mentions_ais(F.col("t")).alias("cited"), T.mentions_ais(F.col("u")).alias("inner"), T.instruction(action).alias("rest"))
+    return rows.select(
+        "event_id", F.char_length(T.stripped("t")).alias("n"), T.mentions_ais(F.col("t")).alias("cited"), T.mentions_ais(F.col("u")).alias("inner"),
+        T.instruction(action).alias("rest")
+    )
 
 
 @query
 def latency_median(spark, d):
     rows = read(spark, d, "events").select(F.col("event_type").alias("stage"), (F.col("value") / 1000).alias("seconds"))
-    sections = spark.createDataFrame([("purchase", "sale"), ("click", "visit"), ("view", "visit"), ("signup", "visit"), ("error", "fault")], "stage string, section string")
-    return harness.latency(rows, sections, 100).select("section", "stage", F.round("seconds", 9).alias("seconds"), F.round("per_detection", 11).alias("per_detection"))
+    sections = spark.createDataFrame(
+        [("purchase", "sale"), ("click", "visit"), ("view", "visit"), ("signup", "visit"), ("error", "fault")], "stage string, section string"
+    )
+    return harness.latency(rows, sections, 100).select(
+        "section", "stage", F.round("seconds", 9).alias("seconds"), F.round("per_detection", 11).alias("per_detection")
+    )
 
 
 # --- raster and data sets ------------------------------------------------------------------------------------------------------
@@ -397,7 +446,10 @@ SMALL = raster.Cfar(pfa=0.05, guard_radius=1, train_radius=2, enl=4.0, min_area_
 def chips(spark, d: str) -> DataFrame:
     """Embeddings as 8 x 8 chips of positive values."""
     rows = read(spark, d, "embeddings").select(F.col("vec_id").alias("chip_id"), F.posexplode("embedding").alias("k", "v"))
-    return rows.select("chip_id", F.lit(8).alias("rows_n"), F.lit(8).alias("cols_n"), F.expr("k div 8").cast("int").alias("row"), (F.col("k") % 8).cast("int").alias("col"), F.pow(F.abs("v").cast("double"), F.lit(3.0)).alias("value"))
+    return rows.select(
+        "chip_id", F.lit(8).alias("rows_n"), F.lit(8).alias("cols_n"), F.expr("k div 8").cast("int").alias("row"),
+        (F.col("k") % 8).cast("int").alias("col"), F.pow(F.abs("v").cast("double"), F.lit(3.0)).alias("value")
+    )
 
 
 @query
@@ -412,7 +464,9 @@ def lee_filter(spark, d):
 
 @query
 def cfar_mask(spark, d):
-    return raster.cfar(raster.lee(chips(spark, d)), SMALL).groupBy("chip_id").agg(F.count_if("hit").alias("hits"), F.round(F.avg("background"), 6).alias("background"))
+    return raster.cfar(raster.lee(chips(spark, d)), SMALL).groupBy("chip_id").agg(
+        F.count_if("hit").alias("hits"), F.round(F.avg("background"), 6).alias("background")
+    )
 
 
 @query
@@ -428,8 +482,13 @@ def yolo_boxes(spark, d):
 @query
 def pixel_boxes(spark, d):
     """Boxes from parts: padded, clamped and normalised."""
-    rows = read(spark, d, "part").select(F.col("p_partkey").alias("chip_id"), F.lit(1).alias("blob"), F.lit(32).alias("rows_n"), F.lit(64).alias("cols_n"), F.expr("cast(p_partkey % 30 as int)").alias("row_min"), F.expr("cast(p_partkey % 60 as int)").alias("col_min"))
-    rows = rows.withColumn("row_max", F.least(F.col("row_min") + F.col("chip_id") % 5, F.lit(31)).cast("int")).withColumn("col_max", F.least(F.col("col_min") + F.col("chip_id") % 7, F.lit(63)).cast("int"))
+    rows = read(spark, d, "part").select(
+        F.col("p_partkey").alias("chip_id"), F.lit(1).alias("blob"), F.lit(32).alias("rows_n"), F.lit(64).alias("cols_n"),
+        F.expr("cast(p_partkey % 30 as int)").alias("row_min"), F.expr("cast(p_partkey % 60 as int)").alias("col_min")
+    )
+    rows = rows.withColumn(
+        "row_max", F.least(F.col("row_min") + F.col("chip_id") % 5, F.lit(31)).cast("int")
+    ).withColumn("col_max", F.least(F.col("col_min") + F.col("chip_id") % 7, F.lit(63)).cast("int"))
     return rows.select("chip_id", *(F.round(c, 9).alias(n) for c, n in zip(raster.label_box(), ("xc", "yc", "w", "h"), strict=True)))
 
 
@@ -492,7 +551,9 @@ def dispatched_source(spark, d):
     """The local source of the dispatcher, and the feed that falls back to it."""
     path = scene_files(spark, d)
     local, fallen = scenes.load_detections(spark, path, "local"), scenes.load_detections(spark, path, "feed")
-    return _read_back(local).withColumn("source", F.lit("local")).unionByName(_read_back(fallen).withColumn("source", F.lit("feed"))).select("source", "scene", "id")
+    return _read_back(local).withColumn("source", F.lit("local")).unionByName(
+        _read_back(fallen).withColumn("source", F.lit("feed"))
+    ).select("source", "scene", "id")
 
 
 @query
@@ -500,7 +561,10 @@ def scene_conditions(spark, d):
     """The environment of every scene, from its document's timestamp."""
     rows = scenes.scene_rows(scenes.read_scenes(spark, scene_files(spark, d)))
     rows = temporal.conditions(rows, CONFIG).withColumn("day", temporal.scene_date(F.col("timestamp")).cast("string"))
-    return rows.select("day", "in_season", "season_window", "moon_phase", "moon_illumination", "darkness_favourability", "spring_tide_tendency", "suitability", "rationale")
+    return rows.select(
+        "day", "in_season", "season_window", "moon_phase", "moon_illumination", "darkness_favourability", "spring_tide_tendency", "suitability",
+        "rationale"
+    )
 
 
 def regulation_file(spark, d: str) -> str:
@@ -536,7 +600,9 @@ def feed_bodies(spark, d: str) -> DataFrame:
         *(say(k, n, text("lon")) for k, n in ((0, "detect_lon"), (1, "lon"), (2, "longitude"), (3, "lon"), (4, "detect_lon"))),
         *(say(k, n, text("estimated_length_m")) for k, n in ((0, "length_m"), (1, "estimated_length_m"), (2, "length"), (4, "length_m"))),
         say(0, "id", word("id")), say(1, "detect_id", word("id")), say(2, "detection_id", word("id")), say(4, "id", F.lit("0")),
-        say(0, "fishing_score", text("fishing_score")), say(1, "is_fishing", (F.col("fishing_score") >= 0.5).cast("string")), say(2, "score", text("fishing_score")), say(4, "vessel_class", F.lit('"Fishing vessel"')),
+        say(0, "fishing_score", text("fishing_score")), say(
+            1, "is_fishing", (F.col("fishing_score") >= 0.5).cast("string")
+        ), say(2, "score", text("fishing_score")), say(4, "vessel_class", F.lit('"Fishing vessel"')),
         say(0, "matched_category", F.when(F.col("ais_matched"), '"matched"').when(~F.col("ais_matched"), '"unmatched"').otherwise('"discrepancy"')),
         say(1, "matched", F.col("ais_matched").cast("string")), say(2, "match_category", F.when(F.col("ais_matched"), '"matched"').otherwise("null")),
         say(0, "geartype", word("likely_gear")), say(0, "ssvid", word("id")), say(0, "shipname", word("id")), say(0, "flag", F.lit('"ESP"')), say(0, "speed", F.lit("3.5")),
@@ -545,7 +611,10 @@ def feed_bodies(spark, d: str) -> DataFrame:
     entry = F.when(F.col("k") == 4, F.concat(F.lit('{"properties": '), entry, F.lit("}"))).otherwise(entry)
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", entry.alias("t")))), lambda x: x.t), ", ")
     turn = F.dayofmonth("day") % 4
-    body = F.when(turn == 0, F.concat(F.lit("["), "t", F.lit("]"))).otherwise(F.concat(F.lit('{"n": 1, "'), F.element_at(F.array(F.lit("entries"), F.lit("data"), F.lit("features")), F.greatest(turn, F.lit(1))), F.lit('": ['), "t", F.lit("]}")))
+    body = F.when(turn == 0, F.concat(F.lit("["), "t", F.lit("]"))).otherwise(F.concat(
+        F.lit('{"n": 1, "'), F.element_at(F.array(F.lit("entries"), F.lit("data"), F.lit("features")), F.greatest(turn, F.lit(1))), F.lit('": ['),
+        "t", F.lit("]}")
+    ))
     return e.groupBy("day").agg(listed.alias("t")).select("day", body.alias("body"))
 
 
@@ -596,8 +665,13 @@ def map_layers(spark, d):
     """Per scene the centre of its view; for every zone its outline with longitude first, and its centre."""
     rows = detections(spark, d)
     lat, lon = geo.mean_centre(F.col("lat"), F.col("lon"))
-    views = rows.groupBy(F.col("scene_id").alias("layer")).agg(F.round(lat, 6).alias("lat"), F.round(lon, 6).alias("lon")).withColumn("outline", F.lit(None).cast("string"))
-    outlines = spark.createDataFrame([(z.id, *(float(x) for x in geo.centroid(z.polygon)), [[float(a), float(b)] for a, b in z.polygon]) for z in ZONES], "layer string, lat double, lon double, ring array<array<double>>")
+    views = rows.groupBy(F.col("scene_id").alias("layer")).agg(
+        F.round(lat, 6).alias("lat"), F.round(lon, 6).alias("lon")
+    ).withColumn("outline", F.lit(None).cast("string"))
+    outlines = spark.createDataFrame(
+        [(z.id, *(float(x) for x in geo.centroid(z.polygon)), [[float(a), float(b)] for a, b in z.polygon]) for z in ZONES],
+        "layer string, lat double, lon double, ring array<array<double>>"
+    )
     drawn = outlines.select("layer", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), F.to_json(geo.flip(F.col("ring"))).alias("outline"))
     return views.unionByName(drawn)
 
@@ -623,7 +697,9 @@ def chip_files(spark, d):
     """Chips as .npy files, read back pixel by pixel."""
     path = scratch(spark, "chips")
     scenes.write_chips(chips(spark, d), path)
-    return scenes.read_chips(spark, path).groupBy("chip_id", "rows_n", "cols_n").agg(F.count("*").alias("n"), F.round(F.sum(F.col("value") * (F.col("row") * 8 + F.col("col"))), 6).alias("weighed"))
+    return scenes.read_chips(spark, path).groupBy("chip_id", "rows_n", "cols_n").agg(
+        F.count("*").alias("n"), F.round(F.sum(F.col("value") * (F.col("row") * 8 + F.col("col"))), 6).alias("weighed")
+    )
 
 
 @query
@@ -636,7 +712,9 @@ def label_files(spark, d):
 def manifest_totals(spark, d):
     rows = scenes.read_manifest(spark, f"{data_set(spark, d)}/manifest.json")
     at = lambda p: F.get_json_object("manifest", p)
-    return rows.select(at("$.chips").cast("long").alias("chips"), at("$.candidate_labels_total").cast("long").alias("labels"), dataset.pending().alias("pending"))
+    return rows.select(
+        at("$.chips").cast("long").alias("chips"), at("$.candidate_labels_total").cast("long").alias("labels"), dataset.pending().alias("pending")
+    )
 
 
 @query
@@ -651,7 +729,9 @@ def answer_attempts(spark, d):
     k = F.col("event_id") % 4
     good, cut = F.concat(F.lit('{"n": '), F.col("event_id"), F.lit("}")), F.lit('{"n": 1')
     rows = read(spark, d, "events").select(F.col("event_id").cast("string").alias("scene_id"), F.lit("analyst").alias("agent"), F.explode(F.array(
-        F.struct(F.lit(1).alias("attempt"), F.when(k.isin(0, 1), good).otherwise(cut).alias("raw")), F.struct(F.lit(2).alias("attempt"), F.when(k.isin(0, 2), good).otherwise("sorry").alias("raw")),
+        F.struct(F.lit(1).alias("attempt"), F.when(k.isin(0, 1), good).otherwise(cut).alias("raw")), F.struct(
+            F.lit(2).alias("attempt"), F.when(k.isin(0, 2), good).otherwise("sorry").alias("raw")
+        ),
     )).alias("a")).select("scene_id", "agent", "a.*")
     chosen = responses.first_parsed(rows).select("scene_id", "attempt", F.lit("parsed").alias("state"))
     lost = responses.dead_letters(rows).select("scene_id", "attempt", F.col("failure").alias("state"))
@@ -662,9 +742,18 @@ def answer_attempts(spark, d):
 def best_attempts(spark, d):
     """Of two rankings a scene the one that omits fewer candidates; the first wins a tie."""
     rows = judged(spark, d)
-    listed = lambda keep: F.concat(F.lit('{"prioritised_candidates": ['), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("ord", "id")))), lambda x: F.concat(F.lit('{"id": "'), x["id"], F.lit('"}'))), ", "), F.lit("]}"))
+    listed = lambda keep: F.concat(
+        F.lit('{"prioritised_candidates": ['),
+        F.array_join(
+            F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("ord", "id")))), lambda x: F.concat(F.lit('{"id": "'), x["id"], F.lit('"}'))),
+            ", "
+        ),
+        F.lit("]}")
+    )
     every, odd = dossier.candidates(rows), F.col("ord") % 3 != 0
-    said = every.groupBy("scene_id").agg(listed(odd).alias("one"), listed(~odd).alias("two")).select("scene_id", F.posexplode(F.array("one", "two")).alias("k", "raw"))
+    said = every.groupBy("scene_id").agg(listed(odd).alias("one"), listed(~odd).alias("two")).select(
+        "scene_id", F.posexplode(F.array("one", "two")).alias("k", "raw")
+    )
     answers = said.select("scene_id", (F.col("k") + 1).alias("attempt"), F.parse_json("raw").alias("doc"))
     return responses.best_attempt(every, answers).select("scene_id", "attempt", "omitted")
 
@@ -672,14 +761,23 @@ def best_attempts(spark, d):
 @query
 def recalled_targets(spark, d):
     """Parts as true targets, events' detections as found: those with one within two pixels."""
-    truth = read(spark, d, "part").select((F.col("p_partkey") % 7).alias("chip_id"), (F.col("p_partkey") * 13 % 200).cast("int").alias("row"), (F.col("p_partkey") * 29 % 200).cast("int").alias("col"))
-    found = read(spark, d, "supplier").select((F.col("s_suppkey") % 7).alias("chip_id"), (F.col("s_suppkey") * 17 % 200).alias("row"), (F.col("s_suppkey") * 31 % 200).alias("col"))
+    truth = read(spark, d, "part").select(
+        (F.col("p_partkey") % 7).alias("chip_id"), (F.col("p_partkey") * 13 % 200).cast("int").alias("row"),
+        (F.col("p_partkey") * 29 % 200).cast("int").alias("col")
+    )
+    found = read(spark, d, "supplier").select(
+        (F.col("s_suppkey") % 7).alias("chip_id"), (F.col("s_suppkey") * 17 % 200).alias("row"), (F.col("s_suppkey") * 31 % 200).alias("col")
+    )
     return raster.recalled(truth, found)
 
 
 @query
 def document_positions(spark, d):
     """Positions given as an object or as a text, parsed and shown."""
-    given = F.when(F.col("ord") % 3 == 0, F.concat(F.lit('{"lat": '), "lat", F.lit(', "lon": "'), "lon", F.lit('"}'))).when(F.col("ord") % 3 == 1, F.concat_ws(", ", "lat", "lon")).otherwise(F.lit("not known"))
+    given = F.when(
+        F.col("ord") % 3 == 0, F.concat(F.lit('{"lat": '), "lat", F.lit(', "lon": "'), "lon", F.lit('"}'))
+    ).when(F.col("ord") % 3 == 1, F.concat_ws(", ", "lat", "lon")).otherwise(F.lit("not known"))
     rows = detections(spark, d).select("ord", given.alias("g"))
-    return rows.select("ord", T.position(F.col("g"))["lat"].alias("lat"), T.position(F.col("g"))["lon"].alias("lon"), T.position_text(F.col("g")).alias("shown"))
+    return rows.select(
+        "ord", T.position(F.col("g"))["lat"].alias("lat"), T.position(F.col("g"))["lon"].alias("lon"), T.position_text(F.col("g")).alias("shown")
+    )

@@ -13,7 +13,9 @@ _RANK = "CASE classification WHEN 'high_priority' THEN 0 WHEN 'medium_priority'
 
 _Z = [z.id for z in ZONES]
 _SHUT = f"day BETWEEN DATE '{ZONES[1].closure[0]}' AND DATE '{ZONES[1].closure[1]}'"
-_BANNED = " OR ".join(f"(zone_id = '{z.id}' AND likely_gear IN ({', '.join(repr(g) for g in z.prohibited_gear)}))" for z in ZONES if "all" not in z.prohibited_gear)
+_BANNED = " OR ".join(
+    f"(zone_id = '{z.id}' AND likely_gear IN ({', '.join(repr(g) for g in z.prohibited_gear)}))" for z in ZONES if "all" not in z.prohibited_gear
+)
 DET = """det AS (SELECT event_id AS ord, 'S-' || CAST(CAST(ts AS DATE) AS VARCHAR) AS scene_id, 'D-' || CAST(event_id AS VARCHAR) AS
   id, CAST(ts AS DATE) AS
   day, ts, (36200 + (event_id * 7919) % 1000) / 1000.0e0 AS lat, (-7450 + (event_id * 104729) % 1200) / 1000.0e0 AS lon,
@@ -192,7 +194,9 @@ _WORDS = "list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{4,}
 _AIS = rf"{_LEFT}ais{_RIGHT}|carriage requirement|article{_S}*10|art[íi]culo{_S}*10|{_LEFT}art\.?{_S}*10{_RIGHT}|1224/2009|reglamento{_S}*\(ce\){_S}*n?\S*{_S}*1224"
 _VERBS = rf"{_LEFT}(seize|confiscate|arrest|impound|incautar|detener|apresar|confiscar){_RIGHT}"
 _strip = lambda x: f"regexp_replace({x}, '^{_S}+|{_S}+$', '', 'g')"
-_instruction = lambda x: _strip(f"regexp_replace({_strip(x)}, '(?i)^[\\p{{Nd}}.,]+{_S}*(km|nm|miles)(?:$|[^\\pL\\pM\\p{{Nd}}\\p{{Pc}}:.][^:.]*|)([:.]{_S}*|$)', '')")
+_instruction = lambda x: _strip(
+    f"regexp_replace({_strip(x)}, '(?i)^[\\p{{Nd}}.,]+{_S}*(km|nm|miles)(?:$|[^\\pL\\pM\\p{{Nd}}\\p{{Pc}}:.][^:.]*|)([:.]{_S}*|$)', '')"
+)
 _plain = lambda x: f"translate({x}, '‐‑‒–—―', '------')"
 _anchors = lambda x: f"list_distinct(list_transform(regexp_extract_all({_plain(x)}, '{_ANCHOR}'), lambda t: replace(t, ',', '.')))"
 _words = lambda x: f"regexp_extract_all(lower({x}), '[a-z]{{4,}}')"
@@ -344,9 +348,13 @@ unranked AS (SELECT scene_id, ord, 'Q5' AS rule, CASE classification WHEN 'high_
   AS severity, id || ' is '
   || classification || ' but was not ranked' AS message FROM facts WHERE cand AND id NOT IN (SELECT rid FROM ranked))"""
 # Which rule must find what was planted, by the same remainders.
-_EXPECTED = {0: ("has", "VA", "omission"), 1: ("estimated_length_m >= 15", "VB", "figures"), 2: ("true", "VC", "authority"), 3: ("NOT has_ais", "V3", "legal"), 4: ("ais_status = 'matched'", "V3b", "legal"),
+_EXPECTED = {0: ("has", "VA", "omission"), 1: (
+    "estimated_length_m >= 15", "VB", "figures"
+), 2: ("true", "VC", "authority"), 3: ("NOT has_ais", "V3", "legal"), 4: ("ais_status = 'matched'", "V3b", "legal"),
              5: ("true", "V4", "position"), 6: ("true", "V4", "position"), 7: ("has", "V5", "omission"), 8: ("NOT has", "V6", "legal"), 9: ("true", "V7", "rank"), 10: ("lent IS NOT NULL", "V8", "legal"),
-             11: (f"has AND length({_FIRST}) > 40", "V8b", "legal"), 12: ("has", "V9", "fabrication"), 13: ("true", "V10", "fabrication"), 14: ("true", "V11", "authority"), 15: ("true", "V12a", "fabrication"),
+             11: (
+                 f"has AND length({_FIRST}) > 40", "V8b", "legal"
+             ), 12: ("has", "V9", "fabrication"), 13: ("true", "V10", "fabrication"), 14: ("true", "V11", "authority"), 15: ("true", "V12a", "fabrication"),
              16: ("has", "V12b", "fabrication"), 17: ("true", "V0", "fabrication"), 18: ("cand", "V13", "omission")}
 _pick = lambda at: "CASE " + " ".join(f"WHEN m = {k} AND {v[0]} THEN '{v[at]}'" for k, v in _EXPECTED.items()) + " END"
 _CAUGHT = f"""want AS (SELECT ord, 'brief' AS kind, {_pick(1)} AS rule, {_pick(2)} AS family, cand, CASE WHEN silent THEN 'V1' ELSE 'V2'
@@ -546,7 +554,9 @@ fm AS (SELECT *, CASE k WHEN 0 THEN ais_matched WHEN 1 THEN CASE WHEN ais_matche
   CASE k WHEN 1 THEN CASE WHEN fishing_score >= 0.5 THEN 1.0e0 ELSE 0.0e0 END WHEN 4 THEN 1.0e0 ELSE fishing_score END AS
   active, k <> 3 AS usable
   FROM fe)"""
-_CENTRES = ", ".join(f"('{z.id}', {sum(p[0] for p in z.polygon) / len(z.polygon)!r}e0, {sum(p[1] for p in z.polygon) / len(z.polygon)!r}e0, '[{','.join(f'[{b},{a}]' for a, b in z.polygon)}]')" for z in ZONES)
+_CENTRES = ", ".join(
+    f"('{z.id}', {sum(p[0] for p in z.polygon) / len(z.polygon)!r}e0, {sum(p[1] for p in z.polygon) / len(z.polygon)!r}e0, '[{','.join(f'[{b},{a}]' for a, b in z.polygon)}]')" for z in ZONES
+)
 
 ORACLES |= {
     "scene_documents": _DOCUMENT,

@@ -44,7 +44,9 @@ def detection_rows(scenes: DataFrame) -> DataFrame:
     from skerry.functions.temporal import scene_date
 
     rows = scenes.withColumn("day", scene_date(F.col("scene.timestamp")))
-    return rows.select("scene_id", "day", F.posexplode("detections").alias("ord", "d")).select("scene_id", F.col("ord").cast("bigint").alias("ord"), "day", "d.*")
+    return rows.select("scene_id", "day", F.posexplode("detections").alias("ord", "d")).select(
+        "scene_id", F.col("ord").cast("bigint").alias("ord"), "day", "d.*"
+    )
 
 
 def read_strict_scenes(spark: SparkSession, path: str) -> DataFrame:
@@ -53,14 +55,19 @@ def read_strict_scenes(spark: SparkSession, path: str) -> DataFrame:
     from skerry.functions.temporal import fail, scene_date
 
     docs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("scene_id"), F.parse_json("value").alias("v"))
-    rows = docs.select("scene_id", scene_date(F.expr("try_variant_get(v, '$.scene.timestamp', 'string')")).alias("day"), F.posexplode(F.expr("variant_get(v, '$.detections', 'array<variant>')")).alias("ord", "d"))
+    rows = docs.select(
+        "scene_id", scene_date(F.expr("try_variant_get(v, '$.scene.timestamp', 'string')")).alias("day"),
+        F.posexplode(F.expr("variant_get(v, '$.detections', 'array<variant>')")).alias("ord", "d")
+    )
     get = lambda k, kind: F.try_variant_get("d", f"$.{k}", kind)
     name = F.coalesce(get("id", "string"), F.lit("?"))
 
     def number(key: str) -> Column:
         kind = F.schema_of_variant(get(key, "variant"))
         is_number = kind.isin("BIGINT", "DOUBLE", "FLOAT", "INT") | kind.startswith("DECIMAL")
-        return F.when(F.coalesce(is_number, F.lit(False)), get(key, "double")).otherwise(fail(F.concat(F.lit("detection "), name, F.lit(f": {key} is missing or not numeric")), "double"))
+        return F.when(F.coalesce(is_number, F.lit(False)), get(key, "double")).otherwise(fail(
+            F.concat(F.lit("detection "), name, F.lit(f": {key} is missing or not numeric")), "double"
+        ))
 
     flag = get("ais_matched", "variant")
     return rows.select(
@@ -86,7 +93,9 @@ def configuration(c: dict) -> Config:
     return Config(
         ais_length_threshold_m=float(c["ais_length_threshold_m"]), fishing_score_threshold=float(c["fishing_score_threshold"]), length_sigma_m=float(c.get("length_sigma_m", 0.0)), length_sigma_k=float(c.get("length_sigma_k", 1.0)),
         vms_length_threshold_m=None if c.get("vms_length_threshold_m") is None else float(c["vms_length_threshold_m"]), weights=Weights(**weights), ais_legal_basis=c.get("ais_legal_basis"), lawful_dark_derogation=c.get("lawful_dark_derogation"),
-        base=(float(base["lat"]), float(base["lon"]), base.get("name")) if base else None, patrol_radius_km=c.get("patrol_radius_km"), study_area=c.get("study_area"), output_language=c.get("output_language", "English"),
+        base=(
+            float(base["lat"]), float(base["lon"]), base.get("name")
+        ) if base else None, patrol_radius_km=c.get("patrol_radius_km"), study_area=c.get("study_area"), output_language=c.get("output_language", "English"),
         season=Season(season.get("start"), season.get("end")) if season is not None else Season(), dark_illumination=float(env.get("dark_illumination", 0.25)),
     )
 
@@ -96,13 +105,22 @@ def zone(z: dict) -> Zone:
 
     shut = z.get("closure")
     polygon = z["polygon"] if isinstance(z["polygon"], dict) else tuple(tuple(p) for p in z["polygon"])
-    out = Zone(z["id"], z["name"], z["type"], polygon, tuple(z.get("prohibited_gear", ())), (shut.get("start"), shut.get("end"), shut.get("reason")) if shut else None, z.get("designation"))
+    out = Zone(
+        z["id"], z["name"], z["type"], polygon, tuple(z.get("prohibited_gear", ())),
+        (shut.get("start"), shut.get("end"), shut.get("reason")) if shut else None, z.get("designation")
+    )
     closure_dates(out)  # a malformed closure is an error here, also where no detection is near
     return out
 
 
 def structure_rows(spark: SparkSession, structures: list[dict]) -> DataFrame:
-    rows = [(i, s.get("id"), s.get("name"), s.get("type"), float(s["lat"]), float(s["lon"]), None if s.get("match_radius_m") is None else float(s["match_radius_m"])) for i, s in enumerate(structures)]
+    rows = [
+        (
+            i, s.get("id"), s.get("name"), s.get("type"), float(s["lat"]), float(s["lon"]),
+            None if s.get("match_radius_m") is None else float(s["match_radius_m"])
+        ) for i,
+        s in enumerate(structures)
+    ]
     return spark.createDataFrame(rows, STRUCTURES)
 
 
@@ -110,8 +128,12 @@ def structure_rows(spark: SparkSession, structures: list[dict]) -> DataFrame:
 
 # The names under which feeds give the same thing, first come first.
 ALIASES = {
-    "lat": ("detect_lat", "lat", "latitude"), "lon": ("detect_lon", "lon", "longitude"), "length": ("length_m", "estimated_length_m", "length"), "id": ("id", "detect_id", "detection_id"), "score": ("fishing_score", "score"),
-    "active": ("is_fishing", "fishing"), "class": ("vessel_class", "matched_category"), "match": ("matched_category", "match_category", "matched"), "mmsi": ("mmsi", "ssvid"), "gear": ("likely_gear", "geartype", "vessel_class"), "speed": ("speed_kn", "speed"),
+    "lat": ("detect_lat", "lat", "latitude"), "lon": ("detect_lon", "lon", "longitude"), "length": (
+        "length_m", "estimated_length_m", "length"
+    ), "id": ("id", "detect_id", "detection_id"), "score": ("fishing_score", "score"),
+    "active": ("is_fishing", "fishing"), "class": ("vessel_class", "matched_category"), "match": (
+        "matched_category", "match_category", "matched"
+    ), "mmsi": ("mmsi", "ssvid"), "gear": ("likely_gear", "geartype", "vessel_class"), "speed": ("speed_kn", "speed"),
 }
 ENVELOPES = ("entries", "data", "features")
 
@@ -123,7 +145,10 @@ def feed_entries(answers: DataFrame, column: str = "body") -> DataFrame:
     v = F.parse_json(column)
     lists = [F.try_variant_get(v, "$", "array<variant>"), *(F.try_variant_get(v, f"$.{k}", "array<variant>") for k in ENVELOPES)]
     keys = F.array_join(F.slice(F.coalesce(F.json_object_keys(column), F.array()), 1, 5), ", ")
-    return answers.select("*", F.posexplode(F.coalesce(*lists, fail(F.concat(F.lit("unexpected answer with keys "), keys), "array<variant>"))).alias("entry_no", "entry"))
+    return answers.select(
+        "*",
+        F.posexplode(F.coalesce(*lists, fail(F.concat(F.lit("unexpected answer with keys "), keys), "array<variant>"))).alias("entry_no", "entry")
+    )
 
 
 def _alias(what: str, kind: str, names: tuple[str, ...] | None = None) -> Column:
@@ -153,8 +178,14 @@ def map_feed(entries: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     raw_id = _alias("id", "string")
     named = F.when(raw_id.isin("", "0", "false"), F.lit(None)).otherwise(raw_id)
     return entries.select(
-        *keep, F.col("entry_no").cast("bigint").alias("ord"), F.coalesce(named, F.format_string("GFW-%04d", "entry_no")).alias("id"), lat.alias("lat"), lon.alias("lon"), length.alias("estimated_length_m"), matched.alias("ais_matched"), fishing.alias("fishing_score"), _number("speed").alias("speed_kn"),
-        F.coalesce(kept(F.nullif(_alias("gear", "string"), F.lit(""))), F.lit("unknown")).alias("likely_gear"), kept(_alias("mmsi", "string")).alias("mmsi"), kept(F.coalesce(_alias("", "string", ("shipname",)), _alias("", "string", ("vessel_name",)))).alias("vessel_name"),
+        *keep, F.col("entry_no").cast("bigint").alias("ord"), F.coalesce(
+            named, F.format_string("GFW-%04d", "entry_no")
+        ).alias("id"), lat.alias("lat"), lon.alias("lon"), length.alias("estimated_length_m"), matched.alias("ais_matched"), fishing.alias("fishing_score"), _number("speed").alias("speed_kn"),
+        F.coalesce(
+            kept(F.nullif(_alias("gear", "string"), F.lit(""))), F.lit("unknown")
+        ).alias("likely_gear"), kept(_alias("mmsi", "string")).alias("mmsi"), kept(F.coalesce(
+            _alias("", "string", ("shipname",)), _alias("", "string", ("vessel_name",))
+        )).alias("vessel_name"),
         kept(_alias("", "string", ("flag",))).alias("flag"), (lat.isNotNull() & lon.isNotNull() & length.isNotNull() & fishing.isNotNull()).alias("usable"),
     )
 
@@ -174,7 +205,10 @@ def window(end: str | None = None, start: str | None = None) -> tuple[str, str]:
     return start or (last - timedelta(days=1)).isoformat(), last.isoformat()
 
 
-def query_parameters(region: tuple[float, float, float, float] = REGION, start: str | None = None, end: str | None = None, dataset: str = DATASET, limit: int = MAX_ROWS) -> dict[str, str]:
+def query_parameters(
+    region: tuple[float, float, float, float] = REGION, start: str | None = None, end: str | None = None, dataset: str = DATASET,
+    limit: int = MAX_ROWS
+) -> dict[str, str]:
     """Filters that the source applies itself: box, days, number of rows."""
     first, last = window(end, start)
     # The names of the parameters.
@@ -230,7 +264,10 @@ def read_chips(spark: SparkSession, path: str) -> DataFrame:
                     raise ValueError(f"{name}: a chip has two dimensions, not {image.ndim}")
                 rows, cols = image.shape
                 y, x = np.divmod(np.arange(rows * cols), cols)
-                yield pd.DataFrame({"chip_id": name.rsplit("/", 1)[-1][:-4], "rows_n": rows, "cols_n": cols, "row": y, "col": x, "value": image.astype(np.float64).ravel()})
+                yield pd.DataFrame({
+                    "chip_id": name.rsplit("/", 1)[-1][:-4], "rows_n": rows, "cols_n": cols, "row": y, "col": x,
+                    "value": image.astype(np.float64).ravel()
+                })
 
     return files.mapInPandas(pixels, "chip_id string, rows_n int, cols_n int, row int, col int, value double")
 

@@ -45,7 +45,10 @@ def detections(spark, rows=ROWS, day="2026-07-18", scene="S"):
 
 
 def structures(spark, radius=400.0):
-    return spark.createDataFrame([(0, "FIX-01", "Platform", "fixed_platform", 36.70, -7.05, radius)], "ord bigint, id string, name string, type string, lat double, lon double, match_radius_m double")
+    return spark.createDataFrame(
+        [(0, "FIX-01", "Platform", "fixed_platform", 36.70, -7.05, radius)],
+        "ord bigint, id string, name string, type string, lat double, lon double, match_radius_m double"
+    )
 
 
 def records(spark):

@@ -11,15 +11,28 @@ from tests import demo
 
 # What is known of the scene in demo.py.
 GOLDEN = [  # id, firm, degraded, notes, score, class, suppressed, km
-    ("D-004", 2, 0, 0, 70, "high_priority", False, 40.77), ("D-010", 2, 0, 0, 70, "high_priority", False, 38.0), ("D-006", 2, 0, 0, 60, "high_priority", False, 78.21), ("D-001", 1, 0, 1, 50, "medium_priority", False, 71.04),
-    ("D-002", 1, 0, 1, 50, "medium_priority", False, 68.15), ("D-008", 1, 0, 0, 50, "medium_priority", False, 102.56), ("D-005", 1, 0, 0, 30, "medium_priority", True, 44.02), ("D-013", 0, 0, 2, 0, "fixed_structure", False, 70.36),
-    ("D-003", 0, 0, 0, 0, "no_indicators", False, 65.11), ("D-009", 0, 0, 0, 0, "no_indicators", False, 75.29), ("D-012", 0, 0, 0, 0, "no_indicators", False, 41.23), ("D-007", 0, 0, 0, 0, "ais_not_applicable", True, 73.52), ("D-011", 0, 0, 0, 0, "ais_not_applicable", True, 78.64),
+    (
+        "D-004", 2, 0, 0, 70, "high_priority", False, 40.77
+    ), ("D-010", 2, 0, 0, 70, "high_priority", False, 38.0), ("D-006", 2, 0, 0, 60, "high_priority", False, 78.21), (
+        "D-001", 1, 0, 1, 50, "medium_priority", False, 71.04
+    ),
+    ("D-002", 1, 0, 1, 50, "medium_priority", False, 68.15), (
+        "D-008", 1, 0, 0, 50, "medium_priority", False, 102.56
+    ), ("D-005", 1, 0, 0, 30, "medium_priority", True, 44.02), ("D-013", 0, 0, 2, 0, "fixed_structure", False, 70.36),
+    (
+        "D-003", 0, 0, 0, 0, "no_indicators", False, 65.11
+    ), ("D-009", 0, 0, 0, 0, "no_indicators", False, 75.29), ("D-012", 0, 0, 0, 0, "no_indicators", False, 41.23), (
+        "D-007", 0, 0, 0, 0, "ais_not_applicable", True, 73.52
+    ), ("D-011", 0, 0, 0, 0, "ais_not_applicable", True, 78.64),
 ]
 
 
 def test_golden_records_and_order(spark):
     rows = dossier.ordered(dossier.with_distance(demo.records(spark), demo.CONFIG)).orderBy("pos").collect()
-    assert [(r["id"], r["firm"], r["degraded"], len(r["contextual_notes"]), r["score"], r["classification"], r["ais_indicator_suppressed"], r["distance_from_base_km"]) for r in rows] == GOLDEN
+    assert [(
+        r["id"], r["firm"], r["degraded"], len(r["contextual_notes"]), r["score"], r["classification"], r["ais_indicator_suppressed"],
+        r["distance_from_base_km"]
+    ) for r in rows] == GOLDEN
     for r in rows:
         assert (r["score"] > 0) == bool(r["potential_indicators"])
         assert r["score"] == sum(i["points"] for i in r["score_breakdown"])
@@ -41,7 +54,9 @@ def one(spark, lat, lon, length, ais, score, gear="unknown", flag=None, config=d
 
 def test_single_cases(spark):
     r = one(spark, 36.5, -6.75, 9.0, False, 0.9, "bottom_trawl")
-    assert r["classification"] == "medium_priority" and r["ais_indicator_suppressed"] and not any(i["kind"].startswith("ais") for i in r["potential_indicators"])
+    assert r["classification"] == "medium_priority" and r["ais_indicator_suppressed"] and not any(
+        i["kind"].startswith("ais") for i in r["potential_indicators"]
+    )
     r = one(spark, 36.0, -6.0, 9.0, False, 0.2, "small_scale")
     assert r["classification"] == "ais_not_applicable" and r["score"] == 0 and "not an indicator" in r["ais_note"]
     strict = Config(ais_length_threshold_m=15.0, fishing_score_threshold=0.7)
@@ -78,7 +93,10 @@ def test_geometry(spark):
     hole = [[-7.1, 36.7], [-7.0, 36.7], [-7.0, 36.8], [-7.1, 36.8], [-7.1, 36.7]]
     second = [[[-6.5, 36.4], [-6.3, 36.4], [-6.3, 36.5], [-6.5, 36.5], [-6.5, 36.4]]]
     holed, multi = {"type": "Polygon", "coordinates": [outer, hole]}, {"type": "MultiPolygon", "coordinates": [[outer], second]}
-    cases = [(36.7, -7.0, ring, True), (36.7, -6.0, ring, False), (36.6, -7.0, ring, True), (36.85, -7.0, ring, False), (36.62, -7.15, holed, True), (36.75, -7.05, holed, False), (36.5, -7.05, holed, False), (36.45, -6.4, multi, True), (36.85, -7.0, holed, True)]
+    cases = [
+        (36.7, -7.0, ring, True), (36.7, -6.0, ring, False), (36.6, -7.0, ring, True), (36.85, -7.0, ring, False), (36.62, -7.15, holed, True),
+        (36.75, -7.05, holed, False), (36.5, -7.05, holed, False), (36.45, -6.4, multi, True), (36.85, -7.0, holed, True)
+    ]
     for lat, lon, polygon, want in cases:
         assert spark.range(1).select(geo.inside(F.lit(lat), F.lit(lon), polygon)).first()[0] is want, (lat, lon)
     assert geo.centroid(ring) == pytest.approx((36.725, -7.05))
@@ -86,14 +104,18 @@ def test_geometry(spark):
 
 
 def test_grid_join_equals_literals(spark):
-    points = spark.range(4000).selectExpr("id as ord", "36.2 + (id * 7919 % 1000) / 1000 as lat", "-7.4 + (id * 104729 % 1200) / 1000 as lon").selectExpr("ord", "cast(lat as double) lat", "cast(lon as double) lon")
+    points = spark.range(4000).selectExpr(
+        "id as ord", "36.2 + (id * 7919 % 1000) / 1000 as lat", "-7.4 + (id * 104729 % 1200) / 1000 as lon"
+    ).selectExpr("ord", "cast(lat as double) lat", "cast(lon as double) lon")
     rows = spark.createDataFrame([(z.id, [[float(a), float(b)] for a, b in z.polygon]) for z in demo.ZONES], "zone_id string, ring array<array<double>>")
     a = {tuple(r) for r in spatial.zone_hits(points, rows, ["ord"]).collect()}
     assert a and a == {tuple(r) for r in spatial.literal_zone_hits(points, demo.ZONES, ["ord"]).collect()}
 
 
 @pytest.mark.parametrize(("when", "season", "want"), [
-    ("2024-01-11T02:00:00Z", Season("11-01", "02-28"), "high"), ("2024-01-25T18:00:00Z", Season("11-01", "02-28"), "moderate"), ("2024-01-18T03:53:00Z", Season("11-01", "02-28"), "low"), ("2024-07-05T22:00:00Z", Season("11-01", "02-28"), "out_of_season"),
+    ("2024-01-11T02:00:00Z", Season("11-01", "02-28"), "high"), (
+        "2024-01-25T18:00:00Z", Season("11-01", "02-28"), "moderate"
+    ), ("2024-01-18T03:53:00Z", Season("11-01", "02-28"), "low"), ("2024-07-05T22:00:00Z", Season("11-01", "02-28"), "out_of_season"),
 ])
 def test_conditions(spark, when, season, want):
     config = Config(15.0, 0.7, season=season)
@@ -116,7 +138,9 @@ def test_every_fault_is_caught_on_every_record(spark):
     """The scene once for each turn of the faults, so every record carries each that applies to it."""
     turns = len(harness.BRIEF_FAULTS)
     base = demo.detections(spark)
-    rows = base.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(turns - 1)))).withColumns({"scene_id": F.concat(F.lit("S"), "t"), "ord": F.col("ord") + F.col("t")}).drop("t")
+    rows = base.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(turns - 1)))).withColumns({
+        "scene_id": F.concat(F.lit("S"), "t"), "ord": F.col("ord") + F.col("t")
+    }).drop("t")
     found = harness.verdicts(assess.assess(rows, demo.ZONES, demo.CONFIG, demo.structures(spark)), demo.CONFIG)
     seen = found.collect()
     assert len(seen) == 2 * turns * len(demo.ROWS) and [r for r in seen if not r["ok"]] == []

@@ -24,7 +24,10 @@ def records(spark):
 
 
 def rules(spark, records, briefs):
-    rows = spark.createDataFrame(briefs, "scene_id string, brief_ord bigint, id string, position string, priority string, indicators array<string>, regulation_concerned string, suggested_action string, caveat string")
+    rows = spark.createDataFrame(
+        briefs,
+        "scene_id string, brief_ord bigint, id string, position string, priority string, indicators array<string>, regulation_concerned string, suggested_action string, caveat string"
+    )
     return {(r["place"].split()[-1], r["rule"], r["severity"]) for r in validate.brief_issues(rows, records, demo.CONFIG).collect()}
 
 
@@ -38,10 +41,24 @@ def test_each_brief_rule_fires_and_the_faithful_brief_is_silent(spark, records):
     assert rules(spark, records, [tuple(b.values()) for b in base.values()]) == set()
     spoil = lambda n, **change: tuple((base[n] | change).values())
     cases = [
-        (spoil("D-006", regulation_concerned="Article 10 (AIS carriage requirement)"), {"V3"}), (spoil("D-006", caveat="AIS data may lag behind"), {"V3b"}), (spoil("D-004", position="40.0, -3.7"), {"V4"}), (spoil("D-004", position='{"lat": 36.47, "lon": -6.74}'), set()),
-        (spoil("D-004", position="somewhere"), {"V4"}), (spoil("D-004", regulation_concerned="none"), {"V5"}), (spoil("D-004", priority="low"), {"V7"}), (spoil("D-001", regulation_concerned="Inner Reserve (RES-03)"), {"V8"}), (spoil("D-004", caveat=" "), {"VA"}),
-        (spoil("D-004", caveat="measures less than 15 m"), {"VB"}), (spoil("D-004", suggested_action="seize the vessel and its catch"), {"VC"}), (spoil("D-004", suggested_action="40.77 km from base"), {"V11"}), (spoil("D-004", suggested_action="38.0 km from base: board and verify gear"), set()),
-        (spoil("D-004", indicators=base["D-004"]["indicators"] + ["and a further vessel 22.0 m was seen nearby fishing"]), {"V10"}), (spoil("D-004", indicators=["ais"]), {"V9", "V12a"}), (spoil("D-004", indicators=[" ".join(base["D-004"]["indicators"])]), set()),
+        (
+            spoil("D-006", regulation_concerned="Article 10 (AIS carriage requirement)"), {"V3"}
+        ), (spoil("D-006", caveat="AIS data may lag behind"), {"V3b"}), (spoil("D-004", position="40.0, -3.7"), {"V4"}), (
+            spoil("D-004", position='{"lat": 36.47, "lon": -6.74}'), set()
+        ),
+        (spoil("D-004", position="somewhere"), {"V4"}), (
+            spoil("D-004", regulation_concerned="none"), {"V5"}
+        ), (spoil("D-004", priority="low"), {"V7"}), (
+            spoil("D-001", regulation_concerned="Inner Reserve (RES-03)"), {"V8"}
+        ), (spoil("D-004", caveat=" "), {"VA"}),
+        (spoil("D-004", caveat="measures less than 15 m"), {"VB"}), (
+            spoil("D-004", suggested_action="seize the vessel and its catch"), {"VC"}
+        ), (spoil("D-004", suggested_action="40.77 km from base"), {"V11"}), (
+            spoil("D-004", suggested_action="38.0 km from base: board and verify gear"), set()
+        ),
+        (
+            spoil("D-004", indicators=base["D-004"]["indicators"] + ["and a further vessel 22.0 m was seen nearby fishing"]), {"V10"}
+        ), (spoil("D-004", indicators=["ais"]), {"V9", "V12a"}), (spoil("D-004", indicators=[" ".join(base["D-004"]["indicators"])]), set()),
         (spoil("D-004", regulation_concerned=base["D-004"]["indicators"][0] + " (RES-03)"), {"V8b"}), (spoil("D-004", id="D-999"), {"V0"}),
         (spoil("D-004", indicators=[x.replace("-", "‑").replace(".", ",") for x in base["D-004"]["indicators"]]), set()),
     ]
@@ -66,12 +83,20 @@ def test_ranking_rules(spark, records):
     ranked = harness.clean_ranked(records)
     prose = harness.clean_prose(records)
     assert validate.prioritisation_issues(ranked, prose, records).count() == 0
-    more = ranked.unionByName(spark.createDataFrame([("S", 90, "D-999", "x"), ("S", 91, "D-012", "y"), ("S", 92, "D-008", "a length of 19.5 m")], "scene_id string, rank_ord bigint, id string, reason string")).filter("id <> 'D-010'")
-    assert {(r["rule"], r["severity"]) for r in validate.prioritisation_issues(more, prose, records).collect()} == {("Q2", "BLOCKER"), ("Q3", "BLOCKER"), ("Q5", "BLOCKER")}
+    more = ranked.unionByName(spark.createDataFrame(
+        [("S", 90, "D-999", "x"), ("S", 91, "D-012", "y"), ("S", 92, "D-008", "a length of 19.5 m")],
+        "scene_id string, rank_ord bigint, id string, reason string"
+    )).filter("id <> 'D-010'")
+    assert {(r["rule"], r["severity"]) for r in validate.prioritisation_issues(more, prose, records).collect()} == {
+        ("Q2", "BLOCKER"), ("Q3", "BLOCKER"), ("Q5", "BLOCKER")
+    }
 
 
 def test_structure_rules(spark):
-    docs = [("ok", '{"prioritised_candidates":[{"id":"a"}],"ais_not_applicable":[],"observed_pattern":"","overall_recommendation":"","limitations":[]}'), ("none", "{}"), ("kind", '{"prioritised_candidates":"x"}'), ("nameless", '{"prioritised_candidates":[{"id":"a"},{"x":1},3]}')]
+    docs = [
+        ("ok", '{"prioritised_candidates":[{"id":"a"}],"ais_not_applicable":[],"observed_pattern":"","overall_recommendation":"","limitations":[]}'),
+        ("none", "{}"), ("kind", '{"prioritised_candidates":"x"}'), ("nameless", '{"prioritised_candidates":[{"id":"a"},{"x":1},3]}')
+    ]
     rows = spark.createDataFrame(docs, "scene_id string, t string").withColumn("doc", F.parse_json("t"))
     got = {}
     for r in validate.structure_issues(rows).collect():
@@ -82,7 +107,9 @@ def test_structure_rules(spark):
 
 def test_answers(spark):
     cases = {
-        "plain": ('{"a": "1"}', "1"), "fence": ('Sure:\n```json\n{"a": "1"}\n```\nbye', "1"), "prose": ('I say {"a": "1"} and } more', "1"), "braces": ('{"a": "{1}", "b": "}"}', "{1}"), "quotes": ('{"a": "say \\"}\\" now"}', 'say "}" now'),
+        "plain": ('{"a": "1"}', "1"), "fence": (
+            'Sure:\n```json\n{"a": "1"}\n```\nbye', "1"
+        ), "prose": ('I say {"a": "1"} and } more', "1"), "braces": ('{"a": "{1}", "b": "}"}', "{1}"), "quotes": ('{"a": "say \\"}\\" now"}', 'say "}" now'),
         "comma": ('{"a": "1",}', "1"), "comment": ('{\n// why\n"a": "1"\n}', "1"), "cut": ('{"a": "1"', None), "empty": ("", None), "loop": ("The same again. " * 200, None), "text": ("no object here", None),
     }
     rows = responses.parse(spark.createDataFrame([(k, "analyst", 1, v[0]) for k, v in cases.items()], "scene_id string, agent string, attempt int, raw string"))
@@ -131,8 +158,15 @@ def test_words_end_where_unicode_says(spark):
 
 def test_feed(spark):
     entries = [
-        {"id": "A", "detect_lat": 36.7, "detect_lon": -7.0, "length_m": 34.0, "matched_category": "matched", "fishing_score": 0.9, "mmsi": "224000", "shipname": "N", "flag": "ESP", "geartype": "trawlers"}, {"id": "B", "lat": 36.5, "lon": -6.75, "length_m": 22.0, "matched_category": "unmatched", "is_fishing": True},
-        {"properties": {"detect_lat": 36.6, "detect_lon": -6.9, "length_m": 18.0, "matched_category": "possibly", "fishing_score": 0.8}}, {"detect_lat": 36.4, "detect_lon": -6.7, "matched_category": "unmatched", "fishing_score": 0.5}, {"detect_lat": 36.3, "detect_lon": -6.6, "length_m": 12.0, "matched_category": "unmatched"},
+        {
+            "id": "A", "detect_lat": 36.7, "detect_lon": -7.0, "length_m": 34.0, "matched_category": "matched", "fishing_score": 0.9,
+            "mmsi": "224000", "shipname": "N", "flag": "ESP", "geartype": "trawlers"
+        }, {"id": "B", "lat": 36.5, "lon": -6.75, "length_m": 22.0, "matched_category": "unmatched", "is_fishing": True},
+        {"properties": {
+            "detect_lat": 36.6, "detect_lon": -6.9, "length_m": 18.0, "matched_category": "possibly", "fishing_score": 0.8
+        }}, {
+            "detect_lat": 36.4, "detect_lon": -6.7, "matched_category": "unmatched", "fishing_score": 0.5
+        }, {"detect_lat": 36.3, "detect_lon": -6.6, "length_m": 12.0, "matched_category": "unmatched"},
         {"id": 0, "lat": "36.1", "lon": "-6.6", "length": 9, "matched": False, "score": 0.1},
     ]
     for body in (entries, {"entries": entries}, {"x": 1, "features": entries}):
@@ -153,7 +187,13 @@ def test_feed(spark):
 
 
 def test_documents_are_read(spark, tmp_path):
-    doc = {"_note": "n", "scene": {"source": "s", "timestamp": demo.TIMESTAMP}, "detections": [{"id": "a", "lat": 36.5, "lon": -6.75, "estimated_length_m": 9, "fishing_score": 0.9, "ais_matched": None}, {"id": "b", "lat": 36.5, "lon": -6.75, "estimated_length_m": 9.5, "fishing_score": 0.1}]}
+    doc = {
+        "_note": "n", "scene": {"source": "s", "timestamp": demo.TIMESTAMP},
+        "detections": [
+            {"id": "a", "lat": 36.5, "lon": -6.75, "estimated_length_m": 9, "fishing_score": 0.9, "ais_matched": None},
+            {"id": "b", "lat": 36.5, "lon": -6.75, "estimated_length_m": 9.5, "fishing_score": 0.1}
+        ]
+    }
     (tmp_path / "d.json").write_text(json.dumps(doc))
     assert [r["ais_matched"] for r in scenes.detection_rows(scenes.read_scenes(spark, str(tmp_path / "d.json"))).orderBy("ord").collect()] == [None, None]
     assert [r["ais_matched"] for r in scenes.read_strict_scenes(spark, str(tmp_path / "d.json")).orderBy("ord").collect()] == [False, None]
@@ -161,7 +201,11 @@ def test_documents_are_read(spark, tmp_path):
     (tmp_path / "e.json").write_text(json.dumps(doc))
     with pytest.raises(Exception, match="detection b"):
         scenes.read_strict_scenes(spark, str(tmp_path / "e.json")).collect()
-    law = {"config": {"ais_length_threshold_m": 15, "fishing_score_threshold": 0.7, "_n": "x", "patrol_base": {"lat": 1, "lon": 2, "name": "b"}}, "zones": [{"id": "Z-01", "name": "n", "type": "t", "prohibited_gear": [], "closure": None, "polygon": [[0, 0], [0, 1], [1, 1]]}], "fixed_structures": [{"id": "F", "lat": 1, "lon": 2}]}
+    law = {
+        "config": {"ais_length_threshold_m": 15, "fishing_score_threshold": 0.7, "_n": "x", "patrol_base": {"lat": 1, "lon": 2, "name": "b"}},
+        "zones": [{"id": "Z-01", "name": "n", "type": "t", "prohibited_gear": [], "closure": None, "polygon": [[0, 0], [0, 1], [1, 1]]}],
+        "fixed_structures": [{"id": "F", "lat": 1, "lon": 2}]
+    }
     (tmp_path / "z.json").write_text(json.dumps(law))
     config, zones, structures = scenes.regulations(spark, str(tmp_path / "z.json"))
     assert config.vms == 12.0 and config.base == (1.0, 2.0, "b") and zones[0].id == "Z-01" and structures.first()["match_radius_m"] is None
@@ -213,7 +257,9 @@ def test_components_against_a_walk(spark):
         found = raster.components(spark.createDataFrame(rows, "chip_id string, row int, col int")).collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert {(r["chip_id"], r["row"], r["col"]): r["blob"] for r in found} == {(n, *at): b for n, own in images.items() for at, b in brute_components(own).items()}
+    assert {(r["chip_id"], r["row"], r["col"]): r["blob"] for r in found} == {
+        (n, *at): b for n, own in images.items() for at, b in brute_components(own).items()
+    }
     assert raster.components(spark.createDataFrame([], "chip_id string, row int, col int")).count() == 0
 
 
@@ -245,7 +291,9 @@ def test_split_and_labels(spark):
     parts = {r["name"]: r["part"] for r in dataset.split(names, 0.34).collect()}
     assert sorted(parts.values()) == ["train"] * 4 + ["val"] * 2 and parts == {r["name"]: r["part"] for r in dataset.split(names, 0.34).collect()}
     assert [r["part"] for r in dataset.split(names.limit(1), 0.34).collect()] == ["train"]
-    bad = dataset.label_problems(spark.createDataFrame([("f", 1, "0 1.5 0.5 0.2 0.2"), ("f", 2, " "), ("f", 3, "0 .5 .5 .1 .1")], "path string, line_no int, line string"))
+    bad = dataset.label_problems(spark.createDataFrame(
+        [("f", 1, "0 1.5 0.5 0.2 0.2"), ("f", 2, " "), ("f", 3, "0 .5 .5 .1 .1")], "path string, line_no int, line string"
+    ))
     assert [tuple(r) for r in bad.collect()] == [("f", 1, "a coordinate is not a share of the chip")]
     with pytest.raises(ValueError, match="f:1"):
         dataset.check(bad)
@@ -275,7 +323,10 @@ def test_stream_equals_batch(spark, tmp_path):
 
 
 def test_documents_over_many_lines(spark, tmp_path):
-    doc = {"scene": {"source": "s", "timestamp": demo.TIMESTAMP}, "detections": [{"id": "a", "lat": 36.5, "lon": -6.75, "estimated_length_m": 9, "fishing_score": 0.9}]}
+    doc = {
+        "scene": {"source": "s", "timestamp": demo.TIMESTAMP},
+        "detections": [{"id": "a", "lat": 36.5, "lon": -6.75, "estimated_length_m": 9, "fishing_score": 0.9}]
+    }
     (tmp_path / "d.json").write_text(json.dumps(doc, indent=2))
     assert [r["id"] for r in scenes.read_strict_scenes(spark, str(tmp_path / "d.json")).collect()] == ["a"]
     (tmp_path / "manifest.json").write_text(json.dumps({"chips": 1, "entries": [{"name": "c", "candidate_labels": 0, "review_status": "pending"}]}, indent=2))
@@ -325,7 +376,9 @@ def test_feed_reader(spark, tmp_path):
     found = scenes.usable(scenes.map_feed(scenes.feed_entries(rows), keep=("day",))).collect()
     server.shutdown()
     assert sorted(str(r["day"]) for r in found) == ["2024-01-01", "2024-01-02", "2024-01-03"]
-    assert len(asked) == 3 and all(p.startswith("/v9?") and "limit=7" in p and "own" in p and "bbox=-7.0%2C36.0%2C-6.0%2C37.0" in p and a == "Bearer secret" for p, a in asked)
+    assert len(asked) == 3 and all(
+        p.startswith("/v9?") and "limit=7" in p and "own" in p and "bbox=-7.0%2C36.0%2C-6.0%2C37.0" in p and a == "Bearer secret" for p, a in asked
+    )
     with pytest.raises(ValueError, match="url"):
         feed.FeedReader({})
     with pytest.raises(ValueError, match="bbox"):
