@@ -6,8 +6,6 @@ polygons are rows, `skerry.operators.spatial` joins them by grid cell.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -93,13 +91,6 @@ def centroid(polygon) -> tuple[float, float]:
     return y / area, x / area
 
 
-def bounds(polygon) -> tuple[float, float, float, float]:
-    """Least and greatest latitude and longitude."""
-    points = [p for part in parts_of(polygon) for ring in part for p in ring] if isinstance(polygon, dict) else list(polygon)
-    lats, lons = [float(p[0]) for p in points], [float(p[1]) for p in points]
-    return min(lats), max(lats), min(lons), max(lons)
-
-
 def cell(value: Column, size: float = CELL_DEG) -> Column:
     return F.floor(value / F.lit(size)).cast("long")
 
@@ -119,10 +110,3 @@ def flip(polygon: Column) -> Column:
 
 def mean_centre(lat: Column, lon: Column) -> tuple[Column, Column]:
     return F.coalesce(F.avg(lat), F.lit(36.6)), F.coalesce(F.avg(lon), F.lit(-6.9))
-
-
-def great_circle(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
-    """The same distance for plain numbers, used where a plan is built."""
-    dlat, dlon = math.radians(lat2 - lat1), math.radians(lon2 - lon1)
-    a = math.sin(dlat / 2) ** 2 + math.cos(math.radians(lat1)) * math.cos(math.radians(lat2)) * math.sin(dlon / 2) ** 2
-    return round(2 * EARTH_KM * math.asin(math.sqrt(a)), 2)

@@ -50,13 +50,6 @@ class Affine:
 LEE_RADIUS = 3
 
 
-def from_arrays(chips: DataFrame, column: str = "image") -> DataFrame:
-    """Long pixels of chips given as array of rows."""
-    sized = chips.withColumn("rows_n", F.size(column)).withColumn("cols_n", F.size(F.get(F.col(column), F.lit(0))))
-    lines = sized.select("chip_id", "rows_n", "cols_n", F.posexplode(column).alias("row", "line"))
-    return lines.select("chip_id", "rows_n", "cols_n", "row", F.posexplode("line").alias("col", "value")).withColumn("value", F.col("value").cast("double"))
-
-
 def _mirror(at: str, size: str, radius: int) -> Column:
     """All places that a pixel takes once its axis is mirrored at both ends."""
     i, n = F.col(at), F.col(size)

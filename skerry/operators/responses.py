@@ -5,7 +5,9 @@ responses: scene_id, agent, attempt, raw. Calling a model is outside; `ask` is a
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from skerry.functions import text as T
 from skerry.schemas import PRIORITISATION, REPORT
+from skerry.sources.files import once
 
 MAX_ATTEMPTS = 2
 ECHO_CHARS = 2000
@@ -99,11 +102,56 @@ def language_prompt(template: str, language: str) -> Column:
     return F.replace(F.lit(template), F.lit("{language}"), F.lit(language))
 
 
-def ask(prompts: DataFrame, call: Callable[[str], str], agent: str, attempt: int = 1) -> DataFrame:
-    """Answers of a caller's function to prompts (scene_id, prompt), on the executors. Nothing here reaches a network by itself."""
+def prompts(dossiers: DataFrame, template: str, language: str = "English") -> DataFrame:
+    """scene_id and prompt: the template in a language, then the scene's dossier."""
+    return dossiers.select("scene_id", F.concat_ws("\n\n", language_prompt(template, language), "dossier").alias("prompt"))
+
+
+ANSWERS = "scene_id string, agent string, attempt int, raw string, error string"
+
+
+def ask(asked: DataFrame, call: Callable[[str], str], agent: str, attempt: int = 1, workers: int = 4, timeout: float = 600.0, tries: int = 2) -> DataFrame:
+    """ANSWERS of a caller's function to prompts (scene_id, prompt), on the executors. Nothing here reaches a network by itself.
+
+    Of each batch `workers` calls run at a time. A call that fails is tried again, `tries` times in all; one that fails for
+    good, or gives nothing within `timeout` seconds, leaves a row without an answer and says why, so it never fails the task.
+    """
+
+    def one(prompt: str) -> tuple[str | None, str | None]:
+        wrong = None
+        for _ in range(tries):
+            try:
+                return call(prompt), None
+            except Exception as e:  # noqa: BLE001  whatever the call raises, the other prompts go on
+                wrong = f"{type(e).__name__}: {e}"
+        return None, wrong
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pool = ThreadPoolExecutor(workers)
         for b in batches:
-            yield pd.DataFrame({"scene_id": b["scene_id"], "agent": agent, "attempt": attempt, "raw": [call(p) for p in b["prompt"]]})
-
-    return prompts.select("scene_id", "prompt").mapInPandas(run, "scene_id string, agent string, attempt int, raw string")
+            began = time.monotonic()
+            waiting, found = [pool.submit(one, p) for p in b["prompt"]], []
+            for k, w in enumerate(waiting):
+                try:  # each round of `workers` calls has its own time
+                    found.append(w.result(max(0.0, began + timeout * tries * (k // workers + 1) - time.monotonic())))
+                except TimeoutError:
+                    w.cancel()
+                    found.append((None, "no answer in time"))
+            yield pd.DataFrame({"scene_id": b["scene_id"], "agent": agent, "attempt": attempt, "raw": [f[0] for f in found], "error": [f[1] for f in found]})
+        pool.shutdown(wait=False, cancel_futures=True)
+
+    return asked.select("scene_id", "prompt").mapInPandas(run, ANSWERS)
+
+
+def converse(asked: DataFrame, call: Callable[[str], str], agent: str, attempts: int = MAX_ATTEMPTS, **settings) -> DataFrame:
+    """ANSWERS of all attempts: what does not parse is asked again, with the start of the answer and what was wrong with it."""
+    out, todo = None, asked.select("scene_id", "prompt")
+    for attempt in range(1, attempts + 1):
+        answers = once(ask(todo, call, agent, attempt, **settings))
+        out = answers if out is None else out.unionByName(answers)
+        failed = parse(answers).filter("doc is null").select("scene_id", F.coalesce("raw", F.lit("")).alias("raw"))
+        again = F.concat_ws("\n\n", "prompt", retry_prompt("raw"))
+        todo = once(asked.join(failed, "scene_id").select("scene_id", again.alias("prompt")))
+        if not todo.limit(1).count():
+            break
+    return out

@@ -1,6 +1,7 @@
 import http.server
 import json
 import threading
+import time
 
 import numpy as np
 import pandas as pd
@@ -391,3 +392,25 @@ def test_report_head(spark, records):
     text = "\n".join(lines)
     assert "13 detections" in text and "Closed: River Mouth (spawning)" in text and "Base: base, radius 120.0 km" in text and "out_of_season" in text
     assert [x for x in present.ranking_lines(harness.clean_ranked(records).withColumn("rank", F.col("rank_ord"))) if "D-010" in x]
+
+
+def test_conversations(spark):
+    """What does not parse is asked again; what fails or hangs leaves a row and never the task."""
+
+    def call(prompt):
+        if "slow" in prompt:
+            time.sleep(3)
+        if "fails" in prompt:
+            raise OSError("no route")
+        if "again" in prompt and "Answer again" not in prompt:
+            return "sorry, here is prose"
+        return '{"ok": true}'
+
+    dossiers = spark.createDataFrame([(k, f"the {k} scene") for k in ("plain", "again", "fails", "slow")], "scene_id string, dossier string").coalesce(1)
+    asked = responses.prompts(dossiers, "Write in {language}.", "Spanish")
+    assert {r["prompt"] for r in asked.filter("scene_id = 'plain'").collect()} == {"Write in Spanish.\n\nthe plain scene"}
+    got = {(r["scene_id"], r["attempt"]): (r["raw"], r["error"]) for r in responses.converse(asked, call, "analyst", timeout=0.5).collect()}
+    assert got["plain", 1] == ('{"ok": true}', None) and got["again", 2] == ('{"ok": true}', None) and ("plain", 2) not in got
+    assert got["fails", 2] == (None, "OSError: no route") and got["slow", 1] == (None, "no answer in time")
+    answers = responses.converse(asked.filter("scene_id in ('plain', 'again')"), call, "analyst")
+    assert {r["scene_id"]: r["attempt"] for r in responses.first_parsed(answers).collect()} == {"plain": 1, "again": 2}
