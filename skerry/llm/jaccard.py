@@ -34,7 +34,7 @@ SHINGLE, PERCENT = 4, 85
 SLOT_BITS = 20
 HEAVY = 3
 """A slot is frequent in a task that counts it so many times the mean."""
-RANGE_MEMBERS = 16
+RANGE_MEMBERS = 4
 """A set is counted in ranges of so many members or up to twice as many; unrelated sets of any size then differ by far."""
 PART = 1024
 """So many sets that meet one other make a part; each part gets a copy of that other one."""
@@ -51,9 +51,9 @@ def shingle_set(text: bytes, width: int) -> np.ndarray:
 
 
 def range_counts(members: np.ndarray) -> np.ndarray:
-    """How many members fall in each of a power of two of hash ranges (at most 65,535 counted, which only weakens the filter)."""
+    """How many members fall in each of a power of two of hash ranges (at most 255 counted, which only weakens the filter)."""
     bits = max(3, (len(members) // RANGE_MEMBERS).bit_length() - 1)
-    return np.minimum(np.bincount((members >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 65_535)
+    return np.minimum(np.bincount((members >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255)
 
 
 def _slots(width: int):
@@ -109,7 +109,7 @@ def _survey(width: int, percent: int, shared):
                     rank = ranks[(own & mask).astype(np.int64)]
                     prefix = len(own) - -(-percent * len(own) // 100) + 1
                     toks.append(common.signed(own[np.argsort(rank, kind="stable")[:prefix]]))
-                    sketch.append(range_counts(own).astype("<u2").tobytes())
+                    sketch.append(range_counts(own).astype(np.uint8).tobytes())
                 ids = [batch.column(k).slice(at, len(group)) for k in (0, 1)]
                 at += len(group)
                 numbers = [pa.array(x, pa.int64()) for x in (n, s1, s2)]
@@ -143,7 +143,7 @@ def _suffix(percent: int):
             most = total - 2 * -(-percent * total // (100 + percent))
             differ = np.empty(len(total), dtype=np.int64)
             for i, (a, b) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
-                x, y = np.frombuffer(a.as_buffer(), dtype="<u2").astype(np.int64), np.frombuffer(b.as_buffer(), dtype="<u2").astype(np.int64)
+                x, y = np.frombuffer(a.as_buffer(), dtype=np.uint8).astype(np.int64), np.frombuffer(b.as_buffer(), dtype=np.uint8).astype(np.int64)
                 ranges = min(len(x), len(y))
                 differ[i] = np.abs(x.reshape(ranges, -1).sum(axis=1) - y.reshape(ranges, -1).sum(axis=1)).sum()
             keep = pa.array(differ <= most)
