@@ -5,6 +5,8 @@ Python functions of this package travel to executors by value, so a cluster need
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import sys
 import tempfile
@@ -62,9 +64,26 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release() -> None:
+    """Give memory that this worker no longer uses back to the system: workers live on between stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow over the columns of df."""
-    return df.mapInArrow(fn, schema)
+    """mapInArrow over the columns of df; a worker gives back what it used when it is done."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(run, schema)
 
 
 def raw_bytes(column: pa.Array) -> list[bytes]:

@@ -366,17 +366,20 @@ class Join:
 def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """docs, all columns, with one row of each component: that of the smallest id (of equal ids, the smallest text hash; of
     rows equal in id and text, that of the least hash of all columns). Rows without words are all kept, equal ones once."""
-    join = Join(docs, text, key, width, percent)
-    members = join.members()
+    members = Join(docs, text, key, width, percent).members()
     kept = members.filter("n > 0").groupBy("component").agg(F.min(F.struct("oid", "th")).alias("k")).select("k.oid", "k.th")
-    kept = common.materialize(kept.union(members.filter("n = 0").select("oid", "th")).distinct())
-    oid, th, row = common.free_names(docs, "_oid", "_th", "_row")
-    kept = kept.withColumnsRenamed({"oid": oid, "th": th})
-    rows = docs.withColumns({oid: common.order_id(key), th: F.xxhash64(F.col(text))}).join(kept, [oid, th], "left_semi")
-    first = rows.groupBy(oid, th).agg(F.min_by(
-        F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
-    ).alias(row))
-    return first.select(f"{row}.*")
+    kept = kept.union(members.filter("n = 0").select("oid", "th").distinct())
+    oid, th, many = common.free_names(docs, "_oid", "_th", "_many")
+    kept = kept.join(members.groupBy("oid", "th").agg((F.count("*") > 1).alias(many)), ["oid", "th"]).withColumnsRenamed({"oid": oid, "th": th})
+    kept = common.materialize(kept)
+    few = kept.count() <= BROADCAST_ROWS
+    rows = docs.withColumns({oid: common.order_id(key), th: F.xxhash64(F.col(text))}).join(F.broadcast(kept) if few else kept, [oid, th])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    once = rows.filter(~F.col(many)).select(*columns)
+    if not kept.filter(many).limit(1).count():
+        return once
+    first = rows.filter(many).groupBy(oid, th).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias(many))
+    return once.unionByName(first.select(f"{many}.*"))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -144,23 +144,31 @@ def _ids_array(found: list, valid: list[bool]) -> pa.ListArray:
     return pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(found), dtype=np.int32)))
 
 
-def encode(df: DataFrame, model: dict, text: str = "text", ids: str = "piece_ids", score: str = "piece_score") -> DataFrame:
-    """df with the columns ids (array of int) and score at the end; where df has such a name, theirs end in underscores."""
-    ids, score = common.free_names(df, ids, score)
+def encode(df: DataFrame, model: dict, text: str = "text", ids: str = "piece_ids", score: str = "piece_score", check: str | None = None) -> DataFrame:
+    """df with the columns ids (array of int) and score at the end, and with check a column of that name: whether the ids
+    decode to the text (null to null). Where df has such a name, theirs end in underscores. Equal texts get equal ids."""
+    ids, score, *checked = common.free_names(df, ids, score, *([check] if check else []))
     own = common.with_last(df, text)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder, decoder = Encoder(shared.value), Decoder(shared.value)
         for batch in batches:
             for at, n in common.row_groups(batch.column(batch.num_columns - 1)):
                 rows = batch.slice(at, n)
                 given = rows.column(rows.num_columns - 1).to_pylist()
                 found = [encoder.encode(t) if t is not None else (b"", None) for t in given]
-                arrays = [*rows.columns, _ids_array([f[0] for f in found], [t is not None for t in given]), pa.array([f[1] for f in found], pa.float64())]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*rows.schema.names, ids, score])
-
-    return common.as_before(common.map_batches(own, run, f"{common.ddl(own)}, `{ids}` array<int>, `{score}` double"), df, ids, score)
+                coded = _ids_array([f[0] for f in found], [t is not None for t in given])
+                arrays = [*rows.columns, coded, pa.array([f[1] for f in found], pa.float64())]
+                if checked:
+                    back = decoder.decode(coded)
+                    same = [x == (None if t is None else t.encode()) for x, t in zip(back, given, strict=True)]
+                    arrays.append(pa.array(same, pa.bool_()))
+                yield pa.RecordBatch.from_arrays(arrays, names=[*rows.schema.names, ids, score, *checked])
+
+    kinds = [f"`{ids}` array<int>", f"`{score}` double", *(f"`{c}` boolean" for c in checked)]
+    made = common.map_batches(own, run, ", ".join([common.ddl(own), *kinds]))
+    return common.as_before(made, df, ids, score, *checked)
 
 
 def decode(df: DataFrame, model: dict, ids: str = "piece_ids", text: str = "decoded") -> DataFrame:
