@@ -52,13 +52,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All columns of documents, piece_ids, piece_score and whether decoding gave the text back (columns of these names
     in documents stay, the new ones' names then end in underscores). A null text has null ids and decodes to null."""
-    model = pieces.load()
-    coded = pieces.encode(docs, model)
-    ids, score = coded.columns[-2:]
-    found = pieces.decode(coded, model, ids=ids)
-    text = F.col(f"`{found.columns[-1]}`")
-    (same,) = common.free_names(docs, "round_trip")
-    return found.withColumn(same, text.eqNullSafe(F.col("text"))).select(*_columns(docs), F.col(ids), F.col(score), F.col(same))
+    return pieces.encode(docs, pieces.load(), check="round_trip")
 
 
 STAGES = [
