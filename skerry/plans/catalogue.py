@@ -196,7 +196,23 @@ def fixed_suppressed(spark, d):
 
 @query
 def below_threshold(spark, d):
-    return dossier.below_threshold(records(spark, d)).select("id", "classification", "score", (F.col("summary") == "no indicators").alias("none"))
+    return dossier.below_threshold(records(spark, d)).select("id", "classification", "score", "summary")
+
+
+@query
+def record_texts(spark, d):
+    """What is said of every record: its note, and why an AIS indicator is suppressed."""
+    return records(spark, d).select("ord", "note", "ais_note")
+
+
+@query
+def contextual_notes(spark, d):
+    return records(spark, d).select("ord", F.explode("contextual_notes").alias("note"))
+
+
+@query
+def score_factors(spark, d):
+    return records(spark, d).select("ord", F.explode("score_breakdown").alias("i")).select("ord", F.col("i.factor").alias("factor"), F.col("i.points").alias("points"))
 
 
 @query

@@ -166,9 +166,33 @@ score, classification, ais_indicator_suppressed, structure_id, distance_from_bas
     "suppressed": f"{ASSESS} SELECT id, classification, estimated_length_m + 2.0e0 >= 12.0e0 AS mentions_vms FROM rec WHERE ais_indicator_suppressed",
     "silently_suppressed": f"{ASSESS} SELECT id FROM rec WHERE ais_indicator_suppressed AND n_indicators = 0",
     "fixed_suppressed": f"{ASSESS} SELECT id, structure_id FROM rec WHERE classification = 'fixed_structure'",
-    "below_threshold": f"""{ASSESS} SELECT id, classification, score, n_indicators = 0 AS none FROM rec WHERE classification NOT LIKE '%_priority' AND
-  NOT
-  ais_indicator_suppressed""",
+    "below_threshold": f"""{ASSESS} SELECT id, classification, score,
+  CASE WHEN n_indicators = 0 THEN 'no indicators' ELSE substr(reasons[1], 1, 90) || '...' END AS summary
+FROM rec WHERE classification NOT LIKE '%_priority' AND NOT ais_indicator_suppressed""",
+    "record_texts": f"""{ASSESS}, w AS (SELECT *, CASE WHEN ais_indicator_suppressed
+  THEN 'Below the length from which AIS must be carried: silence is not an indicator. Other indicators, if any, remain.'
+  || CASE WHEN estimated_length_m - 2.0e0 >= 12.0e0 THEN ' The right cross-check is VMS, which is carried from 12.0 m.'
+    WHEN estimated_length_m + 2.0e0 >= 12.0e0 THEN ' The length is within uncertainty of 12.0 m, so a VMS cross-check may or may not apply.'
+    ELSE '' END END AS ais_note FROM rec)
+SELECT ord, ais_note, CASE classification
+  WHEN 'fixed_structure' THEN 'Coincides with fixed structure ' || structure_id || ' (platform); verify that no vessel operates beside it.'
+  WHEN 'high_priority' THEN firm || ' independent indicators concur.'
+  WHEN 'medium_priority' THEN firm || ' indicator; corroboration is needed.'
+    || CASE WHEN degraded > 0 THEN ' ' || degraded || ' further degraded indicator(s) corroborate only.' ELSE '' END
+  WHEN 'below_candidate_threshold' THEN degraded || ' degraded indicator(s) only: recorded, not enough for an inspection.'
+  WHEN 'ais_not_applicable' THEN ais_note ELSE 'Nothing that would justify an inspection.' END AS note FROM w""",
+    "contextual_notes": f"""{ASSESS}
+SELECT ord, 'suppressed as attributable to fixed structure ' || structure_id || ': ' || reason AS note FROM raw JOIN fx USING (ord)
+UNION ALL SELECT ord, 'AIS matching is unknown here, so the absence of a broadcast cannot be asserted' FROM base WHERE ais_status = 'unknown'
+UNION ALL SELECT ord, 'inferred gear ''' || likely_gear || ''' would be prohibited inside ' || ztype || ' ''' || zname || ''' (' || zone_id
+  || '); inferred gear is context only' FROM base JOIN hits USING (ord) JOIN label USING (zone_id) WHERE ais_status <> 'matched' AND ({_BANNED})""",
+    "score_factors": f"""{ASSESS} SELECT ord, CASE WHEN kind = 'ais' THEN 'AIS broadcast not matched, length firmly above the threshold'
+  WHEN kind = 'ais_inconclusive' THEN 'AIS broadcast not matched, length near the threshold: inconclusive'
+  WHEN k % 2 = 1 THEN 'likely fishing during a closure (' || zone_id || ')'
+  WHEN rests THEN 'likely fishing where all gear is prohibited (' || zone_id || ')'
+  ELSE 'registered gear is prohibited in the zone (' || zone_id || ')' END AS factor, points FROM ind
+UNION ALL SELECT ord, 'activity classifier indicates likely fishing: corroboration only', 10
+FROM rec JOIN agg USING (ord) WHERE fishing AND n > 0 AND NOT agg.rests""",
     "record_order": f"{ASSESS} SELECT ord, CAST(row_number() OVER (PARTITION BY scene_id ORDER BY {_ORDER}) AS INTEGER) AS pos FROM rec",
     "patrol_sequence": f"""{ASSESS} SELECT ord, CAST(row_number() OVER (PARTITION BY scene_id ORDER BY {_RANK}, distance_from_base_km, score DESC, ord)
   AS INTEGER) AS stop,

@@ -168,3 +168,21 @@ def test_document(spark):
     assert [r["id"] for r in doc["records"]] == [g[0] for g in GOLDEN]
     assert doc["classification_summary"] == {"high_priority": 3, "medium_priority": 4, "fixed_structure": 1, "no_indicators": 3, "ais_not_applicable": 2}
     assert doc["patrol_sequence"][0]["id"] == "D-010" and doc["environmental_context"]["suitability"] == "out_of_season" and doc["active_closures"][0]["zone"] == "River Mouth"
+
+
+def test_weights_of_a_document_overlay_the_defaults():
+    from skerry.sources import scenes
+
+    own = scenes.configuration({"ais_length_threshold_m": 15, "fishing_score_threshold": 0.7, "score_weights": {"_note": "n", "ais_dark": 55}}).weights
+    assert (own.ais_dark, own.zone_violation) == (55, Config(15.0, 0.7).weights.zone_violation)
+
+
+def test_stages_are_timed(spark):
+    import pandas as pd
+
+    stages = harness.stages(lambda: demo.detections(spark), lambda rows: assess.assess(rows, demo.ZONES, demo.CONFIG), demo.CONFIG)
+    runs = spark.createDataFrame(pd.DataFrame(harness.timed(stages, 1), columns=["stage", "run", "seconds"]))
+    named = [(name, "validation" if name.startswith("validate") else "assessment") for name in stages]
+    sections = spark.createDataFrame(named, "stage string, section string")
+    found = {(r["section"], r["stage"]): r["seconds"] for r in harness.latency(runs, sections, len(demo.ROWS)).collect()}
+    assert len(found) == 4 + 2 + 1 and found[None, None] == pytest.approx(sum(v for (_, stage), v in found.items() if stage))
