@@ -6,7 +6,7 @@ Phrases times log2 of the sample's length estimate the cross entropy; the smalle
 character that is no letter counts as one kind of gap, and what is parsed are the bytes of UTF-8, so all scripts are
 covered whole and no alphabet is chosen.
 
-Bounds of the sample (parameters): `size` bytes over all languages, shared equally, of the `docs` documents of each
+Bounds of the sample (parameters): `size` characters over all languages, shared equally, of the `docs` documents of each
 language with the smallest hashed ids; short documents leave their share to the language's others. More than
 MAX_LANGUAGES labels raise ValueError, none is left out silently. Documents are parsed whole, in lanes of LANE bytes; a
 lane starts a new phrase.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SAMPLE_BYTES = 200_000
+SAMPLE_CHARS = 200_000
 DOCS_A_LANGUAGE = 48
 MAX_LANGUAGES = 1000
 LANE = 2048
@@ -37,7 +37,7 @@ GAP = 32
 
 
 def sample(
-    labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", docs: int = DOCS_A_LANGUAGE, size: int = SAMPLE_BYTES
+    labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", docs: int = DOCS_A_LANGUAGE, size: int = SAMPLE_CHARS
 ) -> dict[str, str]:
     """Language to sample. Documents are chosen without their texts, from 64 parts first so that no language meets in one
     task; only the texts chosen are read."""
