@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, langid, licenses, minhash, mixing, mixture, ogg, pieces, repeats, warc
+from . import jaccard, langid, licenses, minhash, mixing, mixture, ogg, periodic, pieces, repeats, warc
 
 QUERIES = {
     "op1_ogg_media": ogg.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_order_minhash": minhash.op8,
     "op9_language_id": langid.op9,
     "op10_mixture": mixture.op10,
+    "op11_periodic_runs": periodic.op11,
 }
 
 ORACLES: dict[str, str] = {
