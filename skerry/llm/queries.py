@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, langid, licenses, minhash, mixing, mixture, ogg, periodic, pieces, repeats, warc
+from . import jaccard, langid, licenses, minhash, mixing, mixture, ogg, periodic, pieces, polytope, repeats, tiers, warc
 
 QUERIES = {
     "op1_ogg_media": ogg.op1,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_language_id": langid.op9,
     "op10_mixture": mixture.op10,
     "op11_periodic_runs": periodic.op11,
+    "op12_embedding_near_dedup": polytope.op12,
+    "op13_tiered_search": tiers.op13,
 }
 
 ORACLES: dict[str, str] = {
@@ -24,4 +26,6 @@ ORACLES: dict[str, str] = {
     "op5_license_scan": licenses.ORACLE,
     "op6_substring_dedup": repeats.ORACLE,
     "op10_mixture": mixture.ORACLE,
+    "op12_embedding_near_dedup": polytope.ORACLE,
+    "op13_tiered_search": tiers.ORACLE,
 }
