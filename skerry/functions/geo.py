@@ -91,16 +91,17 @@ def centroid(polygon) -> tuple[float, float]:
     return y / area, x / area
 
 
-def cell(value: Column, size: float = CELL_DEG) -> Column:
-    return F.floor(value / F.lit(size)).cast("long")
+def cell(value: Column, size: float | Column = CELL_DEG) -> Column:
+    return F.floor(value / (size if isinstance(size, Column) else F.lit(size))).cast("long")
 
 
 def radius_deg(km: Column, lat: Column) -> tuple[Column, Column]:
     """Half widths in degrees of a box that holds the circle, rounding included."""
     reach = km + F.lit(ROUNDING_KM)
     high = F.degrees(reach / F.lit(EARTH_KM))
-    # Longitude degrees are shortest at the box's outer latitude.
-    return high, F.degrees(F.asin(F.least(F.lit(1.0), F.sin(reach / F.lit(EARTH_KM)) / F.greatest(F.cos(F.radians(F.abs(lat))), F.lit(1e-9)))))
+    # The meridians that touch the circle; one with a pole in it meets all of them.
+    wide = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(reach / F.lit(EARTH_KM)) / F.greatest(F.cos(F.radians(F.abs(lat))), F.lit(1e-9)))))
+    return high, F.when(F.abs(lat) + high >= 90, F.lit(180.0)).otherwise(wide)
 
 
 def flip(polygon: Column) -> Column:

@@ -68,7 +68,12 @@ def assess(detections: DataFrame, zones: list[Zone], config: Config, structures:
     limit, sigma, k = config.ais_length_threshold_m, config.length_sigma_m, config.length_sigma_k
     name, lat, lon = F.col("id"), F.col("lat"), F.col("lon")
 
-    rows = detections.withColumn(
+    # What is matched first is narrow; the texts below are made from what comes of it.
+    if structures is not None:
+        rows = spatial.match_structures(detections, structures)
+    else:
+        rows = detections.withColumn("fixed_structure", F.lit(None).cast(spatial.MATCH))
+    rows = rows.withColumn(
         "estimated_length_m", length_of(F.col("estimated_length_m"), name)
     ).withColumn("fishing_score", score_of(F.col("fishing_score"), name))
     rows = rows.withColumn("ais_status", ais_status(F.col("ais_matched"))).withColumn("likely_gear", F.coalesce("likely_gear", F.lit("unknown")))
@@ -143,7 +148,6 @@ def assess(detections: DataFrame, zones: list[Zone], config: Config, structures:
         F.array_append("_items", _item("activity classifier indicates likely fishing: corroboration only", w.fishing_context)),
     ).otherwise(F.col("_items")))
 
-    rows = spatial.match_structures(rows, structures) if structures is not None else rows.withColumn("fixed_structure", F.lit(None).cast(spatial.MATCH))
     fixed = F.col("fixed_structure").isNotNull()
     demoted = F.transform(
         "_ind",

@@ -5,10 +5,11 @@ Records carry `scene_id` and `ord`; every order ends with `ord`, so ties keep th
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skerry.functions import geo, temporal
+from skerry.operators import order
 from skerry.schemas import CANDIDATES, CLASS_ORDER, Config, Zone
 
 
@@ -22,8 +23,8 @@ def _order() -> list[Column]:
 
 
 def ordered(records: DataFrame) -> DataFrame:
-    """Records with pos, their place in their scene: by class, score, input order."""
-    return records.withColumn("pos", F.row_number().over(Window.partitionBy("scene_id").orderBy(*_order())))
+    """Records with pos, their place in their scene: by class, score, input order. A scene may hold all records."""
+    return order.numbered(records, ["scene_id"], _order(), "pos").withColumn("pos", F.col("pos").cast("int"))
 
 
 def candidates(records: DataFrame) -> DataFrame:
@@ -78,8 +79,8 @@ def patrol(records: DataFrame, config: Config) -> DataFrame:
     rows = candidates(with_distance(records, config)).filter(F.col("distance_from_base_km").isNotNull())
     if config.patrol_radius_km is not None:
         rows = rows.filter(F.col("distance_from_base_km") <= float(config.patrol_radius_km))
-    by = Window.partitionBy("scene_id").orderBy(class_rank(), "distance_from_base_km", F.desc("score"), "ord")
-    return rows.withColumn("stop", F.row_number().over(by))
+    by = [class_rank(), F.col("distance_from_base_km"), F.desc("score"), F.col("ord")]
+    return order.numbered(rows, ["scene_id"], by, "stop").withColumn("stop", F.col("stop").cast("int"))
 
 
 def citation(indicators: str = "potential_indicators", basis: str | None = None) -> Column:

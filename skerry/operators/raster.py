@@ -1,8 +1,11 @@
 """Raster front-end: moving sums, speckle filter, constant-false-alarm detection, blobs and labels.
 
 Pixels are rows (chip_id, row, col, value); rows_n and cols_n are a chip's size. Moving sums are two separable windows over
-pixels mirrored at the edges (without repeating the edge). Pixels are dealt by chip once, and all windows keep to that; with
-whole_chips=False they are dealt by row and by column instead, so one chip of any size is spread over many tasks.
+pixels mirrored at the edges (without repeating the edge). Pixels are dealt by chip once, and all windows keep to that.
+
+With `tile` a chip may be larger than a task: its pixels are dealt to square tiles, each with a halo as wide as the windows
+reach, so a tile's sums are those of the whole chip. Components are labelled in each tile; labels that touch across a border
+are joined, so a blob over any number of tiles is one, numbered as in the whole chip.
 """
 
 from __future__ import annotations
@@ -12,10 +15,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skerry.operators import graph, order
+from skerry.sources import files
+
 
 @dataclass(frozen=True)
 class Cfar:
@@ -48,6 +53,10 @@ class Affine:
 
 
 LEE_RADIUS = 3
+# Fixed value: the id of a detection, by its number.
+NUMBERED = "S1-%03d"
+CHIP, TILE = ("chip_id",), ("chip_id", "tile_row", "tile_col")
+"""What a task holds together."""
 
 
 def _mirror(at: str, size: str, radius: int) -> Column:
@@ -57,23 +66,35 @@ def _mirror(at: str, size: str, radius: int) -> Column:
     return F.explode(F.array_compact(F.array(i, low, high)))
 
 
-def _pass(pixels: DataFrame, along: str, across: str, size: str, names: list[str], radius: int) -> DataFrame:
+def _pass(pixels: DataFrame, along: str, across: str, size: str, names: list[str], radius: int, within: tuple[str, ...]) -> DataFrame:
     wide = pixels.withColumn("_at", _mirror(along, size, radius))
-    by = Window.partitionBy("chip_id", across).orderBy("_at").rowsBetween(-radius, radius)
+    by = Window.partitionBy(*within, across).orderBy("_at").rowsBetween(-radius, radius)
     return wide.withColumns({n: F.sum(n).over(by) for n in names}).filter(F.col("_at") == F.col(along)).drop("_at")
 
 
-def box_sum(pixels: DataFrame, values: dict[str, Column], radius: int) -> DataFrame:
-    """Sums over the (2 radius + 1) square around every pixel; a chip must be larger than the radius."""
+def box_sum(pixels: DataFrame, values: dict[str, Column], radius: int, within: tuple[str, ...] = CHIP) -> DataFrame:
+    """Sums over the (2 radius + 1) square around every pixel; a chip must be larger than the radius. Within tiles the sums of
+    pixels whose square reaches beyond the halo are those of a part."""
     rows = pixels.withColumns(values)
-    rows = _pass(rows, "col", "row", "cols_n", list(values), radius)
-    return _pass(rows, "row", "col", "rows_n", list(values), radius)
+    rows = _pass(rows, "col", "row", "cols_n", list(values), radius, within)
+    return _pass(rows, "row", "col", "rows_n", list(values), radius, within)
+
+
+def tiled(pixels: DataFrame, tile: int, halo: int) -> DataFrame:
+    """pixels dealt to tiles of tile by tile, with tile_row, tile_col and own: whether the tile holds the pixel or has it in its
+    halo only."""
+    near = lambda c, n: F.sequence(
+        F.floor(F.greatest(F.col(c) - halo, F.lit(0)) / tile).cast("int"), F.floor(F.least(F.col(c) + halo, F.col(n) - 1) / tile).cast("int")
+    )
+    rows = pixels.withColumn("tile_row", F.explode(near("row", "rows_n"))).withColumn("tile_col", F.explode(near("col", "cols_n")))
+    here = (F.floor(F.col("row") / tile) == F.col("tile_row")) & (F.floor(F.col("col") / tile) == F.col("tile_col"))
+    return rows.withColumn("own", here)
 
 
-def lee(pixels: DataFrame, enl: float = 4.0, radius: int = LEE_RADIUS, whole_chips: bool = True) -> DataFrame:
+def lee(pixels: DataFrame, enl: float = 4.0, radius: int = LEE_RADIUS, within: tuple[str, ...] = CHIP) -> DataFrame:
     """With filtered: the local mean, moved to the pixel where the neighbourhood varies more than speckle does."""
     n = (2 * radius + 1) ** 2
-    rows = box_sum(pixels.repartition("chip_id") if whole_chips else pixels, {"_s": F.col("value"), "_q": F.col("value") * F.col("value")}, radius)
+    rows = box_sum(pixels.repartition(*within), {"_s": F.col("value"), "_q": F.col("value") * F.col("value")}, radius, within)
     mean = F.col("_s") / n
     var = F.greatest(F.col("_q") / n - mean * mean, F.lit(0.0))
     ratio = F.when(mean > 0, var / F.nullif(mean * mean, F.lit(0.0))).otherwise(F.lit(0.0))
@@ -81,10 +102,10 @@ def lee(pixels: DataFrame, enl: float = 4.0, radius: int = LEE_RADIUS, whole_chi
     return rows.withColumn("filtered", mean + weight * (F.col("value") - mean)).drop("_s", "_q")
 
 
-def cfar(filtered: DataFrame, config: Cfar) -> DataFrame:
+def cfar(filtered: DataFrame, config: Cfar, within: tuple[str, ...] = CHIP) -> DataFrame:
     """With background (mean of the training ring) and hit."""
-    outer = box_sum(filtered, {"_o": F.col("filtered")}, config.train_radius)
-    both = box_sum(outer, {"_g": F.col("filtered")}, config.guard_radius)
+    outer = box_sum(filtered, {"_o": F.col("filtered")}, config.train_radius, within)
+    both = box_sum(outer, {"_g": F.col("filtered")}, config.guard_radius, within)
     background = (F.col("_o") - F.col("_g")) / config.cells
     return both.withColumn("background", background).withColumn("hit", F.col("filtered") > F.col("background") * config.alpha).drop("_o", "_g")
 
@@ -118,17 +139,24 @@ def label_runs(chip: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray
     return (np.arange(len(roots)) - np.searchsorted(own, own) + 1)[place]
 
 
-def components(hits: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def components(hits: DataFrame, keep: tuple[str, ...] = (), within: tuple[str, ...] = CHIP) -> DataFrame:
     """chip_id, row, col, blob and the columns to keep: eight-connected components, numbered from 1 by their first pixel in reading order.
 
-    Chips are whole within a partition and their pixels sorted; what a batch ends with is carried into the next one.
+    Chips (or tiles) are whole within a partition and their pixels sorted; what a batch ends with is carried into the next one.
     """
-    own = hits.select("chip_id", F.col("row").cast("int"), F.col("col").cast("int"), *keep)
+    own = hits.select(*within, F.col("row").cast("int"), F.col("col").cast("int"), *keep)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema)
 
+    def places(rows: pa.Table) -> np.ndarray:
+        """A number for each chip or tile, rising along the rows."""
+        found = np.zeros(rows.num_rows, dtype=np.int64)
+        for name in within:
+            codes = np.asarray(rows[name].combine_chunks().dictionary_encode().indices)
+            found[1:] |= codes[1:] != codes[:-1]
+        return np.cumsum(found)
+
     def labelled(rows: pa.Table) -> list[pa.RecordBatch]:
-        chip = rows["chip_id"].combine_chunks().dictionary_encode().indices
-        blob = label_runs(np.asarray(chip), rows["row"].to_numpy(), rows["col"].to_numpy())
+        blob = label_runs(places(rows), rows["row"].to_numpy(), rows["col"].to_numpy())
         return rows.append_column("blob", pa.array(blob, pa.int32())).combine_chunks().to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,32 +165,72 @@ def components(hits: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
             if not batch.num_rows:
                 continue
             held = pa.concat_tables([*([held] if held is not None else []), pa.Table.from_batches([batch])])
-            last = held["chip_id"][-1].as_py()
-            same = pc.equal(held["chip_id"], last).to_numpy(zero_copy_only=False)
-            done = held.num_rows - int(same[::-1].argmin() if not same.all() else len(same))
+            own = places(held)
+            done = int(np.searchsorted(own, own[-1]))
             if done:
                 yield from labelled(held.slice(0, done))
                 held = held.slice(done)
         if held is not None:
             yield from labelled(held)
 
-    return own.repartition("chip_id").sortWithinPartitions("chip_id", "row", "col").mapInArrow(run, f"{kinds}, blob int")
+    return own.repartition(*within).sortWithinPartitions(*within, "row", "col").mapInArrow(run, f"{kinds}, blob int")
 
 
-def blobs(pixels: DataFrame, config: Cfar = Cfar(), affine: Affine = Affine(), whole_chips: bool = True) -> DataFrame:
-    """Detections: position, length, confidence, pixel box. Numbers count small blobs too, which are left out afterwards."""
-    found = cfar(lee(pixels, config.enl, whole_chips=whole_chips), config).filter("hit")
-    marked = components(found, ("value", "background", "rows_n", "cols_n"))
-    weighted = lambda c: F.sum(F.col(c) * F.col("value")) / F.sum("value")
-    rows = marked.groupBy("chip_id", "blob", "rows_n", "cols_n").agg(
-        F.count("*").cast("int").alias("area_px"), weighted("row").alias("row_c"), weighted("col").alias("col_c"),
+def _parts(marked: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """What pixels of a blob add up to."""
+    return marked.groupBy(*by, "rows_n", "cols_n").agg(
+        F.count("*").alias("area"), F.sum("value").alias("mass"), *(F.sum(F.col(c) * F.col("value")).alias(f"{c}_mass") for c in ("row", "col")),
         *(f(c).alias(f"{c}_{n}") for c in ("row", "col") for n, f in (("min", F.min), ("max", F.max))),
-        F.max(F.col("value") / F.col("background")).alias("peak"),
-    ).filter(F.col("area_px") >= config.min_area_px)
+        F.max(F.col("value") / F.col("background")).alias("peak"), F.min(F.struct("row", "col")).alias("first")
+    )
+
+
+def merged(marked: DataFrame, tile: int) -> DataFrame:
+    """The blobs of chips from those of their tiles (marked pixels with tile_row, tile_col and blob), as _parts gives them.
+
+    Pixels beside a border look for neighbours in the tiles they touch; what meets links two labels. Only pixels at borders and
+    labels that meet take part in that; the others are blobs already.
+    """
+    marked = files.kept(marked)
+    parts = files.kept(_parts(marked, (*TILE, "blob")).withColumn("node", F.monotonically_increasing_id()))
+    edge = lambda c: F.pmod(F.col(c), F.lit(tile)).isin(0, tile - 1)
+    beside = marked.filter(edge("row") | edge("col")).join(parts.select(*TILE, "blob", "node"), [*TILE, "blob"]).select("chip_id", "row", "col", "node")
+    steps = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 1), (1, -1), (1, 0), (1, 1)))))
+    ahead = beside.select("chip_id", "row", "col", F.col("node").alias("from"), steps.alias("s")).select(
+        "chip_id", (F.col("row") + F.col("s.a")).alias("row"), (F.col("col") + F.col("s.b")).alias("col"), "from"
+    )
+    links = ahead.join(beside, ["chip_id", "row", "col"]).filter("from <> node").select(F.col("from").alias("a"), F.col("node").alias("b"))
+    joined = graph.components(links)
+    parts = parts.join(joined, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    low = {c: F.min(c).alias(c) for c in ("row_min", "col_min", "first")}
+    whole = parts.groupBy("chip_id", "comp", "rows_n", "cols_n").agg(
+        *(F.sum(c).alias(c) for c in ("area", "mass", "row_mass", "col_mass")), *low.values(), *(F.max(c).alias(c) for c in ("row_max", "col_max", "peak"))
+    )
+    return order.numbered(whole, ["chip_id"], ["first"], "blob")
+
+
+def blobs(pixels: DataFrame, config: Cfar = Cfar(), affine: Affine = Affine(), tile: int | None = None) -> DataFrame:
+    """Detections: position, length, confidence, pixel box. Numbers count small blobs too, which are left out afterwards.
+
+    tile: the side of the tiles to deal a chip to (larger than what the windows reach); None keeps chips whole.
+    """
+    more = ("value", "background", "rows_n", "cols_n")
+    if tile is None:
+        rows = _parts(components(cfar(lee(pixels, config.enl), config).filter("hit"), more), ("chip_id", "blob"))
+    else:
+        halo = LEE_RADIUS + config.train_radius
+        if tile <= halo:
+            raise ValueError(f"tiles must be larger than {halo} pixels, what the windows reach")
+        found = cfar(lee(tiled(pixels, tile, halo), config.enl, within=TILE), config, TILE).filter("hit and own")
+        rows = merged(components(found, more, TILE), tile)
+    rows = rows.filter(F.col("area") >= config.min_area_px).withColumns({
+        "row_c": F.col("row_mass") / F.col("mass"), "col_c": F.col("col_mass") / F.col("mass"), "area_px": F.col("area").cast("int"),
+        "blob": F.col("blob").cast("int")
+    })
     extent = F.greatest(F.col("row_max") - F.col("row_min"), F.col("col_max") - F.col("col_min")) + 1
     lat, lon = affine.origin_lat - F.col("row_c") * affine.pixel_deg_lat, affine.origin_lon + F.col("col_c") * affine.pixel_deg_lon
     return rows.select(
-        "chip_id", "blob", "rows_n", "cols_n", F.format_string("S1-%03d", "blob").alias("id"), F.round(lat, 5).alias("lat"), F.round(lon, 5).alias("lon"),
+        "chip_id", "blob", "rows_n", "cols_n", F.format_string(NUMBERED, "blob").alias("id"), F.round(lat, 5).alias("lat"), F.round(lon, 5).alias("lon"),
         F.round(extent * config.pixel_spacing_m, 1).alias("estimated_length_m"), F.round(1 - F.exp(-F.col("peak") / 10), 3).alias("detection_confidence"),
         F.round("row_c", 1).alias("row"), F.round("col_c", 1).alias("col"), "area_px", "row_min", "row_max", "col_min", "col_max",
     )

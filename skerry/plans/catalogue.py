@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import json
-import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from skerry.functions import geo, temporal
 from skerry.functions import text as T
-from skerry.operators import assess, dataset, dossier, harness, raster, responses, spatial, validate
+from skerry.operators import assess, dataset, dossier, harness, order, raster, responses, spatial, validate
 from skerry.plans.derive import CONFIG, GEOMETRY, REGULATION, ZONES, detections, read, structures
 from skerry.schemas import Season
 from skerry.sources import feed, files, scenes
@@ -83,6 +82,15 @@ def geojson_containment(spark, d):
     return detections(spark, d).select("ord", geo.in_geometry(F.col("lat"), F.col("lon"), GEOMETRY).alias("covered"))
 
 
+@query
+def geojson_containment_rows(spark, d):
+    """The same geometry as a row with parts and holes, joined by cell."""
+    rows = detections(spark, d).select("ord", "lat", "lon")
+    zone = spark.createDataFrame([("all", geo.parts_of(GEOMETRY))], "zone_id string, parts array<array<array<array<double>>>>")
+    found = spatial.zone_hits(rows, zone, ["ord"], edges_inside=True).withColumn("covered", F.lit(True))
+    return rows.join(found, "ord", "left").select("ord", F.coalesce("covered", F.lit(False)).alias("covered"))
+
+
 @query
 def fixed_structure_match(spark, d):
     rows = spatial.match_structures(detections(spark, d), structures(spark, d)).filter("fixed_structure is not null")
@@ -217,12 +225,16 @@ def score_factors(spark, d):
 
 @query
 def record_order(spark, d):
-    return dossier.ordered(records(spark, d)).select("ord", "pos")
+    """Places in one scene that holds all records, and in each day's; no task holds a scene."""
+    rows = records(spark, d).select("scene_id", "ord", "classification", "score")
+    whole = dossier.ordered(rows.withColumn("scene_id", F.lit("all"))).select("ord", F.col("pos").alias("place"))
+    return dossier.ordered(rows).select("ord", "pos").join(whole, "ord")
 
 
 @query
 def patrol_sequence(spark, d):
-    return dossier.patrol(records(spark, d), CONFIG).select("ord", "stop", "distance_from_base_km")
+    rows = records(spark, d).select("scene_id", "ord", "classification", "score", "lat", "lon")
+    return dossier.patrol(rows, CONFIG).select("ord", "stop", "distance_from_base_km")
 
 
 @query
@@ -490,6 +502,23 @@ def blobs(spark, d):
     return raster.blobs(chips(spark, d), SMALL).drop("blob", "rows_n", "cols_n")
 
 
+def strip(spark, d: str) -> DataFrame:
+    """All chips side by side as one, eight pixels high and as wide as all of them."""
+    rows = order.numbered(read(spark, d, "embeddings").select("vec_id", "embedding"), [], ["vec_id"], "at")
+    wide = rows.agg((F.count("*") * 8).cast("int").alias("cols_n"))
+    pixels = rows.select(((F.col("at") - 1) * 8).cast("int").alias("left"), F.posexplode("embedding").alias("k", "v"))
+    return pixels.crossJoin(F.broadcast(wide)).select(  # one row
+        F.lit("strip").alias("chip_id"), F.lit(8).alias("rows_n"), "cols_n", F.expr("k div 8").cast("int").alias("row"),
+        (F.col("left") + F.col("k") % 8).alias("col"), F.pow(F.abs("v").cast("double"), F.lit(3.0)).alias("value")
+    )
+
+
+@query
+def tiled_blobs(spark, d):
+    """Blobs of one chip that holds all others, in tiles of twelve pixels: no task holds the chip."""
+    return raster.blobs(strip(spark, d), SMALL, tile=12).drop("blob", "rows_n", "cols_n")
+
+
 @query
 def yolo_boxes(spark, d):
     return raster.label_lines(raster.blobs(chips(spark, d), SMALL)).select("chip_id", "blob", "line")
@@ -531,14 +560,9 @@ def labelled_chips(spark, d):
 # --- sources and sinks ---------------------------------------------------------------------------------------------------------
 
 
-def scratch(spark, name: str) -> str:
-    """A folder of its own in the folder that driver and executors share."""
-    return f"{files.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def scene_files(spark, d: str) -> str:
     """Detections as scene documents, one a day."""
-    path = scratch(spark, "scenes")
+    path = files.scratch(spark, "scenes")
     scenes.write_documents(detections(spark, d), path, source="radar", mode="survey", area=CONFIG.study_area)
     return path
 
@@ -564,12 +588,14 @@ def strict_scenes(spark, d):
 
 @query
 def dispatched_source(spark, d):
-    """The local source of the dispatcher, and the feed that falls back to it."""
-    path = scene_files(spark, d)
-    local, fallen = scenes.load_detections(spark, path, "local"), scenes.load_detections(spark, path, "feed")
-    return _read_back(local).withColumn("source", F.lit("local")).unionByName(
-        _read_back(fallen).withColumn("source", F.lit("feed"))
-    ).select("source", "scene", "id")
+    """The local source of the dispatcher, and the feed: odd days have an answer, on all others it falls back."""
+    path, answers = scene_files(spark, d), feed_bodies(spark, d)
+    url, first, last = feed_folder(spark, answers.filter(F.dayofmonth("day") % 2 == 1), answers)
+    local = scenes.load_detections(spark, path)
+    given = scenes.load_detections(spark, path, "feed", url=url, start=first, end=last, limit=LIMIT)
+    return local.withColumn("source", F.lit("local")).unionByName(given.withColumn("source", F.lit("feed"))).select(
+        "source", F.regexp_replace("scene_id", r"^.*/([^/]+)\.json$", "$1").alias("scene"), _day(), "lat", "lon", "estimated_length_m"
+    )
 
 
 @query
@@ -585,7 +611,7 @@ def scene_conditions(spark, d):
 
 def regulation_file(spark, d: str) -> str:
     """The regulation as a document, with suppliers as its structures."""
-    path = scratch(spark, "regulation")
+    path = files.scratch(spark, "regulation")
     item = F.struct("id", "name", "type", "lat", "lon", "match_radius_m")
     own = structures(spark, d).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", item.alias("s")))), lambda x: x.s).alias("fixed_structures"))
     listed = json.loads(own.select(F.to_json(F.struct("fixed_structures"))).first()[0])
@@ -643,16 +669,50 @@ def mapped_feed(answers: DataFrame) -> DataFrame:
     return scenes.map_feed(entries, keep=("day",)).withColumn("day", F.col("day").cast("string"))
 
 
+LIMIT = 100
+"""The most entries of an answer: days have more, so their boxes are split."""
+
+
+def feed_folder(spark, answers: DataFrame, days: DataFrame) -> tuple[str, str, str]:
+    """Recorded answers, a file a day, as the feed's address; the first and the last day."""
+    path = files.scratch(spark, "feed")
+    named = answers.select(F.concat(F.col("day").cast("string"), F.lit(".json")).alias("name"), F.encode("body", "utf-8").alias("content"))
+    files.write_files(named, path)
+    first, last = days.agg(F.min("day").cast("string"), F.max("day").cast("string")).first()
+    return f"{path}/{{day}}.json", first, last
+
+
+BOX = "-7.5,36.0,-6.0,37.5"
+
+
 @query
 def feed_detections(spark, d):
-    """The feed through its reader, a request a day; what lacks position, length or a sign of activity is left out."""
-    path = scratch(spark, "feed")
-    bodies = feed_bodies(spark, d)
-    files.write_files(bodies.select(F.concat(F.col("day").cast("string"), F.lit(".json")).alias("name"), F.encode("body", "utf-8").alias("content")), path)
-    first, last = bodies.agg(F.min("day").cast("string"), F.max("day").cast("string")).first()
-    feed.register(spark)
-    answers = spark.read.format("detection_feed").options(url=f"{path}/{{day}}.json", start=first, end=last).load()
-    return scenes.usable(mapped_feed(answers)).select(*_FED)
+    """The feed through its reader, which never gets more than LIMIT entries at once; what lacks position, length or a sign of
+    activity is left out."""
+    answers = feed_bodies(spark, d)
+    url, first, last = feed_folder(spark, answers, answers)
+    rows = feed.mapped(feed.load(spark, url=url, start=first, end=last, limit=LIMIT, bbox=BOX))
+    return scenes.usable(rows).withColumn("day", _day()).select(*_FED)
+
+
+@query
+def feed_window(spark, d):
+    """Conditions on day and position that the feed applies itself."""
+    answers = feed_bodies(spark, d)
+    url, first, last = feed_folder(spark, answers, answers)
+    rows = feed.load(spark, url=url, start=first, end=last, limit=LIMIT, bbox=BOX)
+    rows = rows.filter("day >= '2024-01-10' and day < '2024-01-20' and lat > 36.5 and lon <= -6.75")
+    return rows.groupBy(_day()).agg(F.count("*").alias("n"), F.min("lat").alias("south"), F.max("lon").alias("east"))
+
+
+@query
+def feed_pass(spark, d):
+    """What is read, used and left out, counted by the pass that reads the feed."""
+    answers, seen = feed_bodies(spark, d), Observation("feed")
+    url, first, last = feed_folder(spark, answers, answers)
+    rows = feed.mapped(feed.load(spark, url=url, start=first, end=last, limit=LIMIT, bbox=BOX), seen)
+    counts = seen.get
+    return scenes.usable(rows).groupBy(_day()).agg(F.count("*").alias("n")).withColumns({c: F.lit(counts[c]) for c in ("mapped", "skipped")})
 
 
 @query
@@ -695,7 +755,7 @@ def map_layers(spark, d):
 @query
 def run_archive(spark, d):
     """Issues archived as JSON lines, a scene a line, and read back."""
-    path = scratch(spark, "archive")
+    path = files.scratch(spark, "archive")
     issues = validate.listing(all_report_issues(spark, d).filter("rule = 'V13'"), detections(spark, d).select("scene_id"))
     scenes.write_archive(issues.withColumn("n", F.size(F.split("text", "\n")) - 1), path)
     return spark.read.schema("scene_id string, text string, n int").json(path).select("scene_id", "n")
@@ -703,7 +763,7 @@ def run_archive(spark, d):
 
 def data_set(spark, d: str) -> str:
     """Chips, labels and manifest as a data set of files."""
-    path, own = scratch(spark, "dataset"), chips(spark, d)
+    path, own = files.scratch(spark, "dataset"), chips(spark, d)
     dataset.write_dataset(own, raster.label_lines(raster.blobs(own, SMALL)), path)
     return path
 
@@ -711,7 +771,7 @@ def data_set(spark, d: str) -> str:
 @query
 def chip_files(spark, d):
     """Chips as .npy files, read back pixel by pixel."""
-    path = scratch(spark, "chips")
+    path = files.scratch(spark, "chips")
     scenes.write_chips(chips(spark, d), path)
     return scenes.read_chips(spark, path).groupBy("chip_id", "rows_n", "cols_n").agg(
         F.count("*").alias("n"), F.round(F.sum(F.col("value") * (F.col("row") * 8 + F.col("col"))), 6).alias("weighed")

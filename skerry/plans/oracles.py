@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from skerry.functions.geo import parts_of, ring_edges
 from skerry.plans.derive import CONFIG, GEOMETRY, ZONES
+from skerry.sources.scenes import REGION
 
 _EDGES = ", ".join(f"('{z.id}', {k}, {a}e0, {b}e0, {c}e0, {e}e0)" for k, z in enumerate(ZONES) for a, b, c, e in ring_edges(z.polygon))
 _CROSSED = "((lon_i > lon) <> (lon_j > lon)) AND lat < (lat_j - lat_i) * (lon - lon_i) / nullif(lon_j - lon_i, 0e0) + lat_i"
@@ -126,6 +127,7 @@ ORACLES: dict[str, str] = {
     "zone_containment_ring": f"WITH {DET}, {HITS} SELECT ord, zone_id FROM hits WHERE zone_id = '{_Z[3]}'",
     "zone_containment_grid": f"WITH {DET}, {HITS} SELECT ord, zone_id FROM hits",
     "geojson_containment": _geometry(),
+    "geojson_containment_rows": _geometry(),
     "fixed_structure_match": f"WITH {DET}, {STRUCT}, {FIXED} SELECT ord, structure_id, km FROM fx",
     "base_distance": f"WITH {DET} SELECT ord, {_BASE_KM} AS distance_from_base_km FROM det",
     "closure_active": f"WITH {DET} SELECT DISTINCT CAST(day AS VARCHAR) AS day, {_SHUT} AS active FROM det",
@@ -193,7 +195,8 @@ UNION ALL SELECT ord, 'inferred gear ''' || likely_gear || ''' would be prohibit
   ELSE 'registered gear is prohibited in the zone (' || zone_id || ')' END AS factor, points FROM ind
 UNION ALL SELECT ord, 'activity classifier indicates likely fishing: corroboration only', 10
 FROM rec JOIN agg USING (ord) WHERE fishing AND n > 0 AND NOT agg.rests""",
-    "record_order": f"{ASSESS} SELECT ord, CAST(row_number() OVER (PARTITION BY scene_id ORDER BY {_ORDER}) AS INTEGER) AS pos FROM rec",
+    "record_order": f"""{ASSESS} SELECT ord, CAST(row_number() OVER (PARTITION BY scene_id ORDER BY {_ORDER}) AS INTEGER) AS pos,
+  CAST(row_number() OVER (ORDER BY {_ORDER}) AS INTEGER) AS place FROM rec""",
     "patrol_sequence": f"""{ASSESS} SELECT ord, CAST(row_number() OVER (PARTITION BY scene_id ORDER BY {_RANK}, distance_from_base_km, score DESC, ord)
   AS INTEGER) AS stop,
   distance_from_base_km FROM rec WHERE {_CANDIDATE} AND distance_from_base_km <= 60.0e0""",
@@ -400,31 +403,42 @@ verdict AS (SELECT family, CASE WHEN aim.rule IS NULL THEN rules IS NULL ELSE co
 _CHIPS = "px AS (SELECT vec_id AS chip_id, CAST(i // 8 AS INTEGER) AS row, CAST(i % 8 AS INTEGER) AS col, pow(CAST(abs(embedding[i + 1]) AS DOUBLE), 3.0e0) AS value FROM (SELECT *, unnest(range(64)) AS i FROM embeddings))"
 
 
-def _box(name: str, source: str, value: str, radius: int) -> str:
-    """Sums over squares, with rows and columns mirrored at the edges."""
-    mirror = lambda at: f"CASE WHEN {at} < 0 THEN -({at}) WHEN {at} > 7 THEN 14 - ({at}) ELSE {at} END"
-    return f"""{name} AS (SELECT a.chip_id, a.row, a.col, sum(b.{value}) AS s FROM (SELECT chip_id, row, col, row + dr.d AS r, col + dc.d AS
-  c FROM {source}, (SELECT
-  unnest(range({-radius}, {radius + 1})) AS d) AS dr, (SELECT unnest(range({-radius}, {radius + 1})) AS d) AS dc) AS a
-JOIN {source} AS b ON b.chip_id = a.chip_id AND b.row = {mirror("a.r")} AND b.col = {mirror("a.c")} GROUP BY ALL)"""
+def _box(name: str, source: str, value: str, radius: int, last: str = "7") -> str:
+    """Sums over squares, with rows (0 to 7) and columns (0 to last) mirrored at the edges."""
+    mirror = lambda at, n: f"CASE WHEN {at} < 0 THEN -({at}) WHEN {at} > {n} THEN 2 * {n} - ({at}) ELSE {at} END"
+    return f"""{name} AS (SELECT a.chip_id, a.row, a.col, sum(b.{value}) AS s FROM (SELECT chip_id, row, col, {mirror("(row + dr.d)", 7)} AS r,
+  {mirror("(col + dc.d)", last)} AS c FROM {source}, (SELECT unnest(range({-radius}, {radius + 1})) AS d) AS dr,
+  (SELECT unnest(range({-radius}, {radius + 1})) AS d) AS dc) AS a
+JOIN {source} AS b ON b.chip_id = a.chip_id AND b.row = a.r AND b.col = a.c GROUP BY ALL)"""
 
 
-_LEE = f"""{_CHIPS}, sq AS (SELECT *, value * value AS q FROM px), {_box("bs", "sq", "value", 3)}, {_box("bq", "sq", "q", 3)},
+_ALPHA = "(16 * (pow(0.05e0, -1.0e0 / 16) - 1.0e0))"
+
+
+def _lee(chips: str, last: str = "7") -> str:
+    return f"""{chips}, sq AS (SELECT *, value * value AS q FROM px), {_box("bs", "sq", "value", 3, last)}, {_box("bq", "sq", "q", 3, last)},
 mo AS (SELECT chip_id, row, col, value, bs.s / 49 AS mean, greatest(bq.s / 49 - (bs.s / 49) * (bs.s / 49), 0.0e0) AS var FROM
   px JOIN bs USING
   (chip_id, row, col) JOIN bq USING (chip_id, row, col)),
 lee AS (SELECT chip_id, row, col, value, mean + least(greatest(1.0e0 - 0.25e0 / greatest(CASE WHEN mean > 0 THEN var /
   nullif(mean * mean, 0.0e0) ELSE
   0.0e0 END, 1e-9), 0.0e0), 1.0e0) * (value - mean) AS filtered FROM mo)"""
-_ALPHA = "(16 * (pow(0.05e0, -1.0e0 / 16) - 1.0e0))"
-_CFAR = f"""{_LEE}, {_box("bo", "lee", "filtered", 2)}, {_box("bg", "lee", "filtered", 1)},
+
+
+def _cfar(chips: str, last: str = "7") -> str:
+    return f"""{_lee(chips, last)}, {_box("bo", "lee", "filtered", 2, last)}, {_box("bg", "lee", "filtered", 1, last)},
 cf AS (SELECT chip_id, row, col, value, (bo.s - bg.s) / 16 AS background, filtered > (bo.s - bg.s) / 16 * {_ALPHA} AS hit
   FROM lee JOIN bo USING
   (chip_id, row, col) JOIN bg USING (chip_id, row, col))"""
-_BLOBS = f"""{_CFAR}, hit AS (SELECT chip_id, row, col, row * 8 + col AS k, value, background FROM cf WHERE hit),
-reach AS (SELECT chip_id, k AS node, k AS seen FROM hit UNION SELECT r.chip_id, r.node, b.k FROM reach AS r JOIN hit AS a ON
-  a.chip_id = r.chip_id AND
-  a.k = r.seen JOIN hit AS b ON b.chip_id = a.chip_id AND abs(b.row - a.row) <= 1 AND abs(b.col - a.col) <= 1),
+
+
+def _blobs(chips: str, last: str = "7") -> str:
+    return f"""{_cfar(chips, last)}, hit AS (SELECT chip_id, row, col, row * ({last} + 1) + col AS k, value, background FROM cf WHERE hit),
+steps AS (SELECT a.d AS dr, b.d AS dc FROM (SELECT unnest(range(-1, 2)) AS d) AS a, (SELECT unnest(range(-1, 2)) AS d) AS b),
+beside AS (SELECT a.chip_id, a.k, b.k AS other FROM (SELECT chip_id, k, row + dr AS r, col + dc AS c FROM hit, steps) AS a JOIN hit AS b
+  ON b.chip_id = a.chip_id AND b.row = a.r AND b.col = a.c),
+reach AS (SELECT chip_id, k AS node, k AS seen FROM hit UNION SELECT r.chip_id, r.node, n.other FROM reach AS r JOIN beside AS n ON
+  n.chip_id = r.chip_id AND n.k = r.seen),
 lab AS (SELECT chip_id, node AS k, min(seen) AS first_k FROM reach GROUP BY ALL),
 num AS (SELECT *, dense_rank() OVER (PARTITION BY chip_id ORDER BY first_k) AS blob FROM lab),
 blob AS (SELECT chip_id, blob, count(*) AS area, min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1, sum(row *
@@ -432,6 +446,24 @@ blob AS (SELECT chip_id, blob, count(*) AS area, min(row) AS r0, max(row) AS r1,
   sum(col * value) / sum(value) AS cc, max(value / background) AS peak
   FROM num JOIN hit USING (chip_id, k) GROUP BY ALL HAVING count(*) >= 2)"""
 
+
+_LEE, _CFAR, _BLOBS = _lee(_CHIPS), _cfar(_CHIPS), _blobs(_CHIPS)
+
+
+def _detected(blobs: str) -> str:
+    return f"""WITH RECURSIVE {blobs} SELECT chip_id, printf('S1-%03d', blob) AS id, CAST(area AS INTEGER) AS area_px, r0 AS row_min, r1 AS
+      row_max, c0 AS col_min,
+      c1 AS col_max, round((greatest(r1 - r0, c1 - c0) + 1) * 10.0e0, 1) AS estimated_length_m,
+    round(36.9e0 - rc * 0.00009e0, 5) AS lat, round(-7.2e0 + cc * 0.00011e0, 5) AS lon, round(1 - exp(-peak / 10), 3) AS
+      detection_confidence, round(rc,
+      1) AS row, round(cc, 1) AS col FROM blob"""
+
+
+# All chips side by side.
+_STRIP = """px AS (SELECT 'strip' AS chip_id, CAST(i // 8 AS INTEGER) AS row, CAST(nth * 8 + i % 8 AS INTEGER) AS col,
+  pow(CAST(abs(embedding[i + 1]) AS DOUBLE), 3.0e0) AS value
+  FROM (SELECT embedding, row_number() OVER (ORDER BY vec_id) - 1 AS nth, unnest(range(64)) AS i FROM embeddings))"""
+
 ORACLES |= {
     "invariant_tokens": f"SELECT doc_id, unnest({_anchors("coalesce(text, '')")}) AS token FROM documents",
     "ais_wording": f"SELECT doc_id, regexp_matches(lower(coalesce(text, '')), '{_AIS}') AS mentions FROM documents",
@@ -515,12 +547,8 @@ SELECT section, stage, round(sum(s), 9) AS seconds, round(sum(s) / 100, 11) AS p
     "box_sum": f"WITH {_CHIPS}, {_box('bx', 'px', 'value', 2)} SELECT chip_id, row, col, round(s, 6) AS s FROM bx",
     "lee_filter": f"WITH {_LEE} SELECT chip_id, row, col, round(filtered, 6) AS filtered FROM lee",
     "cfar_mask": f"WITH {_CFAR} SELECT chip_id, count(*) FILTER (hit) AS hits, round(avg(background), 6) AS background FROM cf GROUP BY chip_id",
-    "blobs": f"""WITH RECURSIVE {_BLOBS} SELECT chip_id, printf('S1-%03d', blob) AS id, CAST(area AS INTEGER) AS area_px, r0 AS row_min, r1 AS
-  row_max, c0 AS col_min,
-  c1 AS col_max, round((greatest(r1 - r0, c1 - c0) + 1) * 10.0e0, 1) AS estimated_length_m,
-round(36.9e0 - rc * 0.00009e0, 5) AS lat, round(-7.2e0 + cc * 0.00011e0, 5) AS lon, round(1 - exp(-peak / 10), 3) AS
-  detection_confidence, round(rc,
-  1) AS row, round(cc, 1) AS col FROM blob""",
+    "blobs": _detected(_BLOBS),
+    "tiled_blobs": _detected(_blobs(_STRIP, "(SELECT 8 * count(*) - 1 FROM embeddings)")),
     "yolo_boxes": f"""WITH RECURSIVE {_BLOBS}, bx AS (SELECT chip_id, blob, greatest(r0 - 1, 0) AS y0, least(r1 + 1, 7) AS y1, greatest(c0 - 1, 0)
   AS x0, least(c1 + 1, 7)
   AS x1 FROM blob)
@@ -571,7 +599,9 @@ su AS (SELECT *, CASE WHEN NOT in_season THEN 'out_of_season' WHEN light <= 0.25
   FROM li)"""
 _WHY = f"""CASE suitability WHEN 'out_of_season' THEN 'outside the season ({_SEASON}): the moon raises no priority while the fishery is closed' WHEN 'high' THEN moon_phase || ': dark night (' || pct || ' lit) with spring tides, in season'
   WHEN 'moderate' THEN moon_phase || ', in season: ' || CASE WHEN light <= 0.25e0 THEN 'a dark night' ELSE 'spring tides' END || ' only' ELSE moon_phase || ': bright night (' || pct || ' lit) near neap tides' END"""
-_FED = f"""WITH {DET}, fe AS (SELECT *, ord % 5 AS k, {_IN_SCENE} AS place FROM det),
+# Entries of a day are numbered by position and text; texts at one position differ in the length first, then in the id.
+_BY_TEXT = "CAST(row_number() OVER (PARTITION BY scene_id ORDER BY lat, lon, CAST(estimated_length_m AS VARCHAR), id) - 1 AS BIGINT)"
+_FED = f"""WITH {DET}, fe AS (SELECT *, ord % 5 AS k, {_BY_TEXT} AS place FROM det),
 fm AS (SELECT *, CASE k WHEN 0 THEN ais_matched WHEN 1 THEN CASE WHEN ais_matched THEN true END WHEN 2 THEN CASE WHEN
   ais_matched THEN true END END AS
   matched,
@@ -585,7 +615,10 @@ _CENTRES = ", ".join(
 ORACLES |= {
     "scene_documents": _DOCUMENT,
     "strict_scenes": _DOCUMENT,
-    "dispatched_source": f"WITH {DET} SELECT s AS source, scene_id AS scene, id FROM det, (VALUES ('local'), ('feed')) AS v(s)",
+    "dispatched_source": f"""{_FED}, lo AS (SELECT scene_id AS scene, CAST(day AS VARCHAR) AS day, lat, lon, estimated_length_m FROM det)
+SELECT 'local' AS source, * FROM lo UNION ALL SELECT 'feed', * FROM lo WHERE day(CAST(day AS DATE)) % 2 = 0 UNION ALL
+SELECT 'feed', 'feed ' || CAST(day AS VARCHAR), CAST(day AS VARCHAR), lat, lon, estimated_length_m FROM fm
+WHERE usable AND day(day) % 2 = 1 AND lon BETWEEN {REGION[0]}e0 AND {REGION[2]}e0 AND lat BETWEEN {REGION[1]}e0 AND {REGION[3]}e0""",
     "scene_conditions": f"""{_CONDITIONS} SELECT CAST(day AS VARCHAR) AS day, in_season, '{_SEASON}' AS season_window, moon_phase, round(light, 3) AS
   moon_illumination, round(1 -
   light, 3) AS darkness_favourability, round(tide, 3) AS spring_tide_tendency,
@@ -601,6 +634,10 @@ CAST(CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE 300 + (s_suppkey % 5) * 700 END
 CASE WHEN k = 0 AND matched THEN likely_gear ELSE 'unknown' END AS likely_gear, CASE WHEN k = 0 AND matched THEN id END AS
   mmsi, CASE WHEN k = 0 AND
   matched THEN id END AS vessel_name, CASE WHEN k = 0 AND matched THEN 'ESP' END AS flag FROM fm WHERE usable""",
+    "feed_window": f"""{_FED} SELECT CAST(day AS VARCHAR) AS day, count(*) AS n, min(lat) AS south, max(lon) AS east FROM fm
+WHERE day >= DATE '2024-01-10' AND day < DATE '2024-01-20' AND lat > 36.5e0 AND lon <= -6.75e0 GROUP BY day""",
+    "feed_pass": f"""{_FED} SELECT CAST(day AS VARCHAR) AS day, count(*) FILTER (usable) AS n,
+(SELECT count(*) FILTER (usable) FROM fm) AS mapped, (SELECT count(*) FILTER (NOT usable) FROM fm) AS skipped FROM fm GROUP BY day HAVING n > 0""",
     "feed_skipped": f"{_FED} SELECT count(*) FILTER (usable) AS mapped, count(*) FILTER (NOT usable) AS skipped FROM fm",
     "dossier_documents": f"""{ASSESS}, {_CONDITIONS.removeprefix(f"WITH {DET}, ")}, st1 AS (SELECT scene_id, id, row_number() OVER (PARTITION BY scene_id
   ORDER BY {_RANK},

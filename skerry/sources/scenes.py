@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import io
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from datetime import date, timedelta
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from skerry.schemas import SCENE_DOCUMENT, STRUCTURES, Config, Season, Weights, Zone
@@ -136,6 +136,8 @@ ALIASES = {
     ), "mmsi": ("mmsi", "ssvid"), "gear": ("likely_gear", "geartype", "vessel_class"), "speed": ("speed_kn", "speed"),
 }
 ENVELOPES = ("entries", "data", "features")
+# Fixed value: the id of an entry without one, by its number.
+UNNAMED = "GFW-%04d"
 
 
 def feed_entries(answers: DataFrame, column: str = "body") -> DataFrame:
@@ -160,7 +162,7 @@ def _number(what: str) -> Column:
     return F.coalesce(*(F.try_variant_get("entry", f"${p}.{n}", "string") for p in ("", ".properties") for n in ALIASES[what])).try_cast("double")
 
 
-def map_feed(entries: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def map_feed(entries: DataFrame, keep: tuple = ()) -> DataFrame:
     """Entries as detections with usable: whether position, length and a sign of activity are there. Nothing is dropped here.
 
     The match is true, false, or unknown for all that is ambiguous; a boolean false is ambiguous too. Identity and gear are
@@ -179,7 +181,7 @@ def map_feed(entries: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     named = F.when(raw_id.isin("", "0", "false"), F.lit(None)).otherwise(raw_id)
     return entries.select(
         *keep, F.col("entry_no").cast("bigint").alias("ord"), F.coalesce(
-            named, F.format_string("GFW-%04d", "entry_no")
+            named, F.format_string(UNNAMED, "entry_no")
         ).alias("id"), lat.alias("lat"), lon.alias("lon"), length.alias("estimated_length_m"), matched.alias("ais_matched"), fishing.alias("fishing_score"), _number("speed").alias("speed_kn"),
         F.coalesce(
             kept(F.nullif(_alias("gear", "string"), F.lit(""))), F.lit("unknown")
@@ -215,35 +217,16 @@ def query_parameters(
     return {"datasets[0]": dataset, "start-date": first, "end-date": last, "bbox": ",".join(str(x) for x in region), "limit": str(limit)}
 
 
-def load_feed(spark: SparkSession, fetch: Callable[[dict[str, str]], str] | None, fallback: DataFrame, **request) -> tuple[DataFrame, str]:
-    """Usable detections of the feed and "feed", or the fallback and why.
-
-    fetch takes the request's parameters and gives the answer's text; without one (no token), when it fails, or when nothing
-    is usable, the fallback is taken. One request is at most MAX_ROWS rows.
-    """
-    if fetch is None:
-        return fallback, "no access"
-    try:
-        body = fetch(query_parameters(**request))
-        rows = map_feed(feed_entries(spark.createDataFrame([(body,)], "body string")))
-        counts = skipped(rows).first()
-    except Exception as wrong:  # noqa: BLE001  whatever the fetch raises, the local scene stands in
-        return fallback, f"failed: {type(wrong).__name__}"
-    return (usable(rows), "feed") if counts["mapped"] else (fallback, "nothing usable")
-
-
-def load_detections(spark: SparkSession, path: str, source: str = "local", fetch: Callable[[dict[str, str]], str] | None = None, **request) -> DataFrame:
-    """Detections of a local document or of the feed, which falls back to it."""
+def load_detections(spark: SparkSession, path: str, source: str = "local", seen: Observation | None = None, **options) -> DataFrame:
+    """Detections of local documents, or of the feed (options of its reader), which falls back to them day by day."""
     local = detection_rows(read_scenes(spark, path))
     if source == "local":
         return local
     if source != "feed":
         raise ValueError(f"unknown source {source!r}")
-    rows, _ = load_feed(spark, fetch, local, **request)
-    if "day" in rows.columns:
-        return rows
-    last = window(request.get("end"), request.get("start"))[1]
-    return rows.withColumn("scene_id", F.lit(f"feed {last}")).withColumn("day", F.lit(last).cast("date"))
+    from skerry.sources import feed
+
+    return feed.detections(spark, local, seen, **options)
 
 
 # --- chips and labels ------------------------------------------------------------------------------------------------------

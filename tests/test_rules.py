@@ -1,6 +1,4 @@
-import http.server
 import json
-import threading
 import time
 
 import numpy as np
@@ -10,7 +8,7 @@ from pyspark.sql import functions as F
 
 from skerry.functions import text as T
 from skerry.operators import dataset, harness, present, raster, responses, validate
-from skerry.sources import feed, scenes
+from skerry.sources import scenes
 from skerry.streaming import scenes as stream
 from tests import demo
 
@@ -180,10 +178,6 @@ def test_feed(spark):
         assert tuple(scenes.skipped(rows).first()) == (4, 2)
     with pytest.raises(Exception, match="unexpected answer"):
         scenes.feed_entries(spark.createDataFrame([('{"other": 1}',)], "body string")).collect()
-    fallback = demo.detections(spark)
-    assert scenes.load_feed(spark, None, fallback)[1] == "no access"
-    assert scenes.load_feed(spark, lambda p: "{", fallback)[1].startswith("failed")
-    assert scenes.load_feed(spark, lambda p: json.dumps(entries), fallback, end="2026-07-18")[1] == "feed"
     assert scenes.query_parameters(end="2026-07-18")["start-date"] == "2026-07-17"
 
 
@@ -270,7 +264,7 @@ def test_drawn_targets_are_found_whichever_way_pixels_are_dealt(spark):
     assert {2 <= r["count"] <= 5 for r in targets.groupBy("chip_id").count().collect()} == {True}
     assert sorted(targets.collect()) == sorted(raster.draw_targets(chips.repartition(3), size=96, seed=7).collect())
     pixels = raster.synthetic(spark, targets, size=96, seed=3)
-    found = [sorted(raster.blobs(pixels, whole_chips=own).select("chip_id", "id", "area_px").collect()) for own in (True, False)]
+    found = [sorted(raster.blobs(pixels, tile=own).select("chip_id", "id", "area_px").collect()) for own in (None, 24)]
     assert found[0] == found[1] and len(found[0]) >= targets.count()
     assert raster.recalled(targets, raster.blobs(pixels)).count() == targets.count()
 
@@ -353,39 +347,6 @@ def test_data_set_on_disk(spark, tmp_path):
         dataset.prepare(spark, path)
 
 
-def test_feed_reader(spark, tmp_path):
-    """A request a day, with the options it is given; the environment sets options too."""
-    asked = []
-
-    class Answer(http.server.BaseHTTPRequestHandler):
-        def do_GET(self):
-            asked.append((self.path, self.headers.get("Authorization")))
-            body = json.dumps({"entries": [{"id": self.path[-3:], "lat": 36.5, "lon": -6.75, "length_m": 9, "score": 0.5}]}).encode()
-            self.send_response(200)
-            self.end_headers()
-            self.wfile.write(body)
-
-        def log_message(self, *_):
-            pass
-
-    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Answer)
-    threading.Thread(target=server.serve_forever, daemon=True).start()
-    feed.register(spark)
-    env = {"GFW_DATASET": "own", "GFW_LIMIT": "7", "GFW_TOKEN": "secret", "GFW_PATH": "/v9"}
-    options = feed.from_environment(env) | {"url": f"http://127.0.0.1:{server.server_port}", "start": "2024-01-01", "end": "2024-01-03", "bbox": "-7,36,-6,37"}
-    rows = spark.read.format("detection_feed").options(**options).load()
-    found = scenes.usable(scenes.map_feed(scenes.feed_entries(rows), keep=("day",))).collect()
-    server.shutdown()
-    assert sorted(str(r["day"]) for r in found) == ["2024-01-01", "2024-01-02", "2024-01-03"]
-    assert len(asked) == 3 and all(
-        p.startswith("/v9?") and "limit=7" in p and "own" in p and "bbox=-7.0%2C36.0%2C-6.0%2C37.0" in p and a == "Bearer secret" for p, a in asked
-    )
-    with pytest.raises(ValueError, match="url"):
-        feed.FeedReader({})
-    with pytest.raises(ValueError, match="bbox"):
-        feed.FeedReader({"url": "x", "bbox": "1,2"})
-
-
 def test_report_head(spark, records):
     rows = spark.createDataFrame([("S", demo.TIMESTAMP)], "scene_id string, timestamp string")
     lines = present.dossier_lines(records, "S", demo.CONFIG, rows, demo.ZONES)
