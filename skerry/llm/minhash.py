@@ -9,8 +9,8 @@ are alike (1).
 
 Occurrence numbers come from run lengths in the sorted hashes, found by doubling: c(k+1)[j] = c(k)[j] + c(k)[j - 2^k]
 where c(k)[j] has reached 2^k. Work is n log n in the length of a text, and nothing is exploded. Text order is that of
-positions; in a text of 2^24 pieces or more, of positions in units of two pieces or more, so k-mers that start within one
-unit stand in the order of their hashes.
+positions. A position has BITS bits: in a text of more than 2^BITS pieces it is counted in units of two pieces, or four, and
+so on, so that the last one fits; k-mers that start within one unit then stand in the order of their hashes.
 
 The next document is that of the next smaller id; after the last comes the first. Rows equal in id and text are one
 document; among equal ids texts are ordered by their hash; null ids come before all others; null texts are empty.
@@ -24,30 +24,34 @@ from pyspark.sql import functions as F
 from . import common
 
 K, PIECE, BUCKETS, TUPLE = 3, 12, 32, 2
-LOW = (1 << 24) - 1
-"""Positions take the low 24 bits of a sort key, in units that let the last one fit; the hash keeps the rest."""
+BITS = 24
+"""Of a sort key the low bits hold the position, the others the hash."""
 
 
 def fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     """df with the column out: an array of BUCKETS hashes, null where no k-mer fell."""
-    high, bits = ~LOW, BUCKETS.bit_length() - 1
-    w, s, r, o, e, x = (f"_{out}_{c}" for c in ("w", "s", "r", "o", "e", "x"))
+    low, bits = (1 << BITS) - 1, BUCKETS.bit_length() - 1
+    high, rest = ~low, 63 - BITS
+    w, u, s, r, o, e, x = (f"_{out}_{c}" for c in ("w", "u", "s", "r", "o", "e", "x"))
     more = ", ".join(f"get({w}, i + {j})" for j in range(1, K))
     df = df.withColumn(w, F.expr(rf"regexp_extract_all({text}, '[^\\x20\\x09-\\x0D]{{1,{PIECE}}}', 0)"))
-    df = df.withColumn(s, F.expr(f"sort_array(transform({w}, (g, i) -> (xxhash64(g, {more}) & {high}L) | least(i, {LOW})))"))
-    same = lambda a, at: f"coalesce(shiftright(get({a}, {at}), 24) = shiftright(v, 24), false)"
+    df = df.withColumn(u, F.expr(f"greatest(length(bin(greatest(size({w}) - 1, 0))) - {BITS}, 0)"))  # a unit has 2^u pieces
+    df = df.withColumn(s, F.expr(f"sort_array(transform({w}, (g, i) -> (xxhash64(g, {more}) & {high}L) | shiftright(i, {u})))"))
+    same = lambda a, at: f"coalesce(shiftright(get({a}, {at}), {BITS}) = shiftright(v, {BITS}), false)"
     df = df.withColumn(r, F.expr(f"filter({s}, (v, j) -> {same(s, 'j - 1')} or {same(s, 'j + 1')})"))
     ones = f"transform({r}, (v, j) -> if({same(r, 'j - 1')}, 1, 0))"
     step = "transform(c, (n, j) -> if(n = shiftleft(1, k), n + get(c, j - shiftleft(1, k)), n))"
     df = df.withColumn(o, F.expr(f"if(size({r}) = 0, array(), aggregate(sequence(0, 30), {ones}, (c, k) -> if(array_max(c) < shiftleft(1, k), c, {step})))"))
-    once = f"transform(filter({s}, (v, j) -> not ({same(s, 'j - 1')} or {same(s, 'j + 1')})), v -> (xxhash64(shiftright(v, 24), 0) & {high}L) | (v & {LOW}))"
-    again = f"transform(arrays_zip({r}, {o}), z -> (xxhash64(shiftright(z.{r}, 24), z.{o}) & {high}L) | (z.{r} & {LOW}))"
+    hashed = lambda v, n: f"(xxhash64(shiftright({v}, {BITS}), {n}) & {high}L) | ({v} & {low})"
+    once = f"transform(filter({s}, (v, j) -> not ({same(s, 'j - 1')} or {same(s, 'j + 1')})), v -> {hashed('v', 0)})"
+    again = f"transform(arrays_zip({r}, {o}), z -> {hashed(f'z.{r}', f'z.{o}')})"
     df = df.withColumn(e, F.expr(f"sort_array(concat({once}, {again}))"))
     bucket = lambda v: f"shiftrightunsigned({v}, {64 - bits})"
     df = df.withColumn(x, F.expr(f"filter({e}, (v, j) -> not coalesce({bucket(f'get({e}, j - {TUPLE})')} = {bucket('v')}, false))"))
-    in_order = f"transform(sort_array(transform(filter({x}, v -> {bucket('v')} = b), v -> shiftleft(v & {LOW}, 39) | shiftrightunsigned(v, 25))), v -> v & {(1 << 39) - 1}L)"
+    turned = f"transform(filter({x}, v -> {bucket('v')} = b), v -> shiftleft(v & {low}, {rest}) | shiftrightunsigned(v, {BITS + 1}))"
+    in_order = f"transform(sort_array({turned}), v -> v & {(1 << rest) - 1}L)"
     df = df.withColumn(out, F.expr(f"transform(sequence(0, {BUCKETS - 1}), b -> if(exists({x}, v -> {bucket('v')} = b), xxhash64({in_order}), null))"))
-    return df.drop(w, s, r, o, e, x)
+    return df.drop(w, u, s, r, o, e, x)
 
 
 def likeness(a: str, b: str) -> F.Column:

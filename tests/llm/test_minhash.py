@@ -26,13 +26,14 @@ def chain(*parts):
 
 def brute(text):
     words = re.findall(rf"[^\x20\x09-\x0D]{{1,{M.PIECE}}}", text)
+    unit = max((len(words) - 1).bit_length() - M.BITS, 0) if words else 0
     seen, elements = {}, []
     for i in range(len(words)):
-        h = signed(chain(*words[i : i + M.K])) >> 24
+        h = signed(chain(*words[i : i + M.K])) >> M.BITS
         n = seen.get(h, 0)
         seen[h] = n + 1
         g = xxhash.xxh64_intdigest((n & 0xFFFFFFFF).to_bytes(4, "little"), xxhash.xxh64_intdigest((h & MASK).to_bytes(8, "little"), 42))
-        elements.append((g & ~M.LOW & MASK, i))
+        elements.append((g & (MASK << M.BITS) & MASK, i >> unit))
     out = []
     for b in range(M.BUCKETS):
         own = sorted((signed(g), i) for g, i in elements if g >> (64 - 5) == b)[: M.TUPLE]
@@ -40,8 +41,8 @@ def brute(text):
             out.append("--------")
             continue
         h = 42
-        for g, _ in sorted(own, key=lambda x: x[1]):
-            value = (((g & MASK) | 0) >> 25) & ((1 << 39) - 1)
+        for g, _ in sorted(own, key=lambda x: (x[1], x[0] & MASK)):  # within a unit by hash
+            value = ((g & MASK) >> (M.BITS + 1)) & ((1 << (63 - M.BITS)) - 1)
             h = xxhash.xxh64_intdigest(value.to_bytes(8, "little"), h)
         out.append(f"{h & 0xFFFFFFFF:08x}")
     return "".join(out)
@@ -66,6 +67,20 @@ def run(spark, rows):
     ).collect()}
 
 
+@pytest.mark.parametrize("bits", [4, 6])
+def test_positions_in_units(spark, monkeypatch, bits):
+    """With fewer bits than a text has pieces positions are counted in units: order is kept across units, to the end of the text."""
+    monkeypatch.setattr(M, "BITS", bits)
+    rows = [(i, " ".join(f"w{(i * 11 + j * 17 + j * j) % 1009}" for j in range(n))) for i, n in enumerate((3, 15, 16, 17, 64, 65, 300, 1000))]
+    found = run(spark, rows)
+    assert {i: r["own"] for i, r in found.items()} == {i: brute(t) for i, t in rows}
+    words = rows[-1][1].split()
+    turned = " ".join(words[500:] + words[:500])
+    own = spark.createDataFrame([(1, rows[-1][1]), (2, turned)], SCHEMA)
+    a, b = (r["f"] for r in M.fingerprint(own, "text", "f").orderBy("doc_id").collect())
+    assert a != b  # moved halves show, though nearly all k-mers lie beyond 2^bits
+
+
 def test_against_brute_force(spark):
     rows = [(i, " ".join(f"w{(i * 7 + j * j) % 97}" for j in range(5 + 40 * (i % 4)))) for i in range(12)]
     rows += [(20, "a b a b a b a b a b a b a b"), (21, "x" * 500), (22, ""), (23, "one"), (24, "é ü ñ " * 9)]
