@@ -199,43 +199,58 @@ def decode(data: bytes) -> dict:
     }
 
 
-def _encode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = common.raw_bytes(batch.column(batch.num_columns - 1))
-        media = [encode(t + b" " * (-len(t) % FRAME or (0 if t else FRAME))) for t in texts]
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:-1], pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())],
-            names=[*batch.schema.names[:-1], "n_bytes", "media"]
-        )
-
-
-def _decode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = {
-        "payload": pa.binary(), "streams": pa.int32(), "pages": pa.int64(), "packets": pa.int64(), "damaged": pa.int64(), "gaps": pa.int64(),
-        "seconds": pa.float64(), "starts": pa.list_(pa.float64())
-    }
-    for batch in batches:
-        found = [decode(m) for m in common.raw_bytes(batch.column(batch.num_columns - 1))]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([x[k] for x in found], t) for k, t in kinds.items())], names=[*batch.schema.names, *kinds])
-
-
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+FOUND = {
+    "payload": pa.binary(), "streams": pa.int32(), "pages": pa.int64(), "packets": pa.int64(), "damaged": pa.int64(), "gaps": pa.int64(),
+    "seconds": pa.float64(), "starts": pa.list_(pa.float64())
+}
+"""What read_media adds, in this order."""
+_DDL = ("binary", "int", "long", "long", "long", "long", "double", "array<double>")
+
+
+def _encoded(out: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            last = batch.column(batch.num_columns - 1)
+            for at, n in common.row_groups(last):
+                texts = common.raw_bytes(last.slice(at, n))
+                media = [encode(t + b" " * (-len(t) % FRAME or (0 if t else FRAME))) for t in texts]
+                kept = [c.slice(at, n) for c in batch.columns[:-1]]
+                yield pa.RecordBatch.from_arrays(
+                    [*kept, pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], names=[*batch.schema.names[:-1], *out]
+                )
+
+    return run
+
+
+def _decoded(out: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            last = batch.column(batch.num_columns - 1)
+            for at, n in common.row_groups(last):
+                found = [decode(m) for m in common.raw_bytes(last.slice(at, n))]
+                kept = [c.slice(at, n) for c in batch.columns]
+                made = [pa.array([x[k] for x in found], t) for k, t in FOUND.items()]
+                yield pa.RecordBatch.from_arrays([*kept, *made], names=[*batch.schema.names, *out])
+
+    return run
 
 
 def write_media(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """keep, n_bytes and the binary column media, one bitstream a row."""
-    own = df.select(*keep, F.col(text).alias("_text"))
-    return common.map_batches(own, _encode_batches, f"{_ddl(df.select(*keep))}, n_bytes long, media binary")
-
-
-def read_media(df: DataFrame) -> DataFrame:
-    """All columns of df (media the last of them), the payload, and what was found about the container: among it starts, the
-    time in seconds at which each packet begins, one stream after the other."""
-    return common.map_batches(
-        df, _decode_batches,
-        f"{_ddl(df)}, payload binary, streams int, pages long, packets long, damaged long, gaps long, seconds double, starts array<double>"
-    )
+    """keep, n_bytes and the binary column media, one bitstream a row; names that clash with one of keep end in underscores.
+    What is encoded at a time holds some megabytes of text, or one row."""
+    kept = df.select(*(F.col(f"`{c}`") for c in keep))
+    size, media, own = common.free_names(kept, "n_bytes", "media", "_text")
+    rows = df.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias(own))
+    return common.map_batches(rows, _encoded([size, media]), ", ".join(x for x in (common.ddl(kept), f"`{size}` long, `{media}` binary") if x))
+
+
+def read_media(df: DataFrame, media: str = "media") -> DataFrame:
+    """All columns of df, the payload, and what was found about the container: among it starts, the time in seconds at which
+    each packet begins, one stream after the other. Names that clash with a column of df end in underscores."""
+    names = common.free_names(df, *FOUND)
+    rows = common.with_last(df, media)
+    more = ", ".join(f"`{n}` {t}" for n, t in zip(names, _DDL, strict=True))
+    return common.as_before(common.map_batches(rows, _decoded(names), f"{common.ddl(rows)}, {more}"), df, *names)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -69,6 +69,24 @@ def test_op1_contract(spark, tmp_path):
         assert r["media_sha256"] == hashlib.sha256(ogg.encode(payload)).hexdigest()
 
 
+def test_media_keep_columns_that_clash(spark, monkeypatch):
+    """Every row comes through, with all its columns, whatever is encoded at a time and whatever names the table has."""
+    monkeypatch.setattr(ogg.common.row_groups, "__defaults__", (100,))
+    rows = [(i, "t" * (i * 37 % 300), "a", "b", "c", float(i)) for i in range(40)] + [(40, None, "a", "b", "c", 0.0)]
+    df = spark.createDataFrame(rows, "id long, text string, media string, N_bytes string, payload string, seconds double")
+    written = ogg.write_media(df, [c for c in df.columns if c != "text"])
+    assert written.columns == ["id", "media", "N_bytes", "payload", "seconds", "n_bytes_", "media_"]
+    read = ogg.read_media(written, "media_")
+    assert read.columns[-8:] == ["payload_", "streams", "pages", "packets", "damaged", "gaps", "seconds_", "starts"]
+    found = {r["id"]: r for r in read.collect()}
+    assert len(found) == len(rows)
+    for i, t, media, size, payload, seconds in rows:
+        r = found[i]
+        assert (r["media"], r["N_bytes"], r["payload"], r["seconds"], r["n_bytes_"]) == (media, size, payload, seconds, len(t or ""))
+        assert bytes(r["payload_"]).rstrip(b" ").decode() == (t or "") and r["damaged"] == 0
+    assert ogg.read_media(ogg.write_media(df.limit(0), ["id"])).count() == 0
+
+
 PAGES = "page_id long, url string, html string"
 
 
