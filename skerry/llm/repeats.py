@@ -102,8 +102,8 @@ def _extend(length: int):
                 hs.append(common.signed(common.window_hashes(words, length)[at]))
                 ps.append(at)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], common.int_lists(hs, pa.int64(), np.int64), common.int_lists(ps, pa.int32(), np.int32)],
-                names=["oid", "th", "text", "hs", "ps"]
+                [*batch.columns[:2], common.int_lists(hs, pa.int64(), np.int64), common.int_lists(ps, pa.int32(), np.int32)],
+                names=["oid", "th", "hs", "ps"]
             )
 
     return run
@@ -119,10 +119,11 @@ def covered(n: int, starts: np.ndarray, length: int) -> np.ndarray:
 
 class Repeats:
     """What repeats in docs. meta: a row per row of docs (oid, th, n_words, all_sha, first: whether it represents its
-    class); texts: oid, th, text of the representatives with candidates; marks: oid, th, starts of their windows to remove."""
+    class); marks: oid, th, starts of the windows to remove. Texts are read again where they are needed, never kept."""
 
     def __init__(self, docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH) -> None:
         source = docs.select(common.order_id(key).alias("oid"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
+        self.source = source
         survey = common.materialize(common.map_batches(source, _survey(length), SURVEY))
         classes = common.materialize(survey.groupBy("s1", "s2").agg(F.min(F.struct("oid", "th")).alias("rep")))
         meta = survey.select("oid", "th", "n_words", "s1", "s2", "all_sha").join(classes, ["s1", "s2"])
@@ -138,15 +139,18 @@ class Repeats:
         kept = common.materialize(kept.join(classes, ["s1", "s2"]).select(F.col("rep.oid").alias("oid"), F.col("rep.th").alias("th"), "kept"))
 
         # Full length: the windows around them.
-        texts = common.pick(source, kept, ["oid", "th"]).join(kept, ["oid", "th"]).dropDuplicates(["oid", "th"]).select("oid", "th", "text", "kept")
-        candidates = common.materialize(common.map_batches(texts, _extend(length), "oid long, th long, text string, hs array<long>, ps array<int>"))
+        texts = self.texts_of(kept).select("oid", "th", "text", "kept")
+        candidates = common.materialize(common.map_batches(texts, _extend(length), "oid long, th long, hs array<long>, ps array<int>"))
         windows = candidates.select("oid", "th", F.explode(F.arrays_zip("hs", "ps")).alias("a")).select(
             "oid", "th", F.col("a.hs").alias("h"), F.col("a.ps").alias("p")
         )
-        self.texts = candidates.select("oid", "th", "text")
         self.shared = self._shared(windows)
         self.marks = common.materialize(self.shared.filter("least < oid").groupBy("oid", "th").agg(F.collect_list("p").alias("starts")))
 
+    def texts_of(self, wanted: DataFrame) -> DataFrame:
+        """wanted (oid, th and other columns, materialized) with text, once for rows that are equal in id and text."""
+        return common.pick(self.source, wanted, ["oid", "th"]).join(wanted, ["oid", "th"]).dropDuplicates(["oid", "th"])
+
     @staticmethod
     def _shared(windows: DataFrame) -> DataFrame:
         """The windows (oid, th, h, p) that start in two ids, with the least of these."""
@@ -166,8 +170,9 @@ def longest(docs: DataFrame, text: str = "text", key: str = "doc_id", length: in
         level = shared.filter("least < oid").select("oid", F.lit(size).alias("longest")).distinct()
         out = level if out is None else out.unionByName(level)
         size *= 2
-        starts = shared.groupBy("oid", "th").agg(F.collect_list("p").alias("starts"))
-        rows = common.map_batches(found.texts.join(starts, ["oid", "th"]), _windows_at(size), "oid long, th long, h long, p int")
+        starts = common.materialize(shared.groupBy("oid", "th").agg(F.collect_list("p").alias("starts")))
+        texts = found.texts_of(starts).select("oid", "th", "text", "starts")
+        rows = common.map_batches(texts, _windows_at(size), "oid long, th long, h long, p int")
         shared = common.materialize(Repeats._shared(common.materialize(rows)))
     none = docs.sparkSession.createDataFrame([], "oid long, longest int")
     return (none if out is None else out).groupBy("oid").agg(F.max("longest").alias("longest"))
@@ -245,7 +250,8 @@ def op6(spark, sf_dir: str) -> DataFrame:
                 sha.append(hashlib.sha256(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])).hexdigest())
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64()), pa.array(sha)], names=["oid", "th", "gone", "kept"])
 
-    cut = common.map_batches(found.texts.join(found.marks, ["oid", "th"]), run, "oid long, th long, gone long, kept string")
+    texts = found.texts_of(found.marks).select("oid", "th", "text", "starts")
+    cut = common.map_batches(texts, run, "oid long, th long, gone long, kept string")
     rows = found.meta.join(cut, ["oid", "th"], "left")
     whole = (F.col("n_words") >= LENGTH) & ~F.col("first")
     return rows.select(
