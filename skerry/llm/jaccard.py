@@ -40,7 +40,7 @@ PART = 1024
 """So many sets that meet one other make a part; each part gets a copy of that other one."""
 SEEN = 1_000_000
 BROADCAST_ROWS = 500_000
-"""Up to so many ids (16 bytes each) are broadcast to pick rows before they are shuffled; beyond it they are joined."""
+"""Up to so many rows of three or four numbers (at most 32 bytes each) are broadcast, beyond it they are joined."""
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
@@ -190,6 +190,11 @@ def salted(left: DataFrame, right: DataFrame, on: str, by: str) -> DataFrame:
     return dealt.drop("_parts").join(copies.drop("_parts"), [on, "_part"]).drop("_part")
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """Materialized rows of a few numbers, without lists, to be broadcast where they are few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, comp (the least node of its component) for the ends of links (a, b): least labels with pointer jumping."""
     edges = common.materialize(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).distinct())
@@ -256,13 +261,12 @@ class Join:
         as_other = pairs.join(counts, "centre").select(F.col("other").alias("owner"), F.struct("centre", part, F.lit(1).alias("role")).alias("to"))
         parts = counts.select("centre", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"))
         as_centre = parts.select(F.col("centre").alias("owner"), F.struct("centre", "part", F.lit(0).alias("role")).alias("to"))
-        ways = as_other.union(as_centre).groupBy("owner").agg(F.collect_list("to").alias("ways"))
+        ways = common.materialize(as_other.union(as_centre))
         places = self.classes.select(F.col("s1").alias("owner"), F.col("rep.oid").alias("oid"), F.col("rep.th").alias("th"))
-        ways = common.materialize(ways.join(places, "owner"))
-        few = ways.count() <= BROADCAST_ROWS
-        texts = self.source.join(F.broadcast(ways) if few else ways, ["oid", "th"]).select("owner", "ways", "text")
-        sets = common.map_batches(texts, _sets(self.width), f"{common.ddl(texts.drop('text'))}, members binary")
-        sent = sets.select("owner", F.explode("ways").alias("to"), "members").select("to.*", "owner", "members")
+        wanted = common.materialize(places.join(ways.select("owner").distinct(), "owner"))
+        texts = self.source.join(_small(wanted), ["oid", "th"]).select("owner", "text")
+        sets = common.map_batches(texts, _sets(self.width), "owner long, members binary")
+        sent = sets.join(_small(ways), "owner").select("to.*", "owner", "members")
         met = sent.repartition("centre", "part").sortWithinPartitions("centre", "part", "role")
         compared = common.map_batches(met, _compare(differences), COMPARED)
         return common.materialize(compared.dropDuplicates(["other", "centre"]))
