@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from skerry.operators import dossier, validate
 from skerry.schemas import CANDIDATES, Config
-from skerry.sources.files import once
+from skerry.sources.files import kept
 
 CONTROL = "control"
 
@@ -143,7 +143,7 @@ def planted_briefs(records: DataFrame, config: Config, shift: int = 0) -> DataFr
     """A brief a record, with fault, family, expected (a rule or null) and left_out; brief_ord is the record's ord."""
     zone = F.explode(F.array_distinct(F.filter(F.transform("potential_indicators", lambda i: i.zone_id), lambda z: z.isNotNull())))
     lent = records.select("scene_id", zone.alias("z")).groupBy("scene_id").agg(F.max("z").alias("lent"))
-    rows = records.join(F.broadcast(lent), "scene_id", "left")  # a row a scene
+    rows = records.join(lent, "scene_id", "left")
     rows = rows.withColumn("lent", F.when(~F.exists("potential_indicators", lambda i: i.zone_id.eqNullSafe(F.col("lent"))), F.col("lent")))
     rows = rows.withColumns({k: v for k, v in _brief(config).items() if k != "id"})
     rows = _planted(rows, BRIEF_FAULTS, BRIEF_FIELDS, shift)
@@ -164,11 +164,11 @@ def given(planted: DataFrame) -> DataFrame:
 
 def verdicts(records: DataFrame, config: Config, shift: int = 0) -> DataFrame:
     """scene_id, ord, kind (brief or ranking), fault, family, expected and ok of every planted output."""
-    records = once(records)
+    records = kept(records, "records")
     briefs, ranking = planted_briefs(records, config, shift), planted_ranking(records, shift)
-    on_briefs = validate.brief_issues(given(briefs), records, config).select("scene_id", F.expr(f"ord div {validate.PER_BRIEF}").alias("ord"), "rule")
-    missing = validate.missing_briefs(given(briefs), records).select("scene_id", (F.col("ord") - validate.STEP * validate.STEP).alias("ord"), "rule")
-    on_ranks = validate.ranking_issues(given(ranking), records).select("scene_id", (F.col("ord") % (validate.STEP * validate.STEP)).alias("ord"), "rule")
+    on_briefs = validate.brief_issues(given(briefs), records, config).select("scene_id", F.expr(f"ord div {validate.PLACES}").alias("ord"), "rule")
+    missing = validate.missing_briefs(given(briefs), records).select("scene_id", (F.col("ord") - validate.BLOCK).alias("ord"), "rule")
+    on_ranks = validate.ranking_issues(given(ranking), records).select("scene_id", (F.col("ord") % (validate.BLOCK)).alias("ord"), "rule")
 
     def judged(planted: DataFrame, key: str, issues: DataFrame, kind: str) -> DataFrame:
         rules = issues.groupBy("scene_id", F.col("ord").alias(key)).agg(F.collect_set("rule").alias("rules"))
@@ -200,7 +200,7 @@ def timed(stages: dict[str, Callable[[], object]], repeat: int) -> list[tuple[st
 def stages(read: Callable[[], DataFrame], assessed: Callable[[DataFrame], DataFrame], config: Config) -> dict[str, Callable[[], object]]:
     """The four stages that are timed: load, cross-reference, validate the ranking, validate the report. Each runs to its end."""
     done = lambda df: df.write.format("noop").mode("overwrite").save()
-    records = once(assessed(read()))
+    records = kept(assessed(read()), "records")
     prose = clean_prose(records)
     return {
         "load": lambda: done(read()), "cross_reference": lambda: done(assessed(read())),

@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 from skerry.functions import text as T
 from skerry.operators import dossier
 from skerry.schemas import BLOCKER, CANDIDATES, WARNING, Config
+from skerry.sources import files
 
 TOLERANCE_DEG = 0.001
-STEP = 1_000_000
+PLACES, BLOCK = 1 << 20, 1 << 60
+"""Issues of one output are numbered within so many places; kinds of issues within blocks of so many."""
 
 
 def latest(records: DataFrame) -> DataFrame:
-    """One record for each id of a scene: of equal ids the last."""
+    """One record for each id of a scene: of equal ids the last. Select what is needed first: all columns are dealt by id."""
     by = Window.partitionBy("scene_id", "id").orderBy(F.desc("ord"))
     return records.withColumn("_r", F.row_number().over(by)).filter("_r = 1").drop("_r")
 
@@ -28,9 +30,15 @@ def reasons(indicators: str = "potential_indicators") -> Column:
     return F.array_join(F.transform(indicators, lambda i: i.reason), " ")
 
 
-def _facts(records: DataFrame) -> DataFrame:
-    """Records with what the rules ask of them, columns prefixed r_."""
-    rows, said = latest(records), reasons()
+_ASKED = (
+    "scene_id", "id", "ord", "classification", "ais", "lat", "lon", "estimated_length_m", "potential_indicators", "ais_indicator_suppressed"
+)
+
+
+def facts_of(records: DataFrame) -> DataFrame:
+    """What the rules ask of each record (of equal ids the last), columns prefixed r_. Rules on one set of records share it: keep
+    it once (`files.kept`) where several are evaluated."""
+    rows, said = latest(records.select(*_ASKED)), reasons()
     silent = F.col("ais_indicator_suppressed") & (F.size("potential_indicators") == 0)
     facts = {
         "r_ord": F.col("ord"), "r_class": F.col("classification"), "r_ais": F.col("ais"), "r_lat": F.col("lat"), "r_lon": F.col("lon"),
@@ -47,10 +55,6 @@ def _issue(when: Column, severity, rule: str, message) -> Column:
     return F.when(when, F.struct(level.alias("severity"), F.lit(rule).alias("rule"), say.alias("message")))
 
 
-PER_BRIEF = 10_000
-"""Issues of one brief are numbered within so many places."""
-
-
 def _alien(rows: DataFrame, facts: DataFrame) -> DataFrame:
     """rows with alien: the anchors that a brief cites, its own record lacks and another detection has, each with the last owner."""
     owners = facts.select("scene_id", F.explode("r_anchors").alias("anchor"), "id", "r_ord")
@@ -119,9 +123,10 @@ def _line_rules(config: Config) -> Column:
     ))
 
 
-def brief_issues(briefs: DataFrame, records: DataFrame, config: Config) -> DataFrame:
-    """Rules on single briefs (scene_id, brief_ord, id, position, priority, indicators, regulation_concerned, suggested_action, caveat)."""
-    facts = _facts(records)
+def brief_issues(briefs: DataFrame, records: DataFrame, config: Config, facts: DataFrame | None = None) -> DataFrame:
+    """Rules on single briefs (scene_id, brief_ord, id, position, priority, indicators, regulation_concerned, suggested_action, caveat).
+    facts: those of the records, where they are kept already."""
+    facts = facts_of(records) if facts is None else facts
     rows = briefs.join(facts.withColumn("r_found", F.lit(True)), ["scene_id", "id"], "left")
     rows = rows.withColumns({
         "regulation": T.stripped("regulation_concerned"), "caveat": T.stripped("caveat"), "action": T.stripped("suggested_action"),
@@ -133,50 +138,72 @@ def brief_issues(briefs: DataFrame, records: DataFrame, config: Config) -> DataF
     missing = F.array(F.struct(F.lit(BLOCKER).alias("severity"), F.lit("V0").alias("rule"), F.lit("its id is not in the dossier").alias("message")))
     every = F.when(F.col("r_found"), F.array_compact(F.concat(F.array(*_brief_rules(config)), _line_rules(config)))).otherwise(missing)
     found = rows.select("scene_id", "id", "brief_ord", F.posexplode(every).alias("k", "i"))
-    place, order = F.concat(F.lit("brief "), F.coalesce("id", F.lit("?"))), (F.col("brief_ord") * PER_BRIEF + F.col("k")).cast("bigint")
+    place, order = F.concat(F.lit("brief "), F.coalesce("id", F.lit("?"))), (F.col("brief_ord") * PLACES + F.col("k")).cast("bigint")
     return found.select("scene_id", "i.severity", place.alias("place"), "i.message", "i.rule", order.alias("ord"))
 
 
 def missing_briefs(briefs: DataFrame, records: DataFrame) -> DataFrame:
-    wanted = dossier.candidates(records).join(briefs.select("scene_id", "id"), ["scene_id", "id"], "left_anti")
+    wanted = dossier.candidates(records.select("scene_id", "id", "ord", "classification")).join(briefs.select("scene_id", "id"), ["scene_id", "id"], "left_anti")
     severity = F.when(F.col("classification") == "high_priority", BLOCKER).otherwise(WARNING)
     place, message = F.concat(F.lit("brief "), "id"), F.concat("classification", F.lit(" record has no brief"))
-    order = (F.lit(STEP * STEP) + F.col("ord")).cast("bigint")
+    order = (F.lit(BLOCK) + F.col("ord")).cast("bigint")
     return wanted.select("scene_id", severity.alias("severity"), place.alias("place"), message.alias("message"), F.lit("V13").alias("rule"), order.alias("ord"))
 
 
-def wrong_claims(prose: DataFrame, records: DataFrame, place: str, rule: str, id_pattern: str = T.ID) -> DataFrame:
+def wrong_claims(prose: DataFrame, records: DataFrame, place: str, rule: str, id_pattern: str = T.ID, facts: DataFrame | None = None) -> DataFrame:
     """Ids that prose (scene_id, prose) lists under a class that is not theirs; each once."""
+    if facts is None:
+        own = latest(records.select("scene_id", "id", "ord", "classification")).select("scene_id", "id", "classification")
+    else:
+        own = facts.select("scene_id", "id", F.col("r_class").alias("classification"))
     said = prose.select("scene_id", F.posexplode(T.claims(F.coalesce("prose", F.lit("")), id_pattern)).alias("k", "c"))
     ids = F.regexp_extract_all(F.col("c.listed"), F.lit(rf"(?U)\b{id_pattern}\b"), F.lit(0))
     said = said.select("scene_id", "k", F.col("c.claimed").alias("claimed"), F.posexplode(ids).alias("j", "id"))
-    rows = said.join(latest(records).select("scene_id", "id", "classification"), ["scene_id", "id"]).filter("classification <> claimed")
-    rows = rows.groupBy("scene_id", "id", "claimed", "classification").agg(F.min(F.col("k") * 1000 + F.col("j")).cast("bigint").alias("ord"))
+    rows = said.join(own, ["scene_id", "id"]).filter("classification <> claimed")
+    rows = rows.groupBy("scene_id", "id", "claimed", "classification").agg(F.min(F.col("k") * PLACES + F.col("j")).cast("bigint").alias("ord"))
     message = F.concat("id", F.lit(" is "), "classification", F.lit(" but is listed among "), "claimed", F.lit(" records"))
     return rows.select("scene_id", F.lit(WARNING).alias("severity"), F.lit(place).alias("place"), message.alias("message"), F.lit(rule).alias("rule"), "ord")
 
 
-def silent_in_prose(prose: DataFrame, records: DataFrame, place: str, rule: str) -> DataFrame:
+def named_in(prose: DataFrame, ids: DataFrame) -> DataFrame:
+    """scene_id and id of the ids (scene_id, id) that stand in their scene's prose (scene_id, prose), wherever.
+
+    Many ids meet a prose at once: its substrings of each length that an id of the scene has are joined with the ids, so work is
+    the prose's length times the number of lengths, not times the number of ids.
+    """
+    text = F.coalesce("prose", F.lit(""))
+    lengths = ids.select("scene_id", F.char_length("id").alias("n")).distinct()
+    cut = prose.select("scene_id", text.alias("t")).join(lengths, "scene_id").filter("char_length(t) >= n")
+    grams = cut.select("scene_id", F.explode(F.expr("transform(sequence(1, char_length(t) - n + 1), i -> substring(t, i, n))")).alias("id")).distinct()
+    return ids.join(grams, ["scene_id", "id"]).select("scene_id", "id")
+
+
+def silent_in_prose(prose: DataFrame, records: DataFrame, place: str, rule: str, facts: DataFrame | None = None) -> DataFrame:
     """Ids that must not be named but are, in order."""
-    ids = dossier.silent(latest(records)).select("scene_id", "id")
-    rows = ids.join(prose, "scene_id").filter(F.contains(F.coalesce("prose", F.lit("")), F.col("id")))
-    order = F.row_number().over(Window.partitionBy("scene_id").orderBy("id")).cast("bigint")
+    if facts is None:
+        own = latest(records.select("scene_id", "id", "ord", "ais_indicator_suppressed", "potential_indicators"))
+        ids = dossier.silent(own).select("scene_id", "id")
+    else:
+        ids = facts.filter("r_silent").select("scene_id", "id")
+    order = F.row_number().over(Window.partitionBy("scene_id").orderBy("id")).cast("bigint")  # of the ids that a prose names
     message = F.concat("id", F.lit(" has its AIS indicator suppressed and nothing else, yet is named"))
-    return rows.select(
+    return named_in(prose, ids).select(
         "scene_id", F.lit(BLOCKER).alias("severity"), F.lit(place).alias("place"), message.alias("message"), F.lit(rule).alias("rule"),
         order.alias("ord")
     )
 
 
 def _shift(issues: DataFrame, block: int) -> DataFrame:
-    return issues.withColumn("ord", F.col("ord") + F.lit(block * STEP * STEP))
+    return issues.withColumn("ord", F.col("ord") + F.lit(block * BLOCK))
 
 
 def report_issues(briefs: DataFrame, prose: DataFrame, records: DataFrame, config: Config, id_pattern: str = T.ID) -> DataFrame:
     """All issues of reports: briefs, then what is missing, then the narrative (scene_id, prose)."""
+    facts = files.kept(facts_of(records), "facts")
     parts = [
-        brief_issues(briefs, records, config), missing_briefs(briefs, records),
-        _shift(wrong_claims(prose, records, "narrative", "V14a", id_pattern), 2), _shift(silent_in_prose(prose, records, "narrative", "V14b"), 3)
+        brief_issues(briefs, records, config, facts), missing_briefs(briefs, records),
+        _shift(wrong_claims(prose, records, "narrative", "V14a", id_pattern, facts), 2),
+        _shift(silent_in_prose(prose, records, "narrative", "V14b", facts), 3)
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -194,7 +221,8 @@ def figures(records: DataFrame) -> Column:
 
 def ranking_issues(ranked: DataFrame, records: DataFrame) -> DataFrame:
     """Issues of rankings (scene_id, rank_ord, id, reason): what is no candidate, foreign figures, candidates left out."""
-    facts = latest(records).select("scene_id", "id", F.col("ord").alias("r_ord"), F.col("classification").alias("r_class"), figures(records).alias("r_figures"))
+    own = records.select("scene_id", "id", "ord", "classification", figures(records).alias("r_figures"))
+    facts = latest(own).select("scene_id", "id", F.col("ord").alias("r_ord"), F.col("classification").alias("r_class"), "r_figures")
     rows = ranked.join(facts, ["scene_id", "id"], "full")  # a record that nobody ranked comes without a rank
     given, cited = F.col("rank_ord").isNotNull(), T.anchors(F.col("reason"))
     is_candidate = F.col("r_class").isin(*CANDIDATES)
@@ -202,7 +230,7 @@ def ranking_issues(ranked: DataFrame, records: DataFrame) -> DataFrame:
     place = F.concat(F.lit("prioritised "), F.coalesce("id", F.lit("None")))
 
     def issue(when: Column, severity, where: Column, message: Column, rule: str, block: int) -> Column:
-        order = F.coalesce("rank_ord", "r_ord").cast("bigint") + F.lit(block * STEP * STEP)
+        order = F.coalesce("rank_ord", "r_ord").cast("bigint") + F.lit(block * BLOCK)
         level = severity if isinstance(severity, Column) else F.lit(severity)
         return F.when(when, F.struct(level.alias("severity"), where.alias("place"), message.alias("message"), F.lit(rule).alias("rule"), order.alias("ord")))
 

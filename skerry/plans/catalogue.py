@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from skerry.functions import geo, temporal
+from skerry.functions import geo, sql, temporal
 from skerry.functions import text as T
 from skerry.operators import assess, dataset, dossier, harness, order, raster, responses, spatial, validate
 from skerry.plans.derive import CONFIG, GEOMETRY, REGULATION, ZONES, detections, read, structures
@@ -226,7 +226,7 @@ def score_factors(spark, d):
 @query
 def record_order(spark, d):
     """Places in one scene that holds all records, and in each day's; no task holds a scene."""
-    rows = records(spark, d).select("scene_id", "ord", "classification", "score")
+    rows = files.kept(records(spark, d).select("scene_id", "ord", "classification", "score"))
     whole = dossier.ordered(rows.withColumn("scene_id", F.lit("all"))).select("ord", F.col("pos").alias("place"))
     return dossier.ordered(rows).select("ord", "pos").join(whole, "ord")
 
@@ -336,7 +336,7 @@ def json_repair_parse(spark, d):
 
 def judged(spark, d: str) -> DataFrame:
     """Records, assessed once for all rules."""
-    return harness.once(records(spark, d))
+    return files.kept(records(spark, d), "records")
 
 
 def all_report_issues(spark, d: str) -> DataFrame:
@@ -550,6 +550,30 @@ def split_assignment(spark, d):
     return dataset.split(read(spark, d, "labels").select(F.col("doc_id").alias("name"), "quality"), 0.34, 7).select("name", "part")
 
 
+@query
+def split_checks(spark, d):
+    """Two parts that share nothing, hold all, and have the size that was asked for; another seed gives another split."""
+    names = read(spark, d, "labels").select(F.col("doc_id").alias("name"))
+    one, two = dataset.split(names, 0.34, 7), dataset.split(names, 0.34, 8).withColumnRenamed("part", "other")
+    both = one.join(two, "name", "full")
+    is_val = F.col("part") == "val"
+    return both.agg(
+        F.count_if(is_val).alias("val"), F.count_if(F.col("part") == "train").alias("train"), F.count_distinct("name").alias("names"),
+        F.count_if(F.col("other") == "val").alias("other_val"), (F.count_if(is_val & (F.col("other") == "train")) > 0).alias("differ")
+    )
+
+
+@query
+def drawn_targets(spark, d):
+    """Scenes drawn from seeds, one a nation: whether each has two to five targets, and whether detection finds all of them."""
+    targets = raster.draw_targets(read(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("chip_id")), size=96, seed=7)
+    targets = files.kept(targets)
+    found = raster.recalled(targets, raster.blobs(raster.synthetic(spark, targets, size=96, seed=3)))
+    hits = found.groupBy("chip_id").agg(F.count("*").alias("hits"))
+    per = targets.groupBy("chip_id").agg(F.count("*").alias("n")).join(hits, "chip_id", "left")
+    return per.select("chip_id", F.col("n").between(2, 5).alias("drawn"), (F.coalesce("hits", F.lit(0)) == F.col("n")).alias("all_found"))
+
+
 @query
 def labelled_chips(spark, d):
     images = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("stem"))
@@ -609,6 +633,25 @@ def scene_conditions(spark, d):
     )
 
 
+@query
+def scene_environment(spark, d):
+    """What the environment of a scene is for, and what it cannot see."""
+    rows = scenes.scene_rows(scenes.read_scenes(spark, scene_files(spark, d)))
+    rows = temporal.conditions(rows, CONFIG).withColumn("day", temporal.scene_date(F.col("timestamp")).cast("string"))
+    return rows.select("day", "source", "mode", "area", "role", "sensor_scope", "cross_check_required")
+
+
+OVERLAY = {"_note": "raised for the season", "ais_dark": 45, "zone_violation": 33}
+
+
+@query
+def overlaid_weights(spark, d):
+    """Scores by a document that sets two weights; the others keep their defaults, and notes are passed over."""
+    own = scenes.configuration(REGULATION["config"] | {"score_weights": OVERLAY})
+    rows = assess.assess(detections(spark, d), ZONES, own, structures(spark, d))
+    return rows.select("ord", "score", "classification")
+
+
 def regulation_file(spark, d: str) -> str:
     """The regulation as a document, with suppliers as its structures."""
     path = files.scratch(spark, "regulation")
@@ -705,6 +748,19 @@ def feed_window(spark, d):
     return rows.groupBy(_day()).agg(F.count("*").alias("n"), F.min("lat").alias("south"), F.max("lon").alias("east"))
 
 
+@query
+def feed_records(spark, d):
+    """Records of what the feed gives: whose vessel it is, where the feed is sure of the match."""
+    answers = feed_bodies(spark, d)
+    url, first, last = feed_folder(spark, answers, answers)
+    rows = scenes.usable(feed.mapped(feed.load(spark, url=url, start=first, end=last, limit=LIMIT, bbox=BOX)))
+    rows = assess.assess(rows.withColumn("scene_id", F.col("day").cast("string")), ZONES, CONFIG)
+    return rows.select(
+        _day(), "ord", "id", "ais_status", "jurisdiction", F.col("identity.mmsi").alias("mmsi"), F.col("identity.name").alias("name"),
+        F.col("identity.flag").alias("flag")
+    )
+
+
 @query
 def feed_pass(spark, d):
     """What is read, used and left out, counted by the pass that reads the feed."""
@@ -778,6 +834,17 @@ def chip_files(spark, d):
     )
 
 
+@query
+def chip_ranges(spark, d):
+    """One chip that holds all others, as a file of which each task reads a range of bytes."""
+    path = files.scratch(spark, "strip")
+    scenes.write_chips(strip(spark, d), path)
+    rows = scenes.read_chips(spark, path, split=1 << 16)
+    return rows.withColumn("part", F.expr("col div 256")).groupBy("chip_id", "rows_n", "cols_n", "part").agg(
+        F.count("*").alias("n"), F.round(F.sum(F.col("value") * (F.col("row") * 256 + F.col("col") % 256 + 1)), 6).alias("weighed")
+    )
+
+
 @query
 def label_files(spark, d):
     """Label files of a data set, by stem and line."""
@@ -786,13 +853,54 @@ def label_files(spark, d):
 
 @query
 def manifest_totals(spark, d):
-    rows = scenes.read_manifest(spark, f"{data_set(spark, d)}/manifest.json")
+    """What a manifest counts, and what its entries, which lie in parts beside it, add up to."""
+    path = data_set(spark, d)
+    head = scenes.read_manifest(spark, f"{path}/manifest.json")
     at = lambda p: F.get_json_object("manifest", p)
-    return rows.select(
-        at("$.chips").cast("long").alias("chips"), at("$.candidate_labels_total").cast("long").alias("labels"), dataset.pending().alias("pending")
+    listed = scenes.manifest_entries(spark, path).agg(
+        F.count_if(F.col("review_status") == "pending").alias("pending"), F.count_if(F.col("candidate_labels") > 0).alias("labelled"),
+        F.max("candidate_labels").alias("most")
+    )
+    return head.select(at("$.chips").cast("long").alias("chips"), at("$.candidate_labels_total").cast("long").alias("labels")).crossJoin(listed)  # a row each
+
+
+@query
+def sql_distances(spark, d):
+    """Distances by SQL text over a function of the session."""
+    sql.install(spark)
+    lat, lon, _ = CONFIG.base
+    rows = detections(spark, d).select("ord", "lat", "lon")
+    return spark.sql(
+        f"SELECT ord, distance_km({lat}e0, {lon}e0, lat, lon) AS distance_from_base_km FROM {{rows}} WHERE distance_km({lat}e0, {lon}e0, lat, lon) <= 60", rows=rows
+    )
+
+
+@query
+def sql_wording(spark, d):
+    """Wording by SQL text: how many documents and turns invoke the duty to carry AIS."""
+    sql.install(spark)
+    docs, turns = _documents(spark, d), read(spark, d, "conversations")
+    return spark.sql(
+        """SELECT 'document' AS kind, mentions_ais(text) AS cited, count(*) AS n FROM {docs} GROUP BY ALL
+        UNION ALL SELECT 'turn', mentions_ais(text), count(*) FROM {turns} GROUP BY ALL""", docs=docs, turns=turns
     )
 
 
+@query
+def sql_anchors(spark, d):
+    """Anchors by SQL text over a table function, joined laterally."""
+    sql.install(spark)
+    return spark.sql("SELECT doc_id, anchor FROM {docs} AS d, LATERAL anchors_of(d.text)", docs=_documents(spark, d))
+
+
+@query
+def sql_claims(spark, d):
+    """Claims in the prose of all records by SQL text over a table function."""
+    sql.install(spark)
+    prose = claimed_prose(records(spark, d).select("ord", "id", "classification"))
+    return spark.sql("SELECT scene_id, claimed, id FROM {prose} AS p, LATERAL claims_of(p.prose)", prose=prose)
+
+
 @query
 def prepared_dataset(spark, d):
     """The labelled chips of a data set, split in two."""

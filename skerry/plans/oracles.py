@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from skerry.functions import temporal
 from skerry.functions.geo import parts_of, ring_edges
 from skerry.plans.derive import CONFIG, GEOMETRY, ZONES
 from skerry.sources.scenes import REGION
@@ -599,6 +600,12 @@ su AS (SELECT *, CASE WHEN NOT in_season THEN 'out_of_season' WHEN light <= 0.25
   FROM li)"""
 _WHY = f"""CASE suitability WHEN 'out_of_season' THEN 'outside the season ({_SEASON}): the moon raises no priority while the fishery is closed' WHEN 'high' THEN moon_phase || ': dark night (' || pct || ' lit) with spring tides, in season'
   WHEN 'moderate' THEN moon_phase || ', in season: ' || CASE WHEN light <= 0.25e0 THEN 'a dark night' ELSE 'spring tides' END || ' only' ELSE moon_phase || ': bright night (' || pct || ' lit) near neap tides' END"""
+
+
+def _text(words: str) -> str:
+    return "'" + words.replace("'", "''") + "'"
+
+
 # Entries of a day are numbered by position and text; texts at one position differ in the length first, then in the id.
 _BY_TEXT = "CAST(row_number() OVER (PARTITION BY scene_id ORDER BY lat, lon, CAST(estimated_length_m AS VARCHAR), id) - 1 AS BIGINT)"
 _FED = f"""WITH {DET}, fe AS (SELECT *, ord % 5 AS k, {_BY_TEXT} AS place FROM det),
@@ -636,6 +643,17 @@ CASE WHEN k = 0 AND matched THEN likely_gear ELSE 'unknown' END AS likely_gear,
   matched THEN id END AS vessel_name, CASE WHEN k = 0 AND matched THEN 'ESP' END AS flag FROM fm WHERE usable""",
     "feed_window": f"""{_FED} SELECT CAST(day AS VARCHAR) AS day, count(*) AS n, min(lat) AS south, max(lon) AS east FROM fm
 WHERE day >= DATE '2024-01-10' AND day < DATE '2024-01-20' AND lat > 36.5e0 AND lon <= -6.75e0 GROUP BY day""",
+    "scene_environment": f"""WITH {DET} SELECT DISTINCT CAST(day AS VARCHAR) AS day, 'radar' AS source, 'survey' AS mode, '{CONFIG.study_area}' AS area,
+  {_text(temporal.ROLE)} AS role, {_text(temporal.SCOPE)} AS sensor_scope, {_text(temporal.CROSS_CHECK)} AS cross_check_required FROM det""",
+    "overlaid_weights": f"""{ASSESS}, more AS (SELECT ord, sum(CASE kind WHEN 'ais' THEN 5 WHEN 'zone' THEN 3 ELSE 0 END) AS extra FROM ind GROUP BY ord)
+SELECT ord, CAST(score + coalesce(extra, 0) AS INTEGER) AS score, classification FROM rec LEFT JOIN more USING (ord)""",
+    "split_checks": """SELECT greatest(1, CAST(floor(count(*) * 0.34e0) AS BIGINT)) AS val, count(*) - greatest(1, CAST(floor(count(*) * 0.34e0) AS BIGINT)) AS train,
+  count(*) AS names, greatest(1, CAST(floor(count(*) * 0.34e0) AS BIGINT)) AS other_val, true AS differ FROM labels""",
+    "drawn_targets": "SELECT CAST(n_nationkey AS VARCHAR) AS chip_id, true AS drawn, true AS all_found FROM nation",
+    "feed_records": f"""{_FED} SELECT CAST(day AS VARCHAR) AS day, place AS ord, CASE WHEN k = 4 THEN printf('GFW-%04d', place) ELSE id END AS id,
+  CASE WHEN matched IS NULL THEN 'unknown' WHEN matched THEN 'matched' ELSE 'dark' END AS ais_status,
+  CASE WHEN k = 0 AND matched THEN 'ESP' ELSE 'unknown' END AS jurisdiction, CASE WHEN k = 0 AND matched THEN id END AS mmsi,
+  CASE WHEN k = 0 AND matched THEN id END AS name, CASE WHEN k = 0 AND matched THEN 'ESP' END AS flag FROM fm WHERE usable""",
     "feed_pass": f"""{_FED} SELECT CAST(day AS VARCHAR) AS day, count(*) FILTER (usable) AS n,
 (SELECT count(*) FILTER (usable) FROM fm) AS mapped, (SELECT count(*) FILTER (NOT usable) FROM fm) AS skipped FROM fm GROUP BY day HAVING n > 0""",
     "feed_skipped": f"{_FED} SELECT count(*) FILTER (usable) AS mapped, count(*) FILTER (NOT usable) AS skipped FROM fm",
@@ -676,9 +694,17 @@ FROM g LEFT JOIN sp USING (scene_id) LEFT JOIN fc USING (scene_id) JOIN su USING
 SELECT CAST(chip_id AS VARCHAR) AS stem, CAST(row_number() OVER (PARTITION BY chip_id ORDER BY blob) AS INTEGER) AS line_no,
   printf('0 %.6f %.6f %.6f %.6f', (x0 + x1 + 1) / 2 / 8, (y0 + y1 + 1) / 2 / 8, (x1 - x0 + 1) / 8, (y1 - y0 + 1) / 8) AS line
   FROM bx""",
-    "manifest_totals": f"""WITH RECURSIVE {_BLOBS}, c AS (SELECT count(DISTINCT vec_id) AS n FROM embeddings) SELECT n AS chips, (SELECT count(*) FROM
-  blob) AS labels, CAST(n AS
-  INTEGER) AS pending FROM c""",
+    "chip_ranges": f"""WITH {_STRIP} SELECT 'strip' AS chip_id, 8 AS rows_n, CAST((SELECT 8 * count(*) FROM embeddings) AS INTEGER) AS cols_n, CAST(col // 256 AS BIGINT) AS part,
+  count(*) AS n, round(sum(value * (row * 256 + col % 256 + 1)), 6) AS weighed FROM px GROUP BY col // 256""",
+    "manifest_totals": f"""WITH RECURSIVE {_BLOBS}, c AS (SELECT count(DISTINCT vec_id) AS n FROM embeddings),
+l AS (SELECT chip_id, count(*) AS k FROM blob GROUP BY chip_id)
+SELECT n AS chips, (SELECT count(*) FROM blob) AS labels, n AS pending, (SELECT count(*) FROM l) AS labelled, (SELECT max(k) FROM l) AS most FROM c""",
+    "sql_distances": f"WITH {DET} SELECT ord, {_BASE_KM} AS distance_from_base_km FROM det WHERE {_BASE_KM} <= 60",
+    "sql_wording": f"""SELECT 'document' AS kind, regexp_matches(lower(coalesce(text, '')), '{_AIS}') AS cited, count(*) AS n FROM documents GROUP BY ALL
+UNION ALL SELECT 'turn', regexp_matches(lower(coalesce(text, '')), '{_AIS}'), count(*) FROM conversations GROUP BY ALL""",
+    "sql_anchors": f"SELECT doc_id, unnest({_anchors("coalesce(text, '')")}) AS anchor FROM documents",
+    "sql_claims": f"""{ASSESS}, c AS (SELECT 'S' || ord AS scene_id, id, unnest(CASE WHEN ord % 7 = 0 THEN ['high_priority',
+  'medium_priority'] WHEN {_CANDIDATE} THEN [classification] ELSE [] END) AS claimed FROM rec) SELECT scene_id, claimed, id FROM c""",
     "prepared_dataset": f"""WITH RECURSIVE {_BLOBS}, u AS (SELECT DISTINCT CAST(chip_id AS VARCHAR) AS name FROM blob), r AS (SELECT name, row_number()
   OVER (ORDER BY md5('7:' ||
   name), name) AS k, count(*) OVER () AS n FROM u)

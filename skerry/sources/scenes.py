@@ -8,10 +8,10 @@ from collections.abc import Iterator
 from datetime import date, timedelta
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from skerry.schemas import SCENE_DOCUMENT, STRUCTURES, Config, Season, Weights, Zone
 from skerry.sources import files
@@ -232,27 +232,93 @@ def load_detections(spark: SparkSession, path: str, source: str = "local", seen:
 # --- chips and labels ------------------------------------------------------------------------------------------------------
 
 
-def read_chips(spark: SparkSession, path: str) -> DataFrame:
+SPLIT = 64 << 20
+"""Bytes of a chip's file that a task reads."""
+
+
+class ChipReader(DataSourceReader):
+    """Pixels of .npy files: a large file is read by several tasks, each the rows (of one in Fortran order, the columns) in its
+    range of bytes; small ones are read several by a task."""
+
+    def __init__(self, path: str, split: int) -> None:
+        self.path, self.split = path, split
+        files.store_of(path)
+
+    def partitions(self) -> list[InputPartition]:
+        from pyarrow import fs
+
+        store, root = files.store_of(self.path)
+        listed = store.get_file_info(fs.FileSelector(root))
+        out, small, size = [], [], 0
+        for f in sorted((f for f in listed if f.is_file and f.base_name.endswith(".npy")), key=lambda f: f.path):
+            parts = -(-f.size // self.split)
+            if parts > 1:
+                out += [InputPartition([(f.path, k, parts)]) for k in range(parts)]
+                continue
+            small.append((f.path, 0, 1))
+            size += f.size
+            if size >= self.split:
+                out.append(InputPartition(small))
+                small, size = [], 0
+        return out + [InputPartition(small)] * bool(small) or [InputPartition([])]
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        store, _ = files.store_of(self.path)
+        for path, k, parts in partition.value:
+            with store.open_input_file(path) as held:
+                yield from _chip_part(held, path, k, parts)
+
+
+PIXEL_ROWS = 1 << 20
+
+
+def _chip_part(held, path: str, k: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Part k of a chip's pixels, in batches."""
+    version = np.lib.format.read_magic(held)
+    read_header = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
+    shape, by_column, kind = read_header(held)
+    if len(shape) != 2:
+        raise ValueError(f"{path}: a chip has two dimensions, not {len(shape)}")
+    if kind.hasobject:
+        raise ValueError(f"{path}: pixels must be numbers")
+    begin, (lines, length) = held.tell(), shape[::-1] if by_column else shape
+    first, last = lines * k // parts, lines * (k + 1) // parts
+    step = max(1, PIXEL_ROWS // max(length, 1))
+    for at in range(first, last, step):
+        n = min(step, last - at)
+        held.seek(begin + at * length * kind.itemsize)
+        values = np.frombuffer(held.read(n * length * kind.itemsize), dtype=kind).astype(np.float64)
+        line, along = np.divmod(np.arange(n * length, dtype=np.int32), np.int32(length))
+        line += at
+        row, col = (along, line) if by_column else (line, along)
+        same = lambda x, t: pa.repeat(pa.scalar(x, t), n * length)  # noqa: E731, B023
+        yield pa.RecordBatch.from_arrays([
+            same(path.rpartition("/")[2][:-4], pa.string()), same(shape[0], pa.int32()), same(shape[1], pa.int32()), pa.array(row, pa.int32()),
+            pa.array(col, pa.int32()), pa.array(values)
+        ], names=["chip_id", "rows_n", "cols_n", "row", "col", "value"])
+
+
+class Chips(DataSource):
+    """`spark.read.format("npy_chips")`: pixels of the .npy files in the folder path; split: bytes of a file that a task reads."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "npy_chips"
+
+    def schema(self) -> str:
+        return "chip_id string, rows_n int, cols_n int, row int, col int, value double"
+
+    def reader(self, schema) -> DataSourceReader:
+        return ChipReader(self.options["path"], int(self.options.get("split", SPLIT)))
+
+
+def read_chips(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:
     """Pixels of .npy chips in a folder: chip_id (the file's stem), rows_n, cols_n, row, col, value.
 
-    Rows of a chip come in reading order; `chip_paths` gives the chips themselves in order.
+    A chip of more than split bytes is read by several tasks. `chip_paths` gives the chips themselves in order.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select("path", "content")
-
-    def pixels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, content in zip(batch["path"], batch["content"], strict=True):
-                image = np.load(io.BytesIO(content))
-                if image.ndim != 2:
-                    raise ValueError(f"{name}: a chip has two dimensions, not {image.ndim}")
-                rows, cols = image.shape
-                y, x = np.divmod(np.arange(rows * cols), cols)
-                yield pd.DataFrame({
-                    "chip_id": name.rsplit("/", 1)[-1][:-4], "rows_n": rows, "cols_n": cols, "row": y, "col": x,
-                    "value": image.astype(np.float64).ravel()
-                })
-
-    return files.mapInPandas(pixels, "chip_id string, rows_n int, cols_n int, row int, col int, value double")
+    spark.dataSource.register(Chips)
+    return spark.read.format("npy_chips").option("split", split).load(files.qualified(spark, path))
 
 
 def chip_paths(spark: SparkSession, path: str) -> DataFrame:
@@ -290,6 +356,19 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).withColumnRenamed("value", "manifest")
 
 
+ENTRIES = "manifest"
+_ENTRY = "name string, candidate_labels bigint, review_status string"
+
+
+def manifest_entries(spark: SparkSession, path: str) -> DataFrame:
+    """name, candidate_labels, review_status: the entries of the manifest of a data set in a folder, which are in the manifest or
+    beside it in parts."""
+    if files.exists(spark, f"{path}/{ENTRIES}"):
+        return spark.read.schema(_ENTRY).option("mode", "FAILFAST").json(f"{path}/{ENTRIES}")
+    held = F.from_json(F.get_json_object("manifest", "$.entries"), f"array<struct<{_ENTRY.replace(' string', ':string').replace(' bigint', ':bigint')}>>")
+    return read_manifest(spark, f"{path}/manifest.json").select(F.explode(held).alias("e")).select("e.*")
+
+
 def write_documents(detections: DataFrame, path: str, source: str = "", mode: str = "", area: str = "") -> None:
     """Scene documents that read_scenes reads back, one a scene: detections with scene_id, ord and day, in the order of ord."""
     fields = [c for c in DETECTION_FIELDS if c in detections.columns]
