@@ -219,3 +219,32 @@ def op11(spark, sf_dir: str) -> DataFrame:
                 )
 
     return common.map_batches(rows, run, OP11)
+
+
+# Four words in a row that stand again q words further on; stretches of such places are stretches with period q, less three words.
+ORACLE = f"""
+WITH RECURSIVE bits(i, k, c) AS (SELECT i, 0, CAST(i AS BIGINT) FROM (SELECT unnest(range(256)) AS i) UNION ALL
+       SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END FROM bits WHERE k < 8),
+     crc(doc_id, s, at_byte, c) AS (SELECT DISTINCT doc_id, CAST(doc_id AS VARCHAR), 0, CAST(4294967295 AS BIGINT) FROM documents UNION ALL
+       SELECT doc_id, s, at_byte + 1, xor(crc.c >> 8, b.c) FROM crc JOIN bits AS b ON b.k = 8 AND b.i = xor(crc.c % 256, CAST(ascii(substr(s, at_byte + 1, 1)) AS BIGINT))
+       WHERE at_byte < length(s)),
+     h AS (SELECT doc_id, xor(c, CAST(4294967295 AS BIGINT)) AS h FROM crc WHERE at_byte = length(s)),
+     d AS (SELECT doc_id, h, h // 10 AS g, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents JOIN h USING (doc_id)),
+     e AS (SELECT *, CAST(len(w) AS BIGINT) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN g % len(w) END AS a FROM d),
+     f AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM e),
+     t AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) END AS w FROM f),
+     r4 AS (SELECT doc_id, n, i, array_to_string(w[i + 1 : i + 4], ' ') AS x FROM (SELECT *, unnest(range(n - 3)) AS i FROM t WHERE n >= {LEAST})),
+     pairs AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM r4 AS x JOIN r4 AS y ON y.doc_id = x.doc_id AND y.x = x.x AND y.i > x.i AND {TIMES} * (y.i - x.i) <= x.n),
+     lines AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS line FROM pairs),
+     found AS (SELECT doc_id, min(i) AS start, count(*) + 3 + q AS length, q FROM lines GROUP BY doc_id, q, line),
+     runs AS (SELECT doc_id, start, length, min(q) AS period FROM found WHERE length >= greatest({LEAST}, {TIMES} * q) GROUP BY ALL),
+     top AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) = 1),
+     listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS said FROM runs GROUP BY doc_id),
+     words AS (SELECT doc_id, i, w[i + 1] AS word FROM (SELECT doc_id, w, unnest(range(n)) AS i FROM t JOIN listed USING (doc_id))),
+     gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+     kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS said FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, CAST(period AS BIGINT) AS period,
+       CAST(1000 * length // period AS BIGINT) AS exponent_milli, sha256(coalesce(listed.said, '')) AS runs_sha256,
+       sha256(coalesce(kept.said, array_to_string(w, ' '))) AS collapsed_sha256
+FROM t LEFT JOIN listed USING (doc_id) LEFT JOIN top USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

@@ -26,6 +26,7 @@ ORACLES: dict[str, str] = {
     "op5_license_scan": licenses.ORACLE,
     "op6_substring_dedup": repeats.ORACLE,
     "op10_mixture": mixture.ORACLE,
+    "op11_periodic_runs": periodic.ORACLE,
     "op12_embedding_near_dedup": polytope.ORACLE,
     "op13_tiered_search": tiers.ORACLE,
 }
