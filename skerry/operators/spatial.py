@@ -133,14 +133,16 @@ def zone_hits(points: DataFrame, zones: DataFrame, keys: list[str], size: float
     Points meet cells by an equi-join. In a cell inside a zone they need no test; in a cell on its border they are tested
     against the edges of their column of cells only, a row an edge, so a zone may have any number of edges.
     """
-    if "parts" not in zones.columns:
+    several = "parts" in zones.columns
+    if not several:
         zones = zones.select("zone_id", F.array(F.array("ring")).alias("parts"))
     columns, border, inside = zone_cover(zone_edges(zones), size)
     slim = points.select(*keys, "lat", "lon", geo.cell(F.col("lat"), size).alias("cy"), geo.cell(F.col("lon"), size).alias("cx"))
     sure = slim.join(inside, ["cy", "cx"]).select(*keys, "zone_id")
     tested = slim.join(border, ["cy", "cx"]).join(columns, ["zone_id", "part", "cx"]).groupBy(*keys, "zone_id", "part")
     found = tested.agg(((_odd() | F.coalesce(F.bool_or(_touched()), F.lit(False))) if edges_inside else _odd()).alias("in")).filter("in")
-    return sure.unionByName(found.select(*keys, "zone_id")).distinct()  # parts may meet
+    hits = sure.unionByName(found.select(*keys, "zone_id"))
+    return hits.distinct() if several else hits  # parts may meet
 
 
 def literal_zone_hits(points: DataFrame, zones: list[Zone], keys: list[str]) -> DataFrame:
