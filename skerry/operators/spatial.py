@@ -57,14 +57,26 @@ def structure_hits(points: DataFrame, structures: DataFrame, keys: list[str]) ->
     return near.withColumn("km", km).filter("km <= s_km")
 
 
-def match_structures(rows: DataFrame, structures: DataFrame, keys: tuple[str, ...] = ("scene_id", "ord")) -> DataFrame:
-    """rows, each named by its keys, with fixed_structure: the nearest structure (of equally near ones the first listed), or null.
+def _foremost(structures: DataFrame) -> DataFrame:
+    """Structures without those that never are a match: at their place another reaches as far or further and is listed before."""
+    place, listed = ["lat", "lon"], ["ord", "id", "type", "name"]
+    own = structures.select(*listed, *place, F.coalesce("match_radius_m", F.lit(DEFAULT_RADIUS_M)).alias("match_radius_m"))
+    first = own.groupBy(*place, "match_radius_m").agg(F.min(F.struct(*listed)).alias("first"))
+    further = Window.partitionBy(*place).orderBy(F.desc("match_radius_m")).rowsBetween(Window.unboundedPreceding, -1)
+    first = first.withColumn("before", F.min("first").over(further)).filter("before is null or first < before")
+    return first.select("first.*", *place, "match_radius_m")
 
-    Only detections near a structure are aggregated, and only what was found for them meets the rows again.
+
+def match_structures(rows: DataFrame, structures: DataFrame) -> DataFrame:
+    """rows with fixed_structure: the nearest structure (of equally near ones the first listed), or null.
+
+    A match depends on the place alone. So each place is matched once, however many rows are there, against the structures that
+    can be one's match, and only what was found for places meets the rows again.
     """
+    places = rows.select("lat", "lon").distinct()
     found = F.min(F.struct("km", F.col("s_ord").alias("ord"), F.col("s_id").alias("id"), F.col("s_type").alias("type"), F.col("s_name").alias("name")))
-    best = structure_hits(rows, structures, list(keys)).groupBy(*keys).agg(found.cast(MATCH).alias("fixed_structure"))
-    return rows.join(best, list(keys), "left")
+    best = structure_hits(places, _foremost(structures), []).groupBy("lat", "lon").agg(found.cast(MATCH).alias("fixed_structure"))
+    return rows.join(best, ["lat", "lon"], "left").select(*rows.columns, "fixed_structure")
 
 
 MARGIN_DEG = 1e-9

@@ -98,6 +98,26 @@ def test_nearest_structure_at_every_level(spark):
     assert any(-180 <= points[k][3] < -179.9 and structures[int(v["ord"])][5] > 179 for k, v in found.items() if v)
 
 
+def test_a_place_is_matched_once(spark, monkeypatch):
+    """Many rows at few places and many structures at one: pairs do not grow with either, and the matches are those of all pairs."""
+    own = spark.range(600).selectExpr(
+        "id as ord", "concat('F', id) as id", "'n' as name", "'buoy' as type", "10.0D as lat", "20.0D as lon",
+        "if(id % 3 = 0, null, double(id * 7 % 5 * 500 + 100)) as match_radius_m"
+    )
+    rows = spark.range(4000).selectExpr("'S' as scene_id", "id as ord", "if(id = 9, null, 10 + id % 8 / 400D) as lat", "if(id % 8 = 0, -0.0D, 0.0D) + 20 as lon", "'x' as more")
+    pairs, hits = [], spatial.structure_hits
+    monkeypatch.setattr(spatial, "structure_hits", lambda *given: pairs.append(hits(*given)) or pairs[-1])
+    matched = spatial.match_structures(rows, own)
+    assert matched.columns == [*rows.columns, "fixed_structure"]
+    found = {r["ord"]: r["fixed_structure"] and (r["fixed_structure"]["km"], r["fixed_structure"]["ord"]) for r in matched.collect()}
+    km = geo.distance_km(F.col("lat"), F.col("lon"), F.col("y"), F.col("x"))
+    s = own.selectExpr("ord as s", "lat as y", "lon as x", "coalesce(match_radius_m, 300) / 1000 as reach")
+    all_pairs = rows.join(s, km <= F.col("reach")).groupBy("ord").agg(F.min(F.struct(km.alias("km"), "s")).alias("b"))
+    want = {r["ord"]: (r["b"]["km"], r["b"]["s"]) for r in all_pairs.collect()}
+    assert len(found) == 4000 and {k: v for k, v in found.items() if v} == want and len({v[1] for v in want.values()}) > 2
+    assert pairs[0].count() <= 8 * 5
+
+
 def test_a_failing_task_leaves_nothing(spark, tmp_path):
     """Files that tasks had moved are taken back, and there is no marker; a later job that succeeds is whole."""
     path = f"{tmp_path}/out"
