@@ -675,8 +675,12 @@ def regulated_zones(spark, d):
     return spatial.literal_zone_hits(detections(spark, d), zones, ["ord"])
 
 
+ANSWERED = 1 << 19
+"""Events, by number, whose entries share a day's answer: so no answer, and no task, holds more than so many."""
+
+
 def feed_bodies(spark, d: str) -> DataFrame:
-    """Answers of a feed, one a day: entries under changing names, and in changing envelopes."""
+    """Answers of a feed, by day and part: entries under changing names, and in changing envelopes."""
     e = detections(spark, d).withColumn("k", F.col("ord") % 5)
     say = lambda k, name, value: F.when(F.col("k") == k, F.concat(F.lit(f'"{name}": '), value)).otherwise(F.lit(None))
     text, word = lambda c: F.col(c).cast("string"), lambda c: F.concat(F.lit('"'), F.col(c), F.lit('"'))
@@ -700,14 +704,15 @@ def feed_bodies(spark, d: str) -> DataFrame:
         F.lit('{"n": 1, "'), F.element_at(F.array(F.lit("entries"), F.lit("data"), F.lit("features")), F.greatest(turn, F.lit(1))), F.lit('": ['),
         "t", F.lit("]}")
     ))
-    return e.groupBy("day").agg(listed.alias("t")).select("day", body.alias("body"))
+    part = F.expr(f"ord div {ANSWERED}").alias("part")
+    return e.groupBy("day", part).agg(listed.alias("t")).select("day", "part", body.alias("body"))
 
 
 _FED = ("day", "ord", "id", "lat", "lon", "estimated_length_m", "ais_matched", "fishing_score", "speed_kn", "likely_gear", "mmsi", "vessel_name", "flag")
 
 
 def mapped_feed(answers: DataFrame) -> DataFrame:
-    """Detections of answers (day, body) with usable; every day is mapped by itself."""
+    """Detections of answers (day, body) with usable; every answer is mapped by itself."""
     entries = scenes.feed_entries(answers)
     return scenes.map_feed(entries, keep=("day",)).withColumn("day", F.col("day").cast("string"))
 
@@ -717,12 +722,12 @@ LIMIT = 100
 
 
 def feed_folder(spark, answers: DataFrame, days: DataFrame) -> tuple[str, str, str]:
-    """Recorded answers, a file a day, as the feed's address; the first and the last day."""
+    """Recorded answers, a folder a day, as the feed's address; the first and the last day."""
     path = files.scratch(spark, "feed")
-    named = answers.select(F.concat(F.col("day").cast("string"), F.lit(".json")).alias("name"), F.encode("body", "utf-8").alias("content"))
+    named = answers.select(F.concat(F.col("day").cast("string"), F.lit("/"), "part", F.lit(".json")).alias("name"), F.encode("body", "utf-8").alias("content"))
     files.write_files(named, path)
     first, last = days.agg(F.min("day").cast("string"), F.max("day").cast("string")).first()
-    return f"{path}/{{day}}.json", first, last
+    return f"{path}/{{day}}", first, last
 
 
 BOX = "-7.5,36.0,-6.0,37.5"

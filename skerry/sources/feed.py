@@ -5,8 +5,9 @@ by so many parts of the box is one). An answer with `limit` entries may have bee
 quarters, and theirs, until no answer is full: no entry is lost, whatever the limit. Quarters share no number: the first ends
 at the largest double below the middle. Conditions on day, lat and lon narrow what is asked for.
 
-Addresses of http and https are asked; any other is a folder of recorded answers (a file a day), to which the reader applies
-box and limit as the feed would.
+Addresses of http and https are asked; any other is a folder of recorded answers, to which the reader applies box and limit as
+the feed would. A day is a file, or a folder of them, each a part of the day's entries that a task reads by itself. A recorded
+answer is whole, so it is given whole, too, where a single place has more entries than the limit, which is an error otherwise.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import urllib.request
 from collections.abc import Iterator
 from datetime import date, datetime, timedelta
 
+import numpy as np
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
@@ -142,14 +144,19 @@ class FeedReader(DataSourceReader):
         parts = [[box] for box in tiled(self.box, self.tiles)]
         if self.failures == "row":  # a day is whole or fails as a whole
             parts = [[box for own in parts for box in own]]
-        return [InputPartition((day, boxes)) for day in days for boxes in parts]
+        whole = self.remote or self.failures == "row"
+        return [InputPartition((day, boxes, path)) for day in days for path in ([None] if whole else self._files(day)) for boxes in parts]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         if partition.value is None:
             return
-        day, boxes = partition.value
+        day, boxes, path = partition.value
         try:
-            found = [e for box in boxes for e in self._whole(day, box)]
+            if self.remote:
+                found = [e for box in boxes for e in self._whole(day, box)]
+            else:
+                answers = [self._recorded(own) for own in ([path] if path else self._files(day))]
+                found = [e for answer in answers for box in boxes for e in self._split(answer, np.arange(len(answer[2])), box)]
         except (OSError, ValueError) as wrong:  # urllib's errors and timeouts are OSErrors
             if self.failures == "raise":
                 raise
@@ -161,7 +168,7 @@ class FeedReader(DataSourceReader):
 
     def _whole(self, day: date, box: Box) -> Iterator:
         """The entries of a box, however many."""
-        found = self._ask(day, box) if self.remote else self._recorded(day, box)
+        found = self._ask(day, box)
         if len(found) < self.limit:
             yield from found
             return
@@ -188,19 +195,39 @@ class FeedReader(DataSourceReader):
             time.sleep(WAIT_S * 2**attempt)
         return []
 
-    def _recorded(self, day: date, box: Box) -> list:
-        """The first entries of a recorded answer that are in a box; what has no position counts for the region's first corner."""
+    def _files(self, day: date) -> list[str]:
+        """The recorded answers of a day: a file, or those in a folder."""
+        from pyarrow import fs
+
         store, path = files.store_of(self.url.replace("{day}", day.isoformat()))
-        if getattr(self, "held", (None,))[0] != day:
-            with store.open_input_stream(path) as body:
-                self.held = (day, [(*position(e), e) for e in entries_of(body.read().decode("utf-8"))])
+        if store.get_file_info(path).type != fs.FileType.Directory:
+            return [path]
+        return sorted(f.path for f in store.get_file_info(fs.FileSelector(path)) if f.is_file)
+
+    def _recorded(self, path: str) -> tuple[np.ndarray, np.ndarray, list]:
+        """Latitudes, longitudes (NaN: none) and entries of a recorded answer."""
+        store, _ = files.store_of(self.url)
+        with store.open_input_stream(path) as body:
+            entries = entries_of(body.read().decode("utf-8"))
+        at = np.array([position(e) for e in entries], dtype=np.float64).reshape(-1, 2)
+        return at[:, 0], at[:, 1], entries
+
+    def _split(self, answer: tuple[np.ndarray, np.ndarray, list], among: np.ndarray, box: Box) -> Iterator:
+        """The entries of a box, looked for among those of the box around it, so each is looked at once a level. What has no
+        position counts for the region's first corner."""
+        lat, lon, entries = answer
         west, south, east, north = box
-        corner = west <= self.box[0] and south <= self.box[1]
-        inside = (
-            e for lat, lon, e in self.held[1]
-            if (corner if lat is None or lon is None else south <= lat <= north and west <= lon <= east)
-        )
-        return [e for _, e in zip(range(self.limit), inside, strict=False)]
+        y, x = lat[among], lon[among]
+        inside = (south <= y) & (y <= north) & (west <= x) & (x <= east)
+        if west <= self.box[0] and south <= self.box[1]:
+            inside |= np.isnan(y) | np.isnan(x)
+        among, y, x = among[inside], y[inside], x[inside]
+        parts = quarters(box) if len(among) >= self.limit and not (np.all(y == y[0]) and np.all(x == x[0])) else [box]
+        if len(parts) == 1:
+            yield from (entries[k] for k in among)
+            return
+        for part in parts:
+            yield from self._split(answer, among, part)
 
 
 class DetectionFeed(DataSource):

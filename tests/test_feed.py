@@ -150,3 +150,33 @@ def test_recorded_answers_by_any_local_path(spark, tmp_path, form):
     assert sorted(json.loads(r["entry"])["id"] for r in rows.collect()) == sorted(e["id"] for e in entries)
     found = feed.load(spark, url=f"{path}/{{day}}.json", start="2024-01-01", end="2024-01-02", failures="row").filter("failure is not null").collect()
     assert [str(r["day"]) for r in found] == ["2024-01-02"] and "FileNotFound" in found[0]["failure"]
+
+
+def test_a_recorded_day_in_parts(spark, tmp_path):
+    """A folder a day, each of its answers read by a task of its own; a place with more entries than the limit is whole."""
+    path, days = str(tmp_path), ("2024-01-01", "2024-01-02")
+    own = [entry(i, 36.2 + i % 40 / 100, -7.3 + i % 3 / 10) for i in range(300)] + [entry(i, 36.5, -7.0) for i in range(300, 330)] + [{"id": f"E{i}"} for i in range(330, 340)]
+    bodies = [(f"{day}/{k}.json", json.dumps({"data": own[k::3]}).encode()) for day in days for k in range(3)]
+    files.write_files(spark.createDataFrame(bodies, "name string, content binary"), path)
+    options = {"url": f"{path}/{{day}}", "start": days[0], "end": days[1], "limit": "4"}
+    assert len(feed.FeedReader(options).partitions()) == 6
+    want = Counter((day, e["id"]) for day in days for e in own)
+    for more in ({}, {"tiles": "2"}, {"failures": "row"}):
+        found = feed.load(spark, **options, **more).collect()
+        assert Counter((str(r["day"]), json.loads(r["entry"])["id"]) for r in found) == want, more
+    lost = feed.load(spark, **options | {"end": "2024-01-03", "failures": "row"}).filter("failure is not null").collect()
+    assert [str(r["day"]) for r in lost] == ["2024-01-03"]
+
+
+def test_an_entry_is_looked_at_once_a_level(tmp_path, monkeypatch):
+    """Recorded answers of two sizes: what is looked at grows as they do, but for the levels."""
+    rng, looked = np.random.default_rng(5), []
+    split = feed.FeedReader._split
+    monkeypatch.setattr(feed.FeedReader, "_split", lambda self, answer, among, box: looked.append(len(among)) or split(self, answer, among, box))
+    for n in (1000, 16000):
+        spots = zip(rng.uniform(36.2, 37.1, n), rng.uniform(-7.4, -6.5, n), strict=True)
+        (tmp_path / "2024-01-01").write_text(json.dumps([entry(i, float(a), float(b)) for i, (a, b) in enumerate(spots)]))
+        reader = feed.FeedReader({"url": f"{tmp_path}/{{day}}", "start": "2024-01-01", "end": "2024-01-01", "limit": "20"})
+        looked.clear()
+        assert len([r for p in reader.partitions() for r in reader.read(p)]) == n
+        assert sum(looked) < n * 4 * 12
