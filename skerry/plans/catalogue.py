@@ -783,18 +783,19 @@ def feed_skipped(spark, d):
 
 @query
 def dossier_documents(spark, d):
-    """Parts of each scene's dossier as JSON, with and without the full list of records."""
+    """Each scene's dossier as JSON in parts, with and without the full list of records."""
     rows, heads = judged(spark, d), scenes.scene_rows(scenes.read_scenes(spark, scene_files(spark, d)))
     heads = heads.withColumn("scene_id", F.regexp_extract("scene_id", r"([^/]+)\.json$", 1))
-    made = [dossier.document(rows, heads, ZONES, CONFIG, keep_records=keep).withColumn("kept", F.lit(keep)) for keep in (True, False)]
-    doc = made[0].unionByName(made[1])
+    doc = dossier.parts(rows, heads, ZONES, CONFIG, (True, False))
     at = lambda p: F.get_json_object("dossier", p)
-    count = lambda p: F.coalesce(F.json_array_length(at(p)), F.lit(-1))
-    return doc.select(
-        "scene_id", "kept", at("$.total_detections").cast("long").alias("total"), count("$.records").alias("records"), count("$.inspection_candidates").alias("candidates"),
-        count("$.ais_indicator_suppressed").alias("suppressed"), count("$.fixed_structure_suppressed").alias("fixed"), count("$.patrol_sequence").alias("stops"), count("$.active_closures").alias("closures"),
-        at("$.inspection_candidates[0].id").alias("first_candidate"), at("$.patrol_sequence[0].id").alias("first_stop"), at("$.analysis_date").alias("analysis_date"), at("$.environmental_context.suitability").alias("suitability"),
-    )
+    count = lambda p: F.coalesce(F.sum(F.json_array_length(at(p))), F.lit(-1)).cast("int")
+    first = lambda p: F.min_by(at(p), F.when(at(p).isNotNull(), F.col("part")))
+    head = lambda p: F.max(F.when(F.col("part") == 0, at(p)))
+    return doc.groupBy("scene_id", "kept").agg(
+        head("$.total_detections").cast("long").alias("total"), count("$.records").alias("records"), count("$.inspection_candidates").alias("candidates"),
+        count("$.ais_indicator_suppressed").alias("suppressed"), count("$.fixed_structure_suppressed").alias("fixed"), count("$.patrol_sequence").alias("stops"), head("$.active_closures").alias("closures"),
+        first("$.inspection_candidates[0].id").alias("first_candidate"), first("$.patrol_sequence[0].id").alias("first_stop"), head("$.analysis_date").alias("analysis_date"), head("$.environmental_context.suitability").alias("suitability"),
+    ).withColumn("closures", F.coalesce(F.json_array_length("closures"), F.lit(-1)))
 
 
 @query

@@ -170,6 +170,24 @@ def test_document(spark):
     assert doc["patrol_sequence"][0]["id"] == "D-010" and doc["environmental_context"]["suitability"] == "out_of_season" and doc["active_closures"][0]["zone"] == "River Mouth"
 
 
+def test_a_dossier_in_parts(spark):
+    """The lists of a scene's parts, one after the other, are those of its one document; no part holds more than it may."""
+    import json
+
+    scenes = spark.createDataFrame([("S", demo.TIMESTAMP, "area")], "scene_id string, timestamp string, area string")
+    given = (demo.records(spark), scenes, demo.ZONES, demo.CONFIG)
+    for keep in (True, False):
+        want = json.loads(dossier.document(*given, keep_records=keep).first()["dossier"])
+        found = dossier.parts(*given, keep_records=(True, False), size=3).filter(F.col("kept") == keep).orderBy("part").collect()
+        docs = [json.loads(r["dossier"]) for r in found]
+        assert [r["part"] for r in found] == list(range(len(docs))) and len(docs) == -(-len(GOLDEN) // 3)
+        lists = [k for k, v in want.items() if isinstance(v, list) and k not in ("regulated_zones", "active_closures")]
+        assert len(lists) == 4 + keep and all(len(d[k]) <= 3 for d in docs for k in lists)
+        assert {k: [x for d in docs for x in d[k]] for k in lists} == {k: want[k] for k in lists}
+        assert {k: v for k, v in docs[0].items() if k not in lists} == {k: v for k, v in want.items() if k not in lists}
+        assert all(set(d) == set(lists) for d in docs[1:])
+
+
 def test_weights_of_a_document_overlay_the_defaults():
     from skerry.sources import scenes
 
