@@ -242,3 +242,42 @@ def test_index_finds_what_is_there():
     index = mixing.Index(keys[::2])
     assert index(keys).tolist() == [k // 2 if k % 2 == 0 else -1 for k in range(len(keys))]
     assert mixing.Index(keys[:0])(keys).max() == -1 and len(common.word_hashes(b"")) == 0
+
+
+def test_start_weights_rest_on_all_training_bits(spark, small):
+    """At the weights that texts and spellings start with, the slope over every bit of every training text and word is none."""
+    rows = [*corpus(), (600, "ing sher er than ble " * 1200)]
+    assert is_training(600) and len(rows[-1][1]) > 20_000
+    model = mixing.Model(*mixing.gather(spark.createDataFrame(rows, DOCS)))
+    brute = Brute(rows, model)
+    near = lambda z, per, low, high: min(max(int(np.rint(np.float32(z) * per)), low), high) / per
+    odds = lambda c: math.log((c[1] + mixing.PRIOR) / (c[0] + mixing.PRIOR))
+
+    def check(found, start, bits):
+        found, n = found.astype(float), 0
+        slope = mixing.PULL * (found - start)
+        for gate, x, bit in bits:
+            p = 1 / (1 + math.exp(-float(found[gate] @ x)))
+            slope[gate] += (p - bit) * np.array(x)
+            n += 1
+        assert n > 1000 and np.abs(found - start).max() > 0.05 and np.abs(slope).max() < 1e-3 + 1e-6 * n
+
+    def less(own, slot, bit):
+        c = own[slot]
+        return max(c[0] - (bit == 0), 0), max(c[1] - (bit == 1), 0)
+
+    def of_texts():
+        for i, text in rows:
+            for _, node, bit, slots, depth in brute.walk(text) if is_training(i) else ():
+                counts = [less(own, s, bit) for own, s in zip(brute.slots, slots, strict=True)]
+                gate = depth + sum(((sum(c) > 0) + (sum(c) > 3)) * 4 * 3**k for k, c in enumerate(counts))
+                yield gate, [0.3, near(brute.codes.odds[node], 4, 0, 7), *(near(odds(c), 2, -16, 15) for c in counts)], bit
+
+    def of_words():
+        for w in brute.count:
+            for turn, bit, slots in brute.spelled_bits(w) if len(w) <= 256 else ():
+                counts = [less(own, s, bit) for own, s in zip(brute.letters, slots, strict=True)]
+                yield turn * (mixing.SPELL_ORDERS + 1) + sum(sum(c) > 0 for c in counts), [near(odds(c), 2, -16, 15) for c in counts], bit
+
+    check(model.shared[3], mixing.Mixer(brute.codes, model.shared[2]).weights, of_texts())
+    check(model.letters[1], mixing.Speller(model.letters[0]).weights, of_words())
