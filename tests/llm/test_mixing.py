@@ -281,3 +281,34 @@ def test_start_weights_rest_on_all_training_bits(spark, small):
 
     check(model.shared[3], mixing.Mixer(brute.codes, model.shared[2]).weights, of_texts())
     check(model.letters[1], mixing.Speller(model.letters[0]).weights, of_words())
+
+
+def test_three_levels_of_a_context_lie_side_by_side():
+    """So a token looks into a third as many places; within them each node has a slot of its own."""
+    codes = mixing.Codes(np.random.default_rng(4).integers(1, 500, 300).tolist())
+    symbols = np.arange(300)
+    bits = mixing.Bits(codes, symbols, [np.full(300, 0x1234 << 16, dtype=np.uint32)], 20)
+    turn = np.arange(len(bits.token)) - np.repeat(bits.ends - bits.sizes, bits.sizes)
+    place, slots = bits.token * 64 + turn // 3, bits.slots[0].astype(np.int64)
+    assert all(len(set((slots[place == k] >> 3).tolist())) == 1 for k in set(place.tolist()))
+    for k in set((slots >> 3).tolist()):
+        nodes, own = bits.node[slots >> 3 == k], slots[slots >> 3 == k]
+        roots = {bits.node[i] for i in np.flatnonzero((slots >> 3 == k) & (turn % 3 == 0))}
+        if len(roots) == 1:
+            assert len(set(nodes.tolist())) == len(set(own.tolist()))
+
+
+def test_texts_that_hold_the_mark_are_hashed_by_themselves():
+    texts = [b"A b", b"", b"c \0 d", b"b\0 ", b" x" * 40_000]
+    for some in (texts, texts[:2] + texts[3:]):
+        hashes, sizes = mixing.streams(some)
+        alone = [np.append(common.word_hashes(t.lower()), mixing.END) for t in some]
+        assert hashes.tolist() == np.concatenate(alone).tolist() and sizes.tolist() == [len(x) for x in alone]
+
+
+def test_counts_by_task_are_whole():
+    numbers = np.random.default_rng(5).integers(0, 1 << 15, (7, 1000))
+    parts = list(mixing._counts(([x] for x in numbers), [1 << 15]))
+    total = sum(np.frombuffer(c.as_buffer(), dtype="<i4") for b in parts for c in [b.column(1)[0]])
+    assert total[: mixing.CHUNK * 2].tolist() == np.bincount(numbers.ravel(), minlength=1 << 15)[: len(total)].tolist()
+    assert list(mixing._counts(iter([]), [16])) == []
