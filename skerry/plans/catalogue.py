@@ -784,18 +784,24 @@ def feed_skipped(spark, d):
 @query
 def dossier_documents(spark, d):
     """Each scene's dossier as JSON in parts, with and without the full list of records."""
-    rows, heads = judged(spark, d), scenes.scene_rows(scenes.read_scenes(spark, scene_files(spark, d)))
+    rows, heads = judged(spark, d), files.kept(scenes.scene_rows(scenes.read_scenes(spark, scene_files(spark, d))), "heads")
     heads = heads.withColumn("scene_id", F.regexp_extract("scene_id", r"([^/]+)\.json$", 1))
     doc = dossier.parts(rows, heads, ZONES, CONFIG, (True, False))
-    at = lambda p: F.get_json_object("dossier", p)
-    count = lambda p: F.coalesce(F.sum(F.json_array_length(at(p))), F.lit(-1)).cast("int")
-    first = lambda p: F.min_by(at(p), F.when(at(p).isNotNull(), F.col("part")))
-    head = lambda p: F.max(F.when(F.col("part") == 0, at(p)))
+    lists = {"records": "records", "candidates": "inspection_candidates", "suppressed": "ais_indicator_suppressed", "fixed": "fixed_structure_suppressed", "stops": "patrol_sequence"}
+    heads = {"total": "total_detections", "closures": "active_closures", "analysis_date": "analysis_date", "environment": "environmental_context"}
+    doc = doc.select("scene_id", "kept", "part", F.json_tuple("dossier", *lists.values(), *heads.values()).alias(*lists, *heads))
+    # A part is read once, and only what is narrow meets in the aggregation.
+    doc = doc.select(
+        "scene_id", "kept", "part", *(F.json_array_length(c).alias(c) for c in lists), "total", F.json_array_length("closures").alias("closures"), "analysis_date",
+        F.get_json_object("candidates", "$[0].id").alias("first_candidate"), F.get_json_object("stops", "$[0].id").alias("first_stop"), F.get_json_object("environment", "$.suitability").alias("suitability"),
+    )
+    count = lambda c: F.coalesce(F.sum(c), F.lit(-1)).cast("int").alias(c)
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("part"))).alias(c)
+    head = lambda c: F.max(F.when(F.col("part") == 0, F.col(c)))
     return doc.groupBy("scene_id", "kept").agg(
-        head("$.total_detections").cast("long").alias("total"), count("$.records").alias("records"), count("$.inspection_candidates").alias("candidates"),
-        count("$.ais_indicator_suppressed").alias("suppressed"), count("$.fixed_structure_suppressed").alias("fixed"), count("$.patrol_sequence").alias("stops"), head("$.active_closures").alias("closures"),
-        first("$.inspection_candidates[0].id").alias("first_candidate"), first("$.patrol_sequence[0].id").alias("first_stop"), head("$.analysis_date").alias("analysis_date"), head("$.environmental_context.suitability").alias("suitability"),
-    ).withColumn("closures", F.coalesce(F.json_array_length("closures"), F.lit(-1)))
+        head("total").cast("long").alias("total"), *(count(c) for c in lists), F.coalesce(head("closures"), F.lit(-1)).alias("closures"),
+        first("first_candidate"), first("first_stop"), head("analysis_date").alias("analysis_date"), head("suitability").alias("suitability"),
+    )
 
 
 @query

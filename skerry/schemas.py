@@ -14,7 +14,7 @@ DETECTION = (
     "struct<id:string,lat:double,lon:double,estimated_length_m:double,ais_matched:boolean,fishing_score:double,speed_kn:double,heading:bigint,"
     "likely_gear:string,mmsi:string,vessel_name:string,flag:string>"
 )
-SCENE_DOCUMENT = f"scene {SCENE}, detections array<{DETECTION}>"
+SCENE_DOCUMENT = f"scene {SCENE}, first_detection bigint, detections array<{DETECTION}>"
 DETECTIONS = (
     "scene_id string, ord bigint, id string, lat double, lon double, estimated_length_m double, ais_matched boolean, fishing_score double, speed_kn double, "
     "likely_gear string, mmsi string, vessel_name string, flag string, timestamp string"

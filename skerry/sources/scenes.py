@@ -25,27 +25,36 @@ DATASET = "public-global-sar-presence:latest"
 DETECTION_FIELDS = ("id", "lat", "lon", "estimated_length_m", "ais_matched", "fishing_score", "speed_kn", "likely_gear", "mmsi", "vessel_name", "flag")
 
 
+DOCUMENT = 5000
+"""Detections that a scene document holds, at most, where `write_documents` writes it."""
+
+
+def _scene_file(first: Column, path: str = "_metadata.file_path") -> Column:
+    """The file of a scene: of a later part, which names the place of its first detection, the file of the first one."""
+    return F.when(first.isNull(), F.col(path)).otherwise(F.regexp_replace(path, r"\.part-\d+\.json$", ".json"))
+
+
 def read_scenes(spark: SparkSession, path: str) -> DataFrame:
-    """One row a scene document: scene_id (its file), scene, detections."""
+    """One row a scene document: scene_id (its file), scene, first_detection (null but in a scene's later parts), detections."""
     rows = spark.read.schema(SCENE_DOCUMENT).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    return rows.select(F.col("_metadata.file_path").alias("scene_id"), "*")
+    return rows.select(_scene_file(F.col("first_detection")).alias("scene_id"), "*")
 
 
 def scene_rows(scenes: DataFrame) -> DataFrame:
     """scene_id, source, mode, timestamp, area."""
-    return scenes.select("scene_id", "scene.*")
+    return scenes.filter("first_detection is null").select("scene_id", "scene.*")
 
 
 def detection_rows(scenes: DataFrame) -> DataFrame:
-    """Detections with scene_id, ord (their place in the document) and the scene's date.
+    """Detections with scene_id, ord (their place in the scene) and the scene's date.
 
     A typed column cannot tell a missing AIS flag from null: both are unknown. read_strict_scenes keeps the difference.
     """
     from skerry.functions.temporal import scene_date
 
     rows = scenes.withColumn("day", scene_date(F.col("scene.timestamp")))
-    return rows.select("scene_id", "day", F.posexplode("detections").alias("ord", "d")).select(
-        "scene_id", F.col("ord").cast("bigint").alias("ord"), "day", "d.*"
+    return rows.select("scene_id", "day", "first_detection", F.posexplode("detections").alias("ord", "d")).select(
+        "scene_id", (F.col("ord") + F.coalesce("first_detection", F.lit(0).cast("bigint"))).alias("ord"), "day", "d.*"
     )
 
 
@@ -54,9 +63,10 @@ def read_strict_scenes(spark: SparkSession, path: str) -> DataFrame:
     that is present but null counts as false, unlike one that is missing."""
     from skerry.functions.temporal import fail, scene_date
 
-    docs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("scene_id"), F.parse_json("value").alias("v"))
+    docs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.parse_json("value").alias("v"))
+    docs = docs.withColumn("first", F.expr("try_variant_get(v, '$.first_detection', 'bigint')"))
     rows = docs.select(
-        "scene_id", scene_date(F.expr("try_variant_get(v, '$.scene.timestamp', 'string')")).alias("day"),
+        _scene_file(F.col("first"), "path").alias("scene_id"), "first", scene_date(F.expr("try_variant_get(v, '$.scene.timestamp', 'string')")).alias("day"),
         F.posexplode(F.expr("variant_get(v, '$.detections', 'array<variant>')")).alias("ord", "d")
     )
     get = lambda k, kind: F.try_variant_get("d", f"$.{k}", kind)
@@ -71,7 +81,7 @@ def read_strict_scenes(spark: SparkSession, path: str) -> DataFrame:
 
     flag = get("ais_matched", "variant")
     return rows.select(
-        "scene_id", F.col("ord").cast("bigint").alias("ord"), "day", get("id", "string").alias("id"), number("lat").alias("lat"), number("lon").alias("lon"), number("estimated_length_m").alias("estimated_length_m"), number("fishing_score").alias("fishing_score"),
+        "scene_id", (F.col("ord") + F.coalesce("first", F.lit(0).cast("bigint"))).alias("ord"), "day", get("id", "string").alias("id"), number("lat").alias("lat"), number("lon").alias("lon"), number("estimated_length_m").alias("estimated_length_m"), number("fishing_score").alias("fishing_score"),
         F.when(flag.isNull(), F.lit(None)).when(F.is_variant_null(flag), F.lit(False)).otherwise(get("ais_matched", "boolean")).alias("ais_matched"), get("speed_kn", "double").alias("speed_kn"),
         get("likely_gear", "string").alias("likely_gear"), get("mmsi", "string").alias("mmsi"), get("vessel_name", "string").alias("vessel_name"), get("flag", "string").alias("flag"),
     )
@@ -369,14 +379,26 @@ def manifest_entries(spark: SparkSession, path: str) -> DataFrame:
     return read_manifest(spark, f"{path}/manifest.json").select(F.explode(held).alias("e")).select("e.*")
 
 
-def write_documents(detections: DataFrame, path: str, source: str = "", mode: str = "", area: str = "") -> None:
-    """Scene documents that read_scenes reads back, one a scene: detections with scene_id, ord and day, in the order of ord."""
+def write_documents(detections: DataFrame, path: str, source: str = "", mode: str = "", area: str = "", size: int = DOCUMENT) -> None:
+    """Scene documents that read_scenes reads back: detections with scene_id, ord and day, in the order of ord.
+
+    A document holds at most size detections, so no task, group or text holds a scene: one that has more goes on in documents
+    beside it, `<scene_id>.part-00001.json` and so on, which name the place of their first detection.
+    """
+    from skerry.operators import order
+
     fields = [c for c in DETECTION_FIELDS if c in detections.columns]
+    rows = order.numbered(detections.select("scene_id", "ord", "day", *fields), ["scene_id"], ["ord", *fields], "_place")
+    rows = rows.withColumn("_part", F.expr(f"(_place - 1) div {size}"))
     stamp = F.concat(F.col("day").cast("string"), F.lit("T00:00:00Z"))
     scene = F.struct(F.lit(source).alias("source"), F.lit(mode).alias("mode"), F.first(stamp).alias("timestamp"), F.lit(area).alias("area"))
     own = F.transform(F.array_sort(F.collect_list(F.struct("ord", F.struct(*fields).alias("d")))), lambda x: x.d)
-    docs = detections.groupBy("scene_id").agg(F.to_json(F.struct(scene.alias("scene"), own.alias("detections"))).alias("value"))
-    files.write_files(docs.select(F.concat("scene_id", F.lit(".json")).alias("name"), F.encode("value", "utf-8").alias("content")), path)
+    later = F.col("_part") > 0
+    docs = rows.groupBy("scene_id", "_part").agg(
+        F.to_json(F.struct(scene.alias("scene"), F.when(later, F.col("_part") * size).alias("first_detection"), own.alias("detections"))).alias("value")
+    )
+    name = F.concat("scene_id", F.when(later, F.format_string(".part-%05d", "_part")).otherwise(""), F.lit(".json"))
+    files.write_files(docs.select(name.alias("name"), F.encode("value", "utf-8").alias("content")), path)
 
 
 def write_archive(documents: DataFrame, path: str) -> None:

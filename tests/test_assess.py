@@ -188,6 +188,23 @@ def test_a_dossier_in_parts(spark):
         assert all(set(d) == set(lists) for d in docs[1:])
 
 
+def test_no_task_gets_all_documents_of_a_scene(spark):
+    """Also where no table is small enough to be sent to all tasks."""
+    own = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"
+    }
+    scenes = spark.createDataFrame([("S", demo.TIMESTAMP, "area")], "scene_id string, timestamp string, area string")
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        docs = dossier.parts(demo.records(spark), scenes, demo.ZONES, demo.CONFIG, size=1)
+        found = docs.select("part", F.spark_partition_id().alias("task")).collect()
+    finally:
+        for k in own:
+            spark.conf.unset(k)
+    assert sorted(r["part"] for r in found) == list(range(len(GOLDEN))) and len({r["task"] for r in found}) > 1
+
+
 def test_weights_of_a_document_overlay_the_defaults():
     from skerry.sources import scenes
 

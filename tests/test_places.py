@@ -30,6 +30,31 @@ def test_no_window_holds_a_scene(spark):
     assert "row_number" not in plan and "SinglePartition" not in plan
 
 
+def test_a_scene_is_written_in_parts(spark, tmp_path):
+    """No document holds more than it may; what is read back is what one document a scene gives."""
+    from skerry.sources import scenes
+
+    rows = spark.range(5007).selectExpr(
+        "if(id % 1000 = 6, 'small', 'large') as scene_id", "5006 - id as ord", "date'2024-01-15' as day", "concat('D-', id) as id", "36 + id / 9000e0 as lat",
+        "-7e0 as lon", "20e0 as estimated_length_m", "id % 3 = 0 as ais_matched", "0.5e0 as fishing_score"
+    )
+    got = {}
+    for size in (None, 10000, 2):
+        path = f"{tmp_path}/{size}"
+        given = rows.filter("ord < 15 or scene_id = 'small'") if size == 2 else rows
+        scenes.write_documents(given, path, **({"size": size} if size else {}))
+        docs, name = scenes.read_scenes(spark, path), F.regexp_extract("scene_id", r"([^/]+)\.json$", 1).alias("scene")
+        most = docs.agg(F.max(F.size("detections"))).first()[0]
+        assert most == {2: 2, 10000: 5001, None: 5000}[size]
+        assert sorted(tuple(r) for r in scenes.scene_rows(docs).select(name, "timestamp").collect()) == [(s, "2024-01-15T00:00:00Z") for s in ("large", "small")]
+        read = [sorted(tuple(r) for r in t.select(name, "ord", "id", "day", "lat", "ais_matched").collect()) for t in (scenes.detection_rows(docs), scenes.read_strict_scenes(spark, path))]
+        assert read[0] == read[1] and len(read[0]) == given.count()
+        got[size] = read[0]
+        own = [r["id"] for r in given.filter("scene_id = 'large'").orderBy("ord").collect()]
+        assert [(o, i) for s, o, i, *_ in read[0] if s == "large"] == list(enumerate(own))
+    assert got[None] == got[10000]
+
+
 def star(rng, n, lat, lon, size):
     angles = np.sort(rng.uniform(0, 2 * np.pi, n))
     r = size * rng.uniform(0.2, 1, n)
